@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pagemill.llm.common import table
 from pagemill.llm.exact_dedup import exact_dedup
+from pagemill.llm.secret_scan import secret_scan
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -19,6 +20,12 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op2_secret_scan(spark, sf_dir):
+    """Secrets in every whole text, with the weak parts that complementary parts confirm."""
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 @query("""
     WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
          g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
