@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from pagemill.llm.common import table
 from pagemill.llm.exact_dedup import exact_dedup
+from pagemill.llm.packing import pack, token_pieces
 from pagemill.llm.secret_scan import secret_scan
 
 QUERIES = {}
@@ -20,6 +23,12 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op1_best_fit_packing(spark, sf_dir):
+    """All documents as 49k-vocabulary ids in as few sequences of 4096 tokens as can be."""
+    return pack(token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 @query()
 def op2_secret_scan(spark, sf_dir):
     """Secrets in every whole text, with the weak parts that complementary parts confirm."""
