@@ -6,7 +6,9 @@ import public_tokenizers
 
 from pagemill.llm.common import table
 from pagemill.llm.exact_dedup import exact_dedup
+from pagemill.llm.license_scan import license_scan
 from pagemill.llm.packing import pack, token_pieces
+from pagemill.llm.pieces import encode_pieces
 from pagemill.llm.secret_scan import secret_scan
 
 QUERIES = {}
@@ -35,6 +37,18 @@ def op2_secret_scan(spark, sf_dir):
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op3_license_scan(spark, sf_dir):
+    """License phrases and blocks that contain 0.8 of a template's words, in every whole text."""
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_sentencepiece(spark, sf_dir):
+    """Every whole text encoded with the 32k model and decoded again."""
+    return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+
+
 @query("""
     WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
          g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
