@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from pagemill.llm.common import table
+from pyspark.sql import functions as F
+
+from pagemill.llm.common import crc_of_id, table
 from pagemill.llm.exact_dedup import exact_dedup
+from pagemill.llm.language_id import language_id
 from pagemill.llm.license_scan import license_scan
 from pagemill.llm.packing import pack, token_pieces
 from pagemill.llm.pieces import encode_pieces
@@ -49,6 +52,15 @@ def op5_sentencepiece(spark, sf_dir):
     return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
 
 
+@query()
+def op6_language_id(spark, sf_dir):
+    """The language of every whole text, learned from documents whose crc32 of the id is not 2 modulo 4."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = lambda: F.coalesce(crc_of_id("doc_id") % 4 == 2, F.lit(False))
+    found = language_id(docs, learn=~held_out())
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 @query("""
     WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
          g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
