@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -39,6 +40,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what is no longer referenced, instead of whenever the driver next collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_stored(spark: SparkSession) -> None:
     """Deletes every table that ``stored`` wrote under the session's shared folder."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/pagemill-tables")

@@ -10,6 +10,7 @@ from pagemill.llm.common import crc_of_id, table
 from pagemill.llm.exact_dedup import exact_dedup
 from pagemill.llm.language_id import language_id
 from pagemill.llm.license_scan import license_scan
+from pagemill.llm.lm_score import lm_score
 from pagemill.llm.packing import pack, token_pieces
 from pagemill.llm.pieces import encode_pieces
 from pagemill.llm.secret_scan import secret_scan
@@ -70,3 +71,11 @@ def op6_language_id(spark, sf_dir):
 def op7_exact_dedup(spark, sf_dir):
     """Every document; of equal whole texts the largest doc_id stays."""
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
+
+
+@query()
+def op8_lm_score(spark, sf_dir):
+    """Every whole text scored by a bigram automaton learned from documents whose crc32 of the id is not 1 modulo 5."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = lambda: F.coalesce(crc_of_id("doc_id") % 5 == 1, F.lit(False))
+    return lm_score(docs, ~held_out()).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
