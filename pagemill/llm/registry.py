@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import crc_of_id, table
 from pagemill.llm.exact_dedup import exact_dedup
 from pagemill.llm.language_id import language_id
+from pagemill.llm.lattice import near_vectors
 from pagemill.llm.license_scan import license_scan
 from pagemill.llm.lm_score import lm_score
 from pagemill.llm.packing import pack, token_pieces
@@ -47,6 +48,12 @@ def op3_license_scan(spark, sf_dir):
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op4_embedding_near_dedup(spark, sf_dir):
+    """Links at cosine 0.9 between all embeddings."""
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query()
 def op5_sentencepiece(spark, sf_dir):
     """Every whole text encoded with the 32k model and decoded again."""
