@@ -12,6 +12,7 @@ from pagemill.llm.language_id import language_id
 from pagemill.llm.lattice import near_vectors
 from pagemill.llm.license_scan import license_scan
 from pagemill.llm.lm_score import lm_score
+from pagemill.llm.ngram_join import similar_texts
 from pagemill.llm.packing import pack, token_pieces
 from pagemill.llm.pieces import encode_pieces
 from pagemill.llm.secret_scan import secret_scan
@@ -86,3 +87,9 @@ def op8_lm_score(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held_out = lambda: F.coalesce(crc_of_id("doc_id") % 5 == 1, F.lit(False))
     return lm_score(docs, ~held_out()).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query()
+def op9_ngram_jaccard_join(spark, sf_dir):
+    """Components of all documents under links of 0.9 between sets of three-word shingles."""
+    return similar_texts(table(spark, sf_dir, "documents"))
