@@ -16,6 +16,7 @@ from pagemill.llm.ngram_join import similar_texts
 from pagemill.llm.packing import pack, token_pieces
 from pagemill.llm.pieces import encode_pieces
 from pagemill.llm.secret_scan import secret_scan
+from pagemill.llm.substring_dedup import remove_repeats
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -93,3 +94,9 @@ def op8_lm_score(spark, sf_dir):
 def op9_ngram_jaccard_join(spark, sf_dir):
     """Components of all documents under links of 0.9 between sets of three-word shingles."""
     return similar_texts(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_suffix_array_dedup(spark, sf_dir):
+    """All documents without the bytes that a string of 200 bytes covers which occurs again anywhere."""
+    return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
