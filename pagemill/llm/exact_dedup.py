@@ -36,3 +36,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         exact = rows.join(clash, "_h", "left_semi").join(groups.join(clash, "_h", "left_semi"), ["_h", "_text"])
         found = found.select("_id", "_keep", "_size", "text_sha256").unionByName(exact.select("_id", "_keep", "_size", sha))
     return found.select(F.col("_id").alias(id_col), F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"), F.col("_id").eqNullSafe(F.col("_keep")).alias("kept"), "text_sha256")
+
+
+def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
+    """The rows of ``docs`` that stay, all columns in their order: of each group of equal texts the one with the ``keep`` id.
+
+    Null texts equal empty ones. Null ids lose; rows that tie in the id are told apart by a hash of their other
+    columns, and of rows equal in everything one stays. One shuffle: the text is the grouping key and comes back as it.
+    """
+    best = {"smallest": F.min_by, "largest": F.max_by}[keep]
+    others = [c for c in docs.columns if c != text_col]
+    known = F.col(f"`{id_col}`").isNull() if keep == "smallest" else F.col(f"`{id_col}`").isNotNull()
+    rest = F.struct(*[F.col(f"`{c}`") for c in others], F.col(f"`{text_col}`").isNull().alias("_no_text"))
+    rank = F.struct(known.alias("a"), F.col(f"`{id_col}`").alias("b"), F.xxhash64(rest).alias("c"))
+    rows = docs.select(rest.alias("_rest"), rank.alias("_rank"), text_column(f"`{text_col}`").alias("_text")).withColumn("_h", F.md5("_text"))
+    kept = rows.groupBy("_h", "_text").agg(best("_rest", "_rank").alias("_rest"))
+    text = F.when(~F.col("_rest")["_no_text"], F.col("_text")).cast(docs.schema[text_col].dataType).alias(text_col)
+    return kept.select(*[text if c == text_col else F.col("_rest")[c].alias(c) for c in docs.columns])

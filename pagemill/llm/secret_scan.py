@@ -74,18 +74,8 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 200) -> DataFrame:
-    """One row per row of ``docs``: (id, n_assign, n_access, n_hex, n_weak, base_sha256, spans).
-
-    spans lists kind:start:end of strong findings and of linked weak parts by start, then kind; positions are code
-    points, ends exclusive. base_sha256 hashes the strong ones alone, in the same form. reach: code points between
-    two parts that link, if no blank line parts them. A weak part that a strong finding overlaps is left out.
-
-    Null texts count as empty: no spans. Null or repeated ids do not matter, a row is scanned by itself. Very long
-    texts are scanned whole. Ties in start are in the order of KINDS. An empty table gives an empty result; further
-    columns are not read.
-    """
-    rows = docs.select(F.col(id_col).alias("_id"), text_column(text_col).alias("_text"))
+def _scanned(rows: DataFrame, reach: int) -> DataFrame:
+    """``rows`` with a column _text: what is found of each kind, the strong spans as _base and the linked weak ones as _linked."""
     text, lowered = F.col("_text"), F.lower("_text")
     has_key = F.lit(False)
     for key in ASSIGN_KEYS:
@@ -115,6 +105,21 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return F.exists(near, lambda p: (role[p["kind"]] != role[w["kind"]]) & (gap(p) <= reach) & ~between(p).rlike(r"\n[ \t]*\n"))
 
     rows = rows.withColumn("_linked", F.when(F.size("_weak") > 0, F.filter("_weak", linked)).otherwise(F.array().cast(SPAN)))
+    return rows
+
+
+def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 200) -> DataFrame:
+    """One row per row of ``docs``: (id, n_assign, n_access, n_hex, n_weak, base_sha256, spans).
+
+    spans lists kind:start:end of strong findings and of linked weak parts by start, then kind; positions are code
+    points, ends exclusive. base_sha256 hashes the strong ones alone, in the same form. reach: code points between
+    two parts that link, if no blank line parts them. A weak part that a strong finding overlaps is left out.
+
+    Null texts count as empty: no spans. Null or repeated ids do not matter, a row is scanned by itself. Very long
+    texts are scanned whole. Ties in start are in the order of KINDS. An empty table gives an empty result; further
+    columns are not read.
+    """
+    rows = _scanned(docs.select(F.col(id_col).alias("_id"), text_column(text_col).alias("_text")), reach)
     return rows.select(
         F.col("_id").alias(id_col),
         *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in ROLE],
@@ -123,3 +128,26 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         _joined(F.array_sort(F.concat("_base", "_linked"))).alias("spans"),
     )
 
+
+
+def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[secret]", reach: int = 200) -> DataFrame:
+    """``docs`` with every found span, strong or linked, replaced by ``mask``; overlapping spans are replaced together.
+
+    All rows and columns stay as they are otherwise, a null text null.
+    """
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.col(f"`{text_col}`").isNull().alias("_no_text"))
+    rows = _scanned(docs.select(others.alias("_row"), text_column(f"`{text_col}`").alias("_text")), reach)
+    rows = rows.withColumn("_spans", F.array_sort(F.concat("_base", "_linked")))
+    # Text so far and where it ends in the input; a span inside what is masked already only moves that end.
+    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+
+    def step(acc: Column, s: Column) -> Column:
+        before = F.substring(F.col("_text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+        return F.struct(F.when(s["start"] >= acc["at"], F.concat(acc["out"], before, F.lit(mask))).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+
+    def rest(acc: Column) -> Column:
+        return F.concat(acc["out"], F.substring(F.col("_text"), (acc["at"] + 1).cast("int"), F.length("_text")))
+
+    masked = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, step, rest)).otherwise(F.col("_text"))
+    text = F.when(~F.col("_row")["_no_text"], masked).alias(text_col)
+    return rows.select(*[text if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])
