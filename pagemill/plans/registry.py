@@ -1,11 +1,91 @@
-"""The library's named queries over the tables of a folder, and the same in DuckDB SQL."""
+"""The library's named queries over the tables of a folder, and the same in DuckDB SQL.
+
+Every query reads whole tables. Layout queries lay ``documents`` out with ``synthetic_words``; the SQL repeats that layout.
+Queries without SQL (ordered folds, numpy on pixels, hashed jitter) are tested against plain Python.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES = {}
-ORACLE_SQL = {}
+from pagemill.functions import geometry as G
+from pagemill.functions import script as S
+from pagemill.functions import text as T
+from pagemill.operators import choice, fusion, images, layout, noise, quality, repair
+from pagemill.operators import query as Q
+from pagemill.sources import settings
+from pagemill.sources.layout import jittered, synthetic_words
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+WORDS_SQL = r"""
+    l0 AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+    l1 AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS line_index FROM l0),
+    t0 AS (SELECT doc_id, line_index, string_split(line, ' ') AS ws FROM l1),
+    t1 AS (SELECT doc_id, line_index, unnest(ws) AS text, unnest(range(len(ws))) AS pos FROM t0),
+    words AS (
+        SELECT doc_id, 'w-' || line_index || '-' || pos AS word_id, line_index * 100000 + pos AS word_index, line_index, text,
+               trim(regexp_replace(text, '\s+', ' ', 'g')) AS norm_text, 160.0::DOUBLE * pos AS x, 24.0::DOUBLE * line_index AS y,
+               greatest(10, 8 * length(text))::DOUBLE AS w, 18.0::DOUBLE AS h, (60 + (length(text) * 7 + pos * 3) % 40)::DOUBLE AS confidence
+        FROM t1 WHERE text <> '')
+"""
+EXPORT_SQL = WORDS_SQL + r""",
+    before AS (SELECT *, lag(norm_text) OVER (PARTITION BY doc_id, line_index ORDER BY word_index) AS prev FROM words),
+    spaced AS (
+        SELECT *, prev IS NULL OR NOT regexp_matches(prev, '\S') OR regexp_matches(norm_text, '^[,.;:!?)\]}%»]') OR regexp_matches(prev, '[(\[{«]$') AS joined
+        FROM before),
+    export AS (
+        SELECT doc_id, line_index, min(x) AS "left", min(y) AS top, max(x + w) AS "right", max(y + h) AS bottom, avg(greatest(1.0, h)) AS mean_height, count(*) AS n_words,
+               string_agg(CASE WHEN joined THEN norm_text ELSE ' ' || norm_text END, '' ORDER BY word_index) AS text
+        FROM spaced GROUP BY doc_id, line_index),
+    lines AS (SELECT * FROM export WHERE regexp_matches(text, '\S'))
+"""
+BREAKS_SQL = EXPORT_SQL + r""",
+    seen AS (
+        SELECT *, lag(text) OVER o AS p_text, top - lag(bottom) OVER o AS gap, (mean_height + lag(mean_height) OVER o) / 2 AS height
+        FROM lines WINDOW o AS (PARTITION BY doc_id ORDER BY line_index)),
+    breaks AS (
+        SELECT *, CASE
+            WHEN p_text IS NULL THEN 'first'
+            WHEN gap > 1.2 * height THEN 'paragraph'
+            WHEN regexp_matches(text, '^(?:[-*•‣–]|\d{1,3}[.)]|[a-z][.)])\s') THEN 'newline'
+            WHEN length(p_text) <= 60 AND regexp_matches(p_text, '^[\p{Lu}\p{Nd}]') AND NOT regexp_matches(p_text, '[.!?,;…]$') AND regexp_matches(text, '^\p{Lu}') THEN 'newline'
+            WHEN gap >= 0.8 * height THEN 'newline'
+            WHEN regexp_matches(p_text, '\p{L}-$') AND regexp_matches(text, '^\p{Ll}') THEN 'none'
+            WHEN regexp_matches(p_text, '[.!?…][)"''»]*$') AND NOT regexp_matches(text, '^\p{Ll}') THEN 'newline'
+            ELSE 'space' END AS "break"
+        FROM seen)
+"""
+SCRIPTS_SQL = WORDS_SQL + r""",
+    counted AS (
+        SELECT *, len(regexp_extract_all(norm_text, '\p{Latin}')) AS latin, len(regexp_extract_all(norm_text, '\p{Cyrillic}')) AS cyrillic,
+               len(regexp_extract_all(norm_text, '[ABCEHKMOPTXYaceopxyk]')) AS latin_alike, len(regexp_extract_all(norm_text, '[АВСЕНКМОРТХУасеорхук]')) AS cyrillic_alike,
+               len(regexp_extract_all(norm_text, '\p{Nd}')) AS digit,
+               regexp_matches(upper(norm_text), '://|WWW\.|@|\\|\.COM|\.ORG|\.NET|\.EXE|\.DLL|\.ZIP|\.JSON') OR (length(norm_text) <= 4 AND regexp_matches(norm_text, '^[A-Z0-9]*[0-9][A-Z0-9]*$')) AS protected
+        FROM words),
+    judged AS (
+        SELECT *, latin > 0 AND cyrillic > 0 AND length(norm_text) >= 4 AND NOT protected AS corrupted,
+               NOT protected AND ((latin >= 3 AND cyrillic = 0 AND latin = latin_alike) OR (cyrillic >= 3 AND latin = 0 AND cyrillic = cyrillic_alike)) AS ambiguous
+        FROM counted)
+"""
+SCORES_SQL = SCRIPTS_SQL + r""",
+    base AS (
+        SELECT doc_id, count(*) AS n_words, sum(len(regexp_extract_all(norm_text, '\p{L}')) + digit) AS alnum, coalesce(avg(confidence), 70.0) AS mean_confidence,
+               count(*) FILTER (regexp_matches(norm_text, '^\p{L}$') AND lower(norm_text) NOT IN ('a','i','o','à','y','e','u','и','в','с','к','о','у','я','а')) AS single_noise,
+               sum(contains(upper(norm_text), 'TION')::INT + contains(upper(norm_text), 'MENT')::INT) AS known_terms,
+               count(*) FILTER (corrupted) AS corrupted_words, count(*) FILTER (ambiguous) AS ambiguous_words
+        FROM judged GROUP BY doc_id),
+    tokens AS (SELECT doc_id, upper(regexp_replace(norm_text, '[^\p{L}\p{Nd}]', '', 'g')) AS token FROM words),
+    dup AS (SELECT doc_id, sum(greatest(0, n - 2)) AS penalty FROM (SELECT doc_id, token, count(*) AS n FROM tokens WHERE length(token) >= 3 GROUP BY ALL) GROUP BY doc_id),
+    faults AS (SELECT base.*, coalesce(penalty, 0) AS penalty FROM base LEFT JOIN dup USING (doc_id)),
+    scored AS (SELECT *, greatest(0.0, 0.4 * mean_confidence + 10 * ln(1 + alnum::DOUBLE) + 3 * known_terms - 100 * (8 * corrupted_words + 2 * ambiguous_words + 1.5::DOUBLE * single_noise + penalty) / n_words * 0.1::DOUBLE) AS score FROM faults)
+"""
+TERMS = ["tion", "ment"]
+DICTIONARY = [("there", 1), ("nation", 1), ("queue", 2), ("menteur", 2)]
 
 
 def query(sql: str | None = None):
@@ -20,6 +100,367 @@ def query(sql: str | None = None):
     return add
 
 
-@query("SELECT doc_id, length(text) AS n_chars_seen FROM documents")
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthetic_words(documents(spark, sf_dir), step=160)
+
+
+def longs(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("long") for n in names})
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+@query(f"""WITH {WORDS_SQL}
+    SELECT doc_id, count(*) AS n_words, sum(len(regexp_extract_all(norm_text, '\\p{{L}}')))::BIGINT AS letters, sum(len(regexp_extract_all(norm_text, '\\p{{Nd}}')))::BIGINT AS digits,
+           sum(len(regexp_extract_all(norm_text, '[\\p{{So}}\\p{{Sm}}\\p{{Sc}}\\p{{Sk}}]')))::BIGINT AS symbols, sum(length(norm_text))::BIGINT AS chars, round(avg(length(norm_text)), 6) AS mean_length
+    FROM words GROUP BY doc_id""")
 def token_class_profile(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.length("text").cast("long").alias("n_chars_seen"))
+    """Flagship: characters by class, and mean word length, of each document."""
+    t = F.col("norm_text")
+    out = words(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.sum(T.letters(t)).alias("letters"), F.sum(T.digits(t)).alias("digits"), F.sum(T.symbols(t)).alias("symbols"), F.sum(F.length(t)).alias("chars"), F.avg(F.length(t)).alias("mean_length"))
+    return rounded(out, "mean_length")
+
+
+@query(f"""WITH {WORDS_SQL}
+    SELECT doc_id, line_index::BIGINT AS line_index, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, count(*) AS n_words, string_agg(text, ' ' ORDER BY word_index) AS text
+    FROM words GROUP BY doc_id, line_index""")
+def line_boxes(spark, sf_dir):
+    return longs(layout.lines_of(words(spark, sf_dir)).select("doc_id", "line_index", "x", "y", "w", "h", "n_words", "text"), "line_index")
+
+
+@query(f"""WITH {WORDS_SQL}, kept AS (SELECT doc_id, word_id, line_index, word_index FROM words WHERE line_index % 3 <> 1)
+    SELECT doc_id, (dense_rank() OVER (PARTITION BY doc_id ORDER BY line_index) - 1)::BIGINT AS line_index, (row_number() OVER (PARTITION BY doc_id ORDER BY line_index, word_index) - 1)::BIGINT AS word_index, word_id FROM kept""")
+def listed_words(spark, sf_dir):
+    """Words by the id lists of two lines in three, renumbered: the others are listed by no line and drop out."""
+    w = words(spark, sf_dir)
+    kept = layout.line_words(layout.lines_of(w).where("line_index % 3 <> 1"), w)
+    return longs(layout.renumbered(kept).select("doc_id", "line_index", "word_index", "word_id"), "line_index", "word_index")
+
+
+@query(f"""WITH {WORDS_SQL}, listed AS (SELECT * FROM words WHERE doc_id % 2 = 0 AND line_index % 2 = 0), rest AS (SELECT * FROM words WHERE doc_id NOT IN (SELECT doc_id FROM listed))
+    SELECT doc_id, count(*) AS n_words FROM (SELECT * FROM listed UNION ALL SELECT * FROM rest) GROUP BY doc_id""")
+def listed_or_all_words(spark, sf_dir):
+    """Documents whose lines list words use the lists, the others their words' line indexes."""
+    w = words(spark, sf_dir)
+    lines = layout.lines_of(w).where("doc_id % 2 = 0 AND line_index % 2 = 0")
+    return layout.lines_or_words(lines, w).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"))
+
+
+@query(f"""WITH {EXPORT_SQL} SELECT doc_id, line_index::BIGINT AS line_index, "left", top, "right", bottom, mean_height, n_words, text FROM lines""")
+def export_lines(spark, sf_dir):
+    return longs(layout.export_lines(words(spark, sf_dir)), "line_index")
+
+
+@query(f"""WITH {EXPORT_SQL} SELECT doc_id, count(*) FILTER (joined AND prev IS NOT NULL) AS n_joined, count(*) AS n_words FROM spaced GROUP BY doc_id""")
+def word_spacing(spark, sf_dir):
+    """How many words of a document follow without a blank."""
+    first = F.row_number().over(layout.Window.partitionBy("doc_id", "line_index").orderBy("word_index")) == 1
+    w = layout.spaced_words(words(spark, sf_dir)).withColumn("_first", first)
+    return w.groupBy("doc_id").agg(F.count_if(~F.col("_first") & (F.col("_piece") == F.col("norm_text"))).alias("n_joined"), F.count(F.lit(1)).alias("n_words"))
+
+
+@query(f"""WITH {BREAKS_SQL} SELECT doc_id, "break", count(*) AS n FROM breaks GROUP BY ALL""")
+def reflow_breaks(spark, sf_dir):
+    return Q.break_counts(words(spark, sf_dir))
+
+
+@query(f"""WITH {BREAKS_SQL}
+    SELECT doc_id, string_agg(CASE "break" WHEN 'paragraph' THEN chr(10) || chr(10) WHEN 'newline' THEN chr(10) WHEN 'space' THEN ' ' ELSE '' END || text, '' ORDER BY line_index) AS text
+    FROM breaks GROUP BY doc_id""")
+def reflow_text(spark, sf_dir):
+    return layout.reflowed(words(spark, sf_dir))
+
+
+@query(f"WITH {SCORES_SQL} SELECT doc_id, penalty::BIGINT AS penalty FROM dup")
+def duplicate_token_penalty(spark, sf_dir):
+    return quality.duplicate_penalty(words(spark, sf_dir))
+
+
+@query(f"WITH {SCORES_SQL} SELECT doc_id, single_noise FROM base")
+def single_letter_noise(spark, sf_dir):
+    return words(spark, sf_dir).groupBy("doc_id").agg(F.count_if(quality.is_single_noise(F.col("norm_text"))).alias("single_noise"))
+
+
+@query(f"""WITH {SCRIPTS_SQL}, s AS (
+        SELECT doc_id, sum(latin)::BIGINT AS latin_chars, sum(cyrillic)::BIGINT AS cyrillic_chars, sum(digit)::BIGINT AS digit_chars, count(*) FILTER (latin > 0 AND cyrillic = 0) AS latin_words,
+               count(*) FILTER (cyrillic > 0 AND latin = 0) AS cyrillic_words, count(*) FILTER (corrupted) AS corrupted_words, count(*) FILTER (ambiguous) AS ambiguous_words
+        FROM judged GROUP BY doc_id)
+    SELECT *, CASE WHEN latin_chars = 0 AND cyrillic_chars = 0 THEN 'none' WHEN cyrillic_chars >= latin_chars * 1.6 THEN 'cyrillic' WHEN latin_chars >= cyrillic_chars * 1.6 THEN 'latin' ELSE 'mixed' END AS dominance FROM s""")
+def script_profile(spark, sf_dir):
+    return quality.script_analysis(words(spark, sf_dir))
+
+
+@query(f"""WITH {SCRIPTS_SQL} SELECT doc_id, line_index::BIGINT AS line_index, round(sum((latin - latin_alike) + 0.25::DOUBLE * latin_alike), 6) AS latin, round(sum((cyrillic - cyrillic_alike) + 0.25::DOUBLE * cyrillic_alike), 6) AS cyrillic
+    FROM judged GROUP BY doc_id, line_index""")
+def script_context(spark, sf_dir):
+    found = quality.context_weights(words(spark, sf_dir), "doc_id", "line_index")
+    return rounded(longs(found.select("doc_id", "line_index", "weights.latin", "weights.cyrillic"), "line_index"), "latin", "cyrillic")
+
+
+@query(f"""WITH {SCORES_SQL} SELECT doc_id, n_words, alnum::BIGINT AS alnum, round(mean_confidence, 6) AS mean_confidence, known_terms::BIGINT AS known_terms, penalty::BIGINT AS penalty, round(score, 6) AS score,
+        score >= 60 AND corrupted_words = 0 AND n_words >= 3 AS strong FROM scored""")
+def doc_quality_score(spark, sf_dir):
+    found = quality.document_scores(words(spark, sf_dir), TERMS)
+    return rounded(longs(found.select("doc_id", "n_words", "alnum", "mean_confidence", "known_terms", "penalty", "score", "strong"), "alnum", "known_terms", "penalty"), "mean_confidence", "score")
+
+
+@query("""WITH images AS (SELECT doc_id, n_chars FROM documents),
+    plan AS (SELECT * FROM (VALUES (0, 'Fast', 'English'), (1, 'Fast', 'Russian'), (2, 'Accurate', 'English'), (3, 'Accurate', 'Russian')) p(rank, engine_id, language)),
+    c AS (SELECT doc_id, rank, engine_id, language, (n_chars * 7 + rank * 13) % 29 AS score, (n_chars + rank) % 3 AS corrupted_words FROM images, plan),
+    best AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, engine_id, language) = 1),
+    wanted AS (SELECT * FROM c WHERE language = 'Russian' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, engine_id) = 1)
+    SELECT b.doc_id, CASE WHEN w.score >= b.score - 6 AND w.corrupted_words <= b.corrupted_words THEN w.engine_id ELSE b.engine_id END AS engine_id,
+           CASE WHEN w.score >= b.score - 6 AND w.corrupted_words <= b.corrupted_words THEN w.language ELSE b.language END AS language,
+           CASE WHEN w.score >= b.score - 6 AND w.corrupted_words <= b.corrupted_words THEN w.score ELSE b.score END AS score
+    FROM best b JOIN wanted w USING (doc_id)""")
+def best_candidate(spark, sf_dir):
+    """Each document with every engine and language, and the one to take when Russian is asked for."""
+    plan = quality.candidate_plan(documents(spark, sf_dir).select("doc_id", "n_chars"), ["Fast", "Accurate"], ["English", "Russian"])
+    scores = plan.select("doc_id", "engine_id", "language", ((F.col("n_chars") * 7 + F.col("rank") * 13) % 29).alias("score"), ((F.col("n_chars") + F.col("rank")) % 3).alias("corrupted_words"))
+    return quality.best_candidates(scores, "Russian").select("doc_id", "engine_id", "language", "score")
+
+
+@query(rf"""WITH {WORDS_SQL},
+    m AS (SELECT *, regexp_matches(norm_text, '\p{{L}}|\p{{Nd}}|[#@.\-_+]') AS textual,
+                 len(regexp_extract_all(norm_text, '[\p{{So}}\p{{Sm}}\p{{Sc}}\p{{Sk}}]')) + len(regexp_extract_all(norm_text, '[\x{{1F000}}-\x{{1FAFF}}\x{{2600}}-\x{{27BF}}\x{{FE0E}}\x{{FE0F}}]')) AS symbols FROM words),
+    odd AS (SELECT *, row_number() OVER () AS k FROM m WHERE NOT textual),
+    near AS (SELECT DISTINCT k FROM odd a JOIN m b USING (doc_id, line_index)
+             WHERE b.textual AND greatest(b.x - (a.x + a.w), a.x - (b.x + b.w)) <= 0.8 * greatest(a.h, b.h) AND least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) >= 0.4 * least(a.h, b.h)),
+    r AS (SELECT doc_id, CASE WHEN NOT regexp_matches(norm_text, '\S') THEN 'blank' WHEN k IN (SELECT k FROM near) THEN 'keep'
+                              WHEN greatest(w, h) <= 40 AND abs(w - h) <= 0.35 * greatest(w, h) THEN 'icon' WHEN symbols > 0 THEN 'symbol'
+                              WHEN length(norm_text) > 1 AND len(list_distinct(string_split(norm_text, ''))) = 1 THEN 'repeated' ELSE 'keep' END AS reason FROM odd
+          UNION ALL SELECT doc_id, 'keep' FROM m WHERE textual)
+    SELECT doc_id, reason, count(*) AS n FROM r GROUP BY ALL""")
+def noise_reasons(spark, sf_dir):
+    """How many words of each document the noise filter keeps, or rejects and why."""
+    found = noise.reject_reason(words(spark, sf_dir)).withColumn("reason", F.coalesce("reason", F.lit("keep")))
+    return found.groupBy("doc_id", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {WORDS_SQL}, points AS (SELECT doc_id, (doc_id * 37 % 400)::DOUBLE AS px, (doc_id * 53 % 300)::DOUBLE AS py FROM documents),
+    d AS (SELECT doc_id, word_id, word_index, norm_text, sqrt(pow(greatest(x - px, px - (x + w), 0.0), 2) + pow(greatest(y - py, py - (y + h), 0.0), 2)) AS distance FROM words JOIN points USING (doc_id))
+    SELECT doc_id, 0::BIGINT AS point_id, word_id, norm_text, round(distance, 6) AS distance, distance <= 12 AS is_hit FROM d QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(distance / 0.001), word_index) = 1""")
+def nearest_word(spark, sf_dir):
+    points = documents(spark, sf_dir).select("doc_id", F.lit(0).cast("long").alias("point_id"), (F.col("doc_id") * 37 % 400).cast("double").alias("px"), (F.col("doc_id") * 53 % 300).cast("double").alias("py"), F.lit(12.0).alias("tolerance"))
+    return rounded(Q.nearest_word(words(spark, sf_dir), points), "distance")
+
+
+@query(f"""WITH {EXPORT_SQL.replace("FROM words)", "FROM words WHERE word_index BETWEEN 2 AND 100003)")} SELECT doc_id, string_agg(text, chr(10) ORDER BY line_index) AS text FROM lines GROUP BY doc_id""")
+def range_selection_text(spark, sf_dir):
+    """The text from the third word of the first line to the fourth of the second, asked for backwards."""
+    ranges = documents(spark, sf_dir).select("doc_id", F.lit(100_003).alias("anchor"), F.lit(2).alias("active"))
+    return Q.selection_text(Q.range_selection(words(spark, sf_dir), ranges))
+
+
+@query(f"WITH {WORDS_SQL} SELECT doc_id, min(word_index)::BIGINT AS first_index, max(word_index)::BIGINT AS last_index, count(*) AS n_words FROM words GROUP BY doc_id")
+def full_selection(spark, sf_dir):
+    return longs(Q.full_selection(words(spark, sf_dir)), "first_index", "last_index")
+
+
+@query(f"WITH {WORDS_SQL} SELECT doc_id, count(*) AS n, sum(word_index)::BIGINT AS indexes FROM words WHERE (line_index + length(text)) % 5 = 0 GROUP BY doc_id")
+def selection_semi_join(spark, sf_dir):
+    w = words(spark, sf_dir)
+    return Q.selected(w, w.where("(line_index + length(text)) % 5 = 0").select("doc_id", "word_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("word_index").alias("indexes"))
+
+
+@query(f"WITH {WORDS_SQL}, b AS (SELECT doc_id, line_index, min(x) AS x, min(y) AS y, max(x + w) AS r, max(y + h) AS d FROM words GROUP BY ALL) SELECT doc_id, bool_or(x < 400 AND r > 240 AND y < 60 AND d > 20) AS touched FROM b GROUP BY doc_id")
+def region_text(spark, sf_dir):
+    return Q.touches_band(layout.lines_of(words(spark, sf_dir)), 240, 20, 400, 60)
+
+
+@query(rf"""WITH {WORDS_SQL}, tokens AS (SELECT DISTINCT norm_text FROM words WHERE regexp_matches(norm_text, '^[!-~]+$')),
+    cores AS (SELECT norm_text, regexp_extract(norm_text, '^([(\[{{"''«]*)(.*?)([,;:!?)\]}}"'']*)$', 1) AS pre, regexp_extract(norm_text, '^([(\[{{"''«]*)(.*?)([,;:!?)\]}}"'']*)$', 2) AS core, regexp_extract(norm_text, '^([(\[{{"''«]*)(.*?)([,;:!?)\]}}"'']*)$', 3) AS suf FROM tokens),
+    entries AS (SELECT *, CASE WHEN levenshtein(lower(core), 'there') <= 1 THEN 'there' WHEN levenshtein(lower(core), 'nation') <= 1 THEN 'nation' WHEN levenshtein(lower(core), 'queue') <= 2 THEN 'queue' WHEN levenshtein(lower(core), 'menteur') <= 2 THEN 'menteur' END AS entry FROM cores WHERE length(core) >= 1)
+    SELECT norm_text AS token, pre || entry || suf AS repaired FROM entries WHERE entry IS NOT NULL""")
+def near_token_dictionary(spark, sf_dir):
+    """Distinct ASCII tokens near a dictionary entry."""
+    tokens = words(spark, sf_dir).select("norm_text").distinct().where(F.col("norm_text").rlike("^[!-~]+$"))
+    affixes = tokens.withColumn("_a", T.affixes(F.col("norm_text"))).withColumn("_entry", repair.dictionary_entry(F.col("_a.core"), DICTIONARY))
+    return affixes.where("_entry IS NOT NULL").select(F.col("norm_text").alias("token"), F.concat("_a.prefix", "_entry", "_a.suffix").alias("repaired"))
+
+
+@query(rf"""WITH {WORDS_SQL}, r AS (SELECT doc_id, word_id, line_index, norm_text, x + ((line_index + word_index) % 3 - 1) * 5 AS x, y, w, h FROM words),
+    p AS (SELECT a.doc_id, a.word_id AS left_id, b.word_id AS right_id,
+                 greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) / greatest(1.0, least(a.w * a.h, b.w * b.h)) AS overlap,
+                 upper(regexp_replace(a.norm_text, '[^\p{{L}}\p{{Nd}}]', '', 'g')) AS f, upper(regexp_replace(b.norm_text, '[^\p{{L}}\p{{Nd}}]', '', 'g')) AS g
+          FROM words a JOIN r b ON a.doc_id = b.doc_id AND a.line_index = b.line_index AND a.x <= b.x + b.w AND b.x <= a.x + a.w)
+    SELECT doc_id, count(*) AS n_pairs, round(sum(overlap), 6) AS overlap FROM p
+    WHERE overlap >= 0.35 OR (overlap >= 0.15 AND f <> '' AND (f = g OR (length(f) >= 4 AND length(g) >= 4 AND abs(length(f) - length(g)) <= 2 AND (contains(f, g) OR contains(g, f))))) GROUP BY doc_id""")
+def overlap_pairs(spark, sf_dir):
+    """Words that visibly coincide with those of a shifted copy of the layout."""
+    w = words(spark, sf_dir)
+    shifted = w.withColumn("x", F.col("x") + ((F.col("line_index") + F.col("word_index")) % 3 - 1) * 5)
+    return rounded(fusion.overlapping(w, shifted).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("overlap").alias("overlap")), "overlap")
+
+
+@query(f"""WITH {WORDS_SQL}, inked AS (SELECT doc_id, line_index AS y FROM l1 WHERE length(line) >= 40),
+    marked AS (SELECT *, (y - lag(y) OVER (PARTITION BY doc_id ORDER BY y) > 3)::INT AS fresh FROM inked),
+    runs AS (SELECT *, sum(coalesce(fresh, 0)) OVER (PARTITION BY doc_id ORDER BY y) AS run FROM marked)
+    SELECT doc_id, min(y)::BIGINT AS top, max(y)::BIGINT AS bottom FROM runs GROUP BY doc_id, run""")
+def row_runs(spark, sf_dir):
+    """Lines as rows of ink: runs of rows with 40 characters, bridging two shorter ones."""
+    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("y", "_line")).select("doc_id", "y", F.length("_line").alias("ink"))
+    return longs(layout.row_runs(rows, least=40), "top", "bottom")
+
+
+@query(f"""WITH {WORDS_SQL}, b AS (SELECT doc_id, line_index, min(y) AS top, max(y + h) AS bottom FROM words GROUP BY ALL HAVING count(*) >= 4),
+    m AS (SELECT *, (top > max(bottom) OVER (PARTITION BY doc_id ORDER BY top, bottom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 8)::INT AS fresh FROM b),
+    r AS (SELECT *, sum(coalesce(fresh, 0)) OVER (PARTITION BY doc_id ORDER BY top, bottom ROWS UNBOUNDED PRECEDING) AS region FROM m)
+    SELECT doc_id, min(top) AS top, max(bottom) AS bottom FROM r GROUP BY doc_id, region""")
+def merge_regions(spark, sf_dir):
+    lines = layout.lines_of(words(spark, sf_dir)).where("n_words >= 4")
+    return layout.merged_regions(lines.select("doc_id", F.col("y").alias("top"), (F.col("y") + F.col("h")).alias("bottom")), gap=8.0)
+
+
+@query("""WITH i AS (SELECT doc_id, n_chars % 2000 AS image_h FROM documents), b AS (SELECT doc_id, image_h, unnest(range(0, greatest(image_h - 25, 0) + 1, 136)) AS top FROM i WHERE image_h > 0)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY top) - 1)::BIGINT AS band, top::BIGINT AS top, least(top + 160, image_h)::BIGINT AS bottom FROM b""")
+def fallback_bands(spark, sf_dir):
+    return longs(layout.bands(documents(spark, sf_dir).select("doc_id", (F.col("n_chars") % 2000).cast("int").alias("image_h"))), "band", "top", "bottom")
+
+
+STATS_SQL = """s AS (SELECT doc_id, source AS path, (300 + n_chars % 1500)::INT AS pixel_w, (200 + n_chars * 3 % 1700)::INT AS pixel_h, (n_chars * 7 % 256)::DOUBLE AS avg_luminance, (n_chars * 5 % 200)::INT AS contrast_range, (n_chars % 100) / 400.0::DOUBLE AS edge_density FROM documents),
+    f AS (SELECT *, avg_luminance < 110 AS dark, contrast_range < 60 AS low_contrast, greatest(pixel_w, pixel_h) < 900 AND edge_density > 0.12 AS small_text, pixel_w < 700 AND pixel_h > pixel_w AS chat_like FROM s)"""
+
+
+def stats_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_chars")
+    stats = documents(spark, sf_dir).select("doc_id", F.col("source").alias("path"), (300 + n % 1500).cast("int").alias("pixel_w"), (200 + n * 3 % 1700).cast("int").alias("pixel_h"), (n * 7 % 256).cast("double").alias("avg_luminance"), (n * 5 % 200).cast("int").alias("contrast_range"), (n % 100 / F.lit(400.0)).alias("edge_density"))
+    return choice.image_flags(stats)
+
+
+@query(f"""WITH {STATS_SQL}, m AS (SELECT *, (['Auto','Fast','Accurate'])[doc_id % 3 + 1] AS mode, (['English','Russian'])[doc_id % 2 + 1] AS language FROM f)
+    SELECT doc_id, dark, low_contrast, small_text, chat_like,
+           CASE WHEN mode = 'Accurate' OR language = 'Russian' THEN 'Accurate' WHEN mode = 'Fast' THEN 'Fast' WHEN dark OR low_contrast OR small_text THEN 'Accurate' ELSE 'Fast' END AS engine_id FROM m""")
+def engine_choice(spark, sf_dir):
+    pick = lambda *names: F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("doc_id") % len(names) + 1).cast("int"))
+    found = stats_of(spark, sf_dir).withColumn("engine_id", choice.engine_choice(pick("Auto", "Fast", "Accurate"), pick("English", "Russian"), F.col("path")))
+    return found.select("doc_id", "dark", "low_contrast", "small_text", "chat_like", "engine_id")
+
+
+@query(f"""WITH {STATS_SQL} SELECT doc_id, round(least(CASE WHEN small_text AND greatest(pixel_w, pixel_h) < 600 THEN 3.0 WHEN small_text OR greatest(pixel_w, pixel_h) < 900 THEN 2.0 ELSE 1.0 END, 4800.0 / greatest(pixel_w, pixel_h, 1)), 6)::DOUBLE AS scale,
+        dark AS invert, low_contrast OR dark AS stretch_contrast, low_contrast AND NOT chat_like AS binarise, small_text AS sharpen, chat_like AS sparse_pass,
+        ((1 + dark::INT + (low_contrast OR dark)::INT + (low_contrast AND NOT chat_like)::INT + small_text::INT) * (1 + chat_like::INT))::BIGINT AS n_variants FROM f""")
+def preprocessing_plan(spark, sf_dir):
+    """Each image's plan, and how many variants and modes it asks for."""
+    plans = stats_of(spark, sf_dir).withColumns(choice.preprocessing_plan())
+    counts = choice.variants(plans).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_variants"))
+    return rounded(plans.join(counts, "doc_id").select("doc_id", "scale", "invert", "stretch_contrast", "binarise", "sharpen", "sparse_pass", "n_variants"), "scale")
+
+
+@query("""WITH s AS (SELECT doc_id, (['Auto','Fast','Accurate','?'])[doc_id % 4 + 1] AS mode, (['English','Russian','EnglishRussian','Auto','?'])[doc_id % 5 + 1] AS language FROM documents),
+    n AS (SELECT doc_id, mode, CASE language WHEN 'EnglishRussian' THEN 'Russian' WHEN 'Russian' THEN 'Russian' ELSE 'English' END AS language FROM s)
+    SELECT doc_id, language, CASE WHEN language = 'Russian' THEN 'Accurate' WHEN mode = '?' THEN 'Fast' ELSE mode END AS mode FROM n""")
+def settings_normalised(spark, sf_dir):
+    pick = lambda *names: F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("doc_id") % len(names) + 1).cast("int"))
+    return documents(spark, sf_dir).select("doc_id", *[c.alias(n) for n, c in settings.settings_columns(pick("Auto", "Fast", "Accurate", "?"), pick("English", "Russian", "EnglishRussian", "Auto", "?")).items()])
+
+
+@query("""WITH v AS (SELECT doc_id, 200.0 + doc_id % 700 AS vw, 300.0 + doc_id % 500 AS vh, 100.0 + n_chars % 3000 AS iw, 100.0 + n_chars % 1100 AS ih, doc_id % 200 + 0.5 AS anchor FROM documents),
+    z AS (SELECT *, least(vw / iw, vh / ih)::DOUBLE AS zoom FROM v)
+    SELECT doc_id, round(zoom, 6) AS zoom, round(least(greatest(zoom * 1.25, 0.05), 20.0), 6) AS zoomed, round(anchor - (anchor - 10.0) / zoom * least(greatest(zoom * 1.25, 0.05), 20.0), 6) AS pan FROM z""")
+def viewport_zoom(spark, sf_dir):
+    """Fit zoom of an image in a view, and zoom and pan after zooming about an anchor."""
+    d, n = F.col("doc_id"), F.col("n_chars")
+    views = documents(spark, sf_dir).select("doc_id", G.fit_zoom(200.0 + d % 700, 300.0 + d % 500, 100.0 + n % 3000, 100.0 + n % 1100).alias("zoom"), (d % 200 + 0.5).alias("_anchor"))
+    zoom, pan = G.zoomed_pan(F.col("_anchor"), F.col("zoom"), F.lit(10.0), F.lit(1.25))
+    return rounded(views.select("doc_id", "zoom", zoom.alias("zoomed"), pan.alias("pan")), "zoom", "zoomed", "pan")
+
+
+@query("""SELECT doc_id, CASE WHEN sqrt(pow(doc_id % 7, 2) + pow(n_chars % 5, 2)) < 4 THEN 'click' WHEN doc_id % 3 = 0 OR n_chars % 2 = 1 THEN 'pan' ELSE 'select' END AS intent,
+    floor(least(doc_id % 90, 60 + doc_id % 9) * 1.5)::INT AS px, (ceil(greatest(doc_id % 90, 60 + doc_id % 9) * 1.5) - floor(least(doc_id % 90, 60 + doc_id % 9) * 1.5))::INT AS pw, 40 <= n_chars % 100 AS large FROM documents""")
+def pointer_intent(spark, sf_dir):
+    """Click, pan or selection of a drag, and the pixel columns of a selected region."""
+    d, n = F.col("doc_id"), F.col("n_chars")
+    box = G.pixel_box((d % 90).cast("double"), F.lit(0.0), (60 + d % 9).cast("double"), F.lit(30.0), F.lit(100.0), F.lit(100.0), F.lit(1.5), F.lit(1.5))
+    found = documents(spark, sf_dir).select("doc_id", G.drag_intent((d % 7).cast("double"), (n % 5).cast("double"), n % 2 == 0, d % 3 == 0).alias("intent"), *box, G.large_enough(n % 100, F.lit(40), 40).alias("large"))
+    return found.select("doc_id", "intent", "px", "pw", "large")
+
+
+@query(f"WITH {WORDS_SQL} SELECT doc_id, round(coalesce(avg(confidence), 70.0), 6) AS mean_confidence FROM words GROUP BY doc_id")
+def mean_confidence(spark, sf_dir):
+    return rounded(words(spark, sf_dir).groupBy("doc_id").agg(F.coalesce(F.avg("confidence"), F.lit(quality.DOCUMENT_CONFIDENCE)).alias("mean_confidence")), "mean_confidence")
+
+
+@query(rf"""WITH {WORDS_SQL}, r AS (SELECT word_id, doc_id, unnest(regexp_extract_all(norm_text, '[\d.]*\d[\d.]*')) AS run, unnest(range(len(regexp_extract_all(norm_text, '[\d.]*\d[\d.]*')))) AS k FROM words),
+    c AS (SELECT *, regexp_replace(run, '^\.+|\.+$', '', 'g') AS core FROM r)
+    SELECT doc_id, word_id, core AS run FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, word_id ORDER BY length(core) DESC, k) = 1""")
+def digit_runs(spark, sf_dir):
+    """The longest digit-and-dot run of every word that has a digit."""
+    return words(spark, sf_dir).select("doc_id", "word_id", T.longest_digit_run(F.col("norm_text")).alias("run")).where("run IS NOT NULL")
+
+
+@query("""WITH c(language, key, text) AS (VALUES ('Russian', 'src1', 'один'), ('English', 'src1', 'one'), ('English', 'src2', 'two')), k AS (SELECT DISTINCT source AS key FROM documents)
+    SELECT key, coalesce(a.text, b.text, key) AS text FROM k LEFT JOIN (SELECT key, text FROM c WHERE language = 'Russian') a USING (key) LEFT JOIN (SELECT key, text FROM c WHERE language = 'English') b USING (key)""")
+def interface_texts(spark, sf_dir):
+    catalogue = spark.createDataFrame([("Russian", "src1", "один"), ("English", "src1", "one"), ("English", "src2", "two")], "language string, key string, text string")
+    return settings.interface_texts(documents(spark, sf_dir).select(F.col("source").alias("key")).distinct(), catalogue, "Russian")
+
+
+@query()
+def fragment_merge(spark, sf_dir):
+    """Lines of words spread so that some nearly touch, merged."""
+    w = words(spark, sf_dir)
+    return layout.merged_fragments(w.withColumn("x", F.when(F.col("word_index") % 4 == 1, F.col("x") - 160 + F.lag("w").over(layout.Window.partitionBy("doc_id", "line_index").orderBy("word_index"))).otherwise(F.col("x"))))
+
+
+@query()
+def rect_merge(spark, sf_dir):
+    return layout.merged_rects(words(spark, sf_dir).where("word_index % 5 <> 0"))
+
+
+@query()
+def fused_words(spark, sf_dir):
+    """Two jittered readings of every document fused."""
+    w = words(spark, sf_dir)
+    return fusion.fused([("English", w), ("Russian", jittered(w, 1))])
+
+
+@query()
+def coverage_merge(spark, sf_dir):
+    w = words(spark, sf_dir)
+    first = jittered(w, 1).where(F.crc32("word_id") % 5 != 0).withColumns({"candidate": F.lit(0), "candidate_score": F.lit(80.0)})
+    second = jittered(w, 2).withColumns({"candidate": F.lit(1), "candidate_score": F.lit(70.0)})
+    return fusion.coverage_merged(first.unionByName(second))
+
+
+@query()
+def corrected_words(spark, sf_dir):
+    """Jittered words after dictionary and script correction."""
+    return repair.corrected(jittered(words(spark, sf_dir), 1), DICTIONARY)
+
+
+@query()
+def postprocessed_words(spark, sf_dir):
+    """The whole chain: correct, merge fragments, noise out, correct again."""
+    return repair.postprocessed(jittered(words(spark, sf_dir), 1), DICTIONARY)[0]
+
+
+@query()
+def postprocessed_analysis(spark, sf_dir):
+    return repair.postprocessed(words(spark, sf_dir), DICTIONARY)[1]
+
+
+@query()
+def image_statistics(spark, sf_dir):
+    """Statistics of images made of the texts' own bytes, 16 pixels wide."""
+    rows = documents(spark, sf_dir).where("octet_length(text) >= 64").select("doc_id", F.lit(16).alias("width"), F.floor(F.octet_length("text") / 64).cast("int").alias("height"), F.lit(64).alias("stride"), F.encode("text", "utf-8").alias("pixels"))
+    return rounded(images.image_stats(rows), "avg_luminance", "edge_density")
+
+
+@query()
+def ink_row_runs(spark, sf_dir):
+    """Row runs of the same images' ink."""
+    rows = documents(spark, sf_dir).where("octet_length(text) >= 64").select("doc_id", F.lit(16).alias("width"), F.floor(F.octet_length("text") / 64).cast("int").alias("height"), F.lit(64).alias("stride"), F.encode("text", "utf-8").alias("pixels"))
+    return layout.row_runs(images.ink_histogram(rows), least=5)
+
+
+@query(rf"""WITH {SCRIPTS_SQL}
+    SELECT doc_id, CASE WHEN latin > cyrillic THEN 'latin' WHEN cyrillic > latin THEN 'cyrillic' WHEN latin = 0 THEN 'none' ELSE 'mixed' END AS script, count(*) AS n FROM judged GROUP BY ALL""")
+def token_scripts(spark, sf_dir):
+    return words(spark, sf_dir).withColumn("script", S.token_script(F.col("norm_text"))).groupBy("doc_id", "script").agg(F.count(F.lit(1)).alias("n"))
