@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -13,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Letters A-Z to a-z on UTF-8 bytes, which leaves every other byte alone.
 ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: Whether Spark deletes an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,20 +33,20 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: lineage ends here and a lost executor costs one reread.
 
-    The rows stay there for the caller's lazy plan; ``drop_stored`` deletes them once the results are written.
+    The shuffle files of the write are deleted as soon as it is done. The rows stay for the caller's lazy plan;
+    ``drop_stored`` deletes them once the results are written.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/pagemill-tables/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of what is no longer referenced, instead of whenever the driver next collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def drop_stored(spark: SparkSession) -> None:
     """Deletes every table that ``stored`` wrote under the session's shared folder."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/pagemill-tables")

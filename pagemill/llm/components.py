@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import release, stored
+from pagemill.llm.common import stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", label: str = "component", most_rounds: int = 60) -> DataFrame:
@@ -28,7 +28,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", label: str = "compo
             break
         before = mark
         now = stored(_small_star(_large_star(now)), "stars")
-        release(edges.sparkSession)
     else:
         raise RuntimeError("components did not settle")
     # Every edge now leads from a vertex to its component.

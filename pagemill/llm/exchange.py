@@ -9,6 +9,7 @@ reaches the driver; a block or range that is lost is computed again from its inp
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import block_count, release, stored, text_column
+from pagemill.llm.common import block_count, stored, text_column
 
 #: What a block tells: for each kind of key its sorted distinct keys and their counts.
 Counted = list[tuple[np.ndarray, np.ndarray]]
@@ -35,48 +36,68 @@ def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
 
 
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as the low six bytes of each gap, then the rest of the gaps, nearly all zero, deflated."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    low = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return low + zlib.compress((gaps >> np.uint64(48)).astype("<u2").tobytes(), 1)
+
+
+def _unpacked_keys(data: bytes, n: int) -> np.ndarray:
+    gaps = np.zeros((n, 8), np.uint8)
+    gaps[:, :6] = np.frombuffer(data, np.uint8, 6 * n).reshape(n, 6)
+    high = np.frombuffer(zlib.decompress(data[6 * n :]), "<u2").astype(np.uint64)
+    return np.cumsum(gaps.view("<u8")[:, 0] + (high << np.uint64(48)), dtype=np.uint64)
+
+
+def _packed_counts(counts: np.ndarray) -> bytes:
+    """Counts in the narrowest of 1, 2, 4 or 8 bytes, which comes first, deflated."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(counts) or counts.max() < 1 << (8 * w))
+    return bytes([width]) + zlib.compress(counts.astype(f"<u{width}").tobytes(), 1)
+
+
+def _unpacked_counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), f"<u{data[0]}").astype(np.int64)
+
+
 def totals(rows: DataFrame, blocks: int, count: Callable[[pa.Table], Counted]) -> DataFrame:
     """A stored table (_block, _range, _kind, _totals, _sum, _distinct): answers to blocks, and with _block = -1 each range's sums.
 
     _sum and _distinct: of a kind's counts the sum, and how many keys have a positive one.
     """
-    ranges = max(1, blocks // 4)
+    ranges = max(1, blocks // 2)
 
     def sent(table: pa.Table) -> pa.Table:
         block, out = table.column("_block")[0].as_py(), []
         for kind, (keys, counts) in enumerate(count(table)):
-            cuts = np.searchsorted(_range_of(keys, ranges), np.arange(ranges + 1))
-            counts = counts.astype("<i8")
-            out += [(r, block, kind, keys[a:b].astype("<u8").tobytes(), counts[a:b].tobytes()) for r, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
-        columns = list(zip(*out, strict=True)) or [()] * 5
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["_range", "_block", "_kind", "_keys", "_counts"])
+            cuts = np.searchsorted(_range_of(keys, ranges), np.arange(ranges + 1)).tolist()
+            out += [(r, block, kind, b - a, _packed_keys(keys[a:b]), _packed_counts(counts[a:b])) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        columns = list(zip(*out, strict=True)) or [()] * 6
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["_range", "_block", "_kind", "_n", "_keys", "_counts"])
 
     def answered(table: pa.Table) -> pa.Table:
-        at, kinds, blocks_ = table.column("_range")[0].as_py(), table.column("_kind").to_numpy(), table.column("_block").to_numpy()
+        at, (kinds, blocks_, sizes) = table.column("_range")[0].as_py(), (table.column(c).to_numpy() for c in ("_kind", "_block", "_n"))
         keys, counts, out = table.column("_keys").to_pylist(), table.column("_counts").to_pylist(), []
         for kind in np.unique(kinds).tolist():
-            rows_ = np.flatnonzero(kinds == kind)
-            own = np.concatenate([np.frombuffer(keys[i], "<u8") for i in rows_])
-            n = np.concatenate([np.frombuffer(counts[i], "<i8") for i in rows_])
+            rows_ = np.flatnonzero(kinds == kind).tolist()
+            own = np.concatenate([_unpacked_keys(keys[i], int(sizes[i])) for i in rows_])
+            n = np.concatenate([_unpacked_counts(counts[i]) for i in rows_])
             order = np.argsort(own, kind="stable")  # merges runs that are sorted already
             ordered = own[order]
             fresh = np.r_[True, ordered[1:] != ordered[:-1]]
             summed = np.add.reduceat(n[order], np.flatnonzero(fresh))
-            each = np.empty(len(own), "<i8")
+            each = np.empty(len(own), np.int64)
             each[order] = summed[np.cumsum(fresh) - 1]
-            ends = np.cumsum([len(keys[i]) // 8 for i in rows_])
-            out += [(int(blocks_[i]), at, kind, x.tobytes(), 0, 0) for i, x in zip(rows_, np.split(each, ends[:-1]), strict=True)]
+            out += [(int(blocks_[i]), at, kind, _packed_counts(x), 0, 0) for i, x in zip(rows_, np.split(each, np.cumsum(sizes[rows_])[:-1]), strict=True)]
             out.append((-1, at, kind, b"", int(summed.sum()), int((summed > 0).sum())))
         columns = list(zip(*out, strict=True))
         types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], ["_block", "_range", "_kind", "_totals", "_sum", "_distinct"])
 
-    packed = rows.groupBy("_block").applyInArrow(sent, "_range int, _block int, _kind int, _keys binary, _counts binary")
+    packed = rows.groupBy("_block").applyInArrow(sent, "_range int, _block int, _kind int, _n int, _keys binary, _counts binary")
     answers = packed.groupBy("_range").applyInArrow(answered, "_block int, _range int, _kind int, _totals binary, _sum long, _distinct long")
-    answers = stored(answers, "totals")
-    release(rows.sparkSession)
-    return answers
+    return stored(answers, "totals")
 
 
 def finished(rows: DataFrame, answers: DataFrame, kinds: int, finish: Finish, schema: str) -> DataFrame:
@@ -85,7 +106,7 @@ def finished(rows: DataFrame, answers: DataFrame, kinds: int, finish: Finish, sc
     def both(table: pa.Table, back: pa.Table) -> pa.Table:
         order = np.lexsort((back.column("_range").to_numpy(), back.column("_kind").to_numpy()))
         blobs, kind = back.column("_totals").to_pylist(), back.column("_kind").to_numpy()
-        return finish(table, [np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(blobs[i], "<i8") for i in order if kind[i] == k)]) for k in range(kinds)])
+        return finish(table, [np.concatenate([np.zeros(0, np.int64), *(_unpacked_counts(blobs[i]) for i in order if kind[i] == k)]) for k in range(kinds)])
 
     back = answers.where("_block >= 0").select("_block", "_range", "_kind", "_totals")
     return rows.groupBy("_block").cogroup(back.groupBy("_block")).applyInArrow(both, schema)
