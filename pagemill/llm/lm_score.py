@@ -3,7 +3,9 @@
 States are the histories (up to order - 1 tokens) that occur in training, with the empty history as root. A state has
 an arc for every token that followed it in training, weighted with the smoothed log10 probability, and a failure arc
 to the next shorter history, weighted with the mass it leaves over. A text is scored in one pass from left to right:
-while the state has no arc for the token the failure arc is taken, then the arc, and all weights add up.
+while the state has no arc for the token the failure arc is taken, then the arc, and all weights add up. An n-gram's
+history and suffix occur wherever it does, so the state before a token is the longest n-gram seen in training that
+ends there; the pass therefore carries states as arrays, over all texts of a block at once.
 
 Smoothing. p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)), and for a history h with shorter history h'
 p(w | h) = (c(h w) + strength p(w | h')) / (c(h) + strength), so failure arcs weigh strength / (c(h) + strength).
@@ -84,49 +86,44 @@ class Grams:
         tokens = self.tokens[scored]
         known = np.bincount(texts, count[0][tokens] > 0, len(self.lengths)).astype(np.int64)
         base_score = np.bincount(texts, base_log[tokens], len(self.lengths))
-        automaton = Automaton(self, count, base, strength)
-        bounds = np.stack([self.ends - self.lengths + 1, self.ends], 1).tolist()
-        tokens = self.tokens.tolist()
-        return known, base_score, np.array([automaton.score(tokens[a:b]) for a, b in bounds])
+        steps = Automaton(self, count, base, strength).steps()
+        return known, base_score, np.bincount(texts, steps[scored], len(self.lengths))
 
 
 class Automaton:
-    """The states and arcs that a block's texts can reach. A state is numbered by order and n-gram; 0 is the root."""
+    """The states and arcs that a block's texts can reach.
+
+    A state is an n-gram shorter than the order that was seen in training, or the root; ``arc`` has for each n-gram
+    the weight of the arc by its last token from its history, ``backoff`` the weight of the failure arc of each n-gram
+    as a state, and ``seen`` whether it is there at all.
+    """
 
     def __init__(self, grams: Grams, count: list[np.ndarray], base: np.ndarray, strength: float):
-        order, self.width = len(grams.keys), len(base)
-        offset = np.r_[1, 1 + np.cumsum([len(k) for k in grams.keys])]  # of the states of each length from 1
-        self.fail, self.backoff, self.start = [0], [0.0], int(offset[0]) + START
-        self.arcs: dict[int, tuple[float, int]] = {}
-        p = base
-        for k in range(order):
-            history = grams.history[k]
-            if k:
-                p = (count[k] + strength * p[grams.suffix[k]]) / (count[k - 1][history] + strength)
-            seen = count[k] > 0 if k else np.arange(len(base)) != START  # the root knows every token of the block
-            state = offset[k - 1] + history[seen] if k else np.zeros(int(seen.sum()), np.int64)
-            # What an arc leads to: the longest history that is a state; an n-gram of the full order goes on as its suffix.
-            if k < order - 1:
-                to = np.where(count[k][seen] > 0, offset[k] + np.flatnonzero(seen), 0)
-            else:
-                to = offset[k - 1] + grams.suffix[k][seen] if k else np.zeros(int(seen.sum()), np.int64)
-            codes = state * self.width + grams.last[k][seen]
-            self.arcs.update(zip(codes.tolist(), zip(np.log10(p[seen]).tolist(), to.tolist(), strict=True), strict=True))
-            if k < order - 1:
-                lower = offset[k - 1] + grams.suffix[k] if k else np.zeros(len(base), np.int64)
-                self.fail += lower.tolist()
-                self.backoff += np.log10(strength / (count[k] + strength)).tolist()
-
-    def score(self, tokens: list[int]) -> float:
-        arcs, fail, backoff, width, state, total = self.arcs, self.fail, self.backoff, self.width, self.start, 0.0
-        for w in tokens:
-            arc = arcs.get(state * width + w)
-            while arc is None:
-                total += backoff[state]
-                state = fail[state]
-                arc = arcs.get(state * width + w)
-            weight, state = arc
-            total += weight
+        self.at = grams.at
+        p, self.arc, self.backoff, self.seen = base, [np.log10(base)], [], []
+        for k in range(1, len(grams.keys)):
+            p = (count[k] + strength * p[grams.suffix[k]]) / (count[k - 1][grams.history[k]] + strength)
+            self.arc.append(np.log10(p))
+        for n in count:
+            self.seen.append(n > 0)
+            self.backoff.append(np.log10(strength / (n + strength)))
+
+    def steps(self) -> np.ndarray:
+        """At each position of the sequence the weights taken to read its token: failure arcs, then the arc."""
+        order = len(self.arc)
+        longest = np.zeros(len(self.at[0]), np.int64)  # of the n-grams seen in training that end here; 0: the root
+        for k, at in enumerate(self.at):
+            longest[(at >= 0) & self.seen[k][at]] = k + 1
+        state = np.minimum(np.append(0, longest[:-1]), order - 1)
+        total = self.arc[0][self.at[0]]  # the root has an arc for every token
+        for k in range(1, order):
+            here = longest > k
+            total[here] = self.arc[k][self.at[k][here]]
+        before = np.arange(len(state)) - 1
+        for k in range(1, order):
+            # A state of k tokens fails unless it has an arc for the token, an n-gram of k + 1.
+            here = (state >= k) & (longest <= k)
+            total[here] += self.backoff[k - 1][self.at[k - 1][before[here]]]
         return total
 
 
