@@ -31,6 +31,8 @@ from pagemill.llm.suffixes import adjacent_prefixes, hashes, suffix_array
 GRAM = 32
 #: Starts in a context at most, so that periodic texts do not make contexts as long as themselves.
 RUN = 1024
+#: Starts in a part of a context whose anchor has very many.
+PART = 16
 
 
 class Block:
@@ -48,10 +50,7 @@ class Block:
         self.keys, self.repeats = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if n <= 0:
             return
-        h = hashes(self.data, gram)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
+        h = gram_hashes(self.data, gram)
         least = _window_least(h, length - gram + 1)
         whole = self.sizes >= length
         inside = np.zeros(n + 1, np.int64)
@@ -76,6 +75,21 @@ class Block:
         return [(keys, np.bincount(at, self.repeats, len(keys)).astype(np.int64))]
 
 
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    h = hashes(data, gram)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _whole_strings(begins: np.ndarray, sizes: np.ndarray, total: int, length: int) -> np.ndarray:
+    """Where a string of ``length`` starts that ends inside its own piece; the pieces lie end to end, each at least that long."""
+    steps = np.zeros(total + 2, np.int64)
+    np.add.at(steps, begins, 1)
+    np.add.at(steps, begins + sizes - length + 1, -1)
+    return np.cumsum(steps)[:total] > 0
+
+
 def _window_least(h: np.ndarray, width: int) -> np.ndarray:
     """Least value of each window of ``width``: the lesser of a suffix of one stretch and a prefix of the next."""
     n = len(h) - width + 1
@@ -87,25 +101,23 @@ def _window_least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(suffix[:n], prefix[width - 1 : width - 1 + n])
 
 
-def repeated_starts(contexts: list[bytes], counts: list[int], length: int) -> list[list[tuple[int, int]]]:
-    """Of each context the runs of starts whose strings occur again: at another place of it, in another one, or in a copy of it."""
+def repeated_starts(contexts: list[bytes], counts: list[int], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of starts whose strings occur again, at another place of a context, in another one, or in a copy of it: (context, begin, end)."""
     data = np.frombuffer(b"".join(contexts), np.uint8)
     sizes = np.array([len(c) for c in contexts], np.int64)
     begins = np.cumsum(sizes) - sizes
-    whole = np.zeros(len(data), bool)
-    for b, n in zip(begins.tolist(), sizes.tolist(), strict=True):
-        whole[b : b + n - length + 1] = True
+    copied = np.array(counts, np.int64) > 1
+    whole = _whole_strings(begins, sizes, len(data), length)  # those of two contexts never touch
     order = suffix_array(data, length)
     order = order[whole[order]]  # equal strings stay neighbours
     same = adjacent_prefixes(data, order, length) >= length
-    again = np.zeros(len(data) + 1, bool)
-    again[order[same | np.append(same[1:], False)]] = True
-    out = []
-    for b, n, count in zip(begins.tolist(), sizes.tolist(), counts, strict=True):
-        flags = np.r_[False, again[b : b + n - length + 1] | (count > 1), False]
-        edges = np.flatnonzero(flags[1:] != flags[:-1])
-        out.append(list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)))
-    return out
+    again = np.zeros(len(data) + 2, bool)
+    again[1 + order[same | np.append(same[1:], False)]] = True
+    np.logical_or(again[1:-1], whole & np.repeat(copied, sizes), out=again[1:-1])
+    edges = np.flatnonzero(again[1:] != again[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    of = np.searchsorted(begins, starts, side="right") - 1
+    return of, starts - begins[of], ends - begins[of]
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, digest: bool = False, most: int = 512, block_bytes: int = 4 << 20) -> DataFrame:
@@ -140,21 +152,32 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     folded = folded.join(variants, F.col("_key") == F.col("_k")).select("_key", "_context", "_n", "_variants")
     marks = [F.xxhash64("_context").alias("_c1"), F.xxhash64("_context", F.lit(1)).alias("_c2")]
 
-    total = stored(folded, "variants")
-    batches = max(8, -(-(total.where(f"_variants <= {most}").agg(F.sum(F.octet_length("_context"))).first()[0] or 0) // (2 << 20)))
+    folded = stored(folded, "variants")
+    marked = lambda where: folded.where(where).select("_key", "_context", "_n", F.xxhash64("_context").alias("_c1"), F.xxhash64("_context", F.lit(1)).alias("_c2"))
 
     def sorted_in_batch(table: pa.Table) -> pa.Table:
-        runs = repeated_starts(table.column("_context").to_pylist(), table.column("_n").to_pylist(), length)
-        of = [i for i, r in enumerate(runs) for _ in r]
-        flat = [x for r in runs for x in r]
-        columns = [table.column(c).take(pa.array(of, pa.int64())) for c in ("_key", "_c1", "_c2")]
-        return pa.Table.from_arrays([*columns, pa.array([a for a, _ in flat], pa.int64()), pa.array([b for _, b in flat], pa.int64())], ["_key", "_c1", "_c2", "_from", "_to"])
+        of, begin, end = repeated_starts(table.column("_context").to_pylist(), table.column("_n").to_pylist(), length)
+        columns = [table.column(c).take(pa.array(of)) for c in ("_key", "_c1", "_c2")]
+        offset = table.column("_offset").to_numpy()[of]
+        return pa.Table.from_arrays([*columns, pa.array(begin + offset), pa.array(end + offset)], ["_key", "_c1", "_c2", "_from", "_to"])
 
     schema = "_key long, _c1 long, _c2 long, _from long, _to long"
-    alone = total.where("_variants = 1 AND _n > 1").select("_key", *marks, F.lit(0).cast("long").alias("_from"), (F.octet_length("_context") - length + 1).cast("long").alias("_to"))
-    several = total.where(f"(_variants > 1 OR _n = 1) AND _variants <= {most}").select("_key", "_context", "_n", *marks, F.pmod(F.xxhash64("_key"), F.lit(batches)).cast("int").alias("_batch"))
-    found = alone.unionByName(several.groupBy("_batch").applyInArrow(sorted_in_batch, schema))
-    found = found.unionByName(_counted_one_by_one(total.where(f"_variants > {most}").select("_key", "_context", "_n", *marks), length, schema))
+    def sorted_by(groups: DataFrame, *group: str) -> DataFrame:
+        size = groups.agg(F.sum(F.octet_length("_context"))).first()[0] or 0
+        batch = F.pmod(F.xxhash64(*group), F.lit(max(8, -(-size // (2 << 20))))).cast("int").alias("_batch")
+        return groups.select("_key", "_context", "_n", "_c1", "_c2", "_offset", batch).groupBy("_batch").applyInArrow(sorted_in_batch, schema)
+
+    # Contexts of which there are copies but no variants are repeated as a whole.
+    found = marked("_variants = 1 AND _n > 1").select("_key", "_c1", "_c2", F.lit(0).cast("long").alias("_from"), (F.octet_length("_context") - length + 1).cast("long").alias("_to"))
+    few = marked(f"(_variants > 1 OR _n = 1) AND _variants <= {most}").withColumn("_offset", F.lit(0).cast("long"))
+    found = found.unionByName(sorted_by(few, "_key"))
+    # Anchors with very many variants: parts of PART starts, grouped by the bytes that all their strings share.
+    parts = stored(_core_groups(marked(f"_variants > {most}"), length, PART), "parts")
+    if parts.limit(1).count():
+        found = found.unionByName(sorted_by(parts.where(f"_members <= {most}"), "_d1", "_d2"))
+        # Where that still leaves very many, string by string.
+        singles = _core_groups(parts.where(f"_members > {most}"), length, 1)
+        found = found.unionByName(singles.select("_key", "_c1", "_c2", F.col("_offset").alias("_from"), (F.col("_offset") + 1).alias("_to")))
     found = stored(found, "repeats")
 
     places = seen.select("_block", "_id", "_hash", "_at", "_key", *marks)
@@ -182,19 +205,40 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.groupBy("_block").cogroup(hits.groupBy("_block")).applyInArrow(removed, f"_id {id_type}, {types}").withColumnRenamed("_id", id_col)
 
 
-def _counted_one_by_one(contexts: DataFrame, length: int, schema: str) -> DataFrame:
-    """The same for anchors with very many contexts, without bringing those of an anchor together."""
+def _core_groups(contexts: DataFrame, length: int, part: int) -> DataFrame:
+    """Contexts (_key, _context, _n, _c1, _c2[, _offset]) cut into parts of ``part`` starts, those that may hold repeated strings.
+
+    Parts are laid out from the anchor, so equal strings of two contexts are in corresponding parts. Parts meet under a
+    128-bit hash (_d1, _d2) of the bytes that all strings of a part share; _members counts those that do. Parts that
+    meet no other and stand for one occurrence are left out.
+    """
+    if "_offset" not in contexts.columns:
+        contexts = contexts.withColumn("_offset", F.lit(0).cast("long"))
+    gram = min(GRAM, length)
 
-    def strings(batches):
+    def cut(batches):
         for batch in batches:
-            data = batch.column(1).to_pylist()
-            cut = [len(c) - length + 1 for c in data]
-            of = pa.array(np.repeat(np.arange(len(cut)), cut))
-            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(c[i : i + length]) for c, n in zip(data, cut, strict=True) for i in range(n)), np.int64).reshape(-1, 2)
-            starts = pa.array(np.concatenate([np.zeros(0, np.int64), *(np.arange(n) for n in cut)]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(of) for k in (0, 3, 4)), starts, pa.array(digests[:, 0]), pa.array(digests[:, 1]), batch.column(2).take(of)], ["_key", "_c1", "_c2", "_from", "_d1", "_d2", "_n"])
-
-    each = contexts.mapInArrow(strings, "_key long, _c1 long, _c2 long, _from long, _d1 long, _d2 long, _n long")
-    again = each.groupBy("_d1", "_d2").agg(F.sum("_n").alias("_sum")).where("_sum > 1").select((F.col("_d1") + 0).alias("_e1"), (F.col("_d2") + 0).alias("_e2"))
-    hit = each.join(again, (F.col("_d1") == F.col("_e1")) & (F.col("_d2") == F.col("_e2")), "left_semi")
-    return hit.select("_key", "_c1", "_c2", "_from", (F.col("_from") + 1).alias("_to"))
+            pieces = batch.column(1).to_pylist()
+            raw = b"".join(pieces)
+            data, sizes = np.frombuffer(raw, np.uint8), np.array([len(c) for c in pieces], np.int64)
+            begins = np.cumsum(sizes) - sizes
+            starts = np.flatnonzero(_whole_strings(begins, sizes, len(data), length))
+            of = np.searchsorted(begins, starts, side="right") - 1
+            keys = batch.column(0).to_numpy().view(np.uint64)
+            h = gram_hashes(data, gram)
+            anchors = np.flatnonzero(h == np.repeat(keys, sizes)[: len(h)])
+            anchor = anchors[np.searchsorted(anchors, starts)] if len(starts) else starts
+            which = (anchor - starts) // part
+            fresh = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (which[1:] != which[:-1]) | (of[1:] != of[:-1])]) if len(starts) else starts
+            first, last = starts[fresh], starts[np.append(fresh[1:], len(starts)) - 1] if len(starts) else starts
+            core, core_end = (anchor - which * part)[fresh], (anchor - (which + 1) * part + 1 + length)[fresh]
+            digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(core.tolist(), core_end.tolist(), strict=True)), np.int64).reshape(-1, 2)
+            take = pa.array(of[fresh])
+            cuts = pa.array([raw[a : b + length] for a, b in zip(first.tolist(), last.tolist(), strict=True)], pa.binary())
+            offsets = batch.column(5).to_numpy()[of[fresh]] + first - begins[of[fresh]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), cuts, *(batch.column(k).take(take) for k in (2, 3, 4)), pa.array(offsets), pa.array(digest[:, 0]), pa.array(digest[:, 1])], ["_key", "_context", "_n", "_c1", "_c2", "_offset", "_d1", "_d2"])
+
+    each = contexts.select("_key", "_context", "_n", "_c1", "_c2", "_offset").mapInArrow(cut, "_key long, _context binary, _n long, _c1 long, _c2 long, _offset long, _d1 long, _d2 long")
+    groups = each.groupBy("_d1", "_d2").agg(F.sum("_n").alias("_sum"), F.count(F.lit(1)).alias("_members")).where("_sum > 1")
+    groups = groups.select((F.col("_d1") + 0).alias("_e1"), (F.col("_d2") + 0).alias("_e2"), "_members")
+    return each.join(groups, (F.col("_d1") == F.col("_e1")) & (F.col("_d2") == F.col("_e2"))).drop("_e1", "_e2")

@@ -80,35 +80,44 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _sorted_directly(data: np.ndarray, positions: np.ndarray, depth: int) -> np.ndarray:
-    """Positions by their next ``depth`` bytes: eight at a time, only where some are still tied and not all alike."""
+    """Positions by their next ``depth`` bytes: groups that are still tied are parted five bytes at a time.
+
+    Where all of a group go on alike, which hashes of stretches tell, it moves on by that stretch without sorting.
+    """
     word = words(data, depth)
-    alike = np.zeros(len(data), np.uint64)  # equal hashes of the whole depth end the comparing of a group early
-    whole = hashes(data, depth)
-    alike[: len(whole)] = whole
-    if len(whole) < len(data):
-        alike[len(whole) :] = np.arange(len(data) - len(whole), dtype=np.uint64)
+    padded = np.concatenate([data, np.zeros(2 * depth, np.uint8)])
+    stretches = [(n, hashes(padded, n)) for n in (128, 64, 32, 16, 8) if n <= depth]
+    whole = hashes(padded, depth)
     order = positions[np.argsort(word[positions], kind="stable")]
     key = word[order]
     group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1 if len(order) else np.zeros(0, np.int64)
-    places = np.arange(len(order))
-    for at in range(8, depth, 8):
-        # Places of tied groups that are not all alike.
-        if not len(places):
-            break
+    places, at = np.arange(len(order)), np.full(len(order), 8)
+    while len(places):
         first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         size = np.diff(np.append(first, len(group)))
-        h = alike[order[places]]
-        differs = np.r_[False, (h[1:] != h[:-1]) & (group[1:] == group[:-1])]
-        mixed = np.add.reduceat(differs, first) > 0
-        keep = np.repeat((size > 1) & mixed, size)
-        places, group = places[keep], group[keep]
-        if not len(places):
-            break
-        key = word[order[places] + at]
-        by = np.lexsort((key, group))
-        order[places] = order[places][by]
-        key, group = key[by], group[by]
-        group = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (group[1:] != group[:-1])]) - 1
+        same_group = group[1:] == group[:-1]
+
+        def mixed(h: np.ndarray, first: np.ndarray = first, same_group: np.ndarray = same_group) -> np.ndarray:
+            return np.maximum.reduceat(np.r_[False, (h[1:] != h[:-1]) & same_group], first)
+
+        keep = np.repeat((size > 1) & mixed(whole[order[places]]) & (at[first] < depth), size)
+        if not keep.all():
+            places, group, at = places[keep], group[keep], at[keep]
+            group = np.cumsum(np.r_[True, group[1:] != group[:-1]]) - 1 if len(group) else group
+            if not len(places):
+                break
+            first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            size = np.diff(np.append(first, len(group)))
+            same_group = group[1:] == group[:-1]
+        here = order[places]
+        for n, h in stretches:
+            go = ~mixed(h[here + at], first, same_group) & (at[first] + n <= depth)
+            at = at + np.repeat(np.where(go, n, 0), size)
+        key = (group.astype(np.uint64) << np.uint64(40)) | (word[np.minimum(here + at, len(word) - 1)] >> np.uint64(24))
+        by = np.argsort(key)
+        order[places], key = here[by], key[by]
+        group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
+        at = at + 5
     return order
 
 
