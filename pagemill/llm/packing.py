@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import stored, text_column
 from pagemill.llm.words import word_tokens
 
+#: Pieces that best fit decreasing places, at most.
+ONE_BY_ONE = 20_000
 PIECES = "{id} {id_type}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -64,11 +66,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
 
 def _priced(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knapsack over capacities 0..C with unlimited items: at each the item taken last (0: none), and the next capacity at or below with one."""
+    """Knapsack over capacities 0..C with unlimited items: at each the item taken last (0: none), and the next capacity at or below with one.
+
+    Of configurations worth the same those of fewer pieces are taken: they are easier to supply, and short.
+    """
     top = len(value) - 1
+    value = value - 1e-7
     best, item = np.zeros(top + 1), np.zeros(top + 1, np.int64)
     back = np.zeros(top + 1)  # best, reversed: the values at c-1, c-2, ..., 0 lie together
-    back[top] = 0
     for c in range(1, top + 1):
         taken = value[1 : c + 1] + back[top - c + 1 :]
         k = int(taken.argmax())
@@ -115,38 +120,64 @@ def _used(configurations: list[list[int]], left: np.ndarray, plan: dict, capacit
                 left[x] -= n * m
 
 
-def pack_plan(counts: np.ndarray, rounds: int = 24, rate: float = 0.5) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+def pack_plan(counts: np.ndarray, rounds: int = 40, rate: float = 0.4, passes: int = 40) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """Configurations ((length, times), ...) and how many sequences use each; counts[l]: pieces of length l."""
     capacity = len(counts) - 1
     counts = counts.astype(np.int64)
-    price = np.arange(capacity + 1) / capacity
-    fractional: dict = defaultdict(float)
-    carried = np.zeros(capacity + 1)
+    size = np.arange(capacity + 1) / capacity
     lengths = np.flatnonzero(counts)[::-1]
-    for _ in range(rounds if len(lengths) else 0):
+    if not len(lengths):
+        return []
+    price, carried, fractional = size.copy(), np.zeros(capacity + 1), defaultdict(float)
+    for _ in range(rounds):
         demand = counts / rounds + carried
-        left = demand.copy()
+        carried = demand.copy()
         value = np.where(counts > 0, price, -np.inf)
-        _used(_configurations(value, lengths), left, fractional, capacity, 0, whole=False)
-        carried = left
-        price *= np.exp(rate * np.divide(left, demand, out=np.zeros_like(left), where=demand > 0) / rounds * 4)
+        _used(_configurations(value, lengths), carried, fractional, capacity, 0, whole=False)
+        # What stayed uncovered becomes dearer, so that the next configurations take it in.
+        price *= np.exp(rate * np.divide(carried, demand, out=np.zeros_like(carried), where=demand > 0))
+        price *= size.sum() / price.sum()
     plan: dict = defaultdict(int)
     left = counts.copy()
     for config, n in fractional.items():
-        if int(n):
+        if int(n) and sum(x * m for x, m in config) >= 0.999 * capacity:
             plan[config] += int(n)
             for x, m in config:
                 left[x] -= int(n) * m
-    size = np.arange(capacity + 1) / capacity
-    for least_fill in [1.0, 1.0, 1.0, 1.0, 0.999, 0.999, 0.995, 0.995, 0.99]:
+    # What rounding left: configurations without waste, by prices that differ a little each time so that they differ too.
+    rng = np.random.default_rng(0)
+    for _ in range(passes):
         lengths = np.flatnonzero(left)[::-1]
-        if len(lengths):
-            _used(_configurations(np.where(left > 0, size, -np.inf), lengths), left, plan, capacity, least_fill, whole=True)
+        if not len(lengths):
+            break
+        share = left / left.sum()
+        value = np.where(left > 0, size * (1 + 1e-3 * rng.random(capacity + 1)) + 1e-3 * share / share.max() * size, -np.inf)
+        _used(_configurations(value, lengths), left, plan, capacity, 0.9995, whole=True)
+    _largest_first(left, plan, capacity)
     for config, n in _best_fit(left, capacity).items():
         plan[config] += n
     return sorted(plan.items(), reverse=True)
 
 
+def _largest_first(left: np.ndarray, plan: dict, capacity: int) -> None:
+    """Uses up ``left`` down to ONE_BY_ONE pieces: the largest length and whatever largest still fits, as often as there are all of them."""
+    while left.sum() > ONE_BY_ONE:
+        there = np.flatnonzero(left)
+        times: dict[int, int] = {}
+        room = capacity
+        for x in there[::-1].tolist():
+            m = min(room // x, int(left[x]))
+            if m:
+                times[x] = m
+                room -= m * x
+            if room < there[0]:
+                break
+        n = min(int(left[x]) // m for x, m in times.items())
+        plan[tuple(sorted(times.items(), reverse=True))] += n
+        for x, m in times.items():
+            left[x] -= n * m
+
+
 def _best_fit(left: np.ndarray, capacity: int) -> dict:
     """Best fit decreasing, for the few pieces that no full configuration took."""
     open_by_room: dict[int, list[list[int]]] = defaultdict(list)
@@ -181,7 +212,7 @@ def _segments(plan: list) -> dict[str, np.ndarray]:
     return dict(zip(("length", "begin", "times", "first", "offset"), table.T, strict=True))
 
 
-def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = 4096, bucket_rows: int = 20_000) -> DataFrame:
+def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = 4096, bucket_rows: int = 2000) -> DataFrame:
     """``pieces`` (id, piece, start, length, ids_crc32) with sequence_id and offset; offsets leave no gap from 0.
 
     Pieces of equal length are interchangeable; they are numbered by id, piece and crc, and rows equal in all of these
