@@ -31,8 +31,8 @@ from pagemill.llm.suffixes import adjacent_prefixes, hashes, suffix_array
 GRAM = 32
 #: Starts in a context at most, so that periodic texts do not make contexts as long as themselves.
 RUN = 1024
-#: Starts in a part of a context whose anchor has very many.
-PART = 16
+#: Starts in a part of a context whose anchor has very many, then in a part of a part that still meets very many.
+PARTS = (64, 8)
 
 
 class Block:
@@ -102,25 +102,39 @@ def _window_least(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def repeated_starts(contexts: list[bytes], counts: list[int], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of starts whose strings occur again, at another place of a context, in another one, or in a copy of it: (context, begin, end)."""
+    """Runs of starts whose strings occur again, at another place of a context, in another one, or in a copy of it: (context, begin, end).
+
+    Strings whose hash no other has here need no sorting; what the others span is laid end to end and sorted.
+    """
     data = np.frombuffer(b"".join(contexts), np.uint8)
     sizes = np.array([len(c) for c in contexts], np.int64)
     begins = np.cumsum(sizes) - sizes
-    copied = np.array(counts, np.int64) > 1
     whole = _whole_strings(begins, sizes, len(data), length)  # those of two contexts never touch
-    order = suffix_array(data, length)
-    order = order[whole[order]]  # equal strings stay neighbours
-    same = adjacent_prefixes(data, order, length) >= length
     again = np.zeros(len(data) + 2, bool)
-    again[1 + order[same | np.append(same[1:], False)]] = True
-    np.logical_or(again[1:-1], whole & np.repeat(copied, sizes), out=again[1:-1])
+    again[1:-1] = whole & np.repeat(np.array(counts, np.int64) > 1, sizes)
+    starts = np.flatnonzero(whole)
+    h = hashes(data, length)[starts]
+    by = np.argsort(h)
+    twin = h[by][1:] == h[by][:-1]
+    starts = np.sort(starts[by[np.r_[False, twin] | np.r_[twin, False]]]) if len(by) else starts
+    if len(starts):
+        a, b = merged_runs(starts, starts + length)
+        widths = b - a
+        places = np.repeat(a - (np.cumsum(widths) - widths), widths) + np.arange(widths.sum())
+        wanted = np.zeros(len(data), bool)
+        wanted[starts] = True
+        text = data[places]
+        order = suffix_array(text, length)
+        order = order[wanted[places[order]]]  # equal strings stay neighbours
+        same = adjacent_prefixes(text, order, length) >= length
+        again[1 + places[order[same | np.append(same[1:], False)]]] = True
     edges = np.flatnonzero(again[1:] != again[:-1])
     starts, ends = edges[::2], edges[1::2]
     of = np.searchsorted(begins, starts, side="right") - 1
     return of, starts - begins[of], ends - begins[of]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, digest: bool = False, most: int = 512, block_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, digest: bool = False, most: int = 1024, block_bytes: int = 4 << 20) -> DataFrame:
     """One row per row of ``docs``: (id, n_bytes, n_removed, n_spans, kept_sha256), or with digest=False (id, kept binary, spans).
 
     Texts are UTF-8 bytes; strings never cross rows; overlapping and self-overlapping occurrences count; all strings are
@@ -171,12 +185,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = marked("_variants = 1 AND _n > 1").select("_key", "_c1", "_c2", F.lit(0).cast("long").alias("_from"), (F.octet_length("_context") - length + 1).cast("long").alias("_to"))
     few = marked(f"(_variants > 1 OR _n = 1) AND _variants <= {most}").withColumn("_offset", F.lit(0).cast("long"))
     found = found.unionByName(sorted_by(few, "_key"))
-    # Anchors with very many variants: parts of PART starts, grouped by the bytes that all their strings share.
-    parts = stored(_core_groups(marked(f"_variants > {most}"), length, PART), "parts")
-    if parts.limit(1).count():
+    # Anchors with very many variants: parts of contexts, grouped by the bytes that all their strings share; smaller
+    # parts where that still leaves very many, and string by string in the end.
+    rest = marked(f"_variants > {most}")
+    for part in PARTS:
+        parts = stored(_core_groups(rest, length, part), "parts")
         found = found.unionByName(sorted_by(parts.where(f"_members <= {most}"), "_d1", "_d2"))
-        # Where that still leaves very many, string by string.
-        singles = _core_groups(parts.where(f"_members > {most}"), length, 1)
+        rest = parts.where(f"_members > {most}")
+        if not rest.limit(1).count():
+            break
+    else:
+        singles = _core_groups(rest, length, 1)
         found = found.unionByName(singles.select("_key", "_c1", "_c2", F.col("_offset").alias("_from"), (F.col("_offset") + 1).alias("_to")))
     found = stored(found, "repeats")
 
