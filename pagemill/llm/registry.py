@@ -50,7 +50,16 @@ def op3_license_scan(spark, sf_dir):
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query("""
+    WITH RECURSIVE v AS (
+        SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+        WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+    reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+    n AS (SELECT x, count(*) AS n_links FROM links GROUP BY x), c AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+    SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(c.y, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(c.y, vec_id)) AS kept
+    FROM embeddings LEFT JOIN n ON n.x = vec_id LEFT JOIN c ON c.x = vec_id
+""")
 def op4_embedding_near_dedup(spark, sf_dir):
     """Links at cosine 0.9 between all embeddings."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
@@ -90,7 +99,17 @@ def op8_lm_score(spark, sf_dir):
     return lm_score(docs, ~held_out()).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-@query()
+@query(r"""
+    WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM t),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 90 * (nx.n + ny.n - i)),
+    reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+    c AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.y, d.doc_id)) AS component_id
+    FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.x = d.doc_id
+""".replace("\\\\", "\\"))
 def op9_ngram_jaccard_join(spark, sf_dir):
     """Components of all documents under links of 0.9 between sets of three-word shingles."""
     return similar_texts(table(spark, sf_dir, "documents"))
