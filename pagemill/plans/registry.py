@@ -277,12 +277,11 @@ def region_text(spark, sf_dir):
 @query(rf"""WITH {WORDS_SQL}, tokens AS (SELECT DISTINCT norm_text FROM words WHERE regexp_matches(norm_text, '^[!-~]+$')),
     cores AS (SELECT norm_text, regexp_extract(norm_text, '^([(\[{{"''«]*)(.*?)([,;:!?)\]}}"'']*)$', 1) AS pre, regexp_extract(norm_text, '^([(\[{{"''«]*)(.*?)([,;:!?)\]}}"'']*)$', 2) AS core, regexp_extract(norm_text, '^([(\[{{"''«]*)(.*?)([,;:!?)\]}}"'']*)$', 3) AS suf FROM tokens),
     entries AS (SELECT *, CASE WHEN levenshtein(lower(core), 'there') <= 1 THEN 'there' WHEN levenshtein(lower(core), 'nation') <= 1 THEN 'nation' WHEN levenshtein(lower(core), 'queue') <= 2 THEN 'queue' WHEN levenshtein(lower(core), 'menteur') <= 2 THEN 'menteur' END AS entry FROM cores WHERE length(core) >= 1)
-    SELECT norm_text AS token, pre || entry || suf AS repaired FROM entries WHERE entry IS NOT NULL""")
+    SELECT norm_text AS token, pre || entry || suf AS repaired FROM entries WHERE pre || entry || suf <> norm_text""")
 def near_token_dictionary(spark, sf_dir):
     """Distinct ASCII tokens near a dictionary entry."""
     tokens = words(spark, sf_dir).select("norm_text").distinct().where(F.col("norm_text").rlike("^[!-~]+$"))
-    affixes = tokens.withColumn("_a", T.affixes(F.col("norm_text"))).withColumn("_entry", repair.dictionary_entry(F.col("_a.core"), DICTIONARY))
-    return affixes.where("_entry IS NOT NULL").select(F.col("norm_text").alias("token"), F.concat("_a.prefix", "_entry", "_a.suffix").alias("repaired"))
+    return repair.repairs(tokens, DICTIONARY).where("repaired <> norm_text").withColumnRenamed("norm_text", "token")
 
 
 @query(rf"""WITH {WORDS_SQL}, r AS (SELECT doc_id, word_id, line_index, norm_text, x + ((line_index + word_index) % 3 - 1) * 5 AS x, y, w, h FROM words),
