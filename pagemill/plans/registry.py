@@ -134,21 +134,21 @@ def line_boxes(spark, sf_dir):
     return longs(layout.lines_of(words(spark, sf_dir)).select("doc_id", "line_index", "x", "y", "w", "h", "n_words", "text"), "line_index")
 
 
-@query(f"""WITH {WORDS_SQL}, kept AS (SELECT doc_id, word_id, line_index, word_index FROM words WHERE line_index % 3 <> 1)
+@query(f"""WITH {WORDS_SQL}, kept AS (SELECT doc_id, word_id, line_index, word_index FROM words QUALIFY count(*) OVER (PARTITION BY doc_id, line_index) >= 3)
     SELECT doc_id, (dense_rank() OVER (PARTITION BY doc_id ORDER BY line_index) - 1)::BIGINT AS line_index, (row_number() OVER (PARTITION BY doc_id ORDER BY line_index, word_index) - 1)::BIGINT AS word_index, word_id FROM kept""")
 def listed_words(spark, sf_dir):
-    """Words by the id lists of two lines in three, renumbered: the others are listed by no line and drop out."""
+    """Words by the id lists of lines of three words or more, renumbered: the others are listed by no line and drop out."""
     w = words(spark, sf_dir)
-    kept = layout.line_words(layout.lines_of(w).where("line_index % 3 <> 1"), w)
+    kept = layout.line_words(layout.lines_of(w).where("n_words >= 3"), w)
     return longs(layout.renumbered(kept).select("doc_id", "line_index", "word_index", "word_id"), "line_index", "word_index")
 
 
-@query(f"""WITH {WORDS_SQL}, listed AS (SELECT * FROM words WHERE doc_id % 2 = 0 AND line_index % 2 = 0), rest AS (SELECT * FROM words WHERE doc_id NOT IN (SELECT doc_id FROM listed))
+@query(f"""WITH {WORDS_SQL}, listed AS (SELECT * FROM words QUALIFY count(*) OVER (PARTITION BY doc_id, line_index) >= 12), rest AS (SELECT * FROM words WHERE doc_id NOT IN (SELECT doc_id FROM listed))
     SELECT doc_id, count(*) AS n_words FROM (SELECT * FROM listed UNION ALL SELECT * FROM rest) GROUP BY doc_id""")
 def listed_or_all_words(spark, sf_dir):
-    """Documents whose lines list words use the lists, the others their words' line indexes."""
+    """Lines of twelve words or more list them; documents without such a line use their words' line indexes."""
     w = words(spark, sf_dir)
-    lines = layout.lines_of(w).where("doc_id % 2 = 0 AND line_index % 2 = 0")
+    lines = layout.lines_of(w).where("n_words >= 12")
     return layout.lines_or_words(lines, w).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"))
 
 
@@ -263,10 +263,10 @@ def full_selection(spark, sf_dir):
     return longs(Q.full_selection(words(spark, sf_dir)), "first_index", "last_index")
 
 
-@query(f"WITH {WORDS_SQL} SELECT doc_id, count(*) AS n, sum(word_index)::BIGINT AS indexes FROM words WHERE (line_index + length(text)) % 5 = 0 GROUP BY doc_id")
+@query(f"WITH {WORDS_SQL} SELECT doc_id, count(*) AS n, sum(word_index)::BIGINT AS indexes FROM words WHERE length(text) >= 5 GROUP BY doc_id")
 def selection_semi_join(spark, sf_dir):
     w = words(spark, sf_dir)
-    return Q.selected(w, w.where("(line_index + length(text)) % 5 = 0").select("doc_id", "word_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("word_index").alias("indexes"))
+    return Q.selected(w, w.where("length(text) >= 5").select("doc_id", "word_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("word_index").alias("indexes"))
 
 
 @query(f"WITH {WORDS_SQL}, b AS (SELECT doc_id, line_index, min(x) AS x, min(y) AS y, max(x + w) AS r, max(y + h) AS d FROM words GROUP BY ALL) SELECT doc_id, bool_or(x < 400 AND r > 240 AND y < 60 AND d > 20) AS touched FROM b GROUP BY doc_id")
@@ -410,7 +410,7 @@ def fragment_merge(spark, sf_dir):
 
 @query()
 def rect_merge(spark, sf_dir):
-    return layout.merged_rects(words(spark, sf_dir).where("word_index % 5 <> 0"))
+    return layout.merged_rects(words(spark, sf_dir).where("length(text) >= 3"))
 
 
 @query()
@@ -423,7 +423,7 @@ def fused_words(spark, sf_dir):
 @query()
 def coverage_merge(spark, sf_dir):
     w = words(spark, sf_dir)
-    first = jittered(w, 1).where(F.crc32("word_id") % 5 != 0).withColumns({"candidate": F.lit(0), "candidate_score": F.lit(80.0)})
+    first = jittered(w, 1).where("confidence >= 65").withColumns({"candidate": F.lit(0), "candidate_score": F.lit(80.0)})
     second = jittered(w, 2).withColumns({"candidate": F.lit(1), "candidate_score": F.lit(70.0)})
     return fusion.coverage_merged(first.unionByName(second))
 
