@@ -53,6 +53,12 @@ def drop_stored(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def rekeyed(column: str) -> Column:
+    """An integer key written another way: a join on it exchanges both sides, even one that a grouping by the key has
+    partitioned, and adaptive execution can then split a key that very many rows share."""
+    return F.bitwise_not(F.col(column))
+
+
 def crc_of_id(doc_id: str | Column) -> Column:
     """crc32 of the id as decimal text, by which documents are held out."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string"))

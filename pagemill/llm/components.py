@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import stored
+from pagemill.llm.common import rekeyed, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", label: str = "component", most_rounds: int = 60) -> DataFrame:
@@ -36,8 +36,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", label: str = "compo
 
 def _hung(pairs: DataFrame) -> DataFrame:
     """pairs (x, y): each y hung on the smallest of x's neighbours and x itself."""
-    least = pairs.groupBy("x").agg(F.min("y").alias("m")).select((F.col("x") + 0).alias("k"), F.least("x", "m").alias("m"))
-    return pairs.select((F.col("x") + 0).alias("k"), "x", "y").join(least, "k")
+    least = pairs.groupBy("x").agg(F.min("y").alias("m")).select(rekeyed("x").alias("k"), F.least("x", "m").alias("m"))
+    return pairs.select(rekeyed("x").alias("k"), "x", "y").join(least, "k")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

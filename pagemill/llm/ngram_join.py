@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import mix64, stored
+from pagemill.llm.common import mix64, rekeyed, stored
 from pagemill.llm.components import components
 from pagemill.llm.exchange import finished, in_blocks, totals
 
@@ -109,11 +109,11 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # One set for all rows with the same; its name is their smallest id.
     indexed = sets.where("length(_prefix) > 0 AND _id IS NOT NULL")
     folded = stored(indexed.groupBy("_n", "_class", "_s1", "_s2").agg(F.min("_id").alias("_rep")), "folded")
-    own = folded.select((F.col("_s1") + 0).alias("_k1"), (F.col("_s2") + 0).alias("_k2"), F.col("_rep"))
+    own = folded.select(F.col("_s1").alias("_k1"), F.col("_s2").alias("_k2"), F.col("_rep"))
     first = indexed.join(own, (F.col("_s1") == F.col("_k1")) & (F.col("_s2") == F.col("_k2")) & (F.col("_id") == F.col("_rep")))
     members = stored(first.select("_rep", "_n", "_class", "_prefix", "_set").dropDuplicates(["_rep"]), "members")
     links = _links(members, percent, id_type)
-    found = folded.join(components(links), F.col("_rep") == F.col("vertex"), "left").select((F.col("_s1") + 0).alias("_k1"), (F.col("_s2") + 0).alias("_k2"), F.col("_n").alias("_m"), F.coalesce("component", "_rep").alias("_component"))
+    found = folded.join(components(links), F.col("_rep") == F.col("vertex"), "left").select(F.col("_s1").alias("_k1"), F.col("_s2").alias("_k2"), F.col("_n").alias("_m"), F.coalesce("component", "_rep").alias("_component"))
     out = sets.select("_id", "_n", "_s1", "_s2").join(found, (F.col("_s1") == F.col("_k1")) & (F.col("_s2") == F.col("_k2")) & (F.col("_n") == F.col("_m")), "left")
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.when(F.col("_id").isNotNull(), F.coalesce("_component", "_id")).alias("component_id"))
 
@@ -130,7 +130,7 @@ def _links(members: DataFrame, percent: int, id_type: str) -> DataFrame:
 
     postings = members.select("_rep", "_class", "_prefix").mapInArrow(entries, f"_token long, _class int, _rep {id_type}")
     lists = stored(postings.groupBy("_token", "_class").agg(F.min("_rep").alias("_first"), F.count(F.lit(1)).alias("_entries")), "lists")
-    several = lists.where("_entries > 1").select((F.col("_token") + 0).alias("_k"), (F.col("_class") + 0).alias("_c"), "_first")
+    several = lists.where("_entries > 1").select(F.col("_token").alias("_k"), F.col("_class").alias("_c"), "_first")
     ties = postings.join(several, (F.col("_token") == F.col("_k")) & (F.col("_class") == F.col("_c"))).select(F.col("_rep").alias("a"), F.col("_first").alias("b"))
     above = lists.select(F.col("_token"), (F.col("_class") - 1).alias("_class"), F.col("_first").alias("_next"))
     ties = ties.unionByName(lists.join(above, ["_token", "_class"]).select(F.col("_first").alias("a"), F.col("_next").alias("b")))
@@ -143,8 +143,8 @@ def _links(members: DataFrame, percent: int, id_type: str) -> DataFrame:
     cells = stored(cells.select("_group", "_class", "_small", "_chunks"), "group-cells")
     beside = lambda d, name: cells.select("_group", (F.col("_class") - d).alias("_class"), F.col("_chunks").alias(name))
     cells = cells.join(beside(1, "_above"), ["_group", "_class"], "left").join(beside(-1, "_below"), ["_group", "_class"], "left")
-    cells = cells.select((F.col("_group") + 0).alias("_k"), (F.col("_class") + 0).alias("_c"), "_small", "_chunks", F.coalesce("_above", F.lit(0)).alias("_above"), F.coalesce("_below", F.lit(0)).alias("_below"))
-    placed = sized.join(cells, (F.col("_group") == F.col("_k")) & (F.col("_class") == F.col("_c"))).withColumn("_own", F.pmod(F.xxhash64("_rep"), "_chunks").cast("int"))
+    cells = cells.select(rekeyed("_group").alias("_k"), rekeyed("_class").alias("_c"), "_small", "_chunks", F.coalesce("_above", F.lit(0)).alias("_above"), F.coalesce("_below", F.lit(0)).alias("_below"))
+    placed = sized.join(cells, (rekeyed("_group") == F.col("_k")) & (rekeyed("_class") == F.col("_c"))).withColumn("_own", F.pmod(F.xxhash64("_rep"), "_chunks").cast("int"))
     task = lambda k, c, l, d: F.struct(k.alias("k"), c.alias("c"), l.alias("l"), d.alias("d"))
     k, c, upto = F.col("_class"), F.col("_own"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     none = F.array().cast("array<struct<k:int,c:int,l:int,d:int>>")
