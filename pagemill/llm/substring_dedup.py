@@ -24,13 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import merged_runs, stored
+from pagemill.llm.common import merged_runs, rekeyed, stored
 from pagemill.llm.exchange import finished, in_blocks, totals
 from pagemill.llm.suffixes import adjacent_prefixes, hashes, suffix_array
 
 GRAM = 32
 #: Starts in a context at most, so that periodic texts do not make contexts as long as themselves.
 RUN = 1024
+#: Bytes of contexts that are sorted together.
+BATCH = 1 << 19
 #: Starts in a part of a context whose anchor has very many, then in a part of a part that still meets very many.
 PARTS = (64, 8)
 
@@ -162,8 +164,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     seen = finished(rows, answers, 1, contexts, f"_block int, _id {id_type}, _hash long, _at long, _key long, _context binary")
     seen = stored(seen, "contexts")
     folded = stored(seen.groupBy("_key", "_context").agg(F.count(F.lit(1)).alias("_n")), "folded")
-    variants = folded.groupBy("_key").agg(F.count(F.lit(1)).alias("_variants")).select((F.col("_key") + 0).alias("_k"), "_variants")
-    folded = folded.join(variants, F.col("_key") == F.col("_k")).select("_key", "_context", "_n", "_variants")
+    variants = folded.groupBy("_key").agg(F.count(F.lit(1)).alias("_variants")).select(rekeyed("_key").alias("_k"), "_variants")
+    folded = folded.join(variants, rekeyed("_key") == F.col("_k")).select("_key", "_context", "_n", "_variants")
     marks = [F.xxhash64("_context").alias("_c1"), F.xxhash64("_context", F.lit(1)).alias("_c2")]
 
     folded = stored(folded, "variants")
@@ -178,7 +180,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = "_key long, _c1 long, _c2 long, _from long, _to long"
     def sorted_by(groups: DataFrame, *group: str) -> DataFrame:
         size = groups.agg(F.sum(F.octet_length("_context"))).first()[0] or 0
-        batch = F.pmod(F.xxhash64(*group), F.lit(max(8, -(-size // (2 << 20))))).cast("int").alias("_batch")
+        batch = F.pmod(F.xxhash64(*group), F.lit(max(8, -(-size // BATCH)))).cast("int").alias("_batch")
         return groups.select("_key", "_context", "_n", "_c1", "_c2", "_offset", batch).groupBy("_batch").applyInArrow(sorted_in_batch, schema)
 
     # Contexts of which there are copies but no variants are repeated as a whole.
@@ -259,5 +261,5 @@ def _core_groups(contexts: DataFrame, length: int, part: int) -> DataFrame:
 
     each = contexts.select("_key", "_context", "_n", "_c1", "_c2", "_offset").mapInArrow(cut, "_key long, _context binary, _n long, _c1 long, _c2 long, _offset long, _d1 long, _d2 long")
     groups = each.groupBy("_d1", "_d2").agg(F.sum("_n").alias("_sum"), F.count(F.lit(1)).alias("_members")).where("_sum > 1")
-    groups = groups.select((F.col("_d1") + 0).alias("_e1"), (F.col("_d2") + 0).alias("_e2"), "_members")
-    return each.join(groups, (F.col("_d1") == F.col("_e1")) & (F.col("_d2") == F.col("_e2"))).drop("_e1", "_e2")
+    groups = groups.select(rekeyed("_d1").alias("_e1"), rekeyed("_d2").alias("_e2"), "_members")
+    return each.join(groups, (rekeyed("_d1") == F.col("_e1")) & (rekeyed("_d2") == F.col("_e2"))).drop("_e1", "_e2")
