@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import mix64, stored
+from pagemill.llm.common import mix64, rekeyed, stored
 from pagemill.llm.components import components
 
 CHUNK = 1024
@@ -127,8 +127,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     id_type = folded.schema["_rep"].dataType.simpleString()
     members = stored(folded.select("_rep", "_v").mapInArrow(celled, f"_cell long, _home boolean, _rep {id_type}"), "cells")
     shared = members.groupBy("_cell").agg(F.count(F.lit(1)).alias("_m"), F.max("_home").alias("_any")).where("_m > 1 AND _any")
-    shared = shared.select((F.col("_cell") + 0).alias("_k"), F.ceil(F.col("_m") / CHUNK).cast("int").alias("_chunks"))
-    placed = members.withColumn("_k", F.col("_cell") + 0).join(shared, "_k").withColumn("_own", F.pmod(F.xxhash64("_rep"), "_chunks").cast("int"))
+    shared = shared.select(rekeyed("_cell").alias("_k"), F.ceil(F.col("_m") / CHUNK).cast("int").alias("_chunks"))
+    placed = members.withColumn("_k", rekeyed("_cell")).join(shared, "_k").withColumn("_own", F.pmod(F.xxhash64("_rep"), "_chunks").cast("int"))
     placed = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
     placed = placed.select("_cell", "_home", "_rep", "_own", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
     batches = max(8, folded.count() * tables // 4000)
