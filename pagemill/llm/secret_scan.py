@@ -23,10 +23,11 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 ASSIGN_KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN_LEAST = 8
-#: Weak parts by role: what names an account, what may be its secret, where it is used.
+#: Weak parts by role: what names an account, what may be its secret, where it is used. A key may follow an underscore
+#: (DB_USER) and a value its key's equals sign; neither has a greatest length.
 WEAK = {
-    "ident": r"""(?i:\b(?:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,64}""",
-    "value": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,63}[0-9])(?=[a-z0-9+/_-]{0,63}[A-Z])[A-Za-z0-9+/_-]{20,64}={0,2}(?![A-Za-z0-9+/_=-])",
+    "ident": r"""(?i:(?<![A-Za-z0-9])(?:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""",
+    "value": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])",
     "endpoint": r"""(?i:\b(?:https?|ftp|ssh|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://)[^\s"'<>]{3,256}""",
 }
 #: The role that a strong kind plays for its weak neighbours.
