@@ -11,10 +11,12 @@ ties hold all candidates together.
 Join. Inside such a candidate group the lists are inverted again, locally, with entries in the order of size. Index
 skipping: only the block of list positions whose sizes are within the bound is read. Answer skipping: the overlaps of
 a set R with all others are derived from those of the most similar set P done before, by subtracting the lists of
-P minus R and adding those of R minus P. Groups too large for a task are dealt into chunks by size class and hash,
-and each pair of chunks of the same or adjacent classes is a task: every pair of sets is compared somewhere.
+P minus R and adding those of R minus P; rows of overlaps go once no set to come has theirs as its P. Groups too large
+for a task, in shingles or in sets, are dealt into chunks by size class and hash, and each pair of chunks of the same
+or adjacent classes is a task: every pair of sets is compared somewhere.
 
-Scale. Equal sets are folded first, so a group of copies is one set. A task returns a spanning forest of its links.
+Scale. Equal sets are folded first, so a group of copies is one set. A set so small that one shingle more or less breaks
+the bound links with no other set and needs no entry. A task returns a spanning forest of its links.
 """
 
 from __future__ import annotations
@@ -34,8 +36,12 @@ from pagemill.llm.exchange import finished, in_blocks, totals
 #: Shingles below this hash are counted: a quarter of them.
 COUNTED = np.uint64(1 << 62)
 STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
-#: Shingles in a chunk of a large candidate group.
+#: Shingles and sets in a chunk of a large candidate group.
 CHUNK = 200_000
+SETS = 2_000
+#: Shingles in a batch of tasks, and sets between two releases of overlap rows.
+BATCH = 500_000
+RELEASE = 64
 
 
 def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
@@ -110,7 +116,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     indexed = sets.where("length(_prefix) > 0 AND _id IS NOT NULL")
     folded = stored(indexed.groupBy("_n", "_class", "_s1", "_s2").agg(F.min("_id").alias("_rep")), "folded")
     own = folded.select(F.col("_s1").alias("_k1"), F.col("_s2").alias("_k2"), F.col("_rep"))
-    first = indexed.join(own, (F.col("_s1") == F.col("_k1")) & (F.col("_s2") == F.col("_k2")) & (F.col("_id") == F.col("_rep")))
+    first = indexed.where(100 * F.col("_n") >= percent * (F.col("_n") + 1)).join(own, (F.col("_s1") == F.col("_k1")) & (F.col("_s2") == F.col("_k2")) & (F.col("_id") == F.col("_rep")))
     members = stored(first.select("_rep", "_n", "_class", "_prefix", "_set").dropDuplicates(["_rep"]), "members")
     links = _links(members, percent, id_type)
     found = folded.join(components(links), F.col("_rep") == F.col("vertex"), "left").select(F.col("_s1").alias("_k1"), F.col("_s2").alias("_k2"), F.col("_n").alias("_m"), F.coalesce("component", "_rep").alias("_component"))
@@ -118,8 +124,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.when(F.col("_id").isNotNull(), F.coalesce("_component", "_id")).alias("component_id"))
 
 
-def _links(members: DataFrame, percent: int, id_type: str) -> DataFrame:
-    """Edges (a, b) that span the same components as all links between ``members``."""
+def _placed(members: DataFrame, id_type: str) -> DataFrame:
+    """``members`` in all tasks (_group, _task) of theirs, dealt into batches."""
 
     def entries(batches):
         for batch in batches:
@@ -137,12 +143,15 @@ def _links(members: DataFrame, percent: int, id_type: str) -> DataFrame:
     groups = components(ties.where("a != b").distinct(), label="_group")
 
     sized = stored(members.select("_rep", "_n", "_class").join(groups, F.col("_rep") == F.col("vertex")).select("_group", "_class", "_rep", "_n"), "grouped")
-    cells = sized.groupBy("_group", "_class").agg(F.sum("_n").alias("_sum"))
-    totals_ = cells.groupBy("_group").agg((F.sum("_sum") <= 2 * CHUNK).alias("_small"))
-    cells = cells.join(totals_, "_group").withColumn("_chunks", F.when(F.col("_small"), F.lit(1)).otherwise(F.ceil(F.col("_sum") / CHUNK)).cast("int"))
-    cells = stored(cells.select("_group", "_class", "_small", "_chunks"), "group-cells")
+    cells = sized.groupBy("_group", "_class").agg(F.sum("_n").alias("_sum"), F.count(F.lit(1)).alias("_sets"))
+    totals_ = cells.groupBy("_group").agg(((F.sum("_sum") <= 2 * CHUNK) & (F.sum("_sets") <= 2 * SETS)).alias("_small"))
+    dealt = F.greatest(F.ceil(F.col("_sum") / CHUNK), F.ceil(F.col("_sets") / SETS))
+    cells = cells.join(totals_, "_group").withColumn("_chunks", F.when(F.col("_small"), F.lit(1)).otherwise(dealt).cast("int"))
+    cells = stored(cells.select("_group", "_class", "_small", "_chunks", "_sum"), "group-cells")
     beside = lambda d, name: cells.select("_group", (F.col("_class") - d).alias("_class"), F.col("_chunks").alias(name))
     cells = cells.join(beside(1, "_above"), ["_group", "_class"], "left").join(beside(-1, "_below"), ["_group", "_class"], "left")
+    copies = F.when(F.col("_small"), F.lit(1)).otherwise(F.col("_chunks") + F.coalesce("_above", F.lit(0)) + F.coalesce("_below", F.lit(0)))
+    batches = max(8, -(-(cells.agg(F.sum(F.col("_sum") * copies)).first()[0] or 0) // BATCH))
     cells = cells.select(rekeyed("_group").alias("_k"), rekeyed("_class").alias("_c"), "_small", "_chunks", F.coalesce("_above", F.lit(0)).alias("_above"), F.coalesce("_below", F.lit(0)).alias("_below"))
     placed = sized.join(cells, (rekeyed("_group") == F.col("_k")) & (rekeyed("_class") == F.col("_c"))).withColumn("_own", F.pmod(F.xxhash64("_rep"), "_chunks").cast("int"))
     task = lambda k, c, l, d: F.struct(k.alias("k"), c.alias("c"), l.alias("l"), d.alias("d"))
@@ -155,9 +164,12 @@ def _links(members: DataFrame, percent: int, id_type: str) -> DataFrame:
     )
     zero = F.lit(0)
     placed = placed.withColumn("_task", F.explode(F.when(F.col("_small"), F.array(task(zero, zero, zero, zero))).otherwise(tasks)))
-    batches = max(8, -(-(sized.agg(F.sum("_n")).first()[0] or 0) // 500_000))
-    placed = placed.select("_rep", "_group", "_task", F.pmod(F.xxhash64("_group", "_task"), F.lit(batches)).cast("int").alias("_batch"))
-    work = placed.join(members.select("_rep", "_set"), "_rep")
+    return placed.select("_rep", "_group", "_task", F.pmod(F.xxhash64("_group", "_task"), F.lit(batches)).cast("int").alias("_batch"))
+
+
+def _links(members: DataFrame, percent: int, id_type: str) -> DataFrame:
+    """Edges (a, b) that span the same components as all links between ``members``."""
+    work = _placed(members, id_type).join(members.select("_rep", "_set"), "_rep")
     edges = work.select("_batch", "_group", "_rep", "_task.*", "_set").groupBy("_batch").applyInArrow(lambda t: _joined(t, percent), f"a {id_type}, b {id_type}")
     return stored(edges, "links")
 
@@ -198,27 +210,31 @@ def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]
         places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[of] - (ends - n), n)
         return np.bincount(entries[places], minlength=len(order))
 
-    overlap = np.zeros((len(order), len(order)), np.int32)
+    overlap: dict[int, np.ndarray] = {}
     nearest, best = np.full(len(order), -1), np.zeros(len(order), np.int64)
     root = np.arange(len(order))
     forest = []
     for r in range(len(order)):
-        p = nearest[r]
+        if r % RELEASE == 0:
+            needed = set(np.unique(nearest[r:]).tolist())
+            overlap = {k: row for k, row in overlap.items() if k in needed}
+        p = int(nearest[r])
         if p >= 0 and len(held[p]) + len(held[r]) - 2 * best[r] < len(held[r]):
             gone, new = np.setdiff1d(held[p], held[r], assume_unique=True), np.setdiff1d(held[r], held[p], assume_unique=True)
-            overlap[r] = overlap[p] - counts(gone) + counts(new)
+            row = overlap[p] - counts(gone) + counts(new)
         else:
-            overlap[r] = counts(held[r])
+            row = counts(held[r])
         # Sets further on are not smaller; those past the block that the size bound allows are skipped.
         stop = np.searchsorted(sizes, sizes[r] * 100 // percent, side="right")
         later = slice(r + 1, max(r + 1, stop))
-        both = overlap[r, later].astype(np.int64)
+        both = row[later]
         for s in np.flatnonzero(100 * both >= percent * (sizes[r] + sizes[later] - both)).tolist():
             s += r + 1
             if root[s] != root[r]:
                 forest.append((int(order[r]), int(order[s])))
                 root[root == root[s]] = root[r]
-        closer = overlap[r] > best
+        closer = row > best
         closer[: r + 1] = False
-        nearest[closer], best[closer] = r, overlap[r][closer]
+        nearest[closer], best[closer] = r, row[closer]
+        overlap[r] = row.astype(np.int32)
     return forest

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -189,6 +190,45 @@ def test_large_groups_are_dealt_into_chunks(spark, monkeypatch):
     assert [got[i] for i in range(60)] == jaccard_roots(sets)
 
 
+def test_many_small_sets_are_dealt_into_chunks(spark, monkeypatch):
+    import pagemill.llm.ngram_join as module
+
+    # One token ties 5,000 sets of 12 shingles: far from the bound on shingles.
+    shared = np.array([7], np.int64).tobytes()
+    members = spark.range(5_000).select(F.col("id").alias("_rep"), F.lit(12).cast("long").alias("_n"), F.lit(20).alias("_class"), F.lit(shared).alias("_prefix"))
+    sizes = [r["count"] for r in module._placed(members, "bigint").groupBy("_group", "_task").count().collect()]
+    assert len(sizes) == 6 and max(sizes) < 2 * module.SETS
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [t for _ in range(3) for t in family(rng, words, 60, 40, 2)]
+    monkeypatch.setattr(module, "SETS", 16)
+    monkeypatch.setattr(module, "BATCH", 20_000)
+    want = jaccard_roots([set(shingle_sets([t], 3)[0].tolist()) for t in texts])
+    assert len(set(want)) < len(want)
+    assert [r.component_id for r in sorted(similar_texts(docs(spark, texts)).collect(), key=lambda r: r.doc_id)] == want
+
+
+def test_sets_too_small_to_link_with_others(spark):
+    # 50,000 texts of one template, 7 shingles each; among them equal ones.
+    rows = spark.range(50_000).select(F.col("id").alias("doc_id"), F.format_string("the order number %d was sent to you today", F.col("id") % 49_990).alias("text"))
+    got = similar_texts(rows)
+    assert got.where((F.col("n_shingles") != 7) | (F.col("component_id") != F.col("doc_id") % 49_990)).count() == 0
+    # Nine shingles against the same nine and one more are the least that link.
+    nine = "a b c d e f g h i j k"
+    assert [r.component_id for r in similar_texts(docs(spark, [nine, nine + " l", nine[:-2], nine[:-2]])).orderBy("doc_id").collect()] == [0, 0, 2, 2]
+
+
+def test_overlap_rows_are_released():
+    rng = np.random.default_rng(3)
+    families = [np.unique(rng.integers(0, 2**63, 40).astype(np.uint64)) for _ in range(300)]
+    sets = [np.unique(np.r_[f[1:], rng.integers(0, 2**63, 1).astype(np.uint64)]) for f in families for _ in range(10)]
+    tracemalloc.start()
+    forest = spanning_links(sets, 90)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(forest) == 2700 and peak < 2 * len(sets) ** 2
+
+
 def test_skipping_loses_no_link():
     rng = random.Random(7)
     for _ in range(30):
