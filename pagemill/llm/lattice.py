@@ -10,7 +10,8 @@ is counted in one of them, which both codes determine, so link counts need neith
 cell with very many vectors is dealt into chunks and every pair of chunks is a task of its own: no cap on members.
 
 Scale. Cells are first grouped as (cell, id) rows with counts, and vectors travel only to cells where they can meet
-somebody. A task returns a link count per vector and a spanning forest, linear in its members. ``scale`` shrinks the
+somebody. Batches of tasks follow the rows after repetition by chunks, and near pairs are counted block by block, so
+memory depends on neither a cell's size nor the number of links. A task returns a link count per vector and a spanning forest, linear in its members. ``scale`` shrinks the
 cells; to keep cells small, raise it (and ``tables`` with it) as a collection grows.
 """
 
@@ -28,6 +29,9 @@ from pagemill.llm.common import mix64, rekeyed, stored
 from pagemill.llm.components import components
 
 CHUNK = 1024
+#: Placed rows in a batch of tasks, and near pairs that a task holds at once.
+BATCH = 8_000
+PAIRS = 20_000
 
 
 @cache
@@ -127,11 +131,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     id_type = folded.schema["_rep"].dataType.simpleString()
     members = stored(folded.select("_rep", "_v").mapInArrow(celled, f"_cell long, _home boolean, _rep {id_type}"), "cells")
     shared = members.groupBy("_cell").agg(F.count(F.lit(1)).alias("_m"), F.max("_home").alias("_any")).where("_m > 1 AND _any")
-    shared = shared.select(rekeyed("_cell").alias("_k"), F.ceil(F.col("_m") / CHUNK).cast("int").alias("_chunks"))
+    shared = stored(shared.select(rekeyed("_cell").alias("_k"), "_m", F.ceil(F.col("_m") / CHUNK).cast("int").alias("_chunks")), "shared")
     placed = members.withColumn("_k", rekeyed("_cell")).join(shared, "_k").withColumn("_own", F.pmod(F.xxhash64("_rep"), "_chunks").cast("int"))
     placed = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
     placed = placed.select("_cell", "_home", "_rep", "_own", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
-    batches = max(8, folded.count() * tables // 4000)
+    batches = max(8, -(-(shared.agg(F.sum(F.col("_m") * F.col("_chunks"))).first()[0] or 0) // BATCH))
     tasks = placed.join(folded, "_rep").withColumn("_batch", F.pmod(F.xxhash64("_cell", "_i", "_j"), F.lit(batches)).cast("int"))
 
     def verified(table: pa.Table) -> pa.Table:
@@ -163,50 +167,56 @@ def _verified(table: pa.Table, lattice: Lattice, threshold: float) -> pa.Table:
         rows = np.flatnonzero(sizes == size)
         unit[rows, :size] = _units(table.column("_v").take(pa.array(rows)))
     starts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-    left, right = [], []
+    ids, vertex = np.unique(rep, return_inverse=True)
+    links, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    codes, coded = np.empty((len(ids), lattice.tables, 1 + lattice.probes), np.uint64), np.zeros(len(ids), bool)
+
+    def count(left: np.ndarray, right: np.ndarray) -> None:
+        """Adds the links of near pairs of rows that count in their cell."""
+        used, first = np.unique(vertex[np.r_[left, right]], return_index=True)
+        fresh = np.r_[left, right][first[~coded[used]]]
+        for size in np.unique(sizes[fresh]).tolist():
+            rows = fresh[sizes[fresh] == size]
+            codes[vertex[rows]] = lattice.cells(unit[rows, :size])
+        coded[vertex[fresh]] = True
+        for k in range(0, len(left), PAIRS):
+            x, y = left[k : k + PAIRS], right[k : k + PAIRS]
+            here = lattice.counted_in(codes[vertex[x]], codes[vertex[y]]) == cell[x]
+            x, y = x[here], y[here]
+            np.add.at(links, vertex[x], weight[y])
+            np.add.at(links, vertex[y], weight[x])
+            x, y = vertex[x], vertex[y]
+            while (apart := parent[x] != parent[y]).any():  # every vertex points at its root
+                x, y = x[apart], y[apart]
+                np.minimum.at(parent, np.maximum(parent[x], parent[y]), np.minimum(parent[x], parent[y]))
+                while (parent != (up := parent[parent])).any():
+                    parent[:] = up
+
+    left, right, waiting = [], [], 0
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(cell)], strict=True):
         if b - a < 2 or not home[a:b].any():
             continue
-        if i[a] == j[a]:
+        same = i[a] == j[a]
+        if same:
             x = y = np.arange(a, b)
         else:
             x, y = a + np.flatnonzero(own[a:b] == i[a]), a + np.flatnonzero(own[a:b] == j[a])
-        near = (unit[x] @ unit[y].T >= threshold) & (home[x][:, None] | home[y][None]) & (sizes[x][:, None] == sizes[y][None])
-        if i[a] == j[a]:
-            near = np.triu(near, 1)
-        p, q = np.nonzero(near)
-        left.append(x[p])
-        right.append(y[q])
-    left, right = (np.concatenate([np.zeros(0, np.int64), *z]) for z in (left, right))
-    different = rep[left] != rep[right]
-    left, right = left[different], right[different]
-    if len(left):
-        used, at = np.unique(np.r_[left, right], return_inverse=True)
-        _, first, again = np.unique(rep[used], return_index=True, return_inverse=True)
-        codes = np.empty((len(first), lattice.tables, 1 + lattice.probes), np.uint64)
-        for size in np.unique(sizes[used[first]]).tolist():
-            rows = np.flatnonzero(sizes[used[first]] == size)
-            codes[rows] = lattice.cells(unit[used[first[rows]], :size])
-        code = again[at]
-        cuts = range(0, len(left), 20_000)
-        pairs = np.stack([code[: len(left)], code[len(left) :]])
-        here = np.concatenate([lattice.counted_in(codes[pairs[0, k : k + 20_000]], codes[pairs[1, k : k + 20_000]]) for k in cuts])
-        counted = here == cell[left]
-        left, right = left[counted], right[counted]
-    ids, n = np.unique(np.r_[rep[left], rep[right]], return_inverse=True)
-    links = np.bincount(n, np.r_[weight[right], weight[left]], len(ids)).astype(np.int64)
-    parent: dict[int, int] = {}
-
-    def root(v: int) -> int:
-        while parent.setdefault(v, v) != v:
-            parent[v] = parent[parent[v]]
-            v = parent[v]
-        return v
-
-    for a, b in zip(rep[left].tolist(), rep[right].tolist(), strict=True):
-        a, b = root(a), root(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    edges = np.array([(v, r) for v in parent if (r := root(v)) != v], np.int64).reshape(-1, 2)
+        rows = max(1, PAIRS // max(1, len(y)))
+        for k in range(0, len(x), rows):
+            z = x[k : k + rows]
+            near = (unit[z] @ unit[y].T >= threshold) & (home[z][:, None] | home[y][None]) & (sizes[z][:, None] == sizes[y][None]) & (rep[z][:, None] != rep[y][None])
+            p, q = np.nonzero(near & (z[:, None] < y[None]) if same else near)
+            left.append(z[p])
+            right.append(y[q])
+            waiting += len(p)
+            if waiting >= PAIRS:
+                count(np.concatenate(left), np.concatenate(right))
+                left, right, waiting = [], [], 0
+    if waiting:
+        count(np.concatenate(left), np.concatenate(right))
+    met = links > 0
+    edges = np.flatnonzero(parent != np.arange(len(ids)))
+    edges = np.stack([ids[edges], ids[parent[edges]]], 1).astype(np.int64)
+    ids, links = ids[met], links[met]
     kind = np.r_[np.zeros(len(ids), bool), np.ones(len(edges), bool)]
     return pa.Table.from_arrays([pa.array(kind), pa.array(np.r_[ids.astype(np.int64), edges[:, 0]]), pa.array(np.r_[links, edges[:, 1]])], ["_edge", "_a", "_b"])

@@ -8,12 +8,13 @@ import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pagemill.llm.components import components
 from pagemill.llm.exchange import _packed_counts, _packed_keys, _unpacked_counts, _unpacked_keys
-from pagemill.llm.lattice import e8, near_vectors, neighbours
+from pagemill.llm.lattice import Lattice, _units, _verified, e8, near_vectors, neighbours
 from pagemill.llm.lm_score import lm_score
 from pagemill.llm.ngram_join import shingle_sets, similar_texts, spanning_links
 from pagemill.llm.substring_dedup import remove_repeats
@@ -123,6 +124,26 @@ def test_large_cells_are_dealt_into_chunks(spark, monkeypatch):
     assert {(r.n_links, r.component_id) for r in near_vectors(df).collect()} == {(89, 0)}
 
 
+def test_hot_cells_in_bounded_memory():
+    rng = np.random.default_rng(2)
+    lattice = Lattice(4, 2, 1.1, 11)
+    vectors = rng.standard_normal(16) + rng.standard_normal((900, 16)) * 0.002
+    homes = lattice.cells(_units(pa.array(vectors.tolist())))[:, :, 0]
+    n, tables = homes.shape
+    at, zero = np.repeat(np.arange(n), tables), pa.array(np.zeros(n * tables, np.int32))
+    columns = {"_cell": pa.array(homes.reshape(-1).view(np.int64)), "_home": pa.array(np.ones(n * tables, bool)), "_rep": pa.array(at), "_own": zero, "_i": zero, "_j": zero, "_v": pa.array(vectors.tolist()).take(pa.array(at)), "_n": pa.array(np.ones(n * tables, np.int64))}
+    table = pa.table(columns)
+    tracemalloc.start()
+    found = _verified(table, lattice, 0.9).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    together = (homes[:, None] == homes[None]).any(2)
+    np.fill_diagonal(together, False)
+    assert {r["_a"]: r["_b"] for r in found if not r["_edge"]} == {i: k for i, k in enumerate(together.sum(1).tolist()) if k}
+    assert {r["_a"]: r["_b"] for r in found if r["_edge"]} == {i: k for i, k in enumerate(roots(n, np.argwhere(together).tolist())) if k != i}
+    assert together.sum() > n * n // 2 and peak < 30 << 20
+
+
 # Language model
 
 
