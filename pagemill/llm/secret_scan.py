@@ -1,17 +1,21 @@
 """Secret scans: multipart credential linking over whole texts, in DataFrame functions only.
 
-Strong findings (assignments with a long value, access keys, long hex runs) stand alone. Weak parts are an access
-identifier, a secret-looking value or an endpoint; alone each is too common to report. A weak part is reported only
-when a part of another role lies within ``reach`` code points of it inside the same scope (paragraph): an interval
-join of each row's parts with themselves. Parts never link across rows, so no shuffle and no key is involved.
-
-Scale. Everything is a projection of one scan. Cheap substring tests guard each pattern, so clean texts cost one
-pass. A row's positions are prefix sums over the pieces between matches, folded in chunks of 256 so that a text with
-very many matches does not pay for its square; the interval join looks only into a part's own and adjacent cells.
+Strong findings (assignments with a long value, access keys, long hex runs) stand alone. Weak candidates are an access
+identifier, a secret-looking value or an endpoint; alone each is too common to report. They are joined with the scope
+(paragraph) that their interval lies in, and reported only where complementary parts co-occur there: a secret together
+with an identifier or an endpoint. Strong findings take part in that: an access key as an identifier, an assignment or
+a hex run as a secret. An identifier and an endpoint without a secret give nothing.
+
+Scale. Everything is a projection of one scan: parts never link across rows, so no shuffle and no key is involved. Cheap
+substring tests guard each pattern, so clean texts cost one pass. Inside a text, cost grows with its length and with the
+number of its parts (times its logarithm, for one sort): positions and running ends are prefix sums in chunks, and the
+join of parts with scopes is one sweep over parts and scope ends in order of start. No part looks at another one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,51 +27,57 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 ASSIGN_KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN_LEAST = 8
+#: What looks like a secret by itself: a whole run of 20 or more letters, digits and signs with a digit and a capital, no access key.
+SECRET = r"(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?![A-Za-z0-9+/_-]*AKIA[A-Z0-9]{12})[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"
 #: Weak parts by role: what names an account, what may be its secret, where it is used. A key may follow an underscore
-#: (DB_USER) and a value its key's equals sign; neither has a greatest length.
+#: (DB_USER) and a value its key's equals sign; none has a greatest length. What looks like a secret names no account.
 WEAK = {
-    "ident": r"""(?i:(?<![A-Za-z0-9])(?:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""",
-    "value": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])",
-    "endpoint": r"""(?i:\b(?:https?|ftp|ssh|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://)[^\s"'<>]{3,256}""",
+    "ident": rf"""(?i:(?<![A-Za-z0-9])(?:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?))["']?\x20*[:=]\x20*["']?(?!{SECRET})[A-Za-z0-9@._-]{{3,}}""",
+    "value": rf"(?<![A-Za-z0-9+/_-]){SECRET}",
+    "endpoint": r"""(?i:\b(?:https?|ftp|ssh|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://)[^\s"'<>]{3,}""",
 }
+#: The end of a scope: a line end before a blank line. No pattern above matches across a line end.
+SCOPE_END = r"\n(?=[ \t\r]*\n)"
 #: The role that a strong kind plays for its weak neighbours.
 ROLE = {"assign": "value", "access": "ident", "hex": "value"}
 KINDS = ["assign", "access", "hex", *WEAK]
-CHUNK = 256
-#: Code points of a cell of the interval join.
-CELL = 512
-SPAN = "array<struct<start:long,kind:int,end:long,found:string>>"
-PIECE = "array<struct<gap:long,width:long,found:string>>"
+CHUNK = 64
+#: Code points of the blocks from which a text's pieces are cut.
+BLOCK = 4096
+SPAN = "array<struct<start:long,kind:int,end:long>>"
+LONGS = "array<long>"
 
 
-def _pieces(text: Column, pattern: str, guard: Column | None = None) -> Column:
-    """Leftmost non-overlapping matches of a text, each with its length and that of what parts it from the last."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    pieces = F.zip_with(gaps, found, lambda gap, hit: F.struct(F.length(gap).cast("long").alias("gap"), F.length(hit).cast("long").alias("width"), hit.alias("found")))
-    seen = text.rlike(pattern)
-    return F.when(seen if guard is None else guard & seen, pieces).otherwise(F.array().cast(PIECE))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often and deep in lambdas the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _spans(pieces: str, kind: int) -> Column:
-    """Code-point spans of a column of pieces, in order."""
+def _running(values: str, combine: str) -> str:
+    """SQL of the running results of an associative ``combine`` of {a} and {b}, with zero as its identity, over an array of longs.
 
-    def moved(s: Column, by: Column) -> Column:
-        return F.struct((s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["end"] + by).alias("end"), s["found"].alias("found"))
+    Chunks keep the copying near linear: results inside each of them, then moved on by the last of those before.
+    """
+    now, moved = combine.format(a="acc.last", b="x"), combine.format(a="acc.last", b="c.last")
+    inside = f"aggregate(slice(v, i, {CHUNK}), named_struct('last', 0L, 'out', cast(array() as {LONGS})), (acc, x) -> named_struct('last', {now}, 'out', concat(acc.out, array({now}))))"
+    chunks = f"transform(sequence(1, greatest(size(v), 1), {CHUNK}), i -> {inside})"
+    carried = f"aggregate({chunks}, named_struct('last', 0L, 'out', cast(array() as array<{LONGS}>)), (acc, c) -> named_struct('last', {moved}, 'out', concat(acc.out, array(transform(c.out, x -> {now})))))"
+    return f"element_at(transform(array({values}), v -> flatten({carried}.out)), 1)"
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["width"]).alias("end"), x["found"].alias("found"))
-        return F.struct((start + x["width"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    def shift(acc: Column, x: Column) -> Column:
-        return F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(F.transform(x["out"], lambda s: moved(s, acc["at"])))).alias("out"))
+def _spans(pattern: str, kind: int, guard: Column | None = None, least: int = 0) -> Column:
+    """Code-point spans of a pattern's leftmost non-overlapping matches in _text; ``least``: characters that its second group needs.
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
-    firsts = F.sequence(F.lit(1), F.greatest(F.size(pieces), F.lit(1)), F.lit(CHUNK))
-    chunks = F.transform(firsts, lambda i: F.aggregate(F.slice(F.col(pieces), i, F.lit(CHUNK)), start, step))
-    nested = F.aggregate(chunks, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")), shift)
-    return F.when(F.size(pieces) > 0, F.flatten(nested["out"])).otherwise(F.array().cast(SPAN))
+    A match starts where the text before it and the matches before it end, a running sum of their lengths.
+    """
+    quoted = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    valid = f"length(regexp_extract(hit, {quoted}, 2)) >= {least}" if least else "true"
+    hits = f"transform(array(regexp_extract_all(_text, {quoted}, 0)), hits -> zip_with(slice(split(_text, {quoted}, -1), 1, size(hits)), hits, (gap, hit) -> named_struct('gap', cast(length(gap) as long), 'width', cast(length(hit) as long), 'valid', {valid})))"
+    ends = _running("transform(p, x -> x.gap + x.width)", "{a} + {b}")
+    placed = f"zip_with(p, {ends}, (x, e) -> if(x.valid, named_struct('start', e - x.width, 'kind', {kind}, 'end', e), null))"
+    spans = F.expr(f"element_at(transform({hits}, p -> filter({placed}, s -> s is not null)), 1)").cast(SPAN)
+    seen = F.col("_text").rlike(pattern)
+    return F.when(seen if guard is None else guard & seen, spans).otherwise(F.array().cast(SPAN))
 
 
 def _joined(spans: Column) -> Column:
@@ -75,52 +85,57 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _scanned(rows: DataFrame, reach: int) -> DataFrame:
+def _linked(parts: Column) -> Column:
+    """The weak ones of ``parts``, spans and scope ends in order of start, whose scope has a secret and an identifier or endpoint.
+
+    The parts' roles make a string, a letter each; scopes are what its bars part, and one that lacks a role is struck out.
+    """
+    letters = {"value": "v", "ident": "i", "endpoint": "e"}
+    role = F.array(*[F.lit(letters[ROLE.get(k, k)]) for k in KINDS], F.lit("|"))
+
+    def complete(scope: Column) -> Column:
+        return F.when(F.contains(scope, F.lit("v")) & scope.rlike("[ie]"), scope).otherwise(F.repeat(F.lit("-"), F.length(scope)))
+
+    def kept(seq: Column) -> Column:
+        roles = F.array_join(F.transform(seq, lambda p: role[p["kind"]]), "")
+        marks = F.regexp_extract_all(F.array_join(F.transform(F.split(roles, r"\|", -1), complete), "|"), F.lit("."), F.lit(0))
+        marked = F.zip_with(seq, marks, lambda p, mark: F.struct(p.alias("p"), mark.alias("mark")))
+        return F.transform(F.filter(marked, lambda x: (x["mark"] != "-") & x["p"]["kind"].between(len(ROLE), len(KINDS) - 1)), lambda x: x["p"])
+
+    return _let(parts, kept)
+
+
+def _scanned(rows: DataFrame) -> DataFrame:
     """``rows`` with a column _text: what is found of each kind, the strong spans as _base and the linked weak ones as _linked."""
     text, lowered = F.col("_text"), F.lower("_text")
     has_key = F.lit(False)
     for key in ASSIGN_KEYS:
         has_key = has_key | F.contains(lowered, F.lit(key))
-    patterns = {"assign": (ASSIGN, has_key), "access": (ACCESS, F.contains(text, F.lit("AKIA"))), "hex": (HEX, None)}
+    found = {"_assign": _spans(ASSIGN, 0, has_key, ASSIGN_LEAST), "_access": _spans(ACCESS, 1, F.contains(text, F.lit("AKIA"))), "_hex": _spans(HEX, 2)}
     guards = {"ident": lowered.rlike("user|login|client|account|access"), "endpoint": F.contains(text, F.lit("://"))}
-    patterns |= {k: (p, guards.get(k)) for k, p in WEAK.items()}
-    rows = rows.withColumns({f"_p_{k}": _pieces(text, p, guard) for k, (p, guard) in patterns.items()})
-    rows = rows.withColumns({f"_{k}": _spans(f"_p_{k}", KINDS.index(k)) for k in KINDS})
-    rows = rows.withColumn("_assign", F.filter("_assign", lambda s: F.length(F.regexp_extract(s["found"], ASSIGN, 2)) >= ASSIGN_LEAST))
-    rows = rows.withColumn("_base", F.array_sort(F.concat(*[f"_{k}" for k in ROLE])))
-    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    rows = rows.withColumn("_weak", F.concat(*[f"_{k}" for k in WEAK]))
-    rows = rows.withColumn("_weak", F.when(F.size("_weak") > 0, F.filter("_weak", lambda w: ~F.exists(F.col("_base"), lambda b: meets(w, b)))).otherwise(F.col("_weak")))
-    rows = rows.withColumn("_parts", F.array_sort(F.concat("_base", "_weak")))
-    # The interval join: parts lie in every cell that they touch, a weak part looks into those within reach of it.
-    cells = lambda start, end: F.sequence(F.floor(F.greatest(start, F.lit(0)) / CELL).cast("long"), F.floor(end / CELL).cast("long"))
-    used = F.array_distinct(F.flatten(F.transform("_parts", lambda p: cells(p["start"], p["end"]))))
-    rows = rows.withColumn("_used", F.when(F.size("_weak") > 0, used).otherwise(F.array().cast("array<long>")))
-    rows = rows.withColumn("_cells", F.map_from_arrays("_used", F.transform("_used", lambda c: F.filter("_parts", lambda p: F.array_contains(cells(p["start"], p["end"]), c)))))
-    role = F.array(*[F.lit(ROLE.get(k, k)) for k in KINDS])
-
-    def linked(w: Column) -> Column:
-        near = F.flatten(F.filter(F.transform(cells(w["start"] - reach, w["end"] + reach), lambda c: F.try_element_at(F.col("_cells"), c)), lambda a: a.isNotNull()))
-        gap = lambda p: F.greatest(p["start"] - w["end"], w["start"] - p["end"], F.lit(0))
-        between = lambda p: F.substring(text, (F.least(w["end"], p["end"]) + 1).cast("int"), gap(p).cast("int"))
-        return F.exists(near, lambda p: (role[p["kind"]] != role[w["kind"]]) & (gap(p) <= reach) & ~between(p).rlike(r"\n[ \t]*\n"))
-
-    rows = rows.withColumn("_linked", F.when(F.size("_weak") > 0, F.filter("_weak", linked)).otherwise(F.array().cast(SPAN)))
-    return rows
-
-
-def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 200) -> DataFrame:
+    found |= {f"_{k}": _spans(p, KINDS.index(k), guards.get(k)) for k, p in WEAK.items()}
+    rows = rows.withColumns(found).withColumn("_base", F.array_sort(F.concat(*[f"_{k}" for k in ROLE])))
+    secret = (F.size("_assign") > 0) | (F.size("_hex") > 0) | (F.size("_value") > 0)
+    other = (F.size("_access") > 0) | (F.size("_ident") > 0) | (F.size("_endpoint") > 0)
+    weak = F.size("_ident") + F.size("_value") + F.size("_endpoint") > 0
+    rows = rows.withColumn("_ends", F.when(secret & other & weak, _spans(SCOPE_END, len(KINDS))))
+    parts = F.array_sort(F.concat("_base", *[f"_{k}" for k in WEAK], "_ends"))
+    return rows.withColumn("_linked", F.when(F.col("_ends").isNotNull(), _linked(parts)).otherwise(F.array().cast(SPAN)))
+
+
+def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: (id, n_assign, n_access, n_hex, n_weak, base_sha256, spans).
 
     spans lists kind:start:end of strong findings and of linked weak parts by start, then kind; positions are code
-    points, ends exclusive. base_sha256 hashes the strong ones alone, in the same form. reach: code points between
-    two parts that link, if no blank line parts them. A weak part that a strong finding overlaps is left out.
+    points, ends exclusive. base_sha256 hashes the strong ones alone, in the same form. A weak part is linked if its
+    paragraph (blank lines part them) holds a secret and an identifier or endpoint, itself included; it may overlap a
+    strong one, then both are listed.
 
     Null texts count as empty: no spans. Null or repeated ids do not matter, a row is scanned by itself. Very long
     texts are scanned whole. Ties in start are in the order of KINDS. An empty table gives an empty result; further
     columns are not read.
     """
-    rows = _scanned(docs.select(F.col(id_col).alias("_id"), text_column(text_col).alias("_text")), reach)
+    rows = _scanned(docs.select(F.col(id_col).alias("_id"), text_column(text_col).alias("_text")))
     return rows.select(
         F.col("_id").alias(id_col),
         *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in ROLE],
@@ -130,25 +145,27 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-
-def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[secret]", reach: int = 200) -> DataFrame:
+def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[secret]") -> DataFrame:
     """``docs`` with every found span, strong or linked, replaced by ``mask``; overlapping spans are replaced together.
 
     All rows and columns stay as they are otherwise, a null text null.
     """
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.col(f"`{text_col}`").isNull().alias("_no_text"))
-    rows = _scanned(docs.select(others.alias("_row"), text_column(f"`{text_col}`").alias("_text")), reach)
+    rows = _scanned(docs.select(others.alias("_row"), text_column(f"`{text_col}`").alias("_text")))
     rows = rows.withColumn("_spans", F.array_sort(F.concat("_base", "_linked")))
-    # Text so far and where it ends in the input; a span inside what is masked already only moves that end.
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substring(F.col("_text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.struct(F.when(s["start"] >= acc["at"], F.concat(acc["out"], before, F.lit(mask))).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    def rest(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(F.col("_text"), (acc["at"] + 1).cast("int"), F.length("_text")))
-
-    masked = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, step, rest)).otherwise(F.col("_text"))
-    text = F.when(~F.col("_row")["_no_text"], masked).alias(text_col)
+    # A span begins a masked run unless one before it reaches further; the text since the last run's end is kept.
+    reach, kept = _running("transform(_spans, s -> s.end)", "greatest({a}, {b})"), "named_struct('from', a, 'to', s.start)"
+    inner = f"filter(zip_with(concat(array(0L), slice(r, 1, size(r) - 1)), _spans, (a, s) -> {kept}), g -> g.from <= g.to)"
+    gaps = F.expr(f"element_at(transform(array({reach}), r -> concat({inner}, array(named_struct('from', element_at(r, -1), 'to', {1 << 40}L)))), 1)")
+
+    def cut(blocks: Column, g: Column) -> Column:
+        first, last = F.floor(g["from"] / BLOCK).cast("int"), F.least(F.floor((g["to"] - 1) / BLOCK).cast("int"), F.size(blocks))
+        width = F.least(g["to"] - g["from"], F.lit((1 << 31) - 1)).cast("int")
+        near = F.array_join(F.slice(blocks, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+        return F.when(g["to"] > g["from"], F.substring(near, (g["from"] % BLOCK + 1).cast("int"), width)).otherwise("")
+
+    rows = rows.withColumn("_gaps", F.when(F.size("_spans") > 0, gaps))
+    blocks = F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    text = F.when(F.col("_gaps").isNull(), F.col("_text")).otherwise(_let(F.struct(blocks.alias("b"), F.col("_gaps").alias("g")), lambda x: F.array_join(F.transform(x["g"], lambda g: cut(x["b"], g)), mask)))
+    text = F.when(~F.col("_row")["_no_text"], text).alias(text_col)
     return rows.select(*[text if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])
