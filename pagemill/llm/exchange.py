@@ -1,16 +1,24 @@
 """Counting keys over a whole collection and handing every block of documents the totals of its own keys.
 
 Documents are dealt into blocks of bounded size by a hash. A block counts its keys (64-bit hashes of n-grams,
-shingles, ...) and sends them, sorted, as one packed run per range of keys: after this combine a key costs about its
-eight bytes, however often it occurs, and a hot key arrives once per block. A range adds up what it gets and answers
+shingles, ...) and sends them, sorted, as packed runs, one for each range of keys: after this combine a key costs about
+its eight bytes, however often it occurs, and a hot key arrives once per block. A range adds up what it gets and answers
 each block in the order asked, so an answer is totals alone. Nothing is broadcast and nothing of the data's size
 reaches the driver; a block or range that is lost is computed again from its inputs.
+
+With many blocks a run for each range would be too short to pay, so keys travel in levels, as radix sorting deals digits:
+a node of a level stands for a group of blocks and a prefix of the range, gets runs from at most ``width`` nodes of the
+level below (twice that on the last level), adds up equal keys and deals them by the next digit. Every node has about a
+block's keys on every level, so rows and steps are (blocks x width x levels), where levels is the logarithm of the
+number of blocks to a base of ``WIDTH``: two up to 0.5 million blocks, three up to 268 million. Answers go the same way back.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +27,8 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import block_count, stored, text_column
 
+#: Runs that a block or a node sends on, at most.
+WIDTH = 512
 #: What a block tells: for each kind of key its sorted distinct keys and their counts.
 Counted = list[tuple[np.ndarray, np.ndarray]]
 #: Finishes a block: its rows and, aligned with what it counted, the totals of each kind.
@@ -29,11 +39,7 @@ def in_blocks(docs: DataFrame, id_col: str, text_col: str, *extra: Column, block
     """Rows (_block, _id, _text, extra...) and the number of blocks. Rows go by a hash of id and text, so neither an id nor a text that many rows share fills a block."""
     rows = docs.select(F.col(id_col).alias("_id"), text_column(text_col).alias("_text"), *extra)
     blocks = block_count(rows, "_text", block_bytes)
-    return rows.select(F.pmod(F.xxhash64("_id", "_text"), F.lit(blocks)).cast("int").alias("_block"), "*"), blocks
-
-
-def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    return rows.select(F.pmod(F.xxhash64("_id", "_text"), F.lit(blocks)).cast("long").alias("_block"), "*"), blocks
 
 
 def _packed_keys(keys: np.ndarray) -> bytes:
@@ -60,53 +66,125 @@ def _unpacked_counts(data: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data[1:]), f"<u{data[0]}").astype(np.int64)
 
 
-def totals(rows: DataFrame, blocks: int, count: Callable[[pa.Table], Counted]) -> DataFrame:
-    """A stored table (_block, _range, _kind, _totals, _sum, _distinct): answers to blocks, and with _block = -1 each range's sums.
-
-    _sum and _distinct: of a kind's counts the sum, and how many keys have a positive one.
-    """
-    ranges = max(1, blocks // 2)
-
-    def sent(table: pa.Table) -> pa.Table:
-        block, out = table.column("_block")[0].as_py(), []
-        for kind, (keys, counts) in enumerate(count(table)):
-            cuts = np.searchsorted(_range_of(keys, ranges), np.arange(ranges + 1)).tolist()
-            out += [(r, block, kind, b - a, _packed_keys(keys[a:b]), _packed_counts(counts[a:b])) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-        columns = list(zip(*out, strict=True)) or [()] * 6
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["_range", "_block", "_kind", "_n", "_keys", "_counts"])
-
-    def answered(table: pa.Table) -> pa.Table:
-        at, (kinds, blocks_, sizes) = table.column("_range")[0].as_py(), (table.column(c).to_numpy() for c in ("_kind", "_block", "_n"))
-        keys, counts, out = table.column("_keys").to_pylist(), table.column("_counts").to_pylist(), []
-        for kind in np.unique(kinds).tolist():
-            rows_ = np.flatnonzero(kinds == kind).tolist()
-            own = np.concatenate([_unpacked_keys(keys[i], int(sizes[i])) for i in rows_])
-            n = np.concatenate([_unpacked_counts(counts[i]) for i in rows_])
+@dataclass(frozen=True)
+class Fan:
+    """How keys travel: ``width`` digits on each of ``levels`` levels, so width ** levels ranges of keys."""
+
+    levels: int
+    width: int
+
+    @classmethod
+    def of(cls, blocks: int, most: int = WIDTH) -> Fan:
+        ranges, levels = max(1, -(-blocks // 2)), 1
+        while most**levels < ranges:
+            levels += 1
+        width = math.ceil(ranges ** (1 / levels))
+        return cls(levels, width + (width**levels < ranges))
+
+    def above(self, level: int, child: int) -> tuple[int, int]:
+        """Of a node of ``level`` (0: a block) the group that it sends to and the first of the prefixes that it deals to."""
+        group, prefix = divmod(child, self.width**level)
+        return (0 if level + 1 == self.levels else group // self.width), prefix * self.width
+
+    def dealt(self, level: int, child: int, counted: Counted) -> pa.Table:
+        """A node's sorted distinct keys and counts as runs for the nodes of the next level."""
+        group, first = self.above(level, child)
+        out, ranges, below = [], np.uint64(self.width**self.levels), np.uint64(self.width ** (self.levels - level - 1))
+        for kind, (keys, counts) in enumerate(counted):
+            prefix = ((((keys >> np.uint64(32)) * ranges) >> np.uint64(32)) // below).astype(np.int64)
+            cuts = np.searchsorted(prefix, first + np.arange(self.width + 1))
+            for d in np.flatnonzero(np.diff(cuts)).tolist():
+                a, b = cuts[d], cuts[d + 1]
+                out.append((group * self.width ** (level + 1) + first + d, child, kind, b - a, _packed_keys(keys[a:b]), _packed_counts(counts[a:b])))
+        columns = list(zip(*out, strict=True)) or [()] * len(RUN)
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, RUN.values(), strict=True)], list(RUN))
+
+
+RUN = {"_node": pa.int64(), "_child": pa.int64(), "_kind": pa.int32(), "_n": pa.int64(), "_keys": pa.binary(), "_counts": pa.binary()}
+RUN_SCHEMA = "_node long, _child long, _kind int, _n long, _keys binary, _counts binary"
+ANSWER = {"_block": pa.int64(), "_range": pa.int64(), "_kind": pa.int32(), "_totals": pa.binary(), "_sum": pa.int64(), "_distinct": pa.int64()}
+ANSWER_SCHEMA = "_block long, _range long, _kind int, _totals binary, _sum long, _distinct long"
+
+
+class Node:
+    """The runs that a node got, added up."""
+
+    def __init__(self, table: pa.Table):
+        self.at = table.column("_node")[0].as_py()
+        self.children, self.kinds, self.sizes = (table.column(c).to_numpy() for c in ("_child", "_kind", "_n"))
+        keys, counts = table.column("_keys").to_pylist(), table.column("_counts").to_pylist()
+        #: Per kind: the rows of its runs, distinct keys, their sums, and of each key of the runs, end to end, which of the distinct ones it is.
+        self.kind: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for kind in np.unique(self.kinds).tolist():
+            rows = np.flatnonzero(self.kinds == kind)
+            own = np.concatenate([_unpacked_keys(keys[i], int(self.sizes[i])) for i in rows.tolist()])
+            n = np.concatenate([_unpacked_counts(counts[i]) for i in rows.tolist()])
             order = np.argsort(own, kind="stable")  # merges runs that are sorted already
             ordered = own[order]
             fresh = np.r_[True, ordered[1:] != ordered[:-1]]
-            summed = np.add.reduceat(n[order], np.flatnonzero(fresh))
-            each = np.empty(len(own), np.int64)
-            each[order] = summed[np.cumsum(fresh) - 1]
-            out += [(int(blocks_[i]), at, kind, _packed_counts(x), 0, 0) for i, x in zip(rows_, np.split(each, np.cumsum(sizes[rows_])[:-1]), strict=True)]
-            out.append((-1, at, kind, b"", int(summed.sum()), int((summed > 0).sum())))
+            place = np.empty(len(own), np.int64)
+            place[order] = np.cumsum(fresh) - 1
+            self.kind[kind] = rows, ordered[fresh], np.add.reduceat(n[order], np.flatnonzero(fresh)), place
+
+    def counted(self) -> Counted:
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return [self.kind[k][1:3] if k in self.kind else none for k in range(int(self.kinds.max()) + 1)]
+
+    def answers(self, totals: dict[int, np.ndarray], last: bool) -> pa.Table:
+        """What each child asked, from the totals of the distinct keys; the last level also tells each kind's sums, as block -1."""
+        out = []
+        for kind, (rows, _, _, place) in self.kind.items():
+            each = np.split(totals[kind][place], np.cumsum(self.sizes[rows])[:-1])
+            out += [(int(self.children[i]), self.at, kind, _packed_counts(x), 0, 0) for i, x in zip(rows.tolist(), each, strict=True)]
+            if last:
+                out.append((-1, self.at, kind, b"", int(totals[kind].sum()), int((totals[kind] > 0).sum())))
         columns = list(zip(*out, strict=True))
-        types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], ["_block", "_range", "_kind", "_totals", "_sum", "_distinct"])
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, ANSWER.values(), strict=True)], list(ANSWER))
 
-    packed = rows.groupBy("_block").applyInArrow(sent, "_range int, _block int, _kind int, _n int, _keys binary, _counts binary")
-    answers = packed.groupBy("_range").applyInArrow(answered, "_block int, _range int, _kind int, _totals binary, _sum long, _distinct long")
-    return stored(answers, "totals")
 
+def totals(rows: DataFrame, blocks: int, count: Callable[[pa.Table], Counted], width: int = WIDTH) -> DataFrame:
+    """A stored table (_block, _range, _kind, _totals, _sum, _distinct): answers to blocks, and with _block = -1 each range's sums.
 
-def finished(rows: DataFrame, answers: DataFrame, kinds: int, finish: Finish, schema: str) -> DataFrame:
-    """Each block's rows with its totals through ``finish``, which gets them per kind in the order of the block's keys."""
+    _sum and _distinct: of a kind's counts the sum, and how many keys have a positive one.
+    """
+    fan = Fan.of(blocks, width)
+    runs = [rows.groupBy("_block").applyInArrow(lambda t: fan.dealt(0, t.column("_block")[0].as_py(), count(t)), RUN_SCHEMA)]
+    for level in range(1, fan.levels):
+        runs[-1] = stored(runs[-1], "runs")  # read once more on the way back
+        runs.append(runs[-1].groupBy("_node").applyInArrow(_dealer(fan, level), RUN_SCHEMA))
+
+    def summed(table: pa.Table) -> pa.Table:
+        node = Node(table)
+        return node.answers({k: found[2] for k, found in node.kind.items()}, last=True)
+
+    def passed_on(table: pa.Table, back: pa.Table) -> pa.Table:
+        node = Node(table)
+        return node.answers(dict(enumerate(_answered(back, int(node.kinds.max()) + 1))), last=False)
+
+    answers = stored(runs.pop().groupBy("_node").applyInArrow(summed, ANSWER_SCHEMA), "totals")
+    sums = answers.where("_block < 0")
+    while runs:
+        asked = answers.where("_block >= 0")
+        answers = stored(runs.pop().groupBy("_node").cogroup(asked.groupBy("_block")).applyInArrow(passed_on, ANSWER_SCHEMA), "totals")
+    return answers if fan.levels == 1 else answers.unionByName(sums)
+
+
+def _dealer(fan: Fan, level: int) -> Callable[[pa.Table], pa.Table]:
+    def deal(table: pa.Table) -> pa.Table:
+        node = Node(table)
+        return fan.dealt(level, node.at, node.counted())
 
-    def both(table: pa.Table, back: pa.Table) -> pa.Table:
-        order = np.lexsort((back.column("_range").to_numpy(), back.column("_kind").to_numpy()))
-        blobs, kind = back.column("_totals").to_pylist(), back.column("_kind").to_numpy()
-        return finish(table, [np.concatenate([np.zeros(0, np.int64), *(_unpacked_counts(blobs[i]) for i in order if kind[i] == k)]) for k in range(kinds)])
+    return deal
 
+
+def _answered(back: pa.Table, kinds: int) -> list[np.ndarray]:
+    """Of each kind the totals in the order of the keys that were sent."""
+    kind = back.column("_kind").to_numpy()
+    order, blobs = np.lexsort((back.column("_range").to_numpy(), kind)), back.column("_totals").to_pylist()
+    return [np.concatenate([np.zeros(0, np.int64), *(_unpacked_counts(blobs[i]) for i in order.tolist() if kind[i] == k)]) for k in range(kinds)]
+
+
+def finished(rows: DataFrame, answers: DataFrame, kinds: int, finish: Finish, schema: str) -> DataFrame:
+    """Each block's rows with its totals through ``finish``, which gets them per kind in the order of the block's keys."""
     back = answers.where("_block >= 0").select("_block", "_range", "_kind", "_totals")
-    return rows.groupBy("_block").cogroup(back.groupBy("_block")).applyInArrow(both, schema)
+    return rows.groupBy("_block").cogroup(back.groupBy("_block")).applyInArrow(lambda table, back: finish(table, _answered(back, kinds)), schema)

@@ -161,7 +161,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         take = pa.array(doc)
         return pa.Table.from_arrays([table.column("_block").take(take), table.column("_id").take(take), table.column("_hash").take(take), pa.array(starts - block.begins[doc]), pa.array(block.keys[kept].view(np.int64)), pa.array(cut, pa.binary())], ["_block", "_id", "_hash", "_at", "_key", "_context"])
 
-    seen = finished(rows, answers, 1, contexts, f"_block int, _id {id_type}, _hash long, _at long, _key long, _context binary")
+    seen = finished(rows, answers, 1, contexts, f"_block long, _id {id_type}, _hash long, _at long, _key long, _context binary")
     seen = stored(seen, "contexts")
     folded = stored(seen.groupBy("_key", "_context").agg(F.count(F.lit(1)).alias("_n")), "folded")
     variants = folded.groupBy("_key").agg(F.count(F.lit(1)).alias("_variants")).select(rekeyed("_key").alias("_k"), "_variants")

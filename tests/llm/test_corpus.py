@@ -5,6 +5,7 @@ import math
 import random
 import re
 import tracemalloc
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.llm.components import components
-from pagemill.llm.exchange import _packed_counts, _packed_keys, _unpacked_counts, _unpacked_keys
+from pagemill.llm.exchange import Fan, _packed_counts, _packed_keys, _unpacked_counts, _unpacked_keys, finished, totals
 from pagemill.llm.lattice import Lattice, _units, _verified, e8, near_vectors, neighbours
 from pagemill.llm.lm_score import lm_score
 from pagemill.llm.ngram_join import shingle_sets, similar_texts, spanning_links
@@ -77,6 +78,48 @@ def test_packed_runs():
             assert (_unpacked_counts(_packed_counts(counts)) == counts).all()
 
 
+def test_rows_and_steps_grow_with_the_blocks():
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**64, 3000, dtype=np.uint64, endpoint=False))
+    sent = {}
+    for blocks in (10, 1_000, 100_000, 25_000_000):
+        fan = Fan.of(blocks)
+        assert fan.width <= 512 and fan.width**fan.levels >= blocks / 2
+        rows, nodes = 0, {blocks - 1}
+        for level in range(fan.levels):  # follow one block up; every node of a level has about as many keys as a block
+            node = max(nodes)
+            first = fan.above(level, node)[1] if level else 0
+            below, ranges = fan.width ** (fan.levels - level), fan.width**fan.levels
+            own = np.sort(((keys >> np.uint64(32)) // np.uint64(max(1, ranges // below)) + np.uint64((first // fan.width) * below * (2**32 // ranges))) << np.uint64(32)) if level else keys
+            table = fan.dealt(level, node, [(np.unique(own), np.ones(len(np.unique(own)), np.int64))])
+            rows += table.num_rows
+            nodes = set(table.column("_node").to_pylist())
+            assert len(nodes) == table.num_rows <= fan.width
+        sent[blocks] = rows
+    assert sent[100_000] <= 3 * 512 and sent[25_000_000] <= 3 * 512  # per block: 50,000 with a run for each range
+
+
+@pytest.mark.parametrize("width", [2, 3, 512])
+def test_exchange_levels(spark, width):
+    rows = [(i % 23, i, f"k{i % 37} k{i % 5} k0") for i in range(400)]
+    df = spark.createDataFrame(rows, "_block long, _id long, _text string")
+    key = lambda w: zlib.crc32(w.encode()) << 32 | 7
+
+    def counted(table):
+        found = [Counter(key(w) for t in table.column("_text").to_pylist() for w in t.split()), Counter(key(t) for t in table.column("_text").to_pylist())]
+        return [(np.array(sorted(c), np.uint64), np.array([c[k] for k in sorted(c)], np.int64)) for c in found]
+
+    def finish(table, back):
+        words, texts = counted(table)
+        of = [dict(zip(k.tolist(), b.tolist(), strict=True)) for (k, _), b in zip((words, texts), back, strict=True)]
+        return pa.table({"_id": table.column("_id"), "_sum": [sum(of[0][key(w)] for w in t.split()) * 1000 + of[1][key(t)] for t in table.column("_text").to_pylist()]})
+
+    answers = totals(df, 23, counted, width)
+    got = {r._id: r._sum for r in finished(df, answers, 2, finish, "_id long, _sum long").collect()}
+    words, texts = Counter(w for r in rows for w in r[2].split()), Counter(r[2] for r in rows)
+    assert got == {i: sum(words[w] for w in t.split()) * 1000 + texts[t] for _, i, t in rows}
+    assert [tuple(r) for r in answers.where("_block < 0").groupBy("_kind").agg(F.sum("_sum"), F.sum("_distinct")).orderBy("_kind").collect()] == [(0, 1200, len(words)), (1, 400, len(texts))]
+
+
 # Vectors
 
 
