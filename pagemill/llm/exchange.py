@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,24 +36,43 @@ Finish = Callable[[pa.Table, list[np.ndarray]], pa.Table]
 
 
 def in_blocks(docs: DataFrame, id_col: str, text_col: str, *extra: Column, block_bytes: int = 4 << 20) -> tuple[DataFrame, int]:
-    """Rows (_block, _id, _text, extra...) and the number of blocks. Rows go by a hash of id and text, so neither an id nor a text that many rows share fills a block."""
+    """Rows (_block, _id, _text, extra...) and the number of blocks; ``texts_of`` reads _text, which travels compressed.
+
+    Rows go by a hash of id and text, so neither an id nor a text that many rows share fills a block.
+    """
     rows = docs.select(F.col(id_col).alias("_id"), text_column(text_col).alias("_text"), *extra)
     blocks = block_count(rows, "_text", block_bytes)
-    return rows.select(F.pmod(F.xxhash64("_id", "_text"), F.lit(blocks)).cast("long").alias("_block"), "*"), blocks
+    rows = rows.select(F.pmod(F.xxhash64("_id", "_text"), F.lit(blocks)).cast("long").alias("_block"), F.encode("_text", "utf-8").alias("_text"), *[c for c in rows.columns if c != "_text"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 1)
+        for batch in batches:
+            texts = [len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), *batch.columns[2:]], batch.schema.names)
+
+    return rows.mapInArrow(packed, rows.schema), blocks
+
+
+def texts_of(table: pa.Table) -> list[bytes]:
+    """The texts of a block in UTF-8."""
+    codec = pa.Codec("zstd")
+    return [codec.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) for x in table.column("_text").to_pylist()]
 
 
 def _packed_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as the low six bytes of each gap, then the rest of the gaps, nearly all zero, deflated."""
-    gaps = np.diff(keys, prepend=np.uint64(0))
-    low = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-    return low + zlib.compress((gaps >> np.uint64(48)).astype("<u2").tobytes(), 1)
+    """Sorted keys as the low six bytes of each gap, then the rest of the gaps, nearly all zero, deflated; without their last byte if it is zero in all."""
+    short = not (keys & np.uint64(255)).any()
+    gaps, width = np.diff(keys >> np.uint64(8 * short), prepend=np.uint64(0)), 6 - short
+    low = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    return bytes([width]) + low + zlib.compress((gaps >> np.uint64(8 * width)).astype("<u4").tobytes(), 1)
 
 
 def _unpacked_keys(data: bytes, n: int) -> np.ndarray:
+    width = data[0]
     gaps = np.zeros((n, 8), np.uint8)
-    gaps[:, :6] = np.frombuffer(data, np.uint8, 6 * n).reshape(n, 6)
-    high = np.frombuffer(zlib.decompress(data[6 * n :]), "<u2").astype(np.uint64)
-    return np.cumsum(gaps.view("<u8")[:, 0] + (high << np.uint64(48)), dtype=np.uint64)
+    gaps[:, :width] = np.frombuffer(data, np.uint8, width * n, 1).reshape(n, width)
+    high = np.frombuffer(zlib.decompress(data[1 + width * n :]), "<u4").astype(np.uint64)
+    return np.cumsum(gaps.view("<u8")[:, 0] + (high << np.uint64(8 * width)), dtype=np.uint64) << np.uint64(8 * (6 - width))
 
 
 def _packed_counts(counts: np.ndarray) -> bytes:

@@ -2,10 +2,9 @@
 
 States are the histories (up to order - 1 tokens) that occur in training, with the empty history as root. A state has
 an arc for every token that followed it in training, weighted with the smoothed log10 probability, and a failure arc
-to the next shorter history, weighted with the mass it leaves over. A text is scored in one pass from left to right:
-while the state has no arc for the token the failure arc is taken, then the arc, and all weights add up. An n-gram's
-history and suffix occur wherever it does, so the state before a token is the longest n-gram seen in training that
-ends there; the pass therefore carries states as arrays, over all texts of a block at once.
+to the next shorter history, weighted with the mass it leaves over. A text is scored in one traversal from left to
+right that carries a state: while the state has no arc for the token the failure arc is taken, then the arc, and all
+weights add up. The texts of a block are read side by side, token position by token position; long ones in lanes.
 
 Smoothing. p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)), and for a history h with shorter history h'
 p(w | h) = (c(h w) + strength p(w | h')) / (c(h) + strength), so failure arcs weigh strength / (c(h) + strength).
@@ -23,10 +22,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import mix64
-from pagemill.llm.exchange import finished, in_blocks, totals
+from pagemill.llm.common import distinct, mix64
+from pagemill.llm.exchange import finished, in_blocks, texts_of, totals
 
 SHIFT = np.uint64(0x9E3779B97F4A7C15)
+#: The bits of an n-gram's key that travel, of more than one token: 56.
+KEPT = np.uint64(2**64 - 256)
+#: Tokens that a lane reads.
+LANE = 512
 #: Local ids of the marks before and after a text.
 START, END = 0, 1
 
@@ -34,8 +37,8 @@ START, END = 0, 1
 class Grams:
     """A block's token sequence, each text between the two marks, and its distinct n-grams."""
 
-    def __init__(self, texts: list[str], learned: np.ndarray, order: int):
-        lists = [x.encode("utf-8", "replace").lower().split() for x in texts]  # bytes: A-Z alone, ASCII white space alone
+    def __init__(self, texts: list[bytes], learned: np.ndarray, order: int):
+        lists = [x.lower().split() for x in texts]  # bytes: A-Z alone, ASCII white space alone
         self.sizes = np.array([len(x) for x in lists], np.int64)
         words = pa.array([w for ws in lists for w in ws], pa.binary()).dictionary_encode()
         # Marks hash like words that no text can have, as they hold white space.
@@ -61,7 +64,7 @@ class Grams:
             self.at.append(at)
             self.history.append(history)
             self.last.append(last)
-            self.keys.append(mix64(self.keys[-1][history] * SHIFT + hashes[last] + np.uint64(k)))
+            self.keys.append(mix64(self.keys[-1][history] * SHIFT + hashes[last] + np.uint64(k)) & KEPT)
             self.counts.append(np.bincount(inverse, train[here], len(codes)).astype(np.int64))
 
     def counted(self) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -78,7 +81,7 @@ class Grams:
         count = [np.empty(0)] * len(self.keys)
         for k, keys in enumerate(self.keys):
             own = keys[1:] if k == 0 else keys
-            count[k] = found[k][np.searchsorted(np.unique(own), own)]
+            count[k] = found[k][np.searchsorted(distinct(own), own)]
         count[0] = np.r_[texts_learned, count[0]]  # a text's start is the history of its first token
         base = (count[0] + 0.5) / (n + 0.5 * (v + 1))
         base_log, scored = np.log10(base), self.at[0] != START
@@ -86,8 +89,7 @@ class Grams:
         tokens = self.tokens[scored]
         known = np.bincount(texts, count[0][tokens] > 0, len(self.lengths)).astype(np.int64)
         base_score = np.bincount(texts, base_log[tokens], len(self.lengths))
-        steps = Automaton(self, count, base, strength).steps()
-        return known, base_score, np.bincount(texts, steps[scored], len(self.lengths))
+        return known, base_score, Automaton(self, count, base, strength).scores()
 
 
 class Automaton:
@@ -99,7 +101,7 @@ class Automaton:
     """
 
     def __init__(self, grams: Grams, count: list[np.ndarray], base: np.ndarray, strength: float):
-        self.at = grams.at
+        self.at, self.ends, self.lengths = grams.at, grams.ends, grams.lengths
         p, self.arc, self.backoff, self.seen = base, [np.log10(base)], [], []
         for k in range(1, len(grams.keys)):
             p = (count[k] + strength * p[grams.suffix[k]]) / (count[k - 1][grams.history[k]] + strength)
@@ -108,26 +110,48 @@ class Automaton:
             self.seen.append(n > 0)
             self.backoff.append(np.log10(strength / (n + strength)))
 
-    def steps(self) -> np.ndarray:
-        """At each position of the sequence the weights taken to read its token: failure arcs, then the arc."""
-        order = len(self.arc)
-        longest = np.zeros(len(self.at[0]), np.int64)  # of the n-grams seen in training that end here; 0: the root
-        for k, at in enumerate(self.at):
-            longest[(at >= 0) & self.seen[k][at]] = k + 1
-        state = np.minimum(np.append(0, longest[:-1]), order - 1)
-        total = self.arc[0][self.at[0]]  # the root has an arc for every token
-        for k in range(1, order):
-            here = longest > k
-            total[here] = self.arc[k][self.at[k][here]]
-        before = np.arange(len(state)) - 1
-        for k in range(1, order):
-            # A state of k tokens fails unless it has an arc for the token, an n-gram of k + 1.
-            here = (state >= k) & (longest <= k)
-            total[here] += self.backoff[k - 1][self.at[k - 1][before[here]]]
-        return total
-
-
-def lm_score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2, strength: float = 8.0, block_bytes: int = 4 << 20) -> DataFrame:
+    def read(self, size: np.ndarray, here: np.ndarray) -> np.ndarray:
+        """Reads the tokens at ``here``, one a lane, from states of ``size`` tokens, which it moves on; returns the weights taken."""
+        top, weight = len(self.arc) - 1, np.zeros(len(here))
+        for k in range(top, 0, -1):  # states of k tokens without an arc for the token, an n-gram of k + 1, fail to their suffix
+            gram = self.at[k][here]
+            fails = np.flatnonzero((size == k) & ~((gram >= 0) & self.seen[k][gram]))
+            weight[fails] += self.backoff[k - 1][self.at[k - 1][here[fails] - 1]]
+            size[fails] = k - 1
+        for k in range(top, -1, -1):  # lanes move on to a size that is done already
+            lanes = np.flatnonzero(size == k)
+            gram = self.at[k][here[lanes]]
+            weight[lanes] += self.arc[k][gram]
+            # The root has an arc for every token; one that was never seen leads back to it.
+            size[lanes] = np.minimum(k + 1, top) if k else self.seen[0][gram]
+        return weight
+
+    def scores(self) -> np.ndarray:
+        """Of each text the sum of weights from its first token to its end, all lanes read side by side from left to right.
+
+        A long text has several lanes. A lane that does not begin a text first reads, unweighted, as many tokens as a
+        state can hold, after which its state is the one that a reader from the beginning would be in.
+        """
+        warm = len(self.arc) - 1
+        counts = -(-(self.lengths - 1) // LANE)
+        text = np.repeat(np.arange(len(counts)), counts)
+        begins = (self.ends - self.lengths)[text]
+        first = begins + 1 + (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)) * LANE
+        last = np.minimum(first + LANE, self.ends[text])
+        here = np.maximum(begins, first - warm)
+        size, total = np.zeros(len(text), np.int64), np.zeros(len(text))
+        lanes = np.argsort(here - last, kind="stable")  # the longest first, so that those still reading are a prefix
+        here, first, last, size = here[lanes], first[lanes], last[lanes], size[lanes]
+        left = last - here
+        for step in range(int(left.max(initial=0))):
+            n = int(np.searchsorted(-left, -step, side="left"))  # lanes with more than ``step`` tokens
+            now, state = here[:n] + step, size[:n]
+            weight = self.read(state, now)
+            total[:n] += np.where(now >= first[:n], weight, 0)
+        return np.bincount(text[lanes], total, len(counts))
+
+
+def lm_score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 3, strength: float = 8.0, block_bytes: int = 4 << 20) -> DataFrame:
     """One row per row of ``docs``: (id, learned, n_tokens, n_known, train_tokens, base_score, score), scores in log10.
 
     Tokens: the words between ASCII white space with A-Z lowered, and one end mark. The model is learned from the rows
@@ -138,7 +162,7 @@ def lm_score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
     if order < 2:
         raise ValueError("order must be 2 at least")
     rows, blocks = in_blocks(docs, id_col, text_col, F.coalesce(learn, F.lit(False)).alias("_learn"), block_bytes=block_bytes)
-    grams = lambda t: Grams(t.column("_text").to_pylist(), np.array(t.column("_learn").to_pylist(), bool), order)
+    grams = lambda t: Grams(texts_of(t), np.array(t.column("_learn").to_pylist(), bool), order)
     answers = totals(rows, blocks, lambda t: grams(t).counted())
     n, v = answers.where("_block = -1 AND _kind = 0").agg(F.coalesce(F.sum("_sum"), F.lit(0)), F.coalesce(F.sum("_distinct"), F.lit(0))).first()
     learned = docs.where(learn).count()

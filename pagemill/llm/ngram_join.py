@@ -29,9 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import mix64, rekeyed, stored
+from pagemill.llm.common import distinct, mix64, rekeyed, stored
 from pagemill.llm.components import components
-from pagemill.llm.exchange import finished, in_blocks, totals
+from pagemill.llm.exchange import finished, in_blocks, texts_of, totals
 
 #: Shingles below this hash are counted: a quarter of them.
 COUNTED = np.uint64(1 << 62)
@@ -44,12 +44,12 @@ BATCH = 500_000
 RELEASE = 64
 
 
-def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     """Of each text the sorted distinct hashes of its runs of ``width`` words; of fewer words one for all; of none an empty array.
 
-    Words: A-Z lowered, parted by ASCII white space.
+    Texts are UTF-8. Words: A-Z lowered, parted by ASCII white space.
     """
-    lists = [x.encode("utf-8", "replace").lower().split() for x in texts]
+    lists = [x.lower().split() for x in texts]
     words = pa.array([w for ws in lists for w in ws], pa.binary()).dictionary_encode()
     hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words.dictionary.to_pylist()], np.uint64)
     seq = hashes[words.indices.to_numpy()] if len(hashes) else np.zeros(0, np.uint64)
@@ -64,7 +64,7 @@ def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     grams, out, at = joined(seq, width), [], 0
     for ws in lists:
         n = len(ws)
-        out.append(np.unique(grams[at : at + n - width + 1] if n >= width else joined(seq[at : at + n], n) if n else seq[:0]))
+        out.append(distinct(grams[at : at + n - width + 1] if n >= width else joined(seq[at : at + n], n) if n else seq[:0]))
         at += n
     return out
 
@@ -90,7 +90,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ratio = percent / 100
     step = -math.log(ratio) + 1e-9 if percent < 100 else 1e-3
     rows, blocks = in_blocks(docs, id_col, text_col, block_bytes=block_bytes)
-    sets_of = lambda t: shingle_sets(t.column("_text").to_pylist(), width)
+    sets_of = lambda t: shingle_sets(texts_of(t), width)
 
     def counted(sets: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
         return [np.unique(np.concatenate([np.zeros(0, np.uint64), *(s[: np.searchsorted(s, COUNTED)] for s in sets)]), return_counts=True)]

@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import merged_runs, rekeyed, stored
-from pagemill.llm.exchange import finished, in_blocks, totals
+from pagemill.llm.common import distinct, merged_runs, rekeyed, stored, text_column
+from pagemill.llm.exchange import finished, in_blocks, texts_of, totals
 from pagemill.llm.suffixes import adjacent_prefixes, hashes, suffix_array
 
 GRAM = 32
@@ -40,9 +40,8 @@ PARTS = (64, 8)
 class Block:
     """The texts of a block end to end, and the runs of string starts that share an anchor."""
 
-    def __init__(self, texts: list[str], length: int):
+    def __init__(self, parts: list[bytes], length: int):
         gram = min(GRAM, length)
-        parts = [x.encode("utf-8", "replace") for x in texts]
         self.data = np.frombuffer(b"".join(parts), np.uint8)
         self.sizes = np.array([len(p) for p in parts], np.int64)
         self.begins = np.cumsum(self.sizes) - self.sizes
@@ -144,15 +143,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     and repeated ids are carried along: rows are told apart by id and text, and equal rows are copies of each other.
     Texts shorter than ``length`` stay whole. Other columns are not read; an empty table gives an empty result.
     """
-    rows, blocks = in_blocks(docs, id_col, text_col, block_bytes=block_bytes)
-    rows = rows.withColumn("_hash", F.xxhash64("_text"))
+    rows, blocks = in_blocks(docs, id_col, text_col, F.xxhash64(text_column(text_col)).alias("_hash"), block_bytes=block_bytes)
     id_type = rows.schema["_id"].dataType.simpleString()
-    block_of = lambda t: Block(t.column("_text").to_pylist(), length)
+    block_of = lambda t: Block(texts_of(t), length)
     answers = totals(rows, blocks, lambda t: block_of(t).counted())
 
     def contexts(table: pa.Table, found: list[np.ndarray]) -> pa.Table:
         block = block_of(table)
-        keys = np.unique(block.keys)
+        keys = distinct(block.keys)
         kept = np.flatnonzero(found[0][np.searchsorted(keys, block.keys)] > 1) if len(keys) else np.zeros(0, np.int64)
         starts, ends = block.starts[kept], block.ends[kept]
         doc = np.searchsorted(block.begins + block.sizes, starts, side="right")
@@ -211,8 +209,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             own[key].append(i)
         begin, end = spans.column("_begin").to_numpy(), spans.column("_end").to_numpy()
         out = []
-        for key in zip(*(table.column(c).to_pylist() for c in ("_id", "_hash", "_text")), strict=True):
-            data, at = key[2].encode("utf-8", "replace"), own.get(key[:2], [])
+        for key in zip(*(table.column(c).to_pylist() for c in ("_id", "_hash")), texts_of(table), strict=True):
+            data, at = key[2], own.get(key[:2], [])
             a, b = merged_runs(begin[at], end[at]) if at else (np.zeros(0, np.int64),) * 2
             a, b = a.tolist(), b.tolist()
             kept = b"".join(data[x:y] for x, y in zip([0, *b], [*a, len(data)], strict=True)) if a else data
