@@ -107,7 +107,7 @@ class Automaton:
             p = (count[k] + strength * p[grams.suffix[k]]) / (count[k - 1][grams.history[k]] + strength)
             self.arc.append(np.log10(p))
         for n in count:
-            self.seen.append(n > 0)
+            self.seen.append(np.append(n > 0, False))  # the last: n-grams that would begin before the text, -1
             self.backoff.append(np.log10(strength / (n + strength)))
 
     def read(self, size: np.ndarray, here: np.ndarray) -> np.ndarray:
@@ -115,7 +115,7 @@ class Automaton:
         top, weight = len(self.arc) - 1, np.zeros(len(here))
         for k in range(top, 0, -1):  # states of k tokens without an arc for the token, an n-gram of k + 1, fail to their suffix
             gram = self.at[k][here]
-            fails = np.flatnonzero((size == k) & ~((gram >= 0) & self.seen[k][gram]))
+            fails = np.flatnonzero((size == k) & ~self.seen[k][gram])
             weight[fails] += self.backoff[k - 1][self.at[k - 1][here[fails] - 1]]
             size[fails] = k - 1
         for k in range(top, -1, -1):  # lanes move on to a size that is done already
