@@ -9,8 +9,8 @@ adjacent classes. Each entry is tied to its list's first set, which leaves as ma
 ties hold all candidates together.
 
 Join. Inside such a candidate group the lists are inverted again, locally, with entries in the order of size. Index
-skipping: only the block of list positions whose sizes are within the bound is read. Answer skipping: the overlaps of
-a set R with all others are derived from those of the most similar set P done before, by subtracting the lists of
+skipping: of each list only the block of positions whose sizes are within the bound is read, between two searched
+positions. Answer skipping: the overlaps of a set R with those after it are derived from those of the most similar set P done before, by subtracting the lists of
 P minus R and adding those of R minus P; rows of overlaps go once no set to come has theirs as its P. Groups too large
 for a task, in shingles or in sets, are dealt into chunks by size class and hash, and each pair of chunks of the same
 or adjacent classes is a task: every pair of sets is compared somewhere.
@@ -42,6 +42,8 @@ SETS = 2_000
 #: Shingles in a batch of tasks, and sets between two releases of overlap rows.
 BATCH = 500_000
 RELEASE = 64
+#: Bytes of overlap rows that a task holds.
+ROWS = 32 << 20
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -190,51 +192,92 @@ def _joined(table: pa.Table, percent: int) -> pa.Table:
     return pa.Table.from_arrays([pa.array([e[0] for e in edges], kind), pa.array([e[1] for e in edges], kind)], ["a", "b"])
 
 
-def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs (i, j) of ``sets`` with 100 |i and j| >= percent |i or j|."""
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    sizes = np.array([len(sets[i]) for i in order], np.int64)
-    owner = np.repeat(np.arange(len(order)), sizes)
-    tokens, local = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
-    by_token = np.argsort(local, kind="stable")
-    entries, lengths = owner[by_token], np.bincount(local, minlength=len(tokens))
-    begins = np.cumsum(lengths) - lengths
-    shared = lengths > 1  # what a single set holds adds to no overlap
-    offsets = np.cumsum(sizes) - sizes
-    held = [(x := local[o : o + n])[shared[x]] for o, n in zip(offsets.tolist(), sizes.tolist(), strict=True)]
-
-    def counts(of: np.ndarray) -> np.ndarray:
-        """How many of these tokens each set holds: their lists, added up."""
-        n = lengths[of]
+class Lists:
+    """Inverted lists of ``sets``, which are in order of size, so that a list's entries are too: a bound on sizes is a block of positions."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.count, self.read = len(sets), 0
+        sizes = np.array([len(s) for s in sets], np.int64)
+        tokens, local = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+        offsets = np.cumsum(sizes) - sizes
+        shared = np.bincount(local, minlength=len(tokens)) > 1  # what a single set holds adds to no overlap
+        #: Of each set the tokens that others hold too.
+        self.held = [(x := local[o : o + n])[shared[x]] for o, n in zip(offsets.tolist(), sizes.tolist(), strict=True)]
+        lengths = np.array([len(x) for x in self.held], np.int64)
+        #: All entries as (token, set), sorted.
+        self.entries = np.sort(np.concatenate([np.zeros(0, np.int64), *self.held]) * self.count + np.repeat(np.arange(self.count), lengths))
+
+    def block(self, tokens: np.ndarray, low: int, high: int) -> np.ndarray:
+        """The sets low..high-1 in the lists of ``tokens``, one after the other; only this block of each list's positions is read."""
+        begin, end = np.searchsorted(self.entries, tokens * self.count + low), np.searchsorted(self.entries, tokens * self.count + high)
+        n = end - begin
         ends = np.cumsum(n)
-        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[of] - (ends - n), n)
-        return np.bincount(entries[places], minlength=len(order))
+        total = int(ends[-1]) if len(ends) else 0
+        self.read += total
+        return self.entries[np.arange(total) + np.repeat(begin - (ends - n), n)] % self.count
+
+
+def _added(ids: list[np.ndarray], weights: list[np.ndarray], low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids in low..high-1, sorted, with their summed weights where these are positive."""
+    at, weight = np.concatenate(ids), np.concatenate(weights)
+    if len(at) < (high - low) // 16:
+        found, inverse = np.unique(at, return_inverse=True)
+        total = np.bincount(inverse, weight, len(found))
+        return found[total > 0], total[total > 0].astype(np.int64)
+    total = np.bincount(at - low, weight, high - low)
+    found = np.flatnonzero(total > 0)
+    return found + low, total[found].astype(np.int64)
+
 
-    overlap: dict[int, np.ndarray] = {}
+def spanning_links(sets: list[np.ndarray], percent: int, lists: list[Lists] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs (i, j) of ``sets`` with 100 |i and j| >= percent |i or j|. lists: gets the lists that were read.
+
+    Memory: the lists, one row of overlaps at a time, and at most ROWS bytes of rows that later sets may derive theirs from.
+    """
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    sizes = np.array([len(sets[i]) for i in order], np.int64)
+    index = Lists([sets[i] for i in order])
+    if lists is not None:
+        lists.append(index)
+    held = index.held
+    # Sets further on are not smaller; those past what the size bound allows are in no block that is read.
+    stops = np.searchsorted(sizes, sizes * 100 // percent, side="right")
+    rows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    stored_bytes = 0
     nearest, best = np.full(len(order), -1), np.zeros(len(order), np.int64)
     root = np.arange(len(order))
     forest = []
     for r in range(len(order)):
         if r % RELEASE == 0:
-            needed = set(np.unique(nearest[r:]).tolist())
-            overlap = {k: row for k, row in overlap.items() if k in needed}
-        p = int(nearest[r])
-        if p >= 0 and len(held[p]) + len(held[r]) - 2 * best[r] < len(held[r]):
+            needed = np.zeros(len(order) + 1, bool)  # the last: nearest to none
+            needed[nearest[r:]] = True
+            rows = {k: row for k, row in rows.items() if needed[k]}
+            stored_bytes = sum(ids.nbytes + n.nbytes for ids, n in rows.values())
+        low, high, p = r + 1, int(stops[r]), int(nearest[r])
+        if high <= low or not len(held[r]):
+            continue
+        if p in rows and len(held[p]) + len(held[r]) - 2 * best[r] < len(held[r]):
+            # P's answers as far as they go, less what only P holds, plus what only R holds; R's own lists beyond.
             gone, new = np.setdiff1d(held[p], held[r], assume_unique=True), np.setdiff1d(held[r], held[p], assume_unique=True)
-            row = overlap[p] - counts(gone) + counts(new)
+            middle = min(max(low, int(stops[p])), high)
+            known = slice(*np.searchsorted(rows[p][0], (low, middle)))
+            ids = [rows[p][0][known], index.block(gone, low, middle), index.block(new, low, middle), index.block(held[r], middle, high)]
+            weights = [rows[p][1][known], np.full(len(ids[1]), -1), np.ones(len(ids[2])), np.ones(len(ids[3]))]
         else:
-            row = counts(held[r])
-        # Sets further on are not smaller; those past the block that the size bound allows are skipped.
-        stop = np.searchsorted(sizes, sizes[r] * 100 // percent, side="right")
-        later = slice(r + 1, max(r + 1, stop))
-        both = row[later]
-        for s in np.flatnonzero(100 * both >= percent * (sizes[r] + sizes[later] - both)).tolist():
-            s += r + 1
+            ids = [index.block(held[r], low, high)]
+            weights = [np.ones(len(ids[0]))]
+        met, both = _added(ids, weights, low, high)
+        found = met[100 * both >= percent * (sizes[r] + sizes[met] - both)]
+        for s in found[root[found] != root[r]].tolist():
             if root[s] != root[r]:
                 forest.append((int(order[r]), int(order[s])))
                 root[root == root[s]] = root[r]
-        closer = row > best
-        closer[: r + 1] = False
-        nearest[closer], best[closer] = r, row[closer]
-        overlap[r] = row.astype(np.int32)
+        closer = both > best[met]
+        if closer.any():
+            nearest[met[closer]], best[met[closer]] = r, both[closer]
+            rows[r] = met.astype(np.int32), both.astype(np.int32)
+            stored_bytes += 2 * rows[r][0].nbytes
+            while stored_bytes > ROWS:  # whoever would have derived from the oldest reads its own lists
+                ids, n = rows.pop(next(iter(rows)))
+                stored_bytes -= ids.nbytes + n.nbytes
     return forest

@@ -298,11 +298,39 @@ def test_overlap_rows_are_released():
     assert len(forest) == 2700 and peak < 2 * len(sets) ** 2
 
 
-def test_skipping_loses_no_link():
+def test_small_sets_in_one_group_stay_within_memory():
+    sets = [np.array([i, 2**40 + i % 16_000], np.uint64) for i in range(20_000)]
+    tracemalloc.start()
+    forest = spanning_links(sets, 90)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert forest == [] and peak < 64 << 20  # a matrix of overlaps would take 1.6 GB
+    hot = [np.array([2**41, i], np.uint64) for i in range(3_000)] + [np.array([2**41, 1], np.uint64)]  # one token in every list
+    assert spanning_links(hot, 90) == [(1, 3_000)]
+
+
+def test_only_blocks_of_positions_are_read():
+    # A token that all sets hold, sizes from 10 to 409: a set's block holds the next tenth of sizes only.
+    rng = np.random.default_rng(5)
+    sets = [np.unique(np.r_[np.uint64(7), rng.integers(8, 2**63, n - 1).astype(np.uint64)]) for n in range(10, 410)]
+    lists = []
+    assert spanning_links(sets, 90, lists) == []
+    assert 0 < lists[0].read <= sum(min(n * 100 // 90, 409) - n for n in range(10, 410)) < len(sets) ** 2 / 16
+    # Near copies: all but the first derive their answers, from lists of the few tokens that differ.
+    base = np.sort(rng.integers(0, 2**63, 400).astype(np.uint64))
+    near = [np.unique(np.r_[np.delete(base, i), np.uint64(i)]) for i in range(200)]
+    assert len(spanning_links(near, 90, lists)) == 199
+    assert lists[1].read < 5 * 200 * 400 < 200 * 200 * 400 / 2
+
+
+def test_skipping_loses_no_link(monkeypatch):
+    import pagemill.llm.ngram_join as module
+
     rng = random.Random(7)
     for _ in range(30):
         texts = [t for _ in range(3) for t in family(rng, [f"w{i}" for i in range(50)], 8, rng.choice([5, 40]), 4)]
         sets = shingle_sets([t.encode() for t in texts], 3)
+        monkeypatch.setattr(module, "ROWS", rng.choice([0, 200, 1 << 20]))
         forest = spanning_links(sets, 80)
         assert roots(len(sets), forest) == jaccard_roots([set(s.tolist()) for s in sets], 80)
 
