@@ -3,21 +3,21 @@
 Documents become token pieces of at most ``capacity`` tokens. The covering program "minimise the number of sequences
 such that every length is covered as often as it occurs" has one variable per configuration (multiset of lengths that
 fits). Its dual prices, one per length, are updated multiplicatively: each round prices configurations with an
-unbounded-knapsack dynamic program over the capacity, uses them on that round's share of the demand, and raises the
-prices of lengths that stayed uncovered. The fractional solution is rounded down; what is left is filled with priced
-configurations again, whole numbers at a time, and the last pieces by best fit decreasing.
+unbounded-knapsack dynamic program over the capacity, uses them on the demand, and raises the prices of lengths that
+stayed uncovered. The fractional plan covers all demand; it is rounded down, and what that leaves, less than one use
+of each configuration, is placed by best fit decreasing. The plan's excess over the dual bound does not grow with the corpus.
 
 Scale. Tokens are counted once, where the text is read; from then on only (id, piece, length, crc) rows move. The
 driver sees the histogram alone, at most ``capacity`` numbers whatever the corpus. Pieces of one length are numbered
 with a two-level count (bucket, then rank inside the bucket), so a length that a third of all pieces share is numbered
-in parallel. The plan that goes to the executors has a bounded number of segments: rounds x lengths x pieces per
-configuration.
+in parallel. The plan that goes to the executors has a bounded number of segments: a small multiple of lengths x
+pieces per configuration. Solving the program takes some seconds on the driver, the same for any corpus.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +28,6 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import stored, text_column
 from pagemill.llm.words import word_tokens
 
-#: Pieces that best fit decreasing places, at most.
-ONE_BY_ONE = 20_000
 PIECES = "{id} {id_type}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -65,121 +63,147 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     return rows.mapInArrow(pieces, schema).withColumnRenamed("_id", id_col)
 
 
-def _priced(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knapsack over capacities 0..C with unlimited items: at each the item taken last (0: none), and the next capacity at or below with one.
+def _priced(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Knapsack over capacities 0..C with unlimited items, by dynamic programming.
 
-    Of configurations worth the same those of fewer pieces are taken: they are easier to supply, and short.
+    Returns at each capacity the item taken last (0: none), the next capacity at or below with one, and the greatest
+    value. Of configurations worth the same those of fewer pieces are taken: they are easier to supply, and short.
     """
     top = len(value) - 1
-    value = value - 1e-7
-    best, item = np.zeros(top + 1), np.zeros(top + 1, np.int64)
-    back = np.zeros(top + 1)  # best, reversed: the values at c-1, c-2, ..., 0 lie together
-    for c in range(1, top + 1):
-        taken = value[1 : c + 1] + back[top - c + 1 :]
-        k = int(taken.argmax())
-        if taken[k] > best[c - 1]:
-            best[c], item[c] = taken[k], k + 1
-        else:
-            best[c] = best[c - 1]
-        back[top - c] = best[c]
+    value = (value - 1e-6).astype(np.float32)
+    best, item = np.zeros(top + 1, np.float32), np.zeros(top + 1, np.int64)
+    lengths = np.flatnonzero(value > 0)
+    step = int(lengths[0]) if len(lengths) else top + 1
+    if len(lengths) < 400 and step >= 8:  # as many capacities at once as no item among them depends on
+        known = np.full(2 * top + 1, -np.inf, np.float32)  # from the middle on: best
+        known[top : top + step] = 0
+        for c in range(step, top + 1, step):
+            taken = known[top + np.arange(c, min(c + step, top + 1))[:, None] - lengths] + value[lengths]
+            k = taken.argmax(1)
+            most = np.maximum.accumulate(np.append(best[c - 1], taken[np.arange(len(k)), k]))
+            here = slice(c, c + len(k))
+            best[here], item[here] = most[1:], np.where(most[1:] > most[:-1], lengths[k], 0)
+            known[top + c : top + c + len(k)] = best[here]
+    else:
+        back = np.zeros(top + 1, np.float32)  # best, reversed: the values at c-1, c-2, ..., 0 lie together
+        for c in range(1, top + 1):
+            taken = value[1 : c + 1] + back[top - c + 1 :]
+            k = int(taken.argmax())
+            if taken[k] > best[c - 1]:
+                best[c], item[c] = taken[k], k + 1
+            else:
+                best[c] = best[c - 1]
+            back[top - c] = best[c]
     filled = np.maximum.accumulate(np.where(item > 0, np.arange(top + 1), 0))
-    return item, filled
-
-
-def _configurations(value: np.ndarray, lengths: np.ndarray) -> list[list[int]]:
-    """For each length the best configuration that contains it, all from one pricing."""
-    item, filled = _priced(value)
-    left = len(value) - 1 - lengths
-    columns = [lengths]
-    while True:
-        left = filled[left]
-        taken = item[left]
-        if not taken.any():
-            break
+    return item, filled, float(best[top])
+
+
+def _configurations(item: np.ndarray, filled: np.ndarray, *first: np.ndarray) -> list[list[int]]:
+    """For each of the lengths ``first`` (or pairs of them, which must fit) the best configuration that contains it, all from one pricing."""
+    left = filled[len(item) - 1 - sum(first)]
+    columns = list(first)
+    while (taken := item[left]).any():
         columns.append(taken)
-        left = left - taken
+        left = filled[left - taken]
     return [[x for x in row if x] for row in np.stack(columns, 1).tolist()]
 
 
-def _used(configurations: list[list[int]], left: np.ndarray, plan: dict, capacity: int, least_fill: float, whole: bool) -> None:
-    """Uses each configuration as often as the lengths left allow; those that fill less than ``least_fill`` are passed over."""
-    for config in configurations:
-        times: dict[int, int] = {}
-        for x in config:
-            times[x] = times.get(x, 0) + 1
-        if whole:  # no more of a length than there are
-            times = {x: min(m, int(left[x])) for x, m in times.items() if left[x] >= 1}
-            if config[0] not in times or sum(x * m for x, m in times.items()) < least_fill * capacity:
+def pack_program(counts: np.ndarray, learn: int = 6, rate: float = 0.5, passes: int = 20, pairs: int = 4, shares: tuple[float, ...] = (0.9, 0.99, 0.999, 1.0)) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
+    """A fractional plan that covers ``counts`` (counts[l]: pieces of length l) whole, and a lower bound from its dual.
+
+    Plan: configurations ((length, times), ...) and how often each is used, a real number. Prices start as lengths.
+    Each pricing gives for every length the best configuration that holds it; lengths that the demand leaves uncovered
+    become dearer by a factor exponential in the uncovered share. ``learn`` rounds do that on trial demands: prices
+    over the value of the best configuration are feasible in the dual, so demand times prices is a bound, and the
+    prices of the greatest bound are kept. By complementary slackness the best plans use configurations that are
+    tight under these prices only. Demand is then covered share by share with tight ones, each used until one of its
+    lengths runs out, so that configurations never outnumber lengths by much; what a share leaves goes to the next,
+    where fillers are fresh, and the last share takes ever less tight ones as those before run out.
+    """
+    capacity = len(counts) - 1
+    size = np.arange(capacity + 1) / capacity
+    present = counts > 0
+    lengths = np.flatnonzero(present)[::-1]
+    plan: dict[tuple[tuple[int, int], ...], float] = defaultdict(float)
+    if not len(lengths):
+        return plan, 0.0
+    masked = lambda value, there: np.where(there, value, -np.inf)
+
+    def used(configurations: list[list[int]], left: np.ndarray, tight: np.ndarray, least: float, into: dict | None) -> np.ndarray:
+        left, tight = left.tolist(), tight.tolist()
+        for config in configurations:
+            if min([left[x] for x in config]) <= 1e-9 or sum([tight[x] for x in config]) < least:
                 continue
-            n = min(int(left[x]) // m for x, m in times.items())
-        else:
+            times = Counter(config)
             n = min(left[x] / m for x, m in times.items())
-        if n > 0:
-            plan[tuple(sorted(times.items(), reverse=True))] += n
             for x, m in times.items():
-                left[x] -= n * m
+                left[x] = left[x] - n * m if left[x] > n * m * (1 + 1e-12) else 0.0
+            if into is not None:
+                into[tuple(sorted(times.items(), reverse=True))] += n
+        return np.array(left)
+
+    price, dual, bound = size.copy(), size, float(counts @ size)  # lengths are feasible: no configuration is longer than a sequence
+    for _ in range(learn):
+        item, filled, best = _priced(masked(price, present))
+        feasible = price / (best + 1e-6 * capacity + 1e-5)  # the tie-breaker took up to 1e-6 a piece, and sums are rounded
+        if counts @ feasible > bound:
+            dual, bound = feasible, float(counts @ feasible)
+        left = used(_configurations(item, filled, lengths), counts.astype(float), price, 0.0, None)
+        price = price * np.exp(rate * np.divide(left, counts, out=np.zeros(capacity + 1), where=present))
 
-
-def pack_plan(counts: np.ndarray, rounds: int = 40, rate: float = 0.4, passes: int = 40) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """Configurations ((length, times), ...) and how many sequences use each; counts[l]: pieces of length l."""
-    capacity = len(counts) - 1
+    rng = np.random.default_rng(0)
+    left, done = np.zeros(capacity + 1), 0.0
+    for share in shares:
+        demand = left + counts * (share - done)
+        left, done, weight = demand.copy(), share, np.zeros(capacity + 1)
+        slack = 1e-6
+        for _ in range(passes if share < 1 else 2 * len(counts)):
+            there = left > 1e-9
+            before = left.sum()
+            if not there.any():
+                break
+            # Small differences vary the tight configurations that are met: larger fillers rather than many small ones, which
+            # are of use anywhere, and what stays uncovered is dearer in the next pass.
+            value = masked(dual * (1 + 1e-3 * (weight + 3 * size + 0.3 * rng.random(capacity + 1))), there)
+            item, filled, _ = _priced(value)
+            lengths = np.flatnonzero(there)[::-1]
+            lengths = lengths[2 * lengths >= lengths[0]]  # short ones fill sequences of long ones before they make their own
+            left = used(_configurations(item, filled, lengths), left, dual, 1 - slack, plan)
+            # One pricing has few fillers; with a second length at will other tight configurations are met.
+            for _ in range(pairs):
+                second = rng.permutation(lengths)
+                fits = lengths + second <= capacity
+                left = used(_configurations(item, filled, lengths[fits], second[fits]), left, dual, 1 - slack, plan)
+            weight += np.divide(left, demand, out=np.zeros(capacity + 1), where=demand > 0)
+            weight /= max(1.0, weight.max())
+            if left.sum() > before * 0.99:
+                if share < 1:
+                    break
+                slack = min(1.0, slack * 4)
+    return plan, bound
+
+
+def pack_plan(counts: np.ndarray) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """Configurations ((length, times), ...) and how many sequences use each; counts[l]: pieces of length l.
+
+    The fractional plan rounded down, and best fit for what that leaves: less than one use of each configuration.
+    """
     counts = counts.astype(np.int64)
-    size = np.arange(capacity + 1) / capacity
-    lengths = np.flatnonzero(counts)[::-1]
-    if not len(lengths):
-        return []
-    price, carried, fractional = size.copy(), np.zeros(capacity + 1), defaultdict(float)
-    for _ in range(rounds):
-        demand = counts / rounds + carried
-        carried = demand.copy()
-        value = np.where(counts > 0, price, -np.inf)
-        _used(_configurations(value, lengths), carried, fractional, capacity, 0, whole=False)
-        # What stayed uncovered becomes dearer, so that the next configurations take it in.
-        price *= np.exp(rate * np.divide(carried, demand, out=np.zeros_like(carried), where=demand > 0))
-        price *= size.sum() / price.sum()
     plan: dict = defaultdict(int)
     left = counts.copy()
-    for config, n in fractional.items():
-        if int(n) and sum(x * m for x, m in config) >= 0.999 * capacity:
-            plan[config] += int(n)
+    for config, n in pack_program(counts)[0].items():
+        whole = min(int(n + 1e-6), *(int(left[x]) // m for x, m in config))
+        if whole > 0:
+            plan[config] += whole
             for x, m in config:
-                left[x] -= int(n) * m
-    # What rounding left: configurations without waste, by prices that differ a little each time so that they differ too.
-    rng = np.random.default_rng(0)
-    for _ in range(passes):
-        lengths = np.flatnonzero(left)[::-1]
-        if not len(lengths):
-            break
-        share = left / left.sum()
-        value = np.where(left > 0, size * (1 + 1e-3 * rng.random(capacity + 1)) + 1e-3 * share / share.max() * size, -np.inf)
-        _used(_configurations(value, lengths), left, plan, capacity, 0.9995, whole=True)
-    _largest_first(left, plan, capacity)
-    for config, n in _best_fit(left, capacity).items():
+                left[x] -= whole * m
+    for config, n in _best_fit(left, len(counts) - 1).items():
         plan[config] += n
     return sorted(plan.items(), reverse=True)
 
 
-def _largest_first(left: np.ndarray, plan: dict, capacity: int) -> None:
-    """Uses up ``left`` down to ONE_BY_ONE pieces: the largest length and whatever largest still fits, as often as there are all of them."""
-    while left.sum() > ONE_BY_ONE:
-        there = np.flatnonzero(left)
-        times: dict[int, int] = {}
-        room = capacity
-        for x in there[::-1].tolist():
-            m = min(room // x, int(left[x]))
-            if m:
-                times[x] = m
-                room -= m * x
-            if room < there[0]:
-                break
-        n = min(int(left[x]) // m for x, m in times.items())
-        plan[tuple(sorted(times.items(), reverse=True))] += n
-        for x, m in times.items():
-            left[x] -= n * m
-
-
 def _best_fit(left: np.ndarray, capacity: int) -> dict:
-    """Best fit decreasing, for the few pieces that no full configuration took."""
+    """Best fit decreasing, for the pieces that rounding leaves: as many as configurations hold, whatever the corpus."""
     open_by_room: dict[int, list[list[int]]] = defaultdict(list)
     rooms = np.zeros(capacity + 1, bool)
     for x in np.repeat(np.arange(capacity + 1), left)[::-1].tolist():

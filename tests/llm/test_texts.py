@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pagemill.llm.exact_dedup import distinct_texts, exact_dedup
 from pagemill.llm.language_id import language_id
 from pagemill.llm.license_scan import Index, license_scan, words_of
-from pagemill.llm.packing import pack, pack_plan, token_pieces
+from pagemill.llm.packing import _configurations, _priced, pack, pack_plan, pack_program, token_pieces
 from pagemill.llm.pieces import CharacterMap, Pieces, encode_pieces
 from pagemill.llm.secret_scan import redact_secrets, secret_scan
 from pagemill.llm.words import word_tokens
@@ -277,6 +277,42 @@ def test_plans_cover_and_are_tight():
         assert sum(n for _, n in plan) <= slack * -(-lengths.sum() // 4096) + 1e-9
 
 
+def test_pricing_is_the_best_knapsack():
+    rng = np.random.default_rng(4)
+    for lengths in (np.arange(1, 61), np.arange(9, 61, 2), np.array([60]), np.array([25, 26])):
+        value = np.full(61, -np.inf)
+        value[lengths] = lengths / 60 * (1 + 0.1 * rng.random(len(lengths)))
+        best = np.zeros(61)
+        for c in range(1, 61):
+            best[c] = max([best[c - 1], *(best[c - x] + value[x] for x in lengths if x <= c)])
+        item, filled, most = _priced(value)
+        assert abs(most - best[60]) < 1e-4
+        for config in _configurations(item, filled, lengths):
+            assert sum(config) <= 60 and abs(sum(value[x] for x in config) - value[config[0]] - best[60 - config[0]]) < 1e-4
+
+
+def test_the_program_is_solved_at_any_size():
+    # Lengths like those of documents: many short ones, a few over half a sequence.
+    lengths = np.clip(np.random.default_rng(3).lognormal(6, 1.2, 2_000), 3, 4096).astype(int)
+    base = np.bincount(lengths, minlength=4097)
+    for times in (1, 100, 1000):
+        counts = base * times
+        plan, bound = pack_program(counts)
+        covered, by_program = np.zeros(4097), 0
+        for config, n in plan.items():
+            assert sum(x * m for x, m in config) <= 4096
+            by_program += int(n + 1e-6) * sum(m for _, m in config)
+            for x, m in config:
+                covered[x] += n * m
+        assert np.allclose(covered, counts, rtol=1e-9)  # the fractional plan covers all demand
+        assert bound >= counts @ np.arange(4097) / 4096 - 1e-6 and sum(plan.values()) <= bound * (1 + 1e-4)
+        assert by_program >= {1: 0, 100: 0.95, 1000: 0.99}[times] * counts.sum()
+        assert sum(n for _, n in pack_plan(counts)) <= bound + 10  # over the bound, whatever the corpus
+    # Where lengths do not fill sequences the dual bound is better than the sum of tokens.
+    counts = np.bincount(np.repeat([3000, 1500], [600, 100]), minlength=4097)
+    assert pack_program(counts)[1] > 630 and sum(n for _, n in pack_plan(counts)) == 650
+
+
 def test_pieces_equal_the_library(spark):
     texts = ODD + ["  lead and  double ", "▁mark ▁▁", "tab\tand\nbreak", "日本 \x00 é"]
     model = Pieces(PIECE)
