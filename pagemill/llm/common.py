@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Letters A-Z to a-z on UTF-8 bytes, which leaves every other byte alone.
 ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: Sessions whose tables are deleted when the process ends.
+_TIDIED: set[str] = set()
 #: Whether Spark deletes an execution's shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -21,36 +24,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or for a session without one a new temporary folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or for a local session without one a new temporary folder.
+
+    A session on a cluster must name one: RuntimeError if it doesn't.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="pagemill-")
-        atexit.register(__import__("shutil").rmtree, found, ignore_errors=True)
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _tables_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/pagemill-tables/{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: lineage ends here and a lost executor costs one reread.
 
-    The shuffle files of the write are deleted as soon as it is done. The rows stay for the caller's lazy plan;
-    ``drop_stored`` deletes them once the results are written.
+    This runs as soon as it is called. The shuffle files of the write are deleted when it is done. The rows stay for the
+    caller's lazy plan: ``dropped`` deletes one table, ``drop_stored`` all of this session, as does the end of a Python
+    process whose session is still up.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/pagemill-tables/{label}-{uuid.uuid4().hex}"
+    path = f"{_tables_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if spark.sparkContext.applicationId not in _TIDIED:
+        _TIDIED.add(spark.sparkContext.applicationId)
+        atexit.register(_tidy, spark)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def _deleted(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def dropped(table: DataFrame) -> None:
+    """Deletes a table that ``stored`` returned, once nothing reads it any more."""
+    _deleted(table.sparkSession, table._stored_at)
 
 
 def drop_stored(spark: SparkSession) -> None:
-    """Deletes every table that ``stored`` wrote under the session's shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/pagemill-tables")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes every table that ``stored`` wrote in this session; those of other sessions stay."""
+    _deleted(spark, _tables_folder(spark))
+
+
+def _tidy(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:  # a session that was stopped can't reach its files any more
+        drop_stored(spark)
 
 
 def rekeyed(column: str) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import rekeyed, stored
+from pagemill.llm.common import dropped, rekeyed, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", label: str = "component", most_rounds: int = 60) -> DataFrame:
@@ -27,7 +27,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", label: str = "compo
         if mark == before or not mark[0]:
             break
         before = mark
-        now = stored(_small_star(_large_star(now)), "stars")
+        last, now = now, stored(_small_star(_large_star(now)), "stars")
+        dropped(last)
     else:
         raise RuntimeError("components did not settle")
     # Every edge now leads from a vertex to its component.

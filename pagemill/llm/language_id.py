@@ -14,7 +14,6 @@ over the scan, without a shuffle.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -25,7 +24,6 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import text_column
 
-LETTER = re.compile(r"[^\W\d_]")
 WINDOW = 256
 #: Windows that go through the filters at once: their responses stay in the processor's cache.
 BATCH = 256
@@ -151,14 +149,15 @@ def scorer(net: ByteCnn):
     return score
 
 
-def train_language_id(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 300, windows: int = 4, epochs: int = 6, seed: int = 7) -> ByteCnn | None:
+def train_language_id(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 300, windows: int = 4, most_langs: int = 1000, epochs: int = 6, seed: int = 7) -> ByteCnn | None:
     """A network for the non-null languages of the rows where ``learn`` holds; None if there are none.
 
     Bounded sample: about ``sample`` documents of each language by a hash of their id, at most twice that, and
-    ``windows`` windows of each at places chosen by the hash over the whole text. Rarer languages keep all rows.
+    ``windows`` windows of each at places chosen by the hash over the whole text. Rarer languages keep all rows. Of
+    more than ``most_langs`` languages, as a dirty column may have, the most frequent are learned.
     """
     rows = docs.where(learn & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
-    counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_lang").limit(most_langs).collect()}
     if not counts:
         return None
     rates = rows.sparkSession.createDataFrame([(k, min(1.0, sample / n)) for k, n in counts.items()], "_lang string, _rate double")
@@ -197,7 +196,7 @@ def language_id(docs: DataFrame, learn: Column | None = None, id_col: str = "doc
                 p = np.exp(lp - lp.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 for x, k, v in zip(texts, lp.argmax(1).tolist(), p.max(1).tolist(), strict=True):
-                    letters = bool(LETTER.search(x))
+                    letters = any(map(str.isalpha, x))  # Unicode letters, not other numerals or marks
                     pred.append(langs[k] if letters else "und")
                     best.append(v if letters else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(best, pa.float64())], ["_id", "lang_pred", "score"])

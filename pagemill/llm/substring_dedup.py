@@ -8,9 +8,11 @@ with a count. A folded context with a count of two or more is repeated as a whol
 contexts, these are laid end to end, sorted into a suffix array in two stages, and starts whose neighbour shares
 ``length`` bytes are repeated: this compares bytes, not hashes.
 
-Scale. Text is dealt into blocks twice; otherwise only repeated contexts travel, once each after folding. An anchor
-with more than ``most`` different contexts does not go to one task: its strings are counted one by one, by a 128-bit
-hash, with a map-side combine.
+Scale. Text is dealt into blocks twice; otherwise only repeated contexts travel, once each after folding. The suffixes
+of an anchor whose different contexts exceed ``group_bytes`` do not fit a task, so they are partitioned: contexts are cut
+into parts, laid out from the anchor so that equal strings lie in corresponding parts, and parts meet by the bytes that
+all their strings share; where that still exceeds a task, smaller parts do, and in the end single strings, which are
+grouped by their bytes with a map-side combine. Hashes only place and rule out; equal bytes decide everywhere.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ GRAM = 32
 RUN = 1024
 #: Bytes of contexts that are sorted together.
 BATCH = 1 << 19
-#: Starts in a part of a context whose anchor has very many, then in a part of a part that still meets very many.
+#: Starts in a part of a context whose anchor's do not fit a task, then in a part of a part that still meets too many.
 PARTS = (64, 8)
 
 
@@ -135,7 +137,7 @@ def repeated_starts(contexts: list[bytes], counts: list[int], length: int) -> tu
     return of, starts - begins[of], ends - begins[of]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, digest: bool = False, most: int = 1024, block_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, digest: bool = False, group_bytes: int = 1 << 20, block_bytes: int = 4 << 20) -> DataFrame:
     """One row per row of ``docs``: (id, n_bytes, n_removed, n_spans, kept_sha256), or with digest=False (id, kept binary, spans).
 
     Texts are UTF-8 bytes; strings never cross rows; overlapping and self-overlapping occurrences count; all strings are
@@ -162,8 +164,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     seen = finished(rows, answers, 1, contexts, f"_block long, _id {id_type}, _hash long, _at long, _key long, _context binary")
     seen = stored(seen, "contexts")
     folded = stored(seen.groupBy("_key", "_context").agg(F.count(F.lit(1)).alias("_n")), "folded")
-    variants = folded.groupBy("_key").agg(F.count(F.lit(1)).alias("_variants")).select(rekeyed("_key").alias("_k"), "_variants")
-    folded = folded.join(variants, rekeyed("_key") == F.col("_k")).select("_key", "_context", "_n", "_variants")
+    variants = folded.groupBy("_key").agg(F.count(F.lit(1)).alias("_variants"), F.sum(F.octet_length("_context")).alias("_bytes")).select(rekeyed("_key").alias("_k"), "_variants", "_bytes")
+    folded = folded.join(variants.hint("merge"), rekeyed("_key") == F.col("_k")).select("_key", "_context", "_n", "_variants", "_bytes")
     marks = [F.xxhash64("_context").alias("_c1"), F.xxhash64("_context", F.lit(1)).alias("_c2")]
 
     folded = stored(folded, "variants")
@@ -183,24 +185,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # Contexts of which there are copies but no variants are repeated as a whole.
     found = marked("_variants = 1 AND _n > 1").select("_key", "_c1", "_c2", F.lit(0).cast("long").alias("_from"), (F.octet_length("_context") - length + 1).cast("long").alias("_to"))
-    few = marked(f"(_variants > 1 OR _n = 1) AND _variants <= {most}").withColumn("_offset", F.lit(0).cast("long"))
+    few = marked(f"(_variants > 1 OR _n = 1) AND (_bytes <= {group_bytes} OR _variants = 1)").withColumn("_offset", F.lit(0).cast("long"))
     found = found.unionByName(sorted_by(few, "_key"))
-    # Anchors with very many variants: parts of contexts, grouped by the bytes that all their strings share; smaller
-    # parts where that still leaves very many, and string by string in the end.
-    rest = marked(f"_variants > {most}")
+    rest = marked(f"_variants > 1 AND _bytes > {group_bytes}")
     for part in PARTS:
         parts = stored(_core_groups(rest, length, part), "parts")
-        found = found.unionByName(sorted_by(parts.where(f"_members <= {most}"), "_d1", "_d2"))
-        rest = parts.where(f"_members > {most}")
-        if not rest.limit(1).count():
-            break
-    else:
-        singles = _core_groups(rest, length, 1)
-        found = found.unionByName(singles.select("_key", "_c1", "_c2", F.col("_offset").alias("_from"), (F.col("_offset") + 1).alias("_to")))
+        found = found.unionByName(sorted_by(parts.where(f"_bytes <= {group_bytes}"), "_d1", "_d2"))
+        rest = parts.where(f"_bytes > {group_bytes}")
+    strings = _cut(rest, length, 1).select("_key", "_context", "_n", "_c1", "_c2", "_offset")
+    again = strings.groupBy("_context").agg(F.sum("_n").alias("_sum")).where("_sum > 1").select(F.base64("_context").alias("_string"))
+    again = strings.join(again.hint("merge"), F.base64("_context") == F.col("_string"))
+    found = found.unionByName(again.select("_key", "_c1", "_c2", F.col("_offset").alias("_from"), (F.col("_offset") + 1).alias("_to")))
     found = stored(found, "repeats")
 
     places = seen.select("_block", "_id", "_hash", "_at", "_key", *marks)
-    hits = places.join(found, ["_key", "_c1", "_c2"]).select("_block", "_id", "_hash", (F.col("_at") + F.col("_from")).alias("_begin"), (F.col("_at") + F.col("_to") - 1 + length).alias("_end"))
+    hits = places.join(found.hint("merge"), ["_key", "_c1", "_c2"]).select("_block", "_id", "_hash", (F.col("_at") + F.col("_from")).alias("_begin"), (F.col("_at") + F.col("_to") - 1 + length).alias("_end"))
 
     def removed(table: pa.Table, spans: pa.Table) -> pa.Table:
         own: dict = defaultdict(list)
@@ -225,12 +224,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _core_groups(contexts: DataFrame, length: int, part: int) -> DataFrame:
-    """Contexts (_key, _context, _n, _c1, _c2[, _offset]) cut into parts of ``part`` starts, those that may hold repeated strings.
+    """Contexts cut into parts of ``part`` starts, those that may hold repeated strings.
 
-    Parts are laid out from the anchor, so equal strings of two contexts are in corresponding parts. Parts meet under a
-    128-bit hash (_d1, _d2) of the bytes that all strings of a part share; _members counts those that do. Parts that
-    meet no other and stand for one occurrence are left out.
+    Parts meet under a 128-bit hash (_d1, _d2) of the bytes that all strings of a part share; _bytes adds up those that do.
+    Parts that meet no other and stand for one occurrence are left out.
     """
+    each = _cut(contexts, length, part)
+    groups = each.groupBy("_d1", "_d2").agg(F.sum("_n").alias("_sum"), F.sum(F.octet_length("_context")).alias("_bytes")).where("_sum > 1")
+    groups = groups.select(rekeyed("_d1").alias("_e1"), rekeyed("_d2").alias("_e2"), "_bytes")
+    return each.join(groups.hint("merge"), (rekeyed("_d1") == F.col("_e1")) & (rekeyed("_d2") == F.col("_e2"))).drop("_e1", "_e2")
+
+
+def _cut(contexts: DataFrame, length: int, part: int) -> DataFrame:
+    """Contexts (_key, _context, _n, _c1, _c2[, _offset]) as parts of ``part`` starts, laid out from the anchor, so equal strings of two contexts are in corresponding parts."""
     if "_offset" not in contexts.columns:
         contexts = contexts.withColumn("_offset", F.lit(0).cast("long"))
     gram = min(GRAM, length)
@@ -250,14 +256,11 @@ def _core_groups(contexts: DataFrame, length: int, part: int) -> DataFrame:
             which = (anchor - starts) // part
             fresh = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (which[1:] != which[:-1]) | (of[1:] != of[:-1])]) if len(starts) else starts
             first, last = starts[fresh], starts[np.append(fresh[1:], len(starts)) - 1] if len(starts) else starts
-            core, core_end = (anchor - which * part)[fresh], (anchor - (which + 1) * part + 1 + length)[fresh]
+            core, core_end = (anchor - which * part)[fresh], (anchor - which * part + max(0, length + 1 - part))[fresh]
             digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(core.tolist(), core_end.tolist(), strict=True)), np.int64).reshape(-1, 2)
             take = pa.array(of[fresh])
             cuts = pa.array([raw[a : b + length] for a, b in zip(first.tolist(), last.tolist(), strict=True)], pa.binary())
             offsets = batch.column(5).to_numpy()[of[fresh]] + first - begins[of[fresh]]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), cuts, *(batch.column(k).take(take) for k in (2, 3, 4)), pa.array(offsets), pa.array(digest[:, 0]), pa.array(digest[:, 1])], ["_key", "_context", "_n", "_c1", "_c2", "_offset", "_d1", "_d2"])
 
-    each = contexts.select("_key", "_context", "_n", "_c1", "_c2", "_offset").mapInArrow(cut, "_key long, _context binary, _n long, _c1 long, _c2 long, _offset long, _d1 long, _d2 long")
-    groups = each.groupBy("_d1", "_d2").agg(F.sum("_n").alias("_sum"), F.count(F.lit(1)).alias("_members")).where("_sum > 1")
-    groups = groups.select(rekeyed("_d1").alias("_e1"), rekeyed("_d2").alias("_e2"), "_members")
-    return each.join(groups, (rekeyed("_d1") == F.col("_e1")) & (rekeyed("_d2") == F.col("_e2"))).drop("_e1", "_e2")
+    return contexts.select("_key", "_context", "_n", "_c1", "_c2", "_offset").mapInArrow(cut, "_key long, _context binary, _n long, _c1 long, _c2 long, _offset long, _d1 long, _d2 long")

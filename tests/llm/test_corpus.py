@@ -353,9 +353,9 @@ def test_suffix_arrays():
             assert n == next((i for i in range(depth) if i + max(a, b) >= len(s) or s[a + i] != s[b + i]), depth)
 
 
-@pytest.mark.parametrize("most", [1, 512])
-def test_remove_repeats(spark, most):
-    rng = random.Random(most)
+@pytest.mark.parametrize("group_bytes", [1, 1 << 20])
+def test_remove_repeats(spark, group_bytes):
+    rng = random.Random(group_bytes)
     make = lambda n: "".join(rng.choices("abcdefghij é", k=n))
     passages = [make(rng.randint(30, 120)) for _ in range(6)]
     texts = [make(rng.randint(0, 60)) + rng.choice(passages) + make(rng.randint(0, 60)) + rng.choice(passages + [""]) for _ in range(70)]
@@ -372,13 +372,26 @@ def test_remove_repeats(spark, most):
                 gone[k : k + length] = True
         kept = bytes(x for x, g in zip(b, gone, strict=False) if not g)
         want.append((i, len(b), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), hashlib.sha256(kept).hexdigest()))
-    got = remove_repeats(docs(spark, texts, ids), length=length, digest=True, most=most, block_bytes=1 << 11).collect()
+    got = remove_repeats(docs(spark, texts, ids), length=length, digest=True, group_bytes=group_bytes, block_bytes=1 << 11).collect()
     assert sorted(map(tuple, got)) == sorted(want)
-    full = remove_repeats(docs(spark, texts, ids), length=length, most=most).collect()
+    full = remove_repeats(docs(spark, texts, ids), length=length, group_bytes=group_bytes).collect()
     assert sorted(hashlib.sha256(r.kept).hexdigest() for r in full) == sorted(w[4] for w in want)
     assert remove_repeats(docs(spark, []), length=length).count() == 0
 
 
+@pytest.mark.parametrize("group_bytes", [3_000, 1 << 20])
+def test_very_frequent_anchors(spark, group_bytes):
+    # 600 texts share a passage shorter than a string, amid bytes of their own; some of these are shared by a few.
+    rng = random.Random(5)
+    make = lambda n: "".join(rng.choices("abcdefghijklmnop", k=n))
+    passage, sides = make(36), [make(12) for _ in range(40)]
+    texts = [rng.choice([make(12), rng.choice(sides)]) + passage + rng.choice([make(12), rng.choice(sides)]) for _ in range(600)]
+    length = 40
+    count = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    want = {i: sum(any(count[t[k : k + length]] > 1 for k in range(max(0, j - length + 1), min(j, len(t) - length) + 1)) for j in range(len(t))) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.n_removed for r in remove_repeats(docs(spark, texts), length=length, digest=True, group_bytes=group_bytes).collect()} == want
+
+
 # Pipeline
 
 
