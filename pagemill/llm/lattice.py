@@ -11,8 +11,9 @@ cell with very many vectors is dealt into chunks and every pair of chunks is a t
 
 Scale. Cells are first grouped as (cell, id) rows with counts, and vectors travel only to cells where they can meet
 somebody. Batches of tasks follow the rows after repetition by chunks, and near pairs are counted block by block, so
-memory depends on neither a cell's size nor the number of links. A task returns a link count per vector and a spanning forest, linear in its members. ``scale`` shrinks the
-cells; to keep cells small, raise it (and ``tables`` with it) as a collection grows.
+memory depends on neither a cell's size nor the number of links. A task returns a link count per vector and a spanning
+forest, linear in its members. ``scale`` shrinks the cells; scale and tables follow from the number of vectors, so that
+cells stay small as a collection grows and the chance of a pair at the threshold to meet stays at ``recall``.
 """
 
 from __future__ import annotations
@@ -34,6 +35,12 @@ BATCH = 8_000
 PAIRS = 20_000
 
 
+#: Scales to choose from, pairs in a simulation, and what comparing a pair costs against placing a row.
+SCALES = (0.7, 0.8, 0.9, 1.0, 1.1, 1.2, 1.3, 1.5, 1.7, 2.0, 2.3, 2.6)
+SIMULATED = 10_000
+COMPARED = 0.02
+
+
 @cache
 def neighbours() -> np.ndarray:
     """The 240 shortest vectors of E8: two entries of +-1, or eight of +-1/2 with an even number of minus signs."""
@@ -63,6 +70,44 @@ def e8(y: np.ndarray) -> np.ndarray:
     return np.where((((y - a) ** 2).sum(1) <= ((y - b) ** 2).sum(1))[:, None], a, b)
 
 
+@cache
+def meeting(scale: float, cosine: float, probes: int) -> float:
+    """The chance of two vectors at this cosine to meet in a table, by simulation, less two standard deviations.
+
+    Their projections are Gaussian with this correlation, whatever the dimension.
+    """
+    rng = np.random.default_rng(0)
+    a, other = rng.standard_normal((2, SIMULATED, 8)) * scale
+    cells = [_points(y, probes) for y in (a, cosine * a + np.sqrt(1 - cosine**2) * other)]
+    met = [(cells[i] == cells[1 - i][:, :1]).all(2).any(1) for i in (0, 1)]
+    p = float((met[0] | met[1]).mean())
+    return p - 2 * np.sqrt(p * (1 - p) / SIMULATED)
+
+
+def fitted(n: int, cosine: float, recall: float, probes: int) -> tuple[int, float]:
+    """Tables and scale by which pairs at ``cosine`` meet with a chance of ``recall``, at the least work for ``n`` vectors.
+
+    Of a vector, a table costs its rows and the vectors it meets by chance, which are n times a probability: unrelated
+    projections differ by a Gaussian of twice the variance, whose density at zero is that of falling into one cell of volume 1.
+    """
+    best = None
+    for scale in SCALES:
+        p = meeting(scale, min(cosine, 1.0), probes)
+        if p <= 0:
+            break
+        tables = max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - p)))) if p < 1 else 1
+        work = tables * (1 + probes + COMPARED * n * (1 + 2 * probes) * (4 * np.pi * scale**2) ** -4)
+        best = min(best or (work, tables, scale), (work, tables, scale))
+    return best[1:]
+
+
+def _points(y: np.ndarray, probes: int) -> np.ndarray:
+    """[n, 1 + probes, 8]: the nearest lattice point of each row, then the neighbouring ones that are nearest to it."""
+    home, near = e8(y), neighbours()
+    best = np.argsort(-((y - home) @ near.T), axis=1, kind="stable")[:, :probes]
+    return np.concatenate([home[:, None], home[:, None] + near[best]], axis=1)
+
+
 class Lattice:
     def __init__(self, tables: int, probes: int, scale: float, seed: int):
         self.tables, self.probes, self.scale, self.seed = tables, probes, scale, seed
@@ -74,13 +119,8 @@ class Lattice:
     def cells(self, unit: np.ndarray) -> np.ndarray:
         """[n, tables, 1 + probes] hashes of each vector's home and probed cells."""
         out = np.empty((len(unit), self.tables, 1 + self.probes), np.uint64)
-        near = neighbours()
         for t, g in enumerate(self.projections(unit.shape[1])):
-            y = unit @ g
-            home = e8(y)
-            side = (y - home) @ near.T
-            best = np.argsort(-side, axis=1, kind="stable")[:, : self.probes]
-            points = np.concatenate([home[:, None], home[:, None] + near[best]], axis=1)
+            points = _points(unit @ g, self.probes)
             h = np.full(points.shape[:2], unit.shape[1] * 1_000_003 + t, np.uint64)
             for i in range(8):
                 h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + (2 * points[..., i]).astype(np.int64).astype(np.uint64))
@@ -104,18 +144,22 @@ def _units(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, tables: int = 16, probes: int = 4, scale: float = 1.1, seed: int = 11) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, recall: float = 0.97, tables: int | None = None, probes: int = 4, scale: float | None = None, seed: int = 11) -> DataFrame:
     """One row per row of ``vectors``: (id, n_links, component_id, kept).
 
     Links are pairs of rows with cosine of at least ``threshold`` that meet in a table. Vectors that are null, empty,
     zero, hold null or non-finite components, or have no id link with nothing: no links and a component of their own.
     So do vectors of different lengths. Ids are numbers; rows that share an id are one vertex for component_id.
     component_id: the smallest id that links reach; kept: it is the row's own. Ties at the threshold are linked.
+    recall: the chance of a pair at the threshold to meet, nearer ones have a greater one; from it and the number of
+    different vectors follow tables and scale, unless both are given.
     """
     rows = vectors.select(F.col(id_col).alias("_id"), F.col(vector_col).cast("array<double>").alias("_v"))
     good = F.coalesce((F.size("_v") > 0) & F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("_v", lambda x: x != 0) & F.col("_id").isNotNull(), F.lit(False))
     usable = rows.where(good)
     folded = stored(usable.groupBy("_v").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_n")), "vectors")
+    if tables is None or scale is None:
+        tables, scale = fitted(folded.count(), threshold, recall, probes)
     lattice = Lattice(tables, probes, scale, seed)
 
     def celled(batches):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.components import components
 from pagemill.llm.exchange import Fan, _packed_counts, _packed_keys, _unpacked_counts, _unpacked_keys, finished, totals
-from pagemill.llm.lattice import Lattice, _units, _verified, e8, near_vectors, neighbours
+from pagemill.llm.lattice import Lattice, _units, _verified, e8, fitted, near_vectors, neighbours
 from pagemill.llm.lm_score import lm_score
 from pagemill.llm.ngram_join import shingle_sets, similar_texts, spanning_links
 from pagemill.llm.substring_dedup import remove_repeats
@@ -144,7 +144,7 @@ def test_near_vectors(spark):
     bad = [None, [], [0.0] * 16, [float("nan")] + [1.0] * 15, [None] + [1.0] * 15, [float("inf")] * 16, [1.0, 2.0]]
     rows = [(i, [float(x) for x in v], i % 3, "c") for i, v in enumerate(vectors)] + [(1000 + i, v, None, "c") for i, v in enumerate(bad)] + [(None, [1.0] * 16, 1, "c")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, _rep string")
-    got = {r.vec_id: r for r in near_vectors(df, tables=24).collect()}
+    got = {r.vec_id: r for r in near_vectors(df).collect()}
     m = np.array(vectors, float)
     m /= np.linalg.norm(m, axis=1)[:, None]
     near = m @ m.T >= 0.9
@@ -158,6 +158,25 @@ def test_near_vectors(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_recall_of_the_defaults_at_any_size():
+    rng = np.random.default_rng(8)
+    a = rng.standard_normal((3_000, 48))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    side = rng.standard_normal(a.shape)
+    side -= (side * a).sum(1)[:, None] * a
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    b = 0.9 * a + np.sqrt(1 - 0.81) * side  # pairs right at the threshold
+    work = []
+    for n in (1_000, 100_000, 10_000_000):
+        tables, scale = fitted(n, 0.9, 0.97, 4)
+        lattice = Lattice(tables, 4, scale, 11)
+        x, y = lattice.cells(a), lattice.cells(b)
+        met = ((x == y[:, :, :1]) | (y == x[:, :, :1])).any((1, 2))
+        assert met.mean() >= 0.95
+        work.append(tables)
+    assert work == sorted(work) and work[0] < work[-1]
+
+
 def test_large_cells_are_dealt_into_chunks(spark, monkeypatch):
     import pagemill.llm.lattice as module
 
