@@ -1,19 +1,23 @@
 """License scans: an exact containment join of text blocks with license templates.
 
-A block matches a template when it holds at least ``containment`` of the template's distinct words. Words are ordered
-by how many documents of the whole collection hold them, rarest first. Of a template with n words of which o must be
-shared, a block that holds none of the first n - o + 1 cannot match (prefix filter); one with fewer than o distinct
-words cannot either (length filter); and while shared words are counted in that order, a block is given up as soon as
-those still to come cannot make up what is missing (positional filter). Beside the join, fixed phrases are found word
-by word.
+Tokens are pairs of neighbouring words, so that a match needs the template's wording and not just its words. A block
+matches a template when it holds at least ``containment`` of the template's distinct pairs. Pairs are ordered by how
+many documents of the whole collection hold them, rarest first. Of a template with n pairs of which o must be shared, a
+block that holds none of the first n - o + 1 cannot match (prefix filter); one with fewer than o distinct pairs cannot
+either (length filter); and while shared pairs are counted in that order, a block is given up as soon as those still to
+come cannot make up what is missing (positional filter). A template's blocks are windows of twice its own length at
+steps of its length, so every passage as long as it lies inside one. Notices of one family share most of their
+wording: where blocks overlap, a template gives way to one that it shares half of its pairs with and that fits better.
+Beside the join, fixed phrases are found word by word.
 
 Scale. Templates are parameters, so the inverted index is broadcast at a size that the data do not change. One pass
-counts the templates' own words with a map-side combine; the scan itself is another pass without a shuffle. Blocks
-are windows of ``block`` words at half their width, so a passage of up to half a block always lies inside one.
+counts the templates' own pairs with a map-side combine; the scan itself is another pass without a shuffle. Texts
+without a pair of any prefix, nearly all, cost one set intersection.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator, Mapping, Sequence
 
@@ -25,19 +29,36 @@ from pagemill.llm.common import ASCII_LOWER, text_column
 
 #: Fixed phrases and the labels they give.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Notices by label, as their public texts recommend them.
+#: Fixed texts by label: notices and bodies as the licenses' authors publish them.
 TEMPLATES = {
-    "apache": ["licensed under the apache license version 2 0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"],
+    "apache": [
+        "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license-2.0",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    ],
     "gpl": [
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
         "you should have received a copy of the gnu general public license along with this program if not see http www gnu org licenses",
     ],
-    "mit": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "released under the mit license"],
-    "cc-by": ["this work is licensed under a creative commons attribution 4 0 international license", "licensed under cc by 4 0"],
-    "cc-by-nc": ["this work is licensed under a creative commons attribution noncommercial 4 0 international license", "licensed under cc by nc 4 0"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "mpl": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
-    "proprietary": ["all rights reserved no part of this publication may be reproduced without the prior written permission of the publisher"],
+    "lgpl": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version"],
+    "agpl": ["this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "mit": [
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ],
+    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
+    "bsd": [
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    ],
+    "mpl": ["this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2.0"],
+    "unlicense": ["this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"],
+    "zlib": ["this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"],
+    "cc0": ["to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide this software is distributed without any warranty"],
+    "cc-by": ["this work is licensed under a creative commons attribution 4.0 international license", "licensed under the creative commons attribution 4.0 license"],
+    "cc-by-sa": ["this work is licensed under a creative commons attribution sharealike 4.0 international license"],
+    "cc-by-nc": ["this work is licensed under a creative commons attribution noncommercial 4.0 international license"],
+    "cc-by-nd": ["this work is licensed under a creative commons attribution noderivatives 4.0 international license"],
+    "proprietary": ["all rights reserved no part of this publication may be reproduced distributed or transmitted in any form or by any means without the prior written permission of the publisher"],
 }
 #: A-Z lowered; ASCII other than letters and digits parts words, bytes of other characters belong to them.
 WORD_BYTES = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in ASCII_LOWER)
@@ -47,42 +68,71 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(WORD_BYTES).split()
 
 
+Pair = tuple[bytes, bytes]
+
+
+def pairs_of(words: list[bytes]) -> Iterator[Pair]:
+    return zip(words, words[1:], strict=False)
+
+
+class Template:
+    def __init__(self, label: str, words: list[bytes], pairs: list[Pair], containment: float):
+        self.label, self.pairs, self.all = label, pairs, frozenset(pairs)
+        self.step = len(words)
+        self.least = math.ceil(containment * len(pairs) - 1e-9)
+
+    def shared(self, held: set[Pair]) -> int:
+        """Distinct pairs of a block in the template, rarest first; 0 as soon as too few can follow, or if there are too few at all."""
+        if len(held) < self.least:
+            return 0
+        shared = 0
+        for i, pair in enumerate(self.pairs):
+            shared += pair in held
+            if shared + len(self.pairs) - 1 - i < self.least:
+                return 0
+        return shared
+
+
 class Index:
-    """Templates by their rarest words."""
+    """Templates by their rarest pairs."""
 
-    def __init__(self, templates: Mapping[str, Sequence[str]], frequency: Mapping[bytes, int], containment: float):
-        order = lambda w: (frequency.get(w, 0), w)
+    def __init__(self, templates: Mapping[str, Sequence[str]], frequency: Mapping[Pair, int], containment: float):
+        order = lambda p: (frequency.get(p, 0), p)
         self.templates, self.prefix = [], {}
         for label, texts in templates.items():
-            for text in texts:
-                words = sorted(set(words_of(text)), key=order)
-                least = math.ceil(containment * len(words) - 1e-9)
-                self.templates.append((label, words, least))
-                for w in words[: len(words) - least + 1]:
-                    self.prefix.setdefault(w, []).append(len(self.templates) - 1)
-        self.words = frozenset(self.prefix)
-
-    def best(self, words: list[bytes], block: int) -> dict[str, float]:
-        """Labels of the templates that some block of ``words`` matches, with the best containment."""
-        hits = self.words.intersection(words)
-        found: dict[str, float] = {}
+            for words in map(words_of, texts):
+                t = Template(label, words, sorted(set(pairs_of(words)), key=order), containment)
+                self.templates.append(t)
+                for p in t.pairs[: len(t.pairs) - t.least + 1]:
+                    self.prefix.setdefault(p, []).append(len(self.templates) - 1)
+        self.rare = frozenset(self.prefix)
+
+    def best(self, words: list[bytes]) -> dict[str, float]:
+        """Labels of the templates that some block of ``words`` matches and no better one of their family does, with the best containment."""
+        hits = self.rare.intersection(pairs_of(words))
         if not hits:
-            return found
-        step = max(1, block // 2)
-        starts = sorted({s for i, w in enumerate(words) if w in hits for s in ((i // step) * step, (i // step - 1) * step) if s >= 0})
-        for start in starts:
-            held = set(words[start : start + block])
-            for k in {k for w in hits & held for k in self.prefix[w]}:
-                label, template, least = self.templates[k]
-                if len(held) < least:
-                    continue
-                shared = 0
-                for i, w in enumerate(template):
-                    shared += w in held
-                    if shared + len(template) - 1 - i < least:
-                        break
-                else:
-                    found[label] = max(found.get(label, 0.0), shared / len(template))
+            return {}
+        blocks: dict[int, set[int]] = {}
+        pairs = list(pairs_of(words))
+        for i, p in enumerate(pairs):
+            if p in hits:
+                for k in self.prefix[p]:
+                    step = self.templates[k].step
+                    blocks.setdefault(k, set()).update(s for s in (i // step * step, (i // step - 1) * step) if s >= 0)
+        matched = []
+        for k, starts in blocks.items():
+            t = self.templates[k]
+            for start in starts:
+                shared = t.shared(set(pairs[start : start + 2 * t.step - 1]))
+                if shared:
+                    matched.append((shared / len(t.pairs), t, start, start + 2 * t.step))
+        matched.sort(key=lambda m: m[2])
+        starts, widest = [m[2] for m in matched], 2 * max(t.step for t in self.templates)
+        found: dict[str, float] = {}
+        for score, t, a, b in matched:
+            near = matched[bisect.bisect_left(starts, a - widest) : bisect.bisect_left(starts, b)]
+            if not any(better > score and a < d and 2 * len(t.all & u.all) >= min(len(t.all), len(u.all)) for better, u, _, d in near):
+                found[t.label] = max(found.get(t.label, 0.0), score)
         return found
 
 
@@ -104,27 +154,27 @@ def license_scan(
     templates: Mapping[str, Sequence[str]] = TEMPLATES,
     phrases: Mapping[str, str] = PHRASES,
     containment: float = 0.8,
-    block: int = 128,
 ) -> DataFrame:
     """One row per row of ``docs``: (id, n_words, n_base, first_word, last_word, base_labels, labels, score).
 
     n_base, first_word and last_word tell of the phrases alone; labels adds those of matching blocks; score is the
     best containment of any template, 1 where a phrase stands, else 0. Null texts count as empty: no words, nothing
-    found. Null and repeated ids are carried along; other columns are not read. Equal frequencies are ordered by word.
+    found. Null and repeated ids are carried along; other columns are not read. Equal frequencies are
+    ordered by pair. A template of one word never matches.
     """
     rows = docs.select(F.col(id_col).alias("_id"), text_column(text_col).alias("_text"))
-    vocabulary = sorted({w for ts in templates.values() for t in ts for w in words_of(t)})
+    known = sorted({p for ts in templates.values() for t in ts for p in pairs_of(words_of(t))})
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = frozenset(vocabulary), dict.fromkeys(vocabulary, 0)
+        asked, total = frozenset(known), dict.fromkeys(known, 0)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for w in known.intersection(words_of(text)):
-                    total[w] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in total]), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+                for p in asked.intersection(pairs_of(words_of(text))):
+                    total[p] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([p[0].decode() for p in total], pa.string()), pa.array([p[1].decode() for p in total], pa.string()), pa.array(list(total.values()), pa.int64())], ["first", "second", "n"])
 
-    counts = rows.select("_text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    index = Index(templates, {r.word.encode(): r.n for r in counts.collect()}, containment)  # one row per template word
+    counts = rows.select("_text").mapInArrow(counted, "first string, second string, n long").groupBy("first", "second").agg(F.sum("n").alias("n"))
+    index = Index(templates, {(r.first.encode(), r.second.encode()): r.n for r in counts.collect()}, containment)  # one row per template pair
     padded = {b" " + b" ".join(words_of(p)) + b" ": label for p, label in phrases.items()}
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +183,7 @@ def license_scan(
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
                 base = _phrase_starts(words, padded)
-                matched = index.best(words, block)
+                matched = index.best(words)
                 at, labels = [a for a, _ in base], {b for _, b in base}
                 out.append((len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | matched.keys())), 1.0 if base else max(matched.values(), default=0.0)))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())

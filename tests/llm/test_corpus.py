@@ -439,3 +439,12 @@ def test_pipeline_against_plain_python(spark, tiny):
     assert not any(re.search("AKIA[A-Z0-9]{12}|[0-9a-f]{32}", r.text) for r in clean.collect()) and all(r.n_chars == len(r.text) for r in clean.collect())
     packed = corpus_pipeline.run(spark, tiny)
     assert {r.doc_id for r in packed.collect()} == stay
+
+
+@pytest.mark.parametrize("texts", [[], [None, None], ["12 !", ""]])
+def test_pipeline_of_nothing(spark, tmp_path, texts):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.exact_dedup import distinct_texts, exact_dedup
 from pagemill.llm.language_id import language_id
-from pagemill.llm.license_scan import Index, license_scan, words_of
+from pagemill.llm.license_scan import TEMPLATES, Index, license_scan, pairs_of, words_of
 from pagemill.llm.packing import _configurations, _priced, pack, pack_plan, pack_program, token_pieces
 from pagemill.llm.pieces import CharacterMap, Pieces, encode_pieces
 from pagemill.llm.secret_scan import redact_secrets, secret_scan
@@ -214,17 +214,46 @@ def test_license_base(spark):
 def test_containment_filters_lose_nothing():
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(30)]
-    templates = {f"t{i}": [" ".join(rng.sample(vocabulary, rng.randint(3, 9)))] for i in range(12)}
-    index = Index(templates, {w.encode(): rng.randint(0, 50) for w in vocabulary}, 0.8)
-    for _ in range(300):
-        words = [w.encode() for w in rng.choices(vocabulary, k=rng.randint(0, 90))]
+    templates = {f"t{i}": [" ".join(rng.choices(vocabulary, k=rng.randint(3, 25)))] for i in range(12)}
+    templates["kin"] = [templates["t3"][0] + " w1 w2"]
+    pairs = {label: set(pairs_of(words_of(text))) for label, (text,) in templates.items()}
+    index = Index(templates, {p: rng.randint(0, 50) for ps in pairs.values() for p in ps}, 0.8)
+    several = 0
+    for _ in range(400):
+        text = [w for _ in range(rng.randint(0, 6)) for w in (rng.choice(list(templates.values()))[0].split() if rng.random() < 0.7 else rng.choices(vocabulary, k=20)) if rng.random() < 0.97]
+        words, matched = [w.encode() for w in text], []
+        for label, (t,) in templates.items():
+            step = len(t.split())
+            for s in range(0, len(words), step):
+                share = len(pairs[label] & set(pairs_of(words[s : s + 2 * step]))) / len(pairs[label])
+                if share >= 0.8 - 1e-12:
+                    matched.append((label, share, s, s + 2 * step))
         want = {}
-        for label, (text,) in templates.items():
-            t = set(words_of(text))
-            best = max((len(t & set(words[s : s + 32])) / len(t) for s in range(0, max(1, len(words)), 16)), default=0)
-            if best >= 0.8 - 1e-12:
-                want[label] = best
-        assert index.best(words, 32) == pytest.approx(want)
+        for label, share, a, b in matched:
+            kin = [m for m in matched if m[1] > share and a < m[3] and m[2] < b and 2 * len(pairs[label] & pairs[m[0]]) >= min(len(pairs[label]), len(pairs[m[0]]))]
+            if not kin:
+                want[label] = max(share, want.get(label, 0))
+        assert index.best(words) == pytest.approx(want)
+        several += len(want)
+    assert several > 300
+
+
+def test_license_labels(spark):
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    filler = "lorem ipsum dolor " * 200
+    texts = [
+        "The album was released under the name Blue with a license to print",
+        "cc licensed under 4 0 nc contract",
+        filler + cc.format("") + filler,
+        cc.format("-NonCommercial").replace("-", " "),
+        filler + TEMPLATES["mit"][0].upper() + filler,
+        filler + TEMPLATES["bsd"][0].replace("source code", "program code") + filler,  # longer than 64 words, two pairs differ
+        " ".join(reversed(TEMPLATES["mit"][0].split())),
+        TEMPLATES["gpl"][0].replace("general", "affero general") + " " + filler * 20,
+        (TEMPLATES["zlib"][0] + " ") * 2_000,
+    ]
+    got = {r.doc_id: (r.labels, r.base_labels) for r in license_scan(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(9)] == [("", ""), ("", ""), ("cc-by", ""), ("cc-by-nc", ""), ("mit", ""), ("bsd", ""), ("", ""), ("agpl", ""), ("zlib", "")]
 
 
 # Tokens
