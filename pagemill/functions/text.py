@@ -64,7 +64,11 @@ def folded(t: Column, upper: bool = True) -> Column:
 
 def same_token(a: Column, b: Column, least: int = 4, gap: int = 2) -> Column:
     """Folded texts equal, or one inside the other when both have ``least`` characters and lengths differ by ``gap`` at most."""
-    x, y = folded(a), folded(b)
+    return same_folded(folded(a), folded(b), least, gap)
+
+
+def same_folded(x: Column, y: Column, least: int = 4, gap: int = 2) -> Column:
+    """``same_token`` of texts that are folded already."""
     long = (F.length(x) >= least) & (F.length(y) >= least) & (F.abs(F.length(x) - F.length(y)) <= gap)
     return (x != "") & ((x == y) | (long & (F.contains(x, y) | F.contains(y, x))))
 

@@ -12,7 +12,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import script as S
@@ -24,6 +24,10 @@ from pagemill.operators.quality import WORD_CONFIDENCE
 OVERLAP, OVERLAP_SAME, NEAR = 0.35, 0.15, 0.6
 #: Shared height over the smaller height that puts a word on a line.
 LINE_OVERLAP = 0.5
+#: What a group's protected or Cyrillic readings are worth to each other.
+GROUP_PROTECTED, GROUP_CYRILLIC = 20, 10
+#: The overlap of boxes of which only the centres are near.
+TRIFLE = 1e-6
 CELL = 128.0
 NOT_WORD = re.compile(r"[^\w]|_")
 
@@ -40,34 +44,52 @@ def united(branches: list[tuple[str, DataFrame]]) -> DataFrame:
 def overlapping(left: DataFrame, right: DataFrame, cell: float = CELL) -> DataFrame:
     """Pairs of words of the same document that are visibly the same: (doc_id, left_id, right_id, overlap).
 
-    A spatial join on (document, grid cell): boxes lie in every cell they touch, and a pair is kept in the cell that
-    holds the upper left corner of what they share, so nothing is repeated and no cell meets another.
+    Boxes overlap by OVERLAP, or by OVERLAP_SAME with the same token, or their centres are near with the same token; then
+    overlap is a trifle at least. A spatial join on (document, grid cell): boxes, widened by NEAR of their height as
+    centres may be that far apart, lie in every cell they touch, and a pair is kept in the cell that holds the upper left
+    corner of what they share, so nothing is repeated and no cell meets another. Tokens are folded before they are repeated.
     """
 
     def cells(words: DataFrame, side: str) -> DataFrame:
-        b = Box.of()
-        span = lambda a, z: F.sequence(F.floor(a / cell), F.floor(F.greatest(a, z) / cell))
-        kept = words.select("doc_id", F.col("word_id").alias(f"{side}_id"), F.col("norm_text").alias(f"{side}_text"), *b.columns(side))
-        own = Box.of(side)
-        return kept.withColumn("_cx", F.explode(span(own.x, own.right))).withColumn("_cy", F.explode(span(own.y, own.bottom)))
+        wide = Box.of().inflated(NEAR * F.col("h"))
+        span = lambda a, z: F.sequence(F.floor(a / cell).cast("int"), F.floor(F.greatest(a, z) / cell).cast("int"))
+        kept = words.select("doc_id", F.col("word_id").alias(f"{side}_id"), T.folded(F.col("norm_text")).alias(f"{side}_fold"), *Box.of().columns(side), span(wide.x, wide.right).alias("_xs"), span(wide.y, wide.bottom).alias("_ys"))
+        return kept.withColumn("_cx", F.explode("_xs")).withColumn("_cy", F.explode("_ys")).drop("_xs", "_ys")
 
     met = cells(left, "l").join(cells(right, "r"), ["doc_id", "_cx", "_cy"])
     a, b = Box.of("l"), Box.of("r")
-    here = (F.floor(F.greatest(a.x, b.x) / cell) == F.col("_cx")) & (F.floor(F.greatest(a.y, b.y) / cell) == F.col("_cy"))
-    same = T.same_token(F.col("l_text"), F.col("r_text"))
-    overlap = a.overlap(b)
-    out = met.where(here).withColumn("overlap", overlap).where((F.col("overlap") >= OVERLAP) | (same & (F.col("overlap") >= OVERLAP_SAME)))
-    return out.select("doc_id", F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), "overlap")
+    wide_a, wide_b = a.inflated(NEAR * a.h), b.inflated(NEAR * b.h)
+    here = (F.floor(F.greatest(wide_a.x, wide_b.x) / cell) == F.col("_cx")) & (F.floor(F.greatest(wide_a.y, wide_b.y) / cell) == F.col("_cy"))
+    near = F.greatest(F.abs(a.middle_x - b.middle_x), F.abs(a.middle_y - b.middle_y)) <= NEAR * F.greatest(a.h, b.h)
+    met = met.withColumn("_overlap", a.overlap(b)).where((F.col("_overlap") >= OVERLAP_SAME) | near)
+    same = T.same_folded(F.col("l_fold"), F.col("r_fold"))
+    kept = met.where(here & ((F.col("_overlap") >= OVERLAP) | same))
+    return kept.select("doc_id", F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), F.greatest("_overlap", F.lit(TRIFLE)).alias("overlap"))
 
 
 def word_preference(words: DataFrame) -> Column:
-    """How good a reading is: confidence, length, plainness; less for two scripts in one token or a language that does not fit."""
+    """How good a reading is in a fusion, by itself: confidence, length, plainness; less for two scripts in one token or a language that does not fit."""
     t = F.col("norm_text")
     confidence = F.coalesce("confidence", F.lit(WORD_CONFIDENCE))
     fits = F.when((F.col("language") == "Russian") & t.rlike(S.CYRILLIC), 6).when((F.col("language") == "English") & t.rlike(S.LATIN), 6).otherwise(0) if "language" in words.columns else F.lit(0)
     return confidence + F.least(F.length(t), F.lit(12)) * 1.5 + fits + F.when(S.is_protected(t), 8).otherwise(0) - F.when(S.is_corrupted(t), 25).otherwise(0) - F.when(T.is_textual(t), 0).otherwise(15)
 
 
+def group_preference(any_cyrillic, any_protected, cyrillic, protected):
+    """What the readings of a group add to each other's preference; for columns, arrays or booleans alike.
+
+    Where one reading is an address, path or code, such readings gain and Cyrillic ones lose; else, where one is
+    Cyrillic, Cyrillic ones gain, as Latin readings of Cyrillic words are look-alikes.
+    """
+    return GROUP_PROTECTED * any_protected * (protected * 1 - cyrillic * 1) + GROUP_CYRILLIC * (any_cyrillic * 1 - any_cyrillic * any_protected) * cyrillic
+
+
+def coverage_preference(t: Column, confidence: Column) -> Column:
+    """How good a reading is where candidates are merged by coverage: confidence, letters and digits that tell, and no two scripts in one token."""
+    telling = F.least(T.letters(t) + T.digits(t), F.lit(20))
+    return 0.6 * F.coalesce(confidence, F.lit(WORD_CONFIDENCE)) + 2 * telling - T.symbols(t) - F.when(S.is_corrupted(t), 18).otherwise(0)
+
+
 def _fold(t: str) -> str:
     return NOT_WORD.sub("", t).upper()
 
@@ -110,7 +132,7 @@ def same_visible_word(a, b, fold_a: str, fold_b: str) -> float:
     if o >= OVERLAP_SAME:
         return o
     dx, dy = a[0] + a[2] / 2 - b[0] - b[2] / 2, a[1] + a[3] / 2 - b[1] - b[3] / 2
-    return max(o, 1e-6) if max(abs(dx), abs(dy)) <= NEAR * max(a[3], b[3]) else 0.0
+    return max(o, TRIFLE) if max(abs(dx), abs(dy)) <= NEAR * max(a[3], b[3]) else 0.0
 
 
 def grouped_words(pdf: pd.DataFrame) -> np.ndarray:
@@ -151,7 +173,7 @@ def built_lines(boxes: np.ndarray) -> np.ndarray:
     return rank[member] if len(boxes) else member
 
 
-FUSED = "doc_id {id}, word_id string, word_index int, line_index int, text string, norm_text string, x double, y double, w double, h double, confidence double"
+FUSED = "doc_id {id}, word_id string, word_index long, line_index int, text string, norm_text string, x double, y double, w double, h double, confidence double"
 
 
 def _relined(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -163,14 +185,18 @@ def _relined(pdf: pd.DataFrame) -> pd.DataFrame:
 def fused(branches: list[tuple[str, DataFrame]]) -> DataFrame:
     """One word of each group of readings of the same visible word, in lines built anew.
 
-    The best reading by ``word_preference`` is taken, ties by branch and order. A document's branches meet in one task.
+    The best reading by ``word_preference`` and ``group_preference`` is taken, ties by branch and order. A document's
+    branches meet in one task.
     """
     words = united(branches)
-    words = words.withColumn("_score", word_preference(words))
+    words = words.withColumns({"_score": word_preference(words).cast("double"), "_cyrillic": F.col("norm_text").rlike(S.CYRILLIC).cast("int"), "_protected": S.is_protected(F.col("norm_text")).cast("int")})
     schema = FUSED.format(id=words.schema["doc_id"].dataType.simpleString())
 
     def document(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_group=grouped_words(pdf)).sort_values(["_group", "_score", "branch_index", "word_index", "word_id"], ascending=[True, False, True, True, True], kind="stable")
+        pdf = pdf.assign(_group=grouped_words(pdf))
+        flags = pdf.groupby("_group")[["_cyrillic", "_protected"]].transform("max")
+        pdf["_score"] += group_preference(flags["_cyrillic"], flags["_protected"], pdf["_cyrillic"], pdf["_protected"])
+        pdf = pdf.sort_values(["_group", "_score", "branch_index", "word_index", "word_id"], ascending=[True, False, True, True, True], kind="stable")
         return _relined(pdf.drop_duplicates("_group"))
 
     return words.groupBy("doc_id").applyInPandas(document, schema)
@@ -179,11 +205,12 @@ def fused(branches: list[tuple[str, DataFrame]]) -> DataFrame:
 def coverage_merged(candidates: DataFrame) -> DataFrame:
     """Words of several candidates of a document (candidate, candidate_score) folded into one, best candidate first.
 
-    A later word replaces the first kept word that shows the same, if its reading is strictly better; one that shows
+    A later word replaces the first kept word that shows the same, if its reading is strictly better by
+    ``coverage_preference``; one that shows
     nothing kept is added. Lines are built anew.
     """
     words = candidates.where(~T.is_blank(F.col("norm_text")))
-    words = words.withColumn("_score", word_preference(words))
+    words = words.withColumn("_score", coverage_preference(F.col("norm_text"), F.col("confidence")).cast("double"))
     schema = FUSED.format(id=words.schema["doc_id"].dataType.simpleString())
 
     def document(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -202,9 +229,3 @@ def coverage_merged(candidates: DataFrame) -> DataFrame:
         return _relined(pdf.iloc[place])
 
     return words.groupBy("doc_id").applyInPandas(document, schema)
-
-
-def best_of_groups(words: DataFrame, group: str = "group", score: str = "score") -> DataFrame:
-    """The best row of each group: score, then branch, then order."""
-    w = Window.partitionBy("doc_id", group).orderBy(F.col(score).desc(), "branch_index", "word_index")
-    return words.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")

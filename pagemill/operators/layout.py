@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,6 +96,27 @@ def reflowed(words: DataFrame) -> DataFrame:
     return lines.withColumn("_piece", F.concat(mark, "text")).groupBy("doc_id").agg(ordered_text("line_index", "_piece", "").alias("text"))
 
 
+def _folded(lines: DataFrame, rows: str, row: str, joins: Callable[[Column, Column], Column], both: Callable[[Column, Column], Column]) -> DataFrame:
+    """(doc_id, line_index, at, grown) of lines whose array ``rows`` is folded in order: an element joins the open one if ``joins``, else opens the next.
+
+    The fold itself keeps the open element and a mark for each element, whether it opens one; Spark copies what a fold
+    carries at every step, so nothing that grows with the line but these marks may be in it. The elements of a group,
+    numbered by their marks in a window, are then grown together; lines stay where they were grouped.
+    """
+
+    def step(acc: Column, b: Column) -> Column:
+        joined = acc["open"].isNotNull() & F.coalesce(joins(acc["open"], b), F.lit(False))
+        grown = F.when(joined, both(acc["open"], b)).otherwise(b).cast(row)
+        return F.struct(grown.alias("open"), F.concat(acc["marks"], F.when(joined, F.lit("0")).otherwise("1")).alias("marks"))
+
+    marks = F.aggregate(rows, F.struct(F.lit(None).cast(row).alias("open"), F.lit("").alias("marks")), step, lambda acc: F.regexp_extract_all(acc["marks"], F.lit("."), F.lit(0)))
+    each = lines.select("doc_id", "line_index", F.posexplode(F.arrays_zip(F.col(rows).alias("row"), marks.alias("mark"))).alias("_at", "_each"))
+    order = Window.partitionBy("doc_id", "line_index").orderBy("_at")
+    groups = each.withColumn("at", F.sum((F.col("_each")["mark"] == "1").cast("int")).over(order) - 1).groupBy("doc_id", "line_index", "at").agg(F.array_sort(F.collect_list(F.struct("_at", F.col("_each")["row"].cast(row).alias("row")))).alias("_rows"))
+    grown = F.aggregate(F.expr("slice(_rows, 2, size(_rows))"), F.element_at("_rows", 1)["row"], lambda a, b: both(a, b["row"]).cast(row))
+    return groups.select("doc_id", "line_index", "at", grown.alias("grown"))
+
+
 def merged_fragments(words: DataFrame, reach: float = 0.12) -> DataFrame:
     """Words of a line whose neighbours nearly touch, merged into one: an ordered fold, as each test is on what has grown so far.
 
@@ -101,7 +124,7 @@ def merged_fragments(words: DataFrame, reach: float = 0.12) -> DataFrame:
     neither is a word of one letter. The first word's id stays, boxes unite, confidences are averaged over those given.
     """
     word = F.struct("word_index", "word_id", "norm_text", "x", "y", "w", "h", "confidence", F.lit(1).alias("parts"))
-    row = "struct<word_index:int,word_id:string,norm_text:string,x:double,y:double,w:double,h:double,confidence:double,parts:int>"
+    row = "struct<word_index:bigint,word_id:string,norm_text:string,x:double,y:double,w:double,h:double,confidence:double,parts:int>"
     sorted_words = words.groupBy("doc_id", "line_index").agg(F.array_sort(F.collect_list(word)).alias("_words"))
 
     def fits(a: Column, b: Column) -> Column:
@@ -118,17 +141,7 @@ def merged_fragments(words: DataFrame, reach: float = 0.12) -> DataFrame:
         mean = F.coalesce((a["confidence"] + b["confidence"]) / 2, a["confidence"], b["confidence"])
         return F.struct(a["word_index"].alias("word_index"), a["word_id"].alias("word_id"), F.concat(a["norm_text"], b["norm_text"]).alias("norm_text"), *box.columns(), mean.alias("confidence"), (a["parts"] + b["parts"]).alias("parts"))
 
-    # The open word apart from the done ones, so that each step looks at one struct.
-    start = F.struct(F.array().cast(f"array<{row}>").alias("done"), F.lit(None).cast(row).alias("open"))
-
-    def step(acc: Column, b: Column) -> Column:
-        a = acc["open"]
-        joins = a.isNotNull() & fits(a, b)
-        done = F.when(joins | a.isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(a)))
-        return F.struct(done.alias("done"), F.when(joins, both(a, b)).otherwise(b).cast(row).alias("open"))
-
-    folded = F.aggregate("_words", start, step, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
-    out = sorted_words.select("doc_id", "line_index", F.explode(folded).alias("_word")).select("doc_id", "line_index", "_word.*")
+    out = _folded(sorted_words, "_words", row, fits, both).select("doc_id", "line_index", "grown.*")
     return out.withColumn("text", F.col("norm_text"))
 
 
@@ -139,17 +152,9 @@ def merged_rects(words: DataFrame, tolerance: float = 0.5) -> DataFrame:
     """
     box = "struct<x:double,y:double,w:double,h:double>"
     boxes = words.groupBy("doc_id", "line_index").agg(F.array_sort(F.collect_list(F.struct("x", "y", "w", "h"))).alias("_boxes"))
-    start = F.struct(F.array().cast(f"array<{box}>").alias("done"), F.lit(None).cast(box).alias("open"))
-
-    def step(acc: Column, b: Column) -> Column:
-        a = acc["open"]
-        joins = a.isNotNull() & (b["x"] - (a["x"] + a["w"]) <= tolerance * a["h"])
-        united = F.struct(*Box(a["x"], a["y"], a["w"], a["h"]).union(Box(b["x"], b["y"], b["w"], b["h"])).columns())
-        done = F.when(joins | a.isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(a)))
-        return F.struct(done.alias("done"), F.when(joins, united).otherwise(b).cast(box).alias("open"))
-
-    folded = F.aggregate("_boxes", start, step, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
-    return boxes.select("doc_id", "line_index", F.posexplode(folded).alias("at", "_box")).select("doc_id", "line_index", "at", "_box.*")
+    joins = lambda a, b: b["x"] - (a["x"] + a["w"]) <= tolerance * a["h"]
+    both = lambda a, b: F.struct(*Box(a["x"], a["y"], a["w"], a["h"]).union(Box(b["x"], b["y"], b["w"], b["h"])).columns())
+    return _folded(boxes, "_boxes", box, joins, both).select("doc_id", "line_index", F.col("at").cast("int").alias("at"), "grown.*")
 
 
 def row_runs(rows: DataFrame, key: str = "doc_id", y: str = "y", ink: str = "ink", least: int = 1, gap: int = 2, shortest: int = 1) -> DataFrame:

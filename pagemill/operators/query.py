@@ -8,20 +8,21 @@ from pyspark.sql import functions as F
 from pagemill.functions.geometry import Box
 from pagemill.operators.layout import export_lines, line_breaks, ordered_text
 
-#: Distances closer than this are equal.
+#: Words no further from the nearest one than this are as near.
 SAME = 0.001
 
 
 def nearest_word(words: DataFrame, points: DataFrame) -> DataFrame:
     """Of each point (doc_id, point_id, px, py, tolerance) the nearest word and whether it is within tolerance.
 
-    Ties within SAME go to the lower word index. Points without a word in their document have no row. Points are few
-    and meet words by document; the best word is a map-side combined minimum, so no list of distances is kept.
+    Of the words that are no more than SAME further away than the nearest one the lowest word index is taken. Points
+    without a word in their document have no row. Words meet points by document; both minima combine on the map side.
     """
     b = Box.of()
     met = words.join(points, "doc_id").withColumn("distance", b.distance(F.col("px"), F.col("py")))
-    rank = F.struct(F.round(F.col("distance") / SAME).alias("d"), F.col("word_index").alias("i"), "distance", "word_id", "tolerance", "norm_text")
-    best = met.groupBy("doc_id", "point_id").agg(F.min(rank).alias("b"))
+    least = met.groupBy("doc_id", "point_id").agg(F.min("distance").alias("_least"))
+    near = met.join(least, ["doc_id", "point_id"]).where(F.col("distance") <= F.col("_least") + SAME)
+    best = near.groupBy("doc_id", "point_id").agg(F.min(F.struct("word_index", "distance", "word_id", "tolerance", "norm_text")).alias("b"))
     return best.select("doc_id", "point_id", F.col("b.word_id").alias("word_id"), F.col("b.norm_text").alias("norm_text"), F.col("b.distance").alias("distance"), (F.col("b.distance") <= F.col("b.tolerance")).alias("is_hit"))
 
 

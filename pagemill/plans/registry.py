@@ -17,7 +17,7 @@ from pagemill.functions import text as T
 from pagemill.operators import choice, fusion, images, layout, noise, quality, repair
 from pagemill.operators import query as Q
 from pagemill.sources import settings
-from pagemill.sources.layout import jittered, synthetic_words
+from pagemill.sources.layout import LINE_STEP, jittered, synthetic_words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -28,7 +28,7 @@ WORDS_SQL = r"""
     t0 AS (SELECT doc_id, line_index, string_split(line, ' ') AS ws FROM l1),
     t1 AS (SELECT doc_id, line_index, unnest(ws) AS text, unnest(range(len(ws))) AS pos FROM t0),
     words AS (
-        SELECT doc_id, 'w-' || line_index || '-' || pos AS word_id, line_index * 100000 + pos AS word_index, line_index, text,
+        SELECT doc_id, 'w-' || line_index || '-' || pos AS word_id, line_index::BIGINT * 4294967296 + pos AS word_index, line_index, text,
                trim(regexp_replace(text, '\s+', ' ', 'g')) AS norm_text, 160.0::DOUBLE * pos AS x, 24.0::DOUBLE * line_index AS y,
                greatest(10, 8 * length(text))::DOUBLE AS w, 18.0::DOUBLE AS h, (60 + (length(text) * 7 + pos * 3) % 40)::DOUBLE AS confidence
         FROM t1 WHERE text <> '')
@@ -245,16 +245,16 @@ def noise_reasons(spark, sf_dir):
 
 @query(f"""WITH {WORDS_SQL}, points AS (SELECT doc_id, (doc_id * 37 % 400)::DOUBLE AS px, (doc_id * 53 % 300)::DOUBLE AS py FROM documents),
     d AS (SELECT doc_id, word_id, word_index, norm_text, sqrt(pow(greatest(x - px, px - (x + w), 0.0), 2) + pow(greatest(y - py, py - (y + h), 0.0), 2)) AS distance FROM words JOIN points USING (doc_id))
-    SELECT doc_id, 0::BIGINT AS point_id, word_id, norm_text, round(distance, 6) AS distance, distance <= 12 AS is_hit FROM d QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(distance / 0.001), word_index) = 1""")
+    SELECT doc_id, 0::BIGINT AS point_id, word_id, norm_text, round(distance, 6) AS distance, distance <= 12 AS is_hit FROM (SELECT *, min(distance) OVER (PARTITION BY doc_id) AS least FROM d) WHERE distance <= least + 0.001 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY word_index) = 1""")
 def nearest_word(spark, sf_dir):
     points = documents(spark, sf_dir).select("doc_id", F.lit(0).cast("long").alias("point_id"), (F.col("doc_id") * 37 % 400).cast("double").alias("px"), (F.col("doc_id") * 53 % 300).cast("double").alias("py"), F.lit(12.0).alias("tolerance"))
     return rounded(Q.nearest_word(words(spark, sf_dir), points), "distance")
 
 
-@query(f"""WITH {EXPORT_SQL.replace("FROM words)", "FROM words WHERE word_index BETWEEN 2 AND 100003)")} SELECT doc_id, string_agg(text, chr(10) ORDER BY line_index) AS text FROM lines GROUP BY doc_id""")
+@query(f"""WITH {EXPORT_SQL.replace("FROM words)", "FROM words WHERE word_index BETWEEN 2 AND 4294967299)")} SELECT doc_id, string_agg(text, chr(10) ORDER BY line_index) AS text FROM lines GROUP BY doc_id""")
 def range_selection_text(spark, sf_dir):
     """The text from the third word of the first line to the fourth of the second, asked for backwards."""
-    ranges = documents(spark, sf_dir).select("doc_id", F.lit(100_003).alias("anchor"), F.lit(2).alias("active"))
+    ranges = documents(spark, sf_dir).select("doc_id", F.lit(LINE_STEP + 3).alias("anchor"), F.lit(2).alias("active"))
     return Q.selection_text(Q.range_selection(words(spark, sf_dir), ranges))
 
 
@@ -274,23 +274,21 @@ def region_text(spark, sf_dir):
     return Q.touches_band(layout.lines_of(words(spark, sf_dir)), 240, 20, 400, 60)
 
 
-@query(rf"""WITH {WORDS_SQL}, tokens AS (SELECT DISTINCT norm_text FROM words WHERE regexp_matches(norm_text, '^[!-~]+$')),
-    cores AS (SELECT norm_text, regexp_extract(norm_text, '^([(\[{{"''«]*)(.*?)([,;:!?)\]}}"'']*)$', 1) AS pre, regexp_extract(norm_text, '^([(\[{{"''«]*)(.*?)([,;:!?)\]}}"'']*)$', 2) AS core, regexp_extract(norm_text, '^([(\[{{"''«]*)(.*?)([,;:!?)\]}}"'']*)$', 3) AS suf FROM tokens),
-    entries AS (SELECT *, CASE WHEN levenshtein(lower(core), 'there') <= 1 THEN 'there' WHEN levenshtein(lower(core), 'nation') <= 1 THEN 'nation' WHEN levenshtein(lower(core), 'queue') <= 2 THEN 'queue' WHEN levenshtein(lower(core), 'menteur') <= 2 THEN 'menteur' END AS entry FROM cores WHERE length(core) >= 1)
-    SELECT norm_text AS token, pre || entry || suf AS repaired FROM entries WHERE pre || entry || suf <> norm_text""")
+@query()
 def near_token_dictionary(spark, sf_dir):
-    """Distinct ASCII tokens near a dictionary entry."""
-    tokens = words(spark, sf_dir).select("norm_text").distinct().where(F.col("norm_text").rlike("^[!-~]+$"))
+    """Distinct tokens near a dictionary entry, which the repair changes."""
+    tokens = words(spark, sf_dir).select("norm_text").distinct()
     return repair.repairs(tokens, DICTIONARY).where("repaired <> norm_text").withColumnRenamed("norm_text", "token")
 
 
 @query(rf"""WITH {WORDS_SQL}, r AS (SELECT doc_id, word_id, line_index, norm_text, x + ((line_index + word_index) % 3 - 1) * 5 AS x, y, w, h FROM words),
     p AS (SELECT a.doc_id, a.word_id AS left_id, b.word_id AS right_id,
                  greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) / greatest(1.0, least(a.w * a.h, b.w * b.h)) AS overlap,
+                 greatest(abs(a.x + a.w / 2 - b.x - b.w / 2), abs(a.y - b.y)) <= 0.6 * 18 AS near,
                  upper(regexp_replace(a.norm_text, '[^\p{{L}}\p{{Nd}}]', '', 'g')) AS f, upper(regexp_replace(b.norm_text, '[^\p{{L}}\p{{Nd}}]', '', 'g')) AS g
           FROM words a JOIN r b ON a.doc_id = b.doc_id AND a.line_index = b.line_index AND a.x <= b.x + b.w AND b.x <= a.x + a.w)
-    SELECT doc_id, count(*) AS n_pairs, round(sum(overlap), 6) AS overlap FROM p
-    WHERE overlap >= 0.35 OR (overlap >= 0.15 AND f <> '' AND (f = g OR (length(f) >= 4 AND length(g) >= 4 AND abs(length(f) - length(g)) <= 2 AND (contains(f, g) OR contains(g, f))))) GROUP BY doc_id""")
+    SELECT doc_id, count(*) AS n_pairs, round(sum(greatest(overlap, 1e-6)), 6) AS overlap FROM p
+    WHERE overlap >= 0.35 OR ((overlap >= 0.15 OR near) AND f <> '' AND (f = g OR (length(f) >= 4 AND length(g) >= 4 AND abs(length(f) - length(g)) <= 2 AND (contains(f, g) OR contains(g, f))))) GROUP BY doc_id""")
 def overlap_pairs(spark, sf_dir):
     """Words that visibly coincide with those of a shifted copy of the layout."""
     w = words(spark, sf_dir)
@@ -410,7 +408,7 @@ def fragment_merge(spark, sf_dir):
 
 @query()
 def rect_merge(spark, sf_dir):
-    return layout.merged_rects(words(spark, sf_dir).where("length(text) >= 3"))
+    return layout.merged_rects(words(spark, sf_dir))
 
 
 @query()
@@ -423,7 +421,7 @@ def fused_words(spark, sf_dir):
 @query()
 def coverage_merge(spark, sf_dir):
     w = words(spark, sf_dir)
-    first = jittered(w, 1).where("confidence >= 65").withColumns({"candidate": F.lit(0), "candidate_score": F.lit(80.0)})
+    first = jittered(w, 1).withColumns({"candidate": F.lit(0), "candidate_score": F.lit(80.0)})
     second = jittered(w, 2).withColumns({"candidate": F.lit(1), "candidate_score": F.lit(70.0)})
     return fusion.coverage_merged(first.unionByName(second))
 
@@ -448,14 +446,14 @@ def postprocessed_analysis(spark, sf_dir):
 @query()
 def image_statistics(spark, sf_dir):
     """Statistics of images made of the texts' own bytes, 16 pixels wide."""
-    rows = documents(spark, sf_dir).where("octet_length(text) >= 64").select("doc_id", F.lit(16).alias("width"), F.floor(F.octet_length("text") / 64).cast("int").alias("height"), F.lit(64).alias("stride"), F.encode("text", "utf-8").alias("pixels"))
+    rows = documents(spark, sf_dir).select("doc_id", F.lit(16).alias("width"), F.floor(F.octet_length("text") / 64).cast("int").alias("height"), F.lit(64).alias("stride"), F.encode("text", "utf-8").alias("pixels"))
     return rounded(images.image_stats(rows), "avg_luminance", "edge_density")
 
 
 @query()
 def ink_row_runs(spark, sf_dir):
     """Row runs of the same images' ink."""
-    rows = documents(spark, sf_dir).where("octet_length(text) >= 64").select("doc_id", F.lit(16).alias("width"), F.floor(F.octet_length("text") / 64).cast("int").alias("height"), F.lit(64).alias("stride"), F.encode("text", "utf-8").alias("pixels"))
+    rows = documents(spark, sf_dir).select("doc_id", F.lit(16).alias("width"), F.floor(F.octet_length("text") / 64).cast("int").alias("height"), F.lit(64).alias("stride"), F.encode("text", "utf-8").alias("pixels"))
     return layout.row_runs(images.ink_histogram(rows), least=5)
 
 
@@ -463,3 +461,69 @@ def ink_row_runs(spark, sf_dir):
     SELECT doc_id, CASE WHEN latin > cyrillic THEN 'latin' WHEN cyrillic > latin THEN 'cyrillic' WHEN latin = 0 THEN 'none' ELSE 'mixed' END AS script, count(*) AS n FROM judged GROUP BY ALL""")
 def token_scripts(spark, sf_dir):
     return words(spark, sf_dir).withColumn("script", S.token_script(F.col("norm_text"))).groupBy("doc_id", "script").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(rf"""WITH {WORDS_SQL}, tokens AS (SELECT doc_id, translate(lower(norm_text), '{T.DIGIT_LOOKS[0]}', '{T.DIGIT_LOOKS[1]}') AS digit_fold,
+        regexp_replace(translate(lower(translate(norm_text, '{S.CYRILLIC_LOOKS}', '{S.LATIN_LOOKS}')), '0135', 'olss'), '[^a-z]', '', 'g') AS skeleton FROM words)
+    SELECT doc_id, count(DISTINCT digit_fold) AS folds, count(DISTINCT skeleton) AS skeletons, sum(length(skeleton))::BIGINT AS letters FROM tokens GROUP BY doc_id""")
+def token_skeletons(spark, sf_dir):
+    """Distinct digit folds and look-alike skeletons of each document's tokens."""
+    t = F.col("norm_text")
+    tokens = words(spark, sf_dir).select("doc_id", T.digit_fold(t).alias("digit_fold"), S.skeleton(t).alias("skeleton"))
+    return tokens.groupBy("doc_id").agg(F.count_distinct("digit_fold").alias("folds"), F.count_distinct("skeleton").alias("skeletons"), F.sum(F.length("skeleton")).alias("letters"))
+
+
+PAGES_SQL = SCRIPTS_SQL + r""",
+    readings AS (SELECT *, 0 AS rank FROM judged UNION ALL SELECT *, 1 FROM judged WHERE confidence >= 75),
+    pages AS (
+        SELECT doc_id, rank, count(*) AS n_words, sum(len(regexp_extract_all(norm_text, '\p{L}')) + digit) AS alnum, avg(confidence) AS mean_confidence, count(*) FILTER (corrupted) AS corrupted
+        FROM readings GROUP BY ALL),
+    scores AS (SELECT *, mean_confidence * 0.5::DOUBLE + ln(1 + alnum::DOUBLE) * 8 + least(n_words, 200) * 0.05::DOUBLE - corrupted * 4 AS score FROM pages)
+"""
+
+
+def page_readings(spark, sf_dir):
+    """Two readings of each page, all words and the surer ones, with their page scores."""
+    t = F.col("norm_text")
+    w = words(spark, sf_dir).withColumn("rank", F.explode(F.when(F.col("confidence") >= 75, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    pages = w.groupBy("doc_id", "rank").agg(F.count(F.lit(1)).alias("n_words"), F.sum(T.letters(t) + T.digits(t)).alias("alnum"), F.avg("confidence").alias("mean_confidence"), F.count_if(S.is_corrupted(t)).alias("corrupted"))
+    return pages.withColumn("score", choice.page_score(F.col("n_words"), F.col("mean_confidence"), F.col("alnum"), F.col("corrupted")))
+
+
+@query(rf"WITH {PAGES_SQL} SELECT doc_id, rank::BIGINT AS rank, round(score, 6) AS score FROM scores")
+def page_scores(spark, sf_dir):
+    return rounded(longs(page_readings(spark, sf_dir).select("doc_id", "rank", "score"), "rank"), "score")
+
+
+@query(rf"""WITH {PAGES_SQL} SELECT a.doc_id, b.score > a.score OR (b.score >= 0.95 * a.score AND b.n_words > a.n_words * 1.2) AS better
+    FROM scores a JOIN scores b ON a.doc_id = b.doc_id AND a.rank = 0 AND b.rank = 1""")
+def better_results(spark, sf_dir):
+    """Whether the reading of the surer words alone replaces that of all words."""
+    both = page_readings(spark, sf_dir).groupBy("doc_id").pivot("rank", [0, 1]).agg(F.first("score").alias("score"), F.first("n_words").alias("n"))
+    return both.where("`1_n` IS NOT NULL").select("doc_id", choice.better_result(F.col("1_score"), F.col("0_score"), F.col("1_n"), F.col("0_n")).alias("better"))
+
+
+@query(rf"""WITH {SCRIPTS_SQL}, lines AS (
+        SELECT doc_id, line_index, sum(latin) AS latin, sum(cyrillic) AS cyrillic, sum(CASE WHEN latin > 0 THEN confidence ELSE 20 END) AS english, sum(CASE WHEN cyrillic > 0 THEN confidence ELSE 20 END) AS russian FROM judged GROUP BY ALL)
+    SELECT doc_id, CASE WHEN cyrillic = 0 AND latin > 0 AND english >= russian THEN 'English' WHEN latin = 0 AND cyrillic > 0 AND russian >= english THEN 'Russian'
+        WHEN english > russian * 1.15::DOUBLE THEN 'English' WHEN russian > english * 1.15::DOUBLE THEN 'Russian' ELSE 'Fused' END AS route, count(*) AS n FROM lines GROUP BY ALL""")
+def line_routes(spark, sf_dir):
+    """How many lines of each document go to which reading."""
+    w, c = S.with_counts(words(spark, sf_dir)), S.counts_in()
+    score = lambda n: F.sum(F.when(n > 0, F.col("confidence")).otherwise(20.0))
+    lines = w.groupBy("doc_id", "line_index").agg(F.sum(c["latin"]).alias("latin"), F.sum(c["cyrillic"]).alias("cyrillic"), score(c["latin"]).alias("english"), score(c["cyrillic"]).alias("russian"))
+    route = choice.line_route(F.col("latin"), F.col("cyrillic"), F.col("english"), F.col("russian"))
+    return lines.select("doc_id", route.alias("route")).groupBy("doc_id", "route").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def corrected_counts(spark, sf_dir):
+    """How many words of each document the correction changes."""
+    return repair.correction_counts(repair.corrected(jittered(words(spark, sf_dir), 1), DICTIONARY))
+
+
+@query("SELECT strftime(ts, '%Y%m%d-%H%M%S') AS stamp, count(*) AS n FROM (SELECT TIMESTAMP '2024-01-02 03:04:05' + to_seconds(doc_id * 3607) AS ts FROM documents) GROUP BY ALL")
+def file_stamps(spark, sf_dir):
+    """Stamps for file names."""
+    at = F.timestamp_seconds(F.lit(1_704_164_645) + F.col("doc_id") * 3607)
+    return documents(spark, sf_dir).select(T.stamp(at).alias("stamp")).groupBy("stamp").agg(F.count(F.lit(1)).alias("n"))

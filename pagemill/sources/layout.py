@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pagemill.functions.geometry import Box
 from pagemill.functions.text import collapsed, is_blank
 
+#: Word indexes of a line begin at this multiple of its index; a line has fewer tokens, as a text has fewer bytes.
+LINE_STEP = 1 << 32
 IMAGE_TYPES = ("png", "jpg", "jpeg", "bmp", "webp")
 WORDS = "doc_id string, word_id string, word_index int, line_index int, text string, norm_text string, x double, y double, w double, h double, confidence double"
 
@@ -53,14 +55,14 @@ def synthetic_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Word i of a line stands at x = step * i and is ``char`` wide per character, ``least`` at least; line j stands at
     y = leading * j. Confidence is 60 to 99, made from length and place. Empty tokens are left out, null texts have none.
-    Two explodes of one scan, no shuffle; word_index orders a document's words but leaves gaps.
+    Two explodes of one scan, no shuffle; word_index, a long, orders a document's words but leaves gaps.
     """
     lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("line_index", "_line"))
     words = lines.select("doc_id", "line_index", F.posexplode(F.split("_line", " ")).alias("_at", "text")).where(F.col("text") != "")
     return words.select(
         "doc_id",
         F.concat_ws("-", F.lit("w"), "line_index", "_at").alias("word_id"),
-        (F.col("line_index") * 100_000 + F.col("_at")).alias("word_index"),
+        (F.col("line_index").cast("long") * LINE_STEP + F.col("_at")).alias("word_index"),
         "line_index",
         "text",
         collapsed(F.col("text")).alias("norm_text"),

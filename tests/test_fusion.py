@@ -67,13 +67,24 @@ def test_coverage_adds_what_is_missing(spark):
 
 
 def test_overlap_join_matches_all_pairs(spark):
-    rows = frame(80, 3)
+    rows = frame(82, 3)
+    rows.loc[80:, ["word_id", "branch_index", "norm_text", "x", "y", "w", "h"]] = [["near0", 0, "alpha", 1021.0, 0.0, 5.0, 20.0], ["near1", 1, "alpha", 1027.0, 0.0, 5.0, 20.0]]  # only their centres are near, in cells of their own
     left, right = rows[rows.branch_index == 0], rows[rows.branch_index == 1]
     want = set()
     for a in left.to_dict("records"):
         for b in right.to_dict("records"):
-            o = fusion._overlap([a[c] for c in "xywh"], [b[c] for c in "xywh"])
-            if o >= fusion.OVERLAP or (o >= fusion.OVERLAP_SAME and fusion._same_token(a["norm_text"].upper(), b["norm_text"].upper())):
+            o = fusion.same_visible_word([a[c] for c in "xywh"], [b[c] for c in "xywh"], a["norm_text"].upper(), b["norm_text"].upper())
+            if o > 0:
                 want.add((a["word_id"], b["word_id"]))
+    assert ("near0", "near1") in want
     found = fusion.overlapping(spark.createDataFrame(left), spark.createDataFrame(right)).collect()
     assert len(found) == len(want) and {(r.left_id, r.right_id) for r in found} == want
+
+
+def test_group_flags_decide_between_scripts(spark):
+    columns = "doc_id long, word_id string, word_index long, line_index int, text string, norm_text string, x double, y double, w double, h double, confidence double"
+    word = lambda i, t, c: (1, f"w{i}", i, 0, t, t, 100.0 * i, 0.0, 60.0, 18.0, c)
+    english = spark.createDataFrame([word(0, "COBET", 84.0), word(1, "a.exe", 80.0), word(2, "plain", 90.0)], columns)
+    russian = spark.createDataFrame([word(0, "СОВЕТ", 80.0), word(1, "а.ехе", 85.0), word(2, "plein", 88.0)], columns)
+    got = [r.norm_text for r in fusion.fused([("English", english), ("Russian", russian)]).orderBy("word_index").collect()]
+    assert got == ["СОВЕТ", "a.exe", "plain"]

@@ -1,6 +1,7 @@
 """Small layouts with known outcomes, row order aside."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -201,3 +202,49 @@ def test_sources(spark, tmp_path):
 def test_scripts(spark):
     r = spark.range(1).select(S.token_script(F.lit("abв")).alias("a"), S.dominance(F.lit(0), F.lit(0)).alias("b"), S.cleaned(F.lit("wоrd")).alias("c"), S.skeleton(F.lit("С0de5!")).alias("d"), S.is_corrupted(F.lit("wоrd")).alias("e"), S.looks_cyrillic(F.lit("CAXAP")).alias("f")).first()
     assert tuple(r) == ("latin", "none", "word", "codes", True, True)
+
+
+def test_many_lines_and_long_lines(spark):
+    docs = spark.createDataFrame([(1, "a b\n" * 25_000), (2, "w " * 120_000 + "\nlast")], "doc_id long, text string")
+    words = synthetic_words(docs)
+    found = words.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("word_index").alias("places"), F.max("line_index").alias("line"), F.max_by("text", "word_index").alias("last"))
+    assert {r.doc_id: tuple(r)[1:] for r in found.collect()} == {1: (50_000, 50_000, 24_999, "b"), 2: (120_001, 120_001, 1, "last")}
+
+
+def test_folds_and_noise_of_a_long_line(spark):
+    n = 50_000
+    text = F.when(F.col("id") % 5 == 0, "→").otherwise("word")
+    x = F.col("id") * 40.0 + F.when(F.col("id") % 5 == 0, 15.0).otherwise(0.0)
+    words = spark.range(n).select(F.lit(1).alias("doc_id"), F.concat(F.lit("w"), "id").alias("word_id"), F.col("id").alias("word_index"), F.lit(0).alias("line_index"), text.alias("text"), text.alias("norm_text"), x.alias("x"), F.lit(0.0).alias("y"), F.lit(20.0).alias("w"), F.lit(10.0).alias("h"), F.lit(50.0).alias("confidence"))
+    began = time.perf_counter()
+    assert layout.merged_rects(words).count() == n - n // 5  # a mark lies close to the word after it
+    assert layout.merged_fragments(words).count() == n
+    reasons = {r.reason: r["count"] for r in noise.reject_reason(words).groupBy("reason").count().collect()}
+    assert reasons == {None: n}
+    lone = noise.reject_reason(words.where("word_index % 5 = 0")).groupBy("reason").count().collect()
+    assert {r.reason: r["count"] for r in lone} == {"symbol": n // 5}
+    assert time.perf_counter() - began < 60
+
+
+def test_connected_words_against_all_pairs(spark):
+    rng = random.Random(2)
+    rows = [(i % 3, f"w{i}", i, rng.randrange(3), t, t, rng.uniform(0, 900), rng.uniform(0, 20), rng.uniform(1, 200), rng.uniform(1, 60), 1.0) for i in range(240) for t in [rng.choice(["word", "☂", "→", "12"])]]
+    words = spark.createDataFrame(rows, "doc_id long, word_id string, word_index long, line_index int, text string, norm_text string, x double, y double, w double, h double, confidence double")
+    textual = {r.word_id for r in words.where(T.is_textual(F.col("norm_text"))).collect()}
+    want = set()
+    for a in rows:
+        for b in rows:
+            if a[1] not in textual and b[1] in textual and a[0] == b[0] and a[3] == b[3]:
+                gap = max(b[6] - a[6] - a[8], a[6] - b[6] - b[8])
+                shared = min(a[7] + a[9], b[7] + b[9]) - max(a[7], b[7])
+                if gap <= noise.NEAR_GAP * max(a[9], b[9]) and shared >= noise.NEAR_OVERLAP * min(a[9], b[9]):
+                    want.add((a[0], a[1]))
+    assert {tuple(r) for r in noise.connected(words, T.is_textual(F.col("norm_text"))).collect()} == want and len(want) > 20
+
+
+def test_nearest_word_within_a_thousandth(spark):
+    words = spark.createDataFrame([(1, f"w{i}", i, "t", x, 0.0, 1.0, 1.0) for i, x in enumerate([10.00051, 10.00049, 10.0016, 10.002])], "doc_id long, word_id string, word_index long, norm_text string, x double, y double, w double, h double")
+    point = spark.createDataFrame([(1, 0, 0.0, 0.5, 12.0)], "doc_id long, point_id long, px double, py double, tolerance double")
+    assert [r.word_id for r in Q.nearest_word(words, point).collect()] == ["w0"]
+    assert [r.word_id for r in Q.nearest_word(words.where("word_index > 0"), point).collect()] == ["w1"]
+    assert [r.word_id for r in Q.nearest_word(words.where("word_index > 1"), point).collect()] == ["w2"]
