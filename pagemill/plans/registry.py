@@ -443,17 +443,23 @@ def postprocessed_analysis(spark, sf_dir):
     return repair.postprocessed(words(spark, sf_dir), DICTIONARY)[1]
 
 
+def byte_images(spark, sf_dir):
+    """Images made of the texts' own bytes, 16 pixels wide; a text under 64 bytes, or null, is an image without rows."""
+    text = F.coalesce("text", F.lit(""))
+    return documents(spark, sf_dir).select("doc_id", F.lit(16).alias("width"), F.floor(F.octet_length(text) / 64).cast("int").alias("height"), F.lit(64).alias("stride"), F.encode(text, "utf-8").alias("pixels"))
+
+
 @query()
 def image_statistics(spark, sf_dir):
-    """Statistics of images made of the texts' own bytes, 16 pixels wide."""
-    rows = documents(spark, sf_dir).select("doc_id", F.lit(16).alias("width"), F.floor(F.octet_length("text") / 64).cast("int").alias("height"), F.lit(64).alias("stride"), F.encode("text", "utf-8").alias("pixels"))
+    """Statistics of the byte images of all texts."""
+    rows = byte_images(spark, sf_dir)
     return rounded(images.image_stats(rows), "avg_luminance", "edge_density")
 
 
 @query()
 def ink_row_runs(spark, sf_dir):
     """Row runs of the same images' ink."""
-    rows = documents(spark, sf_dir).select("doc_id", F.lit(16).alias("width"), F.floor(F.octet_length("text") / 64).cast("int").alias("height"), F.lit(64).alias("stride"), F.encode("text", "utf-8").alias("pixels"))
+    rows = byte_images(spark, sf_dir)
     return layout.row_runs(images.ink_histogram(rows), least=5)
 
 
