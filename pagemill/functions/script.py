@@ -5,25 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import char_class, contains_any, count_of, digits, letters
+from pagemill.functions.text import char_class, contains_any, count_of, digits, letters, symbols
 
 #: Fixed pairs of letters that look the same (Unicode confusables), Latin and Cyrillic in the same places.
 LATIN_LOOKS = "ABCEHKMOPTXYaceopxyk"
 CYRILLIC_LOOKS = "АВСЕНКМОРТХУасеорхук"
 #: Further pairs that are alike only in poor images.
 LATIN_ROUGH, CYRILLIC_ROUGH = "NURu", "ИЦЯи"
+#: Those that are alike in capitals, Latin and Cyrillic: what fusion counts.
+FUSION_LOOKS = (LATIN_LOOKS[:12], CYRILLIC_LOOKS[:12])
 LATIN, CYRILLIC = r"\p{IsLatin}", r"\p{IsCyrillic}"
 #: Parts of addresses and paths: tokens that hold one are never rewritten.
 PROTECTED = ["://", "www.", "@", "\\", ".com", ".org", ".net", ".exe", ".dll", ".zip", ".json"]
 
 
-def script_counts(t: Column) -> dict[str, Column]:
-    """Letters of each script, those of them that look alike in the other, and digits."""
+def script_counts(t: Column, latin_looks: str = LATIN_LOOKS, cyrillic_looks: str = CYRILLIC_LOOKS) -> dict[str, Column]:
+    """Letters of each script, those of them that look alike in the other, and digits; fusion counts fewer look-alikes (FUSION_LOOKS)."""
     return {
         "latin": count_of(t, LATIN),
         "cyrillic": count_of(t, CYRILLIC),
-        "latin_alike": count_of(t, char_class(LATIN_LOOKS)),
-        "cyrillic_alike": count_of(t, char_class(CYRILLIC_LOOKS)),
+        "latin_alike": count_of(t, char_class(latin_looks)),
+        "cyrillic_alike": count_of(t, char_class(cyrillic_looks)),
         "digit": digits(t),
     }
 
@@ -41,10 +43,17 @@ def _counts(t: Column) -> dict[str, Column]:
     return script_counts(t) | {"protected": is_protected(t)}
 
 
-def is_protected(t: Column, terms: list[str] | None = None) -> Column:
-    """An address, a path, a mail name, or a short code in capitals and digits."""
+def is_protected(t: Column, terms: list[str] | None = None, codes: bool = True, names: list[str] | None = None) -> Column:
+    """An address, a path, a mail name, or a short code in capitals and digits.
+
+    terms: what such a token holds instead of PROTECTED; codes: whether short codes count, as in correction, or not, as
+    in analysis and fusion; names: tokens that count if they equal one, whatever the case.
+    """
+    named = F.lower(t).isin(*[n.lower() for n in names]) if names else F.lit(False)
+    if not codes:
+        return contains_any(t, PROTECTED if terms is None else terms) | named
     code = (F.length(t) <= 4) & t.rlike(r"^[A-Z0-9]*[0-9][A-Z0-9]*$")
-    return contains_any(t, PROTECTED if terms is None else terms) | code
+    return contains_any(t, PROTECTED if terms is None else terms) | named | code
 
 
 def is_mixed(t: Column) -> Column:
@@ -52,10 +61,11 @@ def is_mixed(t: Column) -> Column:
     return t.rlike(LATIN) & t.rlike(CYRILLIC)
 
 
-def is_corrupted(t: Column, least: int = 4, c: dict[str, Column] | None = None) -> Column:
-    """Both scripts in a token that is long enough to tell and no address or path."""
+def is_corrupted(t: Column, least: int = 4, c: dict[str, Column] | None = None, stray: bool = False) -> Column:
+    """Both scripts in a token that is long enough to tell and no address or path; with ``stray`` a short one counts too if it holds a symbol."""
     c = c or _counts(t)
-    return (c["latin"] > 0) & (c["cyrillic"] > 0) & (F.length(t) >= least) & ~c["protected"]
+    long = F.length(t) >= least
+    return (c["latin"] > 0) & (c["cyrillic"] > 0) & (long | (symbols(t) > 0) if stray else long) & ~c["protected"]
 
 
 def is_clean(t: Column, script: str = CYRILLIC, other: str = LATIN) -> Column:

@@ -533,3 +533,16 @@ def file_stamps(spark, sf_dir):
     """Stamps for file names."""
     at = F.timestamp_seconds(F.lit(1_704_164_645) + F.col("doc_id") * 3607)
     return documents(spark, sf_dir).select(T.stamp(at).alias("stamp")).groupBy("stamp").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(rf"""WITH {SCORES_SQL}, letters AS (SELECT doc_id, sum(latin)::BIGINT AS l, sum(cyrillic)::BIGINT AS c FROM judged GROUP BY doc_id),
+    modes AS (SELECT s.doc_id, m.mode, score, l, c, CASE m.mode WHEN 'Russian' THEN c WHEN 'EnglishRussian' THEN 2 * least(l, c) ELSE l END AS own,
+        CASE WHEN l = 0 AND c = 0 THEN 'none' WHEN c >= l * 1.6::DOUBLE THEN 'cyrillic' WHEN l >= c * 1.6::DOUBLE THEN 'latin' ELSE 'mixed' END AS prevails
+        FROM scored s JOIN letters USING (doc_id), (VALUES ('English'), ('Russian'), ('EnglishRussian')) m(mode))
+    SELECT doc_id, mode, round(greatest(0.0, score + 12.0::DOUBLE * own / greatest(l + c, 1)
+        + CASE WHEN prevails = CASE mode WHEN 'Russian' THEN 'cyrillic' WHEN 'EnglishRussian' THEN 'mixed' ELSE 'latin' END THEN 5 ELSE 0 END), 6) AS mode_score,
+        CASE prevails WHEN 'cyrillic' THEN 'Russian' WHEN 'mixed' THEN 'EnglishRussian' ELSE 'English' END AS suggested_language FROM modes""")
+def mode_scores(spark, sf_dir):
+    """Every document's score under each language mode; a mode asked for twice counts once."""
+    found = quality.language_scores(words(spark, sf_dir), ["English", "Russian", "EnglishRussian", "English"], TERMS)
+    return rounded(found.select("doc_id", "mode", "mode_score", "suggested_language"), "mode_score")

@@ -248,3 +248,14 @@ def test_nearest_word_within_a_thousandth(spark):
     assert [r.word_id for r in Q.nearest_word(words, point).collect()] == ["w0"]
     assert [r.word_id for r in Q.nearest_word(words.where("word_index > 0"), point).collect()] == ["w1"]
     assert [r.word_id for r in Q.nearest_word(words.where("word_index > 1"), point).collect()] == ["w2"]
+
+
+def test_variants_of_token_rules(spark):
+    t = F.col("t")
+    df = spark.createDataFrame([("AB1",), ("setup.exe",), ("Delete",), ("аb",), ("аb→",), ("аbcd",), ("kК",)], "t string")
+    rows = df.select("t", S.is_protected(t).alias("codes"), S.is_protected(t, codes=False).alias("plain"), S.is_protected(t, ["exe"], False, ["delete"]).alias("named"), S.is_corrupted(t).alias("long"), S.is_corrupted(t, 1).alias("any"), S.is_corrupted(t, stray=True).alias("stray"), S.script_counts(t, *S.FUSION_LOOKS)["latin_alike"].alias("fusion"), S.script_counts(t)["latin_alike"].alias("alike"))
+    got = {r.t: tuple(r)[1:] for r in rows.collect()}
+    assert got["AB1"] == (True, False, False, False, False, False, 2, 2)
+    assert got["setup.exe"][:3] == (True, True, True) and got["Delete"][:3] == (False, False, True)
+    assert got["аb"][3:6] == (False, True, False) and got["аb→"][3:6] == (False, True, True) and got["аbcd"][3:6] == (True, True, True)
+    assert got["kК"][6:] == (0, 1)
