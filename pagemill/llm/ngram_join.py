@@ -119,7 +119,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     folded = stored(indexed.groupBy("_n", "_class", "_s1", "_s2").agg(F.min("_id").alias("_rep")), "folded")
     own = folded.select(F.col("_s1").alias("_k1"), F.col("_s2").alias("_k2"), F.col("_rep"))
     first = indexed.where(100 * F.col("_n") >= percent * (F.col("_n") + 1)).join(own, (F.col("_s1") == F.col("_k1")) & (F.col("_s2") == F.col("_k2")) & (F.col("_id") == F.col("_rep")))
-    members = stored(first.select("_rep", "_n", "_class", "_prefix", "_set").dropDuplicates(["_rep"]), "members")
+    # Rows that share an id but not their text give several sets of one name; all stay, as one vertex.
+    members = stored(first.select("_rep", "_n", "_class", "_prefix", "_set", "_s1", "_s2").dropDuplicates(["_rep", "_n", "_s1", "_s2"]).drop("_s1", "_s2"), "members")
     links = _links(members, percent, id_type)
     found = folded.join(components(links), F.col("_rep") == F.col("vertex"), "left").select(F.col("_s1").alias("_k1"), F.col("_s2").alias("_k2"), F.col("_n").alias("_m"), F.coalesce("component", "_rep").alias("_component"))
     out = sets.select("_id", "_n", "_s1", "_s2").join(found, (F.col("_s1") == F.col("_k1")) & (F.col("_s2") == F.col("_k2")) & (F.col("_n") == F.col("_m")), "left")

@@ -264,6 +264,9 @@ def test_similar_texts(spark):
     assert [got[i].n_shingles for i in range(len(texts))] == [len(s) for s in sets]
     assert [got[i].component_id for i in range(len(texts))] == jaccard_roots(sets)
     assert similar_texts(docs(spark, [])).count() == 0
+    other, near = " ".join(vocabulary[:60]), " ".join(vocabulary[100:160])
+    shared = similar_texts(docs(spark, [other, near, near + " more", other + " less", near], [5, 5, 7, 9, 5])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in shared) == [(5, 5), (5, 5), (5, 5), (7, 5), (9, 5)]
     assert sorted(str(r.component_id) for r in similar_texts(docs(spark, ["a b c"] * 3, [5, 4, None])).collect()) == ["4", "4", "None"]
 
 
