@@ -27,7 +27,7 @@ def nearest_word(words: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def range_selection(words: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Words between two indexes, in either order and inclusive, of each range (doc_id, anchor, active)."""
+    """Words between two indexes, in either order and inclusive, of each range (doc_id, anchor, active); a range without words has no row."""
     return words.join(ranges, "doc_id").where(F.col("word_index").between(F.least("anchor", "active"), F.greatest("anchor", "active"))).drop("anchor", "active")
 
 
