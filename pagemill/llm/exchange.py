@@ -161,10 +161,11 @@ class Node:
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, ANSWER.values(), strict=True)], list(ANSWER))
 
 
-def totals(rows: DataFrame, blocks: int, count: Callable[[pa.Table], Counted], width: int = WIDTH) -> DataFrame:
+def totals(rows: DataFrame, blocks: int, count: Callable[[pa.Table], Counted], width: int = WIDTH, answer: Callable[[Node, int], pa.Table] | None = None) -> DataFrame:
     """A stored table (_block, _range, _kind, _totals, _sum, _distinct): answers to blocks, and with _block = -1 each range's sums.
 
-    _sum and _distinct: of a kind's counts the sum, and how many keys have a positive one.
+    _sum and _distinct: of a kind's counts the sum, and how many keys have a positive one. ``answer`` tells what a range
+    answers, from its node and the number of ranges, where that is something else than totals.
     """
     fan = Fan.of(blocks, width)
     runs = [rows.groupBy("_block").applyInArrow(lambda t: fan.dealt(0, t.column("_block")[0].as_py(), count(t)), RUN_SCHEMA)]
@@ -174,7 +175,7 @@ def totals(rows: DataFrame, blocks: int, count: Callable[[pa.Table], Counted], w
 
     def summed(table: pa.Table) -> pa.Table:
         node = Node(table)
-        return node.answers({k: found[2] for k, found in node.kind.items()}, last=True)
+        return answer(node, fan.width**fan.levels) if answer else node.answers({k: found[2] for k, found in node.kind.items()}, last=True)
 
     def passed_on(table: pa.Table, back: pa.Table) -> pa.Table:
         node = Node(table)
