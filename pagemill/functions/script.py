@@ -43,6 +43,11 @@ def _counts(t: Column) -> dict[str, Column]:
     return script_counts(t) | {"protected": is_protected(t)}
 
 
+def fusion_counts(t: Column) -> dict[str, Column]:
+    """What fusion counts in a token: fewer look-alikes, and no short codes among the protected."""
+    return script_counts(t, *FUSION_LOOKS) | {"protected": is_protected(t, codes=False)}
+
+
 def is_protected(t: Column, terms: list[str] | None = None, codes: bool = True, names: list[str] | None = None) -> Column:
     """An address, a path, a mail name, or a short code in capitals and digits.
 

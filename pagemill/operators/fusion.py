@@ -1,18 +1,20 @@
 """Fusing several recognisers' words of the same documents, and merging candidates by coverage.
 
 Grouping, line building and coverage depend on the order in which words come (a word joins one group, boxes grow), so
-they are ordered folds over a document, in numpy inside a grouped map. Documents are independent; inside one, words
-are looked up by grid cells instead of all against all.
+they are ordered folds, in a grouped map over pieces of documents: a window finds where a document can be cut across its
+height because nothing reaches over, and pieces fold by themselves. Inside one, numpy finds the pairs of words that show the
+same by grid cells, and the fold goes over these pairs alone.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import script as S
@@ -72,7 +74,7 @@ def word_preference(words: DataFrame) -> Column:
     t = F.col("norm_text")
     confidence = F.coalesce("confidence", F.lit(WORD_CONFIDENCE))
     fits = F.when((F.col("language") == "Russian") & t.rlike(S.CYRILLIC), 6).when((F.col("language") == "English") & t.rlike(S.LATIN), 6).otherwise(0) if "language" in words.columns else F.lit(0)
-    return confidence + F.least(F.length(t), F.lit(12)) * 1.5 + fits + F.when(S.is_protected(t), 8).otherwise(0) - F.when(S.is_corrupted(t), 25).otherwise(0) - F.when(T.is_textual(t), 0).otherwise(15)
+    return confidence + F.least(F.length(t), F.lit(12)) * 1.5 + fits + F.when(S.is_protected(t, codes=False), 8).otherwise(0) - F.when(S.is_corrupted(t, c=S.fusion_counts(t)), 25).otherwise(0) - F.when(T.is_textual(t), 0).otherwise(15)
 
 
 def group_preference(any_cyrillic, any_protected, cyrillic, protected):
@@ -87,7 +89,7 @@ def group_preference(any_cyrillic, any_protected, cyrillic, protected):
 def coverage_preference(t: Column, confidence: Column) -> Column:
     """How good a reading is where candidates are merged by coverage: confidence, letters and digits that tell, and no two scripts in one token."""
     telling = F.least(T.letters(t) + T.digits(t), F.lit(20))
-    return 0.6 * F.coalesce(confidence, F.lit(WORD_CONFIDENCE)) + 2 * telling - T.symbols(t) - F.when(S.is_corrupted(t), 18).otherwise(0)
+    return 0.6 * F.coalesce(confidence, F.lit(WORD_CONFIDENCE)) + 2 * telling - T.symbols(t) - F.when(S.is_corrupted(t, c=S.fusion_counts(t), stray=True), 18).otherwise(0)
 
 
 def _fold(t: str) -> str:
@@ -98,134 +100,231 @@ def _same_token(a: str, b: str) -> bool:
     return bool(a) and (a == b or (min(len(a), len(b)) >= 4 and abs(len(a) - len(b)) <= 2 and (a in b or b in a)))
 
 
-class _Grid:
-    """Boxes by the cells they touch."""
-
-    def __init__(self):
-        self.cells: dict[tuple[int, int], list[int]] = defaultdict(list)
-
-    @staticmethod
-    def _of(x, y, w, h, margin=0.0):
-        return ((i, j) for i in range(int((x - margin) // CELL), int((x + w + margin) // CELL) + 1) for j in range(int((y - margin) // CELL), int((y + h + margin) // CELL) + 1))
-
-    def add(self, k: int, box) -> None:
-        for c in self._of(*box):
-            self.cells[c].append(k)
-
-    def near(self, box) -> list[int]:
-        return sorted({k for c in self._of(*box, margin=box[3]) for k in self.cells.get(c, ())})
-
-
-def _overlap(a, b) -> float:
-    w = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
-    h = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
-    return max(w, 0.0) * max(h, 0.0) / max(min(a[2] * a[3], b[2] * b[3]), 1.0)
+@dataclass(frozen=True)
+class SameWord:
+    """When two boxes show the same word: they overlap by ``overlap``, or by ``same`` with the same token, or their centres
+    are within ``near`` heights, with the same token or whatever the text."""
+
+    overlap: float = OVERLAP
+    same: float = OVERLAP_SAME
+    near: float = NEAR
+    whatever: bool = False
+
+    def of(self, a, b, fold_a: str, fold_b: str) -> float:
+        """Overlap if two boxes show the same word, at least a trifle when only their centres are near; 0 if not."""
+        w = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
+        h = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
+        o = max(w, 0.0) * max(h, 0.0) / max(min(a[2] * a[3], b[2] * b[3]), 1.0)
+        if o >= self.overlap:
+            return o
+        same = _same_token(fold_a, fold_b)
+        if same and o >= self.same:
+            return o
+        dx, dy = a[0] + a[2] / 2 - b[0] - b[2] / 2, a[1] + a[3] / 2 - b[1] - b[3] / 2
+        return max(o, TRIFLE) if (same or self.whatever) and max(abs(dx), abs(dy)) <= self.near * max(a[3], b[3]) else 0.0
+
+    def pairs(self, boxes: np.ndarray, folds: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pairs (later, earlier, overlap) of rows that show the same word, ordered by the later one; boxes that aren't finite show none.
+
+        Boxes widened by ``near`` of their height lie in every cell that they touch, and a pair is found in the cell that
+        holds the upper left corner of what both share.
+        """
+        none = np.zeros(0, np.int64)
+        rows = np.flatnonzero(np.isfinite(boxes).all(1))
+        if len(rows) < 2:
+            return none, none, np.zeros(0)
+        x, y, w, h = boxes[rows].T
+        low, high = np.stack([x - self.near * h, y - self.near * h]), np.stack([x + w + self.near * h, y + h + self.near * h])
+        side = np.maximum(np.maximum((high - low).mean(1), (high - low).max(1) / 4096), 1.0)[:, None]
+        first, last = np.floor(low / side).astype(np.int64), np.floor(np.maximum(low, high) / side).astype(np.int64)
+        across, down = last - first + 1
+        owner = np.repeat(np.arange(len(rows)), across * down)
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(across * down) - across * down, across * down)
+        cx, cy = first[0][owner] + at % across[owner], first[1][owner] + at // across[owner]
+        order = np.lexsort((owner, cx, cy))
+        owner, cx, cy = owner[order], cx[order], cy[order]
+        begins = np.flatnonzero(np.r_[True, (cx[1:] != cx[:-1]) | (cy[1:] != cy[:-1])])
+        sizes = np.diff(np.r_[begins, len(owner)])
+        # Each entry of a cell with those before it there.
+        before = np.arange(len(owner)) - np.repeat(begins, sizes)
+        found = []
+        for part in _portions(before, 4_000_000):
+            n = before[part]
+            b = np.repeat(part, n)
+            a = b - 1 - (np.arange(len(b)) - np.repeat(np.cumsum(n) - n, n))
+            i, j, here = owner[a], owner[b], (cx[b], cy[b])
+            corner = np.floor(np.maximum(low[:, i], low[:, j]) / side)
+            own = (corner[0] == here[0]) & (corner[1] == here[1])
+            i, j = i[own], j[own]
+            shared_w = np.minimum(x[i] + w[i], x[j] + w[j]) - np.maximum(x[i], x[j])
+            shared_h = np.minimum(y[i] + h[i], y[j] + h[j]) - np.maximum(y[i], y[j])
+            o = np.maximum(shared_w, 0) * np.maximum(shared_h, 0) / np.maximum(np.minimum(w[i] * h[i], w[j] * h[j]), 1.0)
+            close = np.maximum(np.abs(x[i] + w[i] / 2 - x[j] - w[j] / 2), np.abs(y[i] + h[i] / 2 - y[j] - h[j] / 2)) <= self.near * np.maximum(h[i], h[j])
+            maybe = np.flatnonzero((o >= self.overlap) | (o >= self.same) | close)
+            i, j, o, close = rows[i[maybe]], rows[j[maybe]], o[maybe], close[maybe]
+            yes = (o >= self.overlap) | (close & self.whatever)
+            ask = np.flatnonzero(~yes)
+            yes[ask] = [_same_token(folds[p], folds[q]) for p, q in zip(i[ask].tolist(), j[ask].tolist(), strict=True)]
+            found.append((np.maximum(i, j)[yes], np.minimum(i, j)[yes], np.where(close, np.maximum(o, TRIFLE), o)[yes]))
+        later, earlier, overlap = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (none, none, np.zeros(0))
+        order = np.lexsort((earlier, later))
+        return later[order], earlier[order], overlap[order]
+
+
+def _portions(sizes: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Consecutive indexes whose sizes add up to about ``most``."""
+    cuts = np.searchsorted(np.cumsum(sizes), np.arange(most, int(sizes.sum()), most))
+    yield from np.split(np.arange(len(sizes)), np.unique(cuts))
+
+
+FUSION, COVERAGE = SameWord(), SameWord(overlap=0.35, same=0.2, near=0.5, whatever=True)
 
 
 def same_visible_word(a, b, fold_a: str, fold_b: str) -> float:
-    """Overlap if two boxes show the same word, at least a trifle when only their centres are near; 0 if not."""
-    o = _overlap(a, b)
-    if o >= OVERLAP:
-        return o
-    if not _same_token(fold_a, fold_b):
-        return 0.0
-    if o >= OVERLAP_SAME:
-        return o
-    dx, dy = a[0] + a[2] / 2 - b[0] - b[2] / 2, a[1] + a[3] / 2 - b[1] - b[3] / 2
-    return max(o, TRIFLE) if max(abs(dx), abs(dy)) <= NEAR * max(a[3], b[3]) else 0.0
+    return FUSION.of(a, b, fold_a, fold_b)
 
 
 def grouped_words(pdf: pd.DataFrame) -> np.ndarray:
-    """Of each row its group: rows in the order (y, x, branch, index) join the group with the greatest overlap, else open one."""
+    """Of each row its group: rows in the order (y, x, branch, index) join the group with the greatest overlap, of several the oldest, else open one."""
     order = np.lexsort((pdf["word_id"], pdf["word_index"], pdf["branch_index"], pdf["x"], pdf["y"]))
-    boxes, folds = pdf[["x", "y", "w", "h"]].to_numpy(), [_fold(t) for t in pdf["norm_text"]]
-    grid, group_of, groups = _Grid(), np.full(len(pdf), -1), 0
-    for k in order.tolist():
-        best, at = 0.0, -1
-        for other in grid.near(boxes[k]):
-            o = same_visible_word(boxes[k], boxes[other], folds[k], folds[other])
-            if o > best or (o == best and o > 0 and group_of[other] < at):
-                best, at = o, int(group_of[other])
-        if at < 0:
-            at, groups = groups, groups + 1
-        group_of[k] = at
-        grid.add(k, boxes[k])
-    return group_of
+    texts = pdf["norm_text"].to_numpy()
+    later, earlier, overlap = FUSION.pairs(pdf[["x", "y", "w", "h"]].to_numpy()[order], [_fold(t) for t in texts[order]])
+    group_of = list(range(len(pdf)))  # a group is known by the row that opened it, so older ones are smaller
+    k, best, at = -1, 0.0, -1
+    for k_next, m, o in zip(later.tolist(), earlier.tolist(), overlap.tolist(), strict=True):
+        if k_next != k:
+            k, best = k_next, 0.0
+        g = group_of[m]
+        if o > best or (o == best and g < at):
+            best, at = o, g
+            group_of[k] = g
+    out = np.empty(len(pdf), np.int64)
+    out[order] = group_of
+    return out
 
 
 def built_lines(boxes: np.ndarray) -> np.ndarray:
-    """Of each box its line: boxes from top to bottom join the first line with which they share enough height; lines grow and are numbered by their tops."""
-    tops, bottoms, member = [], [], np.full(len(boxes), -1)
-    for k in np.lexsort((boxes[:, 0], boxes[:, 1])).tolist():
-        y, h = boxes[k, 1], boxes[k, 3]
-        shared = np.minimum(np.array(bottoms), y + h) - np.maximum(np.array(tops), y)
-        fit = np.flatnonzero(shared >= LINE_OVERLAP * np.maximum(np.minimum(np.array(bottoms) - np.array(tops), h), 1e-9)) if tops else []
-        if len(fit):
-            i = int(fit[0])
-            tops[i], bottoms[i] = min(tops[i], y), max(bottoms[i], y + h)
-        else:
-            i = len(tops)
+    """Of each box its line: boxes from top to bottom join the first line with which they share enough height; lines grow and are numbered by their tops.
+
+    A sweep: a line whose bottom lies above a box is done, so only those that are open are looked at.
+    """
+    tops: list[float] = []
+    bottoms: list[float] = []
+    member = np.full(len(boxes), -1)
+    open_lines: list[int] = []
+    order = np.lexsort((boxes[:, 0], boxes[:, 1]))
+    for k, y, h in zip(order.tolist(), boxes[order, 1].tolist(), boxes[order, 3].tolist(), strict=True):
+        hit, done = -1, False
+        for i in open_lines:
+            shared = min(bottoms[i], y + h) - max(tops[i], y)
+            if shared >= LINE_OVERLAP * max(min(bottoms[i] - tops[i], h), 1e-9):
+                hit = i
+                break
+            done = done or bottoms[i] <= y
+        if done:
+            open_lines = [i for i in open_lines if bottoms[i] > y]
+        if hit < 0:
+            hit = len(tops)
             tops.append(y)
             bottoms.append(y + h)
-        member[k] = i
+            open_lines.append(hit)
+        elif y + h > bottoms[hit]:
+            bottoms[hit] = y + h
+        member[k] = hit
     rank = np.empty(len(tops), np.int64)
     rank[np.lexsort((np.arange(len(tops)), np.array(tops)))] = np.arange(len(tops))
     return rank[member] if len(boxes) else member
 
 
+#: Words of a piece of a document, at least; a piece ends where nothing reaches over.
+PIECE = 4000
+
+
+def in_pieces(words: DataFrame, least: int = PIECE) -> DataFrame:
+    """``words`` with _piece: a document cut across its height where no word can meet or share a line with one beyond.
+
+    Words reach (NEAR - 0.5) of their height over their box, as far as centres can lie apart when boxes don't touch. In the
+    order of their upper reach, a cut is safe where no word before reaches down to the next. Cuts are taken once ``least``
+    words have come, so that pieces are of about that size, or as large as what hangs together.
+    """
+    reach = max(NEAR - 0.5, 0.0) * F.greatest("h", F.lit(0.0))
+    order = Window.partitionBy("doc_id").orderBy("_from", "y", "word_id")
+    so_far = order.rowsBetween(Window.unboundedPreceding, -1)
+    words = words.withColumns({"_from": F.col("y") - reach, "_to": F.col("y") + F.greatest("h", F.lit(0.0)) + reach})
+    words = words.withColumns({"_before": F.max("_to").over(so_far), "_n": F.row_number().over(order)})
+    islands = words.withColumn("_start", F.when(F.col("_before").isNull() | (F.col("_from") > F.col("_before")), F.col("_n")))
+    begun = F.max("_start").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return islands.withColumn("_piece", F.floor((begun - 1) / F.lit(least))).drop("_from", "_to", "_before", "_n", "_start")
+
+
 FUSED = "doc_id {id}, word_id string, word_index long, line_index int, text string, norm_text string, x double, y double, w double, h double, confidence double"
 
 
 def _relined(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.assign(line_index=built_lines(pdf[["x", "y", "w", "h"]].to_numpy()))
     pdf = pdf.sort_values(["line_index", "x", "y", "word_id"], kind="stable")
-    return pdf.assign(word_index=np.arange(len(pdf)))[["doc_id", "word_id", "word_index", "line_index", "text", "norm_text", "x", "y", "w", "h", "confidence"]]
+    return pdf.assign(word_index=np.arange(len(pdf)))[["doc_id", "_piece", "word_id", "word_index", "line_index", "text", "norm_text", "x", "y", "w", "h", "confidence"]]
+
 
+def _by_piece(words: DataFrame, fold: Callable[[pd.DataFrame], pd.DataFrame], least: int) -> DataFrame:
+    """Pieces of documents through ``fold``, one task a piece; words and lines are then numbered through the document, as pieces come from top to bottom."""
+    schema = FUSED.format(id=words.schema["doc_id"].dataType.simpleString()) + ", _piece long"
+    folded = in_pieces(words, least).groupBy("doc_id", "_piece").applyInPandas(fold, schema)
+    order = Window.partitionBy("doc_id").orderBy("_piece", "word_index")
+    lines = Window.partitionBy("doc_id").orderBy("_piece", "line_index")
+    numbered = folded.withColumns({"_word": (F.row_number().over(order) - 1).cast("long"), "_line": F.dense_rank().over(lines) - 1})
+    return numbered.withColumns({"word_index": F.col("_word"), "line_index": F.col("_line")}).drop("_word", "_line", "_piece")
 
-def fused(branches: list[tuple[str, DataFrame]]) -> DataFrame:
+
+def fused(branches: list[tuple[str, DataFrame]], least: int = PIECE) -> DataFrame:
     """One word of each group of readings of the same visible word, in lines built anew.
 
-    The best reading by ``word_preference`` and ``group_preference`` is taken, ties by branch and order. A document's
-    branches meet in one task.
+    The best reading by ``word_preference`` and ``group_preference`` is taken, ties by branch and order. Documents are cut
+    where nothing reaches over, so that a long one is many tasks; the cuts don't change the outcome.
     """
     words = united(branches)
-    words = words.withColumns({"_score": word_preference(words).cast("double"), "_cyrillic": F.col("norm_text").rlike(S.CYRILLIC).cast("int"), "_protected": S.is_protected(F.col("norm_text")).cast("int")})
-    schema = FUSED.format(id=words.schema["doc_id"].dataType.simpleString())
+    words = words.withColumns({"_score": word_preference(words).cast("double"), "_cyrillic": F.col("norm_text").rlike(S.CYRILLIC).cast("int"), "_protected": S.is_protected(F.col("norm_text"), codes=False).cast("int")})
 
-    def document(pdf: pd.DataFrame) -> pd.DataFrame:
+    def piece(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(_group=grouped_words(pdf))
         flags = pdf.groupby("_group")[["_cyrillic", "_protected"]].transform("max")
         pdf["_score"] += group_preference(flags["_cyrillic"], flags["_protected"], pdf["_cyrillic"], pdf["_protected"])
         pdf = pdf.sort_values(["_group", "_score", "branch_index", "word_index", "word_id"], ascending=[True, False, True, True, True], kind="stable")
         return _relined(pdf.drop_duplicates("_group"))
 
-    return words.groupBy("doc_id").applyInPandas(document, schema)
+    return _by_piece(words, piece, least)
+
 
+def coverage_places(pdf: pd.DataFrame) -> list[int]:
+    """Rows, in the order in which they come, that are kept: a later one takes the oldest kept place that shows the same if its _score is better, and no place if it isn't; one that shows nothing kept is added."""
+    later, earlier, _ = COVERAGE.pairs(pdf[["x", "y", "w", "h"]].to_numpy(), [_fold(t) for t in pdf["norm_text"]])
+    cuts = np.searchsorted(later, np.arange(len(pdf) + 1)).tolist()
+    earlier, score = earlier.tolist(), pdf["_score"].tolist()
+    places: list[int] = []
+    place_of: dict[int, int] = {}  # of the rows that are kept now
+    for k in range(len(pdf)):
+        hit = min((place_of[m] for m in earlier[cuts[k] : cuts[k + 1]] if m in place_of), default=-1)
+        if hit < 0:
+            place_of[k] = len(places)
+            places.append(k)
+        elif score[k] > score[places[hit]]:
+            del place_of[places[hit]]
+            places[hit], place_of[k] = k, hit
+    return places
 
-def coverage_merged(candidates: DataFrame) -> DataFrame:
+
+def coverage_merged(candidates: DataFrame, least: int = PIECE) -> DataFrame:
     """Words of several candidates of a document (candidate, candidate_score) folded into one, best candidate first.
 
-    A later word replaces the first kept word that shows the same, if its reading is strictly better by
-    ``coverage_preference``; one that shows
-    nothing kept is added. Lines are built anew.
+    A later word replaces the first kept word that shows the same (COVERAGE: near centres suffice whatever the text), if its
+    reading is strictly better by ``coverage_preference``; one that shows nothing kept is added. Lines are built anew.
+    Documents are cut as in ``fused``.
     """
     words = candidates.where(~T.is_blank(F.col("norm_text")))
     words = words.withColumn("_score", coverage_preference(F.col("norm_text"), F.col("confidence")).cast("double"))
-    schema = FUSED.format(id=words.schema["doc_id"].dataType.simpleString())
 
-    def document(pdf: pd.DataFrame) -> pd.DataFrame:
+    def piece(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["candidate_score", "candidate", "word_index", "word_id"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
-        boxes, folds, score = pdf[["x", "y", "w", "h"]].to_numpy(), [_fold(t) for t in pdf["norm_text"]], pdf["_score"].to_numpy()
-        place: list[int] = []  # rows that are kept, by place; a place keeps its number when its row is replaced
-        grid = _Grid()
-        for k in range(len(pdf)):
-            hit = next((p for p in grid.near(boxes[k]) if same_visible_word(boxes[k], boxes[place[p]], folds[k], folds[place[p]]) > 0), None)
-            if hit is None:
-                grid.add(len(place), boxes[k])
-                place.append(k)
-            elif score[k] > score[place[hit]]:
-                place[hit] = k
-                grid.add(hit, boxes[k])
-        return _relined(pdf.iloc[place])
-
-    return words.groupBy("doc_id").applyInPandas(document, schema)
+        return _relined(pdf.iloc[coverage_places(pdf)])
+
+    return _by_piece(words, piece, least)
