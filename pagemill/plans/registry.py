@@ -277,8 +277,27 @@ def region_text(spark, sf_dir):
 @query()
 def near_token_dictionary(spark, sf_dir):
     """Distinct tokens near a dictionary entry, which the repair changes."""
-    tokens = words(spark, sf_dir).select("norm_text").distinct()
-    return repair.repairs(tokens, DICTIONARY).where("repaired <> norm_text").withColumnRenamed("norm_text", "token")
+    return repair.repairs(words(spark, sf_dir), DICTIONARY).where("repaired <> norm_text").withColumnRenamed("norm_text", "token")
+
+
+@query()
+def near_spellings(spark, sf_dir):
+    """Every different token of the documents with the nearest different word of the benchmark, one edit away at most: the dictionary is a table."""
+    t = F.explode(F.split(F.lower("text"), r"[^\p{L}]+"))
+    asked = documents(spark, sf_dir).select(t.alias("token")).where("length(token) >= 4")
+    known = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(t.alias("term")).where("length(term) >= 4").distinct()
+    found = repair.near_entries(asked, "token", known.select("term", F.lit(1).alias("most"), F.col("term").alias("at")), nearest=True, least=4, deepest=1)
+    return found.where("entry <> token")
+
+
+@query()
+def program_name_repair(spark, sf_dir):
+    """Every different token read as a damaged program name, put right by the names that conversations mention."""
+    t = F.explode(F.split(F.lower("text"), r"[^\p{L}]+"))
+    names = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(t.alias("name")).where("length(name) BETWEEN 4 AND 12")
+    damaged = F.concat(F.translate(F.regexp_replace("norm_text", r"[^\p{L}\p{Nd}_-]", ""), "oa", "оа"), F.lit(".ехе"))
+    tokens = words(spark, sf_dir).select(damaged.alias("norm_text"))
+    return repair.program_names(tokens, names, most=1)
 
 
 @query(rf"""WITH {WORDS_SQL}, r AS (SELECT doc_id, word_id, line_index, norm_text, x + ((line_index + word_index) % 3 - 1) * 5 AS x, y, w, h FROM words),

@@ -159,8 +159,13 @@ def test_dictionary_keeps_affixes_and_order(spark):
 
 
 def test_program_and_installer_names(spark):
-    r = spark.range(1).select(repair.program_name(F.lit("notpad.ехе"), ["notepad"]).alias("a"), repair.installer_name(F.lit("Browzer_setup_12.4"), ["Browser"]).alias("b"), repair.program_name(F.lit("plain"), []).alias("c"), T.longest_digit_run(F.lit("a1.2 .3456. 67")).alias("d")).first()
-    assert (r.a, r.b, r.c, r.d) == ("notepad.exe", "Browser-setup-12.4.exe", None, "3456")
+    tokens = spark.createDataFrame([("notpad.ехе",), ("plain",), ("Browzer_setup_12.4",)], "norm_text string")
+    programs = {r.norm_text: r.program for r in repair.program_names(tokens, ["notepad"]).collect()}
+    installers = {r.norm_text: r.installer for r in repair.installer_names(tokens, ["Browser"]).collect()}
+    assert programs == {"notpad.ехе": "notepad.exe", "plain": None, "Browzer_setup_12.4": None}
+    assert installers == {"Browzer_setup_12.4": "Browser-setup-12.4.exe", "plain": None, "notpad.ехе": None}
+    assert repair.program_names(tokens, []).where("program IS NOT NULL").collect()[0].program == "notpad.exe"
+    assert spark.range(1).select(T.longest_digit_run(F.lit("a1.2 .3456. 67"))).first()[0] == "3456"
 
 
 def test_scores_prefer_clean_text(spark):
