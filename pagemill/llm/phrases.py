@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import ASCII_LOWER, dropped, mix64, rekeyed, stored
 from pagemill.llm.exchange import Counted, Node, finished, in_blocks, texts_of, totals
 
+#: Bytes of a block's texts.
+BLOCK = 2 << 20
 #: Bits of a word's id and of a phrase's; both together are a key.
 WORD_BITS, PHRASE_BITS = 30, 34
 #: Parts of the words that are numbered one by one, and of the phrases that are ranked before a language's last ranking.
@@ -123,39 +125,52 @@ def _table_of_names(answers: DataFrame) -> DataFrame:
     return rows.mapInArrow(decoded, "_id long, _prefix long, _last long, _n long")
 
 
+def _by_language(table: pa.Table) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+    """(language, distinct words, tokens as places among them) of a block, always in the same order, however its rows come."""
+    langs, texts = table.column("_lang").to_pylist(), texts_of(table)
+    for lang in sorted(set(langs)):
+        yield lang, *numbered_tokens(sorted(t for t, x in zip(texts, langs, strict=True) if x == lang))
+
+
 def _words(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of blocks: (_block, _lang, _word, _id) of frequent words, the vocabulary (_id, _lang, _word, _n), and (_lang, _total)."""
+    """Of blocks: (_block, _place, _id) of frequent words, the vocabulary (_id, _lang, _word, _n), and (_lang, _total).
+
+    _place: which of the block's distinct words it is, those of its languages end to end.
+    """
 
     def count(table: pa.Table) -> pa.Table:
-        block, langs = table.column("_block")[0].as_py(), table.column("_lang").to_pylist()
-        texts, out = texts_of(table), []
-        for lang in dict.fromkeys(langs):
-            words, at = numbered_tokens([t for t, x in zip(texts, langs, strict=True) if x == lang])
-            n = np.bincount(at[at >= 0], minlength=len(words))
-            out.append(pa.table({"_block": np.full(len(words), block), "_lang": pa.array([lang] * len(words), pa.string()), "_word": pa.array(words, pa.binary()), "_n": n}))
+        block, out, first = table.column("_block")[0].as_py(), [], 0
+        for lang, words, at in _by_language(table):
+            n, places = np.bincount(at[at >= 0], minlength=len(words)), np.arange(first, first + len(words), dtype=np.int32)
+            first += len(words)
+            out.append(pa.table({"_block": np.full(len(words), block), "_place": places, "_lang": pa.array([lang] * len(words), pa.string()), "_word": pa.array(words, pa.binary()), "_n": n}))
         return pa.concat_tables(out)
 
-    found = stored(rows.groupBy("_block").applyInArrow(count, "_block long, _lang string, _word binary, _n long"), "block-words")
+    found = stored(rows.groupBy("_block").applyInArrow(count, "_block long, _place int, _lang string, _word binary, _n long"), "block-words")
     all_words = stored(found.groupBy("_lang", "_word").agg(F.sum("_n").alias("_n")), "words")
     part = Window.partitionBy("_part").orderBy("_lang", "_word")
     often = all_words.where(F.col("_n") >= least).withColumn("_part", F.pmod(F.xxhash64("_lang", "_word"), F.lit(WORD_PARTS)))
     often = often.withColumn("_id", (F.row_number().over(part) - 1).cast("long") * WORD_PARTS + F.col("_part"))
     told = F.when(F.col("_id") < 1 << WORD_BITS, F.col("_id")).otherwise(F.raise_error(F.lit(f"more than 2^{WORD_BITS} words are frequent: raise the least count")).cast("long"))
     vocabulary = stored(often.select(told.alias("_id"), "_lang", "_word", "_n"), "vocabulary")
-    back = found.select("_block", "_lang", "_word").join(vocabulary.select("_lang", "_word", "_id"), ["_lang", "_word"])
-    return back, vocabulary, all_words.groupBy("_lang").agg(F.sum("_n").alias("_total"))
+    back = found.select("_block", "_place", "_lang", "_word").join(vocabulary.select("_lang", "_word", "_id"), ["_lang", "_word"])
+    return back.select("_block", "_place", F.col("_id").cast("int").alias("_id")), vocabulary, all_words.groupBy("_lang").agg(F.sum("_n").alias("_total"))
 
 
 def _with_word_ids(rows: DataFrame, back: DataFrame) -> DataFrame:
     """(_block, _words, _names): tokens as ids, one row a language of a block; -1 for rare words and ends of pieces, one of which ends each row."""
 
-    def name(table: pa.Table, ids: pa.Table) -> pa.Table:
-        block, langs, texts = table.column("_block")[0].as_py(), table.column("_lang").to_pylist(), texts_of(table)
-        known = {(x, w): i for x, w, i in zip(*(ids.column(c).to_pylist() for c in ("_lang", "_word", "_id")), strict=True)}
-        words, names = [], []
-        for lang in dict.fromkeys(langs):
-            distinct, at = numbered_tokens([t for t, x in zip(texts, langs, strict=True) if x == lang])
-            own = np.array([*(known.get((lang, w), -1) for w in distinct), -1], np.int64)[np.append(at, -1)]
+    def name(table: pa.Table, given: pa.Table) -> pa.Table:
+        block, words, names, first = table.column("_block")[0].as_py(), [], [], 0
+        places, ids = given.column("_place").to_numpy(), given.column("_id").to_numpy()
+        known = np.full(int(places.max(initial=-1)) + 1, -1, np.int64)
+        known[places] = ids
+        for _, distinct, at in _by_language(table):
+            here = np.full(len(distinct) + 1, -1, np.int64)  # the last one is the end of a piece
+            some = known[first : first + len(distinct)]
+            here[: len(some)] = some
+            first += len(distinct)
+            own = here[np.append(at, -1)]
             words.append(own.astype("<i4").tobytes())
             names.append(own.astype("<i8").tobytes())
         return pa.table({"_block": pa.array([block] * len(words), pa.int64()), "_words": pa.array(words, pa.binary()), "_names": pa.array(names, pa.binary())})
@@ -170,7 +185,7 @@ def phrase_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of k - 1 words, of the vocabulary for k = 2, and _last one of the vocabulary.
     """
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("_lang")
-    rows, blocks = in_blocks(docs, id_col, text_col, lang)
+    rows, blocks = in_blocks(docs, id_col, text_col, lang, block_bytes=BLOCK)
     rows = stored(rows.select("_block", "_text", "_lang"), "blocks")
     back, vocabulary, languages = _words(rows, least)
     at = stored(_with_word_ids(rows, back), "named-blocks")
