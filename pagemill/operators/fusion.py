@@ -266,6 +266,21 @@ def _relined(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(word_index=np.arange(len(pdf)))[["doc_id", "_piece", "word_id", "word_index", "line_index", "text", "norm_text", "x", "y", "w", "h", "confidence"]]
 
 
+def _chosen(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The best reading of each group of words, in lines built anew."""
+    pdf = pdf.assign(_group=grouped_words(pdf))
+    flags = pdf.groupby("_group")[["_cyrillic", "_protected"]].transform("max")
+    pdf["_score"] += group_preference(flags["_cyrillic"], flags["_protected"], pdf["_cyrillic"], pdf["_protected"])
+    pdf = pdf.sort_values(["_group", "_score", "branch_index", "word_index", "word_id"], ascending=[True, False, True, True, True], kind="stable")
+    return _relined(pdf.drop_duplicates("_group"))
+
+
+def _judged(branches: list[tuple[str, DataFrame]]) -> DataFrame:
+    """The branches' words with what the choice between readings looks at."""
+    words, t = united(branches), F.col("norm_text")
+    return words.withColumns({"_score": word_preference(words).cast("double"), "_cyrillic": t.rlike(S.CYRILLIC).cast("int"), "_protected": S.is_protected(t, codes=False).cast("int")})
+
+
 def _by_piece(words: DataFrame, fold: Callable[[pd.DataFrame], pd.DataFrame], least: int) -> DataFrame:
     """Pieces of documents through ``fold``, one task a piece; words and lines are then numbered through the document, as pieces come from top to bottom."""
     schema = FUSED.format(id=words.schema["doc_id"].dataType.simpleString()) + ", _piece long"
@@ -282,17 +297,36 @@ def fused(branches: list[tuple[str, DataFrame]], least: int = PIECE) -> DataFram
     The best reading by ``word_preference`` and ``group_preference`` is taken, ties by branch and order. Documents are cut
     where nothing reaches over, so that a long one is many tasks; the cuts don't change the outcome.
     """
-    words = united(branches)
-    words = words.withColumns({"_score": word_preference(words).cast("double"), "_cyrillic": F.col("norm_text").rlike(S.CYRILLIC).cast("int"), "_protected": S.is_protected(F.col("norm_text"), codes=False).cast("int")})
+    return _by_piece(_judged(branches), _chosen, least)
 
-    def piece(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_group=grouped_words(pdf))
-        flags = pdf.groupby("_group")[["_cyrillic", "_protected"]].transform("max")
-        pdf["_score"] += group_preference(flags["_cyrillic"], flags["_protected"], pdf["_cyrillic"], pdf["_protected"])
-        pdf = pdf.sort_values(["_group", "_score", "branch_index", "word_index", "word_id"], ascending=[True, False, True, True, True], kind="stable")
-        return _relined(pdf.drop_duplicates("_group"))
 
-    return _by_piece(words, piece, least)
+#: Lines of a document that are fused in one task.
+LINES = 256
+
+
+def routed(branches: list[tuple[str, DataFrame]], routes: DataFrame) -> DataFrame:
+    """Lines read by several recognisers, each taken as its route (doc_id, line_index, route) says: one branch's reading, or all fused.
+
+    Only lines with the route ``Fused`` go through the fold, each by itself; the others keep the words of the branch whose
+    language their route names and bypass it. Lines are then numbered by top and left of their boxes, words from left to right.
+    A line without a route, or with one that no branch has, is left out.
+    """
+    words = _judged(branches).join(routes.select("doc_id", "line_index", "route"), ["doc_id", "line_index"])
+    columns = ["doc_id", "word_id", "text", "norm_text", "x", "y", "w", "h", "confidence"]
+    taken = words.where(F.col("route") == F.col("language")).select(*columns, F.col("line_index").alias("_source"), F.lit(0).alias("_part"))
+
+    def lines(pdf: pd.DataFrame) -> pd.DataFrame:
+        done = [_chosen(line).assign(_source=at) for at, line in pdf.assign(_piece=0).groupby("line_index")]
+        return pd.concat(done).rename(columns={"line_index": "_part"})[[*columns, "_source", "_part"]]
+
+    schema = f"doc_id {words.schema['doc_id'].dataType.simpleString()}, word_id string, text string, norm_text string, x double, y double, w double, h double, confidence double, _source int, _part int"
+    fold = words.where("route = 'Fused'").withColumn("_lines", F.floor(F.col("line_index") / LINES)).groupBy("doc_id", "_lines").applyInPandas(lines, schema)
+    both = taken.select(*columns, F.col("_source").cast("int").alias("_source"), "_part").unionByName(fold)
+    line = Window.partitionBy("doc_id", "_source", "_part")
+    both = both.withColumns({"_top": F.min("y").over(line), "_left": F.min("x").over(line)})
+    place = ["_top", "_left", "_source", "_part"]
+    numbered = both.withColumns({"line_index": F.dense_rank().over(Window.partitionBy("doc_id").orderBy(*place)) - 1, "word_index": (F.row_number().over(Window.partitionBy("doc_id").orderBy(*place, "x", "y", "word_id")) - 1).cast("long")})
+    return numbered.select("doc_id", "word_id", "word_index", "line_index", *columns[2:])
 
 
 def coverage_places(pdf: pd.DataFrame) -> list[int]:

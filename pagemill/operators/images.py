@@ -6,6 +6,7 @@ Pixels stay in their row; numpy works on one image at a time inside an Arrow bat
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -51,10 +52,6 @@ def ink_rows(y: np.ndarray) -> np.ndarray:
     return (y < foreground_threshold(y)).sum(1)
 
 
-def ink_columns(y: np.ndarray) -> np.ndarray:
-    return (y < foreground_threshold(y)).sum(0)
-
-
 def stretched(y: np.ndarray, low: float = 0.02, high: float = 0.98) -> np.ndarray:
     """Tones spread so that the given quantiles become black and white."""
     a, b = np.quantile(y, [low, high]) if y.size else (0, 255)
@@ -103,3 +100,72 @@ def enhanced(images: DataFrame, invert: bool = False) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "width", "height", "stride", "pixels"])
 
     return images.mapInPandas(tone, f"doc_id {images.schema['doc_id'].dataType.simpleString()}, width int, height int, stride int, pixels binary")
+
+
+@dataclass(frozen=True)
+class Segmentation:
+    """How lines of text are found in an image.
+
+    Rows with ``row_ink`` dark pixels, bridging ``gap`` rows with fewer, are runs; those under ``shortest`` rows go. A run
+    that is still open at the last row reaches to it. Inside a run, columns whose dark share is ``column_share`` (and one
+    pixel) end it left and right; one without such columns goes. Regions grow by ``pad`` within the image, and those nearer
+    than ``close`` of its height are one. Only where nothing is found, bands of ``band`` rows that share ``shared`` are taken.
+    """
+
+    row_ink: int = 1
+    gap: int = 2
+    shortest: int = 3
+    column_share: float = 0.02
+    pad: int = 2
+    close: float = 0.005
+    band: int = 160
+    shared: int = 24
+
+    def regions(self, y: np.ndarray) -> list[tuple[int, int, int, int, str]]:
+        """(left, top, right, bottom, kind) of a grey image, ends exclusive, from top to bottom."""
+        height, width = y.shape
+        if not y.size:
+            return []
+        ink = y < foreground_threshold(y)
+        rows = np.flatnonzero(ink.sum(1) >= self.row_ink)
+        cuts = np.flatnonzero(np.diff(rows) > self.gap + 1)
+        found: list[list[int]] = []
+        for top, bottom in zip(rows[np.r_[0, cuts + 1]].tolist(), rows[np.r_[cuts, len(rows) - 1]].tolist(), strict=True) if len(rows) else ():
+            end = height if height - 1 - bottom <= self.gap else bottom + 1
+            if end - top < self.shortest:
+                continue
+            columns = np.flatnonzero(ink[top:end].sum(0) >= max(1.0, self.column_share * (end - top)))
+            if not len(columns):
+                continue
+            box = [max(int(columns[0]) - self.pad, 0), max(top - self.pad, 0), min(int(columns[-1]) + 1 + self.pad, width), min(end + self.pad, height)]
+            if found and box[1] - found[-1][3] <= self.close * height:
+                last = found[-1]
+                found[-1] = [min(last[0], box[0]), last[1], max(last[2], box[2]), max(last[3], box[3])]
+            else:
+                found.append(box)
+        if found:
+            return [(*box, "line") for box in found]
+        step = max(self.band - self.shared, 1)
+        return [(0, top, width, min(top + self.band, height), "band") for top in range(0, max(height - self.shared, 1), step)]
+
+
+def text_regions(images: DataFrame, how: Segmentation = Segmentation(), crops: bool = False) -> DataFrame:  # noqa: B008
+    """(doc_id, region, x, y, w, h, kind) of the lines of text in each image, with ``crops`` their pixels (BGRA, stride) as well.
+
+    One pass over an image: threshold, row runs, columns of each run, merging, bands where nothing is found, and the crops
+    are made while its pixels are at hand. An image without pixels has no regions.
+    """
+
+    def segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                bgra = pixels_of(r.width, r.height, r.stride, r.pixels)
+                rows = []
+                for k, (left, top, right, bottom, kind) in enumerate(how.regions(luminance(bgra))):
+                    cut = (4 * (right - left), np.ascontiguousarray(cropped(bgra, left, top, right, bottom)).tobytes()) if crops else ()
+                    rows.append((r.doc_id, k, left, top, right - left, bottom - top, kind, *cut))
+                yield pd.DataFrame(rows, columns=names)
+
+    names = ["doc_id", "region", "x", "y", "w", "h", "kind", *(["stride", "pixels"] if crops else [])]
+    schema = f"doc_id {images.schema['doc_id'].dataType.simpleString()}, region int, x int, y int, w int, h int, kind string" + (", stride int, pixels binary" if crops else "")
+    return images.select("doc_id", "width", "height", "stride", "pixels").mapInPandas(segment, schema)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import geometry as G
 from pagemill.functions import script as S
 from pagemill.functions import text as T
-from pagemill.operators import choice, fusion, images, layout, noise, quality, repair
+from pagemill.operators import choice, fusion, images, layout, noise, quality, repair, staging
 from pagemill.operators import query as Q
 from pagemill.sources import settings
 from pagemill.sources.layout import LINE_STEP, jittered, synthetic_words
@@ -437,6 +437,23 @@ def fused_words(spark, sf_dir):
     return fusion.fused([("English", w), ("Russian", jittered(w, 1))])
 
 
+def routed_input(spark, sf_dir):
+    """Two readings of every document, and the route of each line by letters and by the sum of its words' confidences."""
+    english = words(spark, sf_dir)
+    russian = jittered(english, 1)
+    t = F.col("norm_text")
+    sums = lambda w, n: w.groupBy("doc_id", "line_index").agg(F.sum("confidence").alias(n), F.sum(T.count_of(t, S.LATIN)).alias(f"{n}_latin"), F.sum(T.count_of(t, S.CYRILLIC)).alias(f"{n}_cyrillic"))
+    met = sums(english, "e").join(sums(russian, "r"), ["doc_id", "line_index"])
+    route = choice.line_route(F.col("r_latin"), F.col("r_cyrillic"), F.col("e"), F.col("r"), margin=1.05)
+    return [("English", english), ("Russian", russian)], met.select("doc_id", "line_index", route.alias("route"))
+
+
+@query()
+def routed_words(spark, sf_dir):
+    """Lines of every document taken from one of two readings or fused, as their routes say."""
+    return fusion.routed(*routed_input(spark, sf_dir))
+
+
 @query()
 def coverage_merge(spark, sf_dir):
     w = words(spark, sf_dir)
@@ -482,6 +499,38 @@ def ink_row_runs(spark, sf_dir):
     return layout.row_runs(images.ink_histogram(rows), least=5)
 
 
+@query()
+def text_regions(spark, sf_dir):
+    """Lines of text in the byte images of all texts, and bands where there is none."""
+    return images.text_regions(byte_images(spark, sf_dir), images.Segmentation(row_ink=4, gap=1, column_share=0.2, pad=1, close=0.0, band=12, shared=3))
+
+
+def evaluated(docs: DataFrame, engine: str, mode: str) -> DataFrame:
+    """A reading of documents by an engine: Fast sees the words that are sure and fails where fewer than three are, Accurate sees all;
+    in Russian, what looks Cyrillic is read so."""
+    t = F.col("norm_text")
+    w = synthetic_words(docs, step=160)
+    if engine == "Fast":
+        w = w.where("confidence >= 75")
+    if mode != "English":
+        alike = S.looks_cyrillic(t) if mode == "EnglishRussian" else t.rlike(f"^{T.char_class(S.LATIN_LOOKS)}+$")
+        w = w.withColumn("norm_text", F.when(alike, S.to_cyrillic(t)).otherwise(t))
+    found = quality.language_scores(w, [mode])
+    found = found.where(F.col("n_words") >= 3) if engine == "Fast" else found
+    return found.select("doc_id", F.round("mode_score", 6).alias("score"), ((F.col("mode_score") >= STRONG) & (F.col("corrupted_words") == 0)).alias("strong"), "latin", "cyrillic", "corrupted_words")
+
+
+STRONG = 110.0
+MODES, ENGINES = ["English", "EnglishRussian", "English", "Russian"], ["Fast", "Accurate"]
+
+
+@query()
+def staged_choice(spark, sf_dir):
+    """Each document read in stages until a reading is strong, and the reading to take when none is asked for."""
+    found = staging.staged_candidates(documents(spark, sf_dir).select("doc_id", "text"), MODES, ENGINES, evaluated)
+    return staging.chosen_candidates(found, "Auto")
+
+
 @query(rf"""WITH {SCRIPTS_SQL}
     SELECT doc_id, CASE WHEN latin > cyrillic THEN 'latin' WHEN cyrillic > latin THEN 'cyrillic' WHEN latin = 0 THEN 'none' ELSE 'mixed' END AS script, count(*) AS n FROM judged GROUP BY ALL""")
 def token_scripts(spark, sf_dir):
