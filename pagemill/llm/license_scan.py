@@ -3,11 +3,13 @@
 Tokens are pairs of neighbouring words, so that a match needs the template's wording and not just its words. A block
 matches a template when it holds at least ``containment`` of the template's distinct pairs. Pairs are ordered by how
 many documents of the whole collection hold them, rarest first. Of a template with n pairs of which o must be shared, a
-block that holds none of the first n - o + 1 cannot match (prefix filter); one with fewer than o distinct pairs cannot
-either (length filter); and while shared pairs are counted in that order, a block is given up as soon as those still to
-come cannot make up what is missing (positional filter). A template's blocks are windows of twice its own length at
-steps of its length, so every passage as long as it lies inside one. Notices of one family share most of their
-wording: where blocks overlap, a template gives way to one that it shares half of its pairs with and that fits better.
+block that holds none of the first n - o + 1 cannot match (prefix filter); one with fewer than o of its pairs at all cannot
+either (length filter); and while the distinct pairs of a stretch are counted in that order, it is given up as soon as those
+still to come cannot make up what is missing (positional filter). What is left is slid over: blocks are windows of twice the
+template's length from any start, and as what they hold changes only where a pair of the template stands, a window for each
+of these places, ending there, misses none. Of a template's windows that overlap the best counts. Notices of one family share
+most of their wording: where blocks overlap, a template gives its label up to one that it shares half of its pairs with and
+that fits better; ``matches`` tells of all blocks.
 Beside the join, fixed phrases are found word by word.
 
 Scale. Templates are parameters, so the inverted index is broadcast at a size that the data do not change. One pass
@@ -21,6 +23,7 @@ import bisect
 import math
 from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,17 +84,43 @@ class Template:
         self.step = len(words)
         self.least = math.ceil(containment * len(pairs) - 1e-9)
 
-    def shared(self, held: set[Pair]) -> int:
-        """Distinct pairs of a block in the template, rarest first; 0 as soon as too few can follow, or if there are too few at all."""
+    def shared(self, held: set[int]) -> int:
+        """How many of the template's pairs, known by their rank, a stretch holds, rarest first; 0 as soon as too few can follow, or if there are too few at all."""
         if len(held) < self.least:
             return 0
         shared = 0
-        for i, pair in enumerate(self.pairs):
-            shared += pair in held
+        for i in range(len(self.pairs)):
+            shared += i in held
             if shared + len(self.pairs) - 1 - i < self.least:
                 return 0
         return shared
 
+    def windows(self, places: Mapping[Pair, list[int]]) -> list[tuple[int, int, int]]:
+        """(shared pairs, first word, end) of windows that match, for each place of a pair the one that ends there, less what it has twice or not of the template."""
+        own = [(at, i) for i, p in enumerate(self.pairs) for at in places.get(p, ())]
+        if not own:
+            return []
+        at, which = np.array(sorted(own)).T
+        first = np.searchsorted(at, at - (2 * self.step - 2))
+        ends = np.flatnonzero(np.arange(len(at)) - first + 1 >= self.least)
+        out = []
+        for run in np.split(ends, np.flatnonzero(np.diff(ends) > 1) + 1):
+            if not len(run) or not self.shared(set(which[first[run[0]] : run[-1] + 1].tolist())):
+                continue
+            low, high, held = int(first[run[0]]), int(first[run[0]]), {}
+            for j in run.tolist():
+                while high <= j:
+                    held[which[high]] = held.get(which[high], 0) + 1
+                    high += 1
+                while low < first[j] or held[which[low]] > 1:
+                    held[which[low]] -= 1
+                    if not held[which[low]]:
+                        del held[which[low]]
+                    low += 1
+                if len(held) >= self.least:
+                    out.append((len(held), int(at[low]), int(at[j]) + 2))
+        return out
+
 
 class Index:
     """Templates by their rarest pairs."""
@@ -107,33 +136,44 @@ class Index:
                     self.prefix.setdefault(p, []).append(len(self.templates) - 1)
         self.rare = frozenset(self.prefix)
 
-    def best(self, words: list[bytes]) -> dict[str, float]:
-        """Labels of the templates that some block of ``words`` matches and no better one of their family does, with the best containment."""
+    def blocks(self, words: list[bytes]) -> list[tuple[float, Template, int, int]]:
+        """(containment, template, first word, end) of every block of ``words`` that matches and overlaps no better one of its template."""
         hits = self.rare.intersection(pairs_of(words))
         if not hits:
-            return {}
-        blocks: dict[int, set[int]] = {}
-        pairs = list(pairs_of(words))
-        for i, p in enumerate(pairs):
-            if p in hits:
-                for k in self.prefix[p]:
-                    step = self.templates[k].step
-                    blocks.setdefault(k, set()).update(s for s in (i // step * step, (i // step - 1) * step) if s >= 0)
-        matched = []
-        for k, starts in blocks.items():
-            t = self.templates[k]
-            for start in starts:
-                shared = t.shared(set(pairs[start : start + 2 * t.step - 1]))
-                if shared:
-                    matched.append((shared / len(t.pairs), t, start, start + 2 * t.step))
-        matched.sort(key=lambda m: m[2])
-        starts, widest = [m[2] for m in matched], 2 * max(t.step for t in self.templates)
-        found: dict[str, float] = {}
-        for score, t, a, b in matched:
-            near = matched[bisect.bisect_left(starts, a - widest) : bisect.bisect_left(starts, b)]
-            if not any(better > score and a < d and 2 * len(t.all & u.all) >= min(len(t.all), len(u.all)) for better, u, _, d in near):
-                found[t.label] = max(found.get(t.label, 0.0), score)
-        return found
+            return []
+        asked = {k for p in hits for k in self.prefix[p]}
+        known = frozenset().union(*(self.templates[k].all for k in asked))
+        places: dict[Pair, list[int]] = {}
+        for i, p in enumerate(pairs_of(words)):
+            if p in known:
+                places.setdefault(p, []).append(i)
+        return [(shared / len(t.pairs), t, a, z) for t in (self.templates[k] for k in sorted(asked)) for shared, a, z in _apart(t.windows(places))]
+
+    def best(self, words: list[bytes]) -> dict[str, float]:
+        """Labels of the templates that some block of ``words`` matches and no better one of their family does, with the best containment."""
+        return labelled(self.blocks(words))
+
+
+def labelled(blocks: list[tuple[float, Template, int, int]]) -> dict[str, float]:
+    """Labels and best containment of the blocks that no better one of their family overlaps."""
+    matched = sorted(blocks, key=lambda m: m[2])
+    starts, widest = [m[2] for m in matched], max((m[3] - m[2] for m in matched), default=0)
+    found: dict[str, float] = {}
+    for score, t, a, b in matched:
+        near = matched[bisect.bisect_left(starts, a - widest) : bisect.bisect_left(starts, b)]
+        if not any(better > score and a < d and 2 * len(t.all & u.all) >= min(len(t.all), len(u.all)) for better, u, _, d in near):
+            found[t.label] = max(found.get(t.label, 0.0), score)
+    return found
+
+
+def _apart(windows: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Windows (shared, first, end) taken from the best down, earlier ones first, where they overlap none that is taken; by place."""
+    taken: list[tuple[int, int, int]] = []
+    for w in sorted(windows, key=lambda w: (-w[0], w[1])):
+        i = bisect.bisect_left(taken, (w[1],), key=lambda x: (x[1],))
+        if (i == 0 or taken[i - 1][2] <= w[1]) and (i == len(taken) or w[2] <= taken[i][1]):
+            taken.insert(i, w)
+    return taken
 
 
 def _phrase_starts(words: list[bytes], phrases: Mapping[bytes, str]) -> list[tuple[int, str]]:
@@ -155,10 +195,11 @@ def license_scan(
     phrases: Mapping[str, str] = PHRASES,
     containment: float = 0.8,
 ) -> DataFrame:
-    """One row per row of ``docs``: (id, n_words, n_base, first_word, last_word, base_labels, labels, score).
+    """One row per row of ``docs``: (id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches).
 
     n_base, first_word and last_word tell of the phrases alone; labels adds those of matching blocks; score is the
-    best containment of any template, 1 where a phrase stands, else 0. Null texts count as empty: no words, nothing
+    best containment of any template, 1 where a phrase stands, else 0. matches: every block that meets the threshold as
+    label:first word:end:containment, also where a label is given up, comma-joined by place. Null texts count as empty: no words, nothing
     found. Null and repeated ids are carried along; other columns are not read. Equal frequencies are
     ordered by pair. A template of one word never matches.
     """
@@ -183,13 +224,15 @@ def license_scan(
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
                 base = _phrase_starts(words, padded)
-                matched = index.best(words)
+                blocks = index.blocks(words)
+                matched = labelled(blocks)
+                told = ",".join(f"{t.label}:{a}:{z}:{share:.4f}" for share, t, a, z in sorted(blocks, key=lambda m: (m[2], m[3], m[1].label)))
                 at, labels = [a for a, _ in base], {b for _, b in base}
-                out.append((len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | matched.keys())), 1.0 if base else max(matched.values(), default=0.0)))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
+                out.append((len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | matched.keys())), 1.0 if base else max(matched.values(), default=0.0), told))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string())
             columns = list(zip(*out, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
-    names = ["_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    schema = f"_id {rows.schema['_id'].dataType.simpleString()}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+    names = ["_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches"]
+    schema = f"_id {rows.schema['_id'].dataType.simpleString()}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches string"
     return rows.mapInArrow(scanned, schema).withColumnRenamed("_id", id_col)
