@@ -129,7 +129,8 @@ def _stepped(table: DataFrame, centroids: Centroids, scale: int, size: int, sche
             up[known] = (up[known] + centroids.moved[own[known]]) * OUT
             low[known] = (low[known] - centroids.moved.max()) * IN - 1e-300
             rows = np.flatnonzero(~wide) if centroids.narrow else np.zeros(0, np.int64)
-            own[rows], up[rows], low[rows], _ = searched(x[rows], own[rows], up[rows], np.maximum(low[rows], 0), centroids)
+            if len(rows):
+                own[rows], up[rows], low[rows], _ = searched(x[rows], own[rows], up[rows], np.maximum(low[rows], 0), centroids)
             rest = np.setdiff1d(np.arange(len(x)), rows)
             exact = batch.column(1).take(pa.array(rest)).to_pylist()
             for i, (near, *_) in zip(rest.tolist(), wide_nearest([floored(v, scale) for v in exact], centroids), strict=True):
