@@ -76,10 +76,32 @@ def _side_by_side(words: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndar
     return at, pair_keys(names[at], words[at + k - 1])
 
 
+def _packed(ids: np.ndarray) -> bytes:
+    """Ids, -1 and up to 40 bits, by planes of bytes, compressed; their number comes first."""
+    planes = (ids + 1).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T
+    return len(ids).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(np.ascontiguousarray(planes).tobytes(), asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data[8:], 5 * n, asbytes=True), np.uint8).reshape(5, n)
+    ids = np.zeros((n, 8), np.uint8)
+    ids[:, :5] = planes.T
+    return ids.view("<i8")[:, 0] - 1
+
+
 def _names(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """A block's word ids and names, from all its rows end to end."""
-    words, names = (b"".join(table.column(c).to_pylist()) for c in ("_words", "_names"))
-    return np.frombuffer(words, "<i4").astype(np.int64), np.frombuffer(names, "<i8")
+    """A block's word ids and names, from all its rows end to end; where there are no names, words are their own."""
+    words = np.concatenate([_unpacked(x) for x in table.column("_words").to_pylist()])
+    names = [_unpacked(x) for x in table.column("_names").to_pylist() if x is not None]
+    return words, np.concatenate(names) if names else words
+
+
+def _row(block: int, words: list[np.ndarray], names: np.ndarray | None = None) -> pa.Table:
+    """A block's row; what arrow has set aside for the block goes back."""
+    pa.default_memory_pool().release_unused()
+    told = None if names is None else _packed(names)
+    return pa.table({"_block": pa.array([block], pa.int64()), "_words": pa.array([_packed(np.concatenate(words))], pa.binary()), "_names": pa.array([told], pa.binary())})
 
 
 def _counter(k: int):
@@ -158,10 +180,10 @@ def _words(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame
 
 
 def _with_word_ids(rows: DataFrame, back: DataFrame) -> DataFrame:
-    """(_block, _words, _names): tokens as ids, one row a language of a block; -1 for rare words and ends of pieces, one of which ends each row."""
+    """(_block, _words, _names): tokens as ids, -1 for rare words and ends of pieces, one of which ends each language; _names null."""
 
     def name(table: pa.Table, given: pa.Table) -> pa.Table:
-        block, words, names, first = table.column("_block")[0].as_py(), [], [], 0
+        words, first = [], 0
         places, ids = given.column("_place").to_numpy(), given.column("_id").to_numpy()
         known = np.full(int(places.max(initial=-1)) + 1, -1, np.int64)
         known[places] = ids
@@ -170,10 +192,8 @@ def _with_word_ids(rows: DataFrame, back: DataFrame) -> DataFrame:
             some = known[first : first + len(distinct)]
             here[: len(some)] = some
             first += len(distinct)
-            own = here[np.append(at, -1)]
-            words.append(own.astype("<i4").tobytes())
-            names.append(own.astype("<i8").tobytes())
-        return pa.table({"_block": pa.array([block] * len(words), pa.int64()), "_words": pa.array(words, pa.binary()), "_names": pa.array(names, pa.binary())})
+            words.append(here[np.append(at, -1)])
+        return _row(table.column("_block")[0].as_py(), words)
 
     return rows.groupBy("_block").cogroup(back.groupBy("_block")).applyInArrow(name, "_block long, _words binary, _names binary")
 
@@ -203,7 +223,7 @@ def phrase_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if len(places):
                     _, which = np.unique(keys, return_inverse=True)
                     ids[places] = given[0][which] - 1
-                return pa.table({"_block": [table.column("_block")[0].as_py()], "_words": pa.array([words.astype("<i4").tobytes()], pa.binary()), "_names": pa.array([ids.astype("<i8").tobytes()], pa.binary())})
+                return _row(table.column("_block")[0].as_py(), [words], ids)
 
             before, at = at, stored(finished(at, answers, 1, renamed, "_block long, _words binary, _names binary"), "named-blocks")
             dropped(before)
