@@ -2,7 +2,7 @@
 
 Voters are lexicon terms, stems and patterns. Given terms are whole words; further ones are beginnings of words that tell
 labelled toxic texts from others, found by counting. Patterns look at how texts are written: terms written with digits or signs,
-terms in capitals, terms addressed to somebody, runs of exclamation marks, shouting; one votes for clean where nothing fires.
+terms in capitals, terms addressed to somebody, runs of exclamation marks, shouting; where nothing is found, that is told too.
 
 The label model takes the true label as hidden. Each voter has, for each label, a probability of each vote, and voters that are
 correlated are joined: a forest of the strongest conditional dependencies, each voter's votes depending on the label and on its
@@ -183,17 +183,19 @@ VOTER_BASE = np.array([[20.0, 2.0, 0.2], [2.0, 0.2, 0.2]])
 def label_model(v: np.ndarray, y: np.ndarray, start: np.ndarray, weights: np.ndarray, trust: float = 0.98, rounds: int = 30, least: float = 0.02) -> tuple[LabelModel, np.ndarray]:
     """The model, fitted to votes [texts, voters] by expectation maximisation, and the posteriors of the texts.
 
-    y: labels, -1 where there is none; there ``start`` is the first posterior. A label makes up ``trust`` of a posterior, the
-    model the rest, as labels may err. ``weights``: how many texts of the collection each of the sample stands for. Dependencies
-    are found again every tenth round; the last voter, who only says that the others are silent, has none, lest it explain them.
+    y: labels, -1 where there is none. The first model is that of the labelled texts, or without labels that of ``start``. A
+    label makes up ``trust`` of a posterior, the model the rest, as labels may err. ``weights``: how many texts of the collection
+    each of the sample stands for. Dependencies are found again every tenth round.
     """
-    labelled, model = y >= 0, None
+    labelled = y >= 0
     q = np.where(labelled, trust * y + (1 - trust) * start, start)
     base = np.stack([VOTER_BASE] * v.shape[1])
+    model = None
     for i in range(rounds):
-        share = np.stack([(1 - q) * weights, q * weights])
+        first = i == 0 and (y == 0).any() and (y == 1).any()
+        share = np.stack([(1 - q) * weights, q * weights]) * (labelled if first else 1)
         prior = np.clip(share.sum(1) / share.sum(), 1e-6, 1)
-        parents = [*dependencies(v[:, :-1], share, least), -1] if i % 10 == 0 else model.parents
+        parents = dependencies(v, share, least) if i % 10 == 0 else model.parents
         model = LabelModel(prior, parents, _tables(v, share, parents, base))
         q = model.posterior(v)
         q = np.where(labelled, trust * y + (1 - trust) * q, q)
@@ -321,7 +323,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, learn: Callable[[str], Co
     stands_for = {1: n.get(1, 0), 0: n.get(0, 0), -1: total - n.get(0, 0) - n.get(1, 0)}
     weights = np.array([max(stands_for[k], 1) / (y == k).sum() for k in y.tolist()])
     weights *= len(weights) / weights.sum()
-    v = votes(found)
+    v = votes(found)[:, :-1]  # that the others are silent is told by their silence
     hits = (found[:, : len(place)] > 0).any(1)
     model, q = label_model(v, y, np.where(hits, 0.8, 0.03), weights)
     return Classifier(place, logistic(features(found), q, weights, expected), model, model.accuracies(v))
