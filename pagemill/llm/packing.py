@@ -242,9 +242,10 @@ def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = 4096, bucket
     Pieces of equal length are interchangeable; they are numbered by id, piece and crc, and rows equal in all of these
     in any order. An empty table gives an empty result.
     """
-    pieces = stored(pieces, "pieces")
+    id_type = pieces.schema[id_col].dataType.simpleString()
+    pieces = stored(pieces.select(F.col(f"`{id_col}`").alias("_id"), "piece", "start", "length", "ids_crc32"), "pieces")
     buckets = -(-pieces.count() // bucket_rows) or 1
-    pieces = pieces.withColumn("_bucket", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
+    pieces = pieces.withColumn("_bucket", F.pmod(F.xxhash64("_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     counted = stored(pieces.groupBy("_bucket", "length").agg(F.count(F.lit(1)).alias("_n")), "lengths")
     counts = np.zeros(capacity + 1, np.int64)
     for x, n in counted.groupBy("length").agg(F.sum("_n")).collect():  # at most ``capacity`` rows
@@ -252,9 +253,9 @@ def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = 4096, bucket
     plan = pieces.sparkSession.sparkContext.broadcast(_segments(pack_plan(counts)))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counted.select("_bucket", "length", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    rank = Window.partitionBy("_bucket", "length").orderBy(id_col, "piece", "ids_crc32")
+    rank = Window.partitionBy("_bucket", "length").orderBy("_id", "piece", "ids_crc32")
     numbered = pieces.withColumn("_rank", F.row_number().over(rank) - 1).join(offsets, ["_bucket", "length"])
-    numbered = numbered.select(id_col, "piece", "start", "length", "ids_crc32", (F.col("_before") + F.col("_rank")).alias("_at"))
+    numbered = numbered.select("_id", "piece", "start", "length", "ids_crc32", (F.col("_before") + F.col("_rank")).alias("_at"))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = plan.value
@@ -268,5 +269,4 @@ def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = 4096, bucket
             sequence, offset = t["first"][k] + step // t["times"][k], t["offset"][k] + step % t["times"][k] * length
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], [*batch.schema.names[:5], "sequence_id", "offset"])
 
-    id_type = pieces.schema[id_col].dataType.simpleString()
-    return numbered.mapInArrow(placed, PIECES.format(id=f"`{id_col}`", id_type=id_type) + ", sequence_id long, offset long")
+    return numbered.mapInArrow(placed, PIECES.format(id="_id", id_type=id_type) + ", sequence_id long, offset long").withColumnRenamed("_id", id_col)

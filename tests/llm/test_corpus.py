@@ -451,3 +451,24 @@ def test_pipeline_of_nothing(spark, tmp_path, texts):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], schema).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_stages_with_odd_columns(spark):
+    """Columns named as the stages name theirs, and no n_chars."""
+    import corpus_pipeline
+
+    rows = [(i, "The quick brown fox jumps over the lazy dog and runs away " * 3 + str(i % 3), "en", "k", "r", 1) for i in range(12)] + [(None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _kept string, _row string, _bucket int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == ["doc_id", "text", "lang", "_kept", "_row", "_bucket"], name
+    assert dict(corpus_pipeline.STAGES)["best_fit_packing"](spark, docs, "").count() == docs.count() > 0
+
+
+def test_pack_takes_any_name_of_an_id(spark):
+    from pagemill.llm.packing import pack
+
+    for name in ("_bucket", "_rank", "_n", "_at", "_before"):
+        pieces = spark.createDataFrame([(i, 0, 0, 1000 + i, 7) for i in range(40)], f"{name} long, piece int, start long, length long, ids_crc32 long")
+        got = pack(pieces, id_col=name)
+        assert got.columns[0] == name and {r[0] for r in got.collect()} == set(range(40))
