@@ -30,9 +30,9 @@ def script_counts(t: Column, latin_looks: str = LATIN_LOOKS, cyrillic_looks: str
     }
 
 
-def with_counts(df: DataFrame, token: str = "norm_text", prefix: str = "_") -> DataFrame:
-    """``df`` with the counts as columns, so that what is built on them does not count again."""
-    return df.withColumns({f"{prefix}{k}": v for k, v in script_counts(F.col(token)).items()} | {f"{prefix}protected": is_protected(F.col(token))})
+def with_counts(df: DataFrame, token: str = "norm_text", prefix: str = "_", codes: bool = True) -> DataFrame:
+    """``df`` with the counts as columns, so that what is built on them does not count again; codes: whether short codes are protected."""
+    return df.withColumns({f"{prefix}{k}": v for k, v in script_counts(F.col(token)).items()} | {f"{prefix}protected": is_protected(F.col(token), codes=codes)})
 
 
 def counts_in(prefix: str = "_") -> dict[str, Column]:
@@ -43,6 +43,11 @@ def _counts(t: Column) -> dict[str, Column]:
     return script_counts(t) | {"protected": is_protected(t)}
 
 
+def analysis_counts(t: Column) -> dict[str, Column]:
+    """What analysis counts in a token: all look-alikes, and no short codes among the protected."""
+    return script_counts(t) | {"protected": is_protected(t, codes=False)}
+
+
 def fusion_counts(t: Column) -> dict[str, Column]:
     """What fusion counts in a token: fewer look-alikes, and no short codes among the protected."""
     return script_counts(t, *FUSION_LOOKS) | {"protected": is_protected(t, codes=False)}

@@ -97,9 +97,13 @@ def is_list_item(t: Column) -> Column:
     return t.rlike(LIST_ITEM)
 
 
-def is_heading(t: Column, following: Column, most: int = 60) -> Column:
-    """A short line without a sentence's end, led by a capital, before a line that is a list item or leads with one too."""
-    return (F.length(t) <= most) & t.rlike(r"^[\p{Lu}\p{Nd}]") & ~t.rlike(r"[.!?,;…]$") & (is_list_item(following) | following.rlike(r"^\p{Lu}"))
+#: A heading's words at most, and its mean word height over that of the line below at least.
+HEADING_WORDS, HEADING_HEIGHT = 8, 1.12
+
+
+def is_heading(t: Column, n_words: Column, height: Column, following_height: Column) -> Column:
+    """A line of few words without a sentence's end, written larger than the line that follows."""
+    return (n_words <= HEADING_WORDS) & ~ends_sentence(t) & (height >= HEADING_HEIGHT * following_height)
 
 
 def joins_previous(previous: Column, word: Column) -> Column:

@@ -71,14 +71,14 @@ def spaced_words(words: DataFrame) -> DataFrame:
 def line_breaks(lines: DataFrame) -> DataFrame:
     """Export lines with ``break``: what stands between a line and the one before it (first, paragraph, newline, space or none)."""
     w = Window.partitionBy("doc_id").orderBy("line_index")
-    p = {c: F.lag(c).over(w) for c in ("text", "bottom", "mean_height")}
+    p = {c: F.lag(c).over(w) for c in ("text", "bottom", "mean_height", "n_words")}
     lines = lines.withColumns({f"_{c}": v for c, v in p.items()})
     t, before = F.col("text"), F.col("_text")
     gap, height = F.col("top") - F.col("_bottom"), (F.col("mean_height") + F.col("_mean_height")) / 2
     kind = (
         F.when(before.isNull(), "first")
         .when(gap > PARAGRAPH * height, "paragraph")
-        .when(T.is_list_item(t) | T.is_heading(before, t) | (gap >= LINE_BREAK * height), "newline")
+        .when(T.is_list_item(t) | T.is_heading(before, F.col("_n_words"), F.col("_mean_height"), F.col("mean_height")) | (gap >= LINE_BREAK * height), "newline")
         .when(before.rlike(r"\p{L}-$") & T.starts_lower(t), "none")
         .when(T.ends_sentence(before) & ~T.starts_lower(t), "newline")
         .otherwise("space")

@@ -46,14 +46,14 @@ EXPORT_SQL = WORDS_SQL + r""",
 """
 BREAKS_SQL = EXPORT_SQL + r""",
     seen AS (
-        SELECT *, lag(text) OVER o AS p_text, top - lag(bottom) OVER o AS gap, (mean_height + lag(mean_height) OVER o) / 2 AS height
+        SELECT *, lag(text) OVER o AS p_text, lag(n_words) OVER o AS p_words, lag(mean_height) OVER o AS p_height, top - lag(bottom) OVER o AS gap, (mean_height + lag(mean_height) OVER o) / 2 AS height
         FROM lines WINDOW o AS (PARTITION BY doc_id ORDER BY line_index)),
     breaks AS (
         SELECT *, CASE
             WHEN p_text IS NULL THEN 'first'
             WHEN gap > 1.2 * height THEN 'paragraph'
             WHEN regexp_matches(text, '^(?:[-*•‣–]|\d{1,3}[.)]|[a-z][.)])\s') THEN 'newline'
-            WHEN length(p_text) <= 60 AND regexp_matches(p_text, '^[\p{Lu}\p{Nd}]') AND NOT regexp_matches(p_text, '[.!?,;…]$') AND regexp_matches(text, '^\p{Lu}') THEN 'newline'
+            WHEN p_words <= 8 AND NOT regexp_matches(p_text, '[.!?…][)"''»]*$') AND p_height >= 1.12::DOUBLE * mean_height THEN 'newline'
             WHEN gap >= 0.8 * height THEN 'newline'
             WHEN regexp_matches(p_text, '\p{L}-$') AND regexp_matches(text, '^\p{Ll}') THEN 'none'
             WHEN regexp_matches(p_text, '[.!?…][)"''»]*$') AND NOT regexp_matches(text, '^\p{Ll}') THEN 'newline'
@@ -65,7 +65,7 @@ SCRIPTS_SQL = WORDS_SQL + r""",
         SELECT *, len(regexp_extract_all(norm_text, '\p{Latin}')) AS latin, len(regexp_extract_all(norm_text, '\p{Cyrillic}')) AS cyrillic,
                len(regexp_extract_all(norm_text, '[ABCEHKMOPTXYaceopxyk]')) AS latin_alike, len(regexp_extract_all(norm_text, '[АВСЕНКМОРТХУасеорхук]')) AS cyrillic_alike,
                len(regexp_extract_all(norm_text, '\p{Nd}')) AS digit,
-               regexp_matches(upper(norm_text), '://|WWW\.|@|\\|\.COM|\.ORG|\.NET|\.EXE|\.DLL|\.ZIP|\.JSON') OR (length(norm_text) <= 4 AND regexp_matches(norm_text, '^[A-Z0-9]*[0-9][A-Z0-9]*$')) AS protected
+               regexp_matches(upper(norm_text), '://|WWW\.|@|\\|\.COM|\.ORG|\.NET|\.EXE|\.DLL|\.ZIP|\.JSON') AS protected
         FROM words),
     judged AS (
         SELECT *, latin > 0 AND cyrillic > 0 AND length(norm_text) >= 4 AND NOT protected AS corrupted,
@@ -560,7 +560,7 @@ def page_readings(spark, sf_dir):
     """Two readings of each page, all words and the surer ones, with their page scores."""
     t = F.col("norm_text")
     w = words(spark, sf_dir).withColumn("rank", F.explode(F.when(F.col("confidence") >= 75, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    pages = w.groupBy("doc_id", "rank").agg(F.count(F.lit(1)).alias("n_words"), F.sum(T.letters(t) + T.digits(t)).alias("alnum"), F.avg("confidence").alias("mean_confidence"), F.count_if(S.is_corrupted(t)).alias("corrupted"))
+    pages = w.groupBy("doc_id", "rank").agg(F.count(F.lit(1)).alias("n_words"), F.sum(T.letters(t) + T.digits(t)).alias("alnum"), F.avg("confidence").alias("mean_confidence"), F.count_if(S.is_corrupted(t, c=S.analysis_counts(t))).alias("corrupted"))
     return pages.withColumn("score", choice.page_score(F.col("n_words"), F.col("mean_confidence"), F.col("alnum"), F.col("corrupted")))
 
 

@@ -264,3 +264,19 @@ def test_variants_of_token_rules(spark):
     assert got["setup.exe"][:3] == (True, True, True) and got["Delete"][:3] == (False, False, True)
     assert got["аb"][3:6] == (False, True, False) and got["аb→"][3:6] == (False, True, True) and got["аbcd"][3:6] == (True, True, True)
     assert got["kК"][6:] == (0, 1)
+
+
+def test_headings_are_written_larger(spark):
+    rows = lambda h: [(0, 0, 0, 50, h, "Some"), (0, 60, 0, 50, h, "title"), (1, 0, 30, 50, 20, "then"), (1, 60, 30, 50, 20, "words")]
+    breaks = lambda h: [r["break"] for r in layout.line_breaks(layout.export_lines(make(spark, rows(h)))).orderBy("line_index").collect()]
+    assert breaks(25.0) == ["first", "newline"] and breaks(22.0) == ["first", "space"]
+    ended = [(0, 0, 0, 50, 25.0, "Done."), (1, 0, 30, 50, 20.0, "then")]
+    assert [r["break"] for r in layout.line_breaks(layout.export_lines(make(spark, ended))).orderBy("line_index").collect()] == ["first", "space"]
+    many = [(0, 20 * i, 0, 15, 25.0, f"w{i}") for i in range(9)] + [(1, 0, 30, 50, 20.0, "then")]
+    assert [r["break"] for r in layout.line_breaks(layout.export_lines(make(spark, many))).orderBy("line_index").collect()] == ["first", "space"]
+
+
+def test_codes_are_protected_in_correction_alone(spark):
+    df = spark.createDataFrame([("AB1",), ("a.exe",)], "norm_text string")
+    protected = lambda codes: [r._protected for r in S.with_counts(df, codes=codes).collect()]
+    assert protected(True) == [True, True] and protected(False) == [False, True]
