@@ -290,6 +290,17 @@ def near_spellings(spark, sf_dir):
     return found.where("entry <> token")
 
 
+@query(rf"""WITH {WORDS_SQL}, w AS (SELECT unnest(regexp_split_to_array(lower(text), '[^\p{{L}}]+')) AS term FROM benchmark), terms AS (SELECT DISTINCT term FROM w WHERE length(term) >= 4),
+    tokens AS (SELECT DISTINCT norm_text FROM words), c AS (SELECT norm_text, count(*) AS n FROM tokens JOIN terms ON contains(lower(norm_text), term) GROUP BY ALL)
+    SELECT doc_id, sum(n)::BIGINT AS known_terms FROM words JOIN c USING (norm_text) GROUP BY doc_id""")
+def known_terms(spark, sf_dir):
+    """How many of the benchmark's words the documents' words hold: the terms are a table."""
+    t = F.explode(F.split(F.lower("text"), r"[^\p{L}]+"))
+    terms = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(t.alias("term")).where("length(term) >= 4")
+    w = words(spark, sf_dir).select("doc_id", "norm_text")
+    return w.join(quality.term_counts(w, terms), "norm_text").groupBy("doc_id").agg(F.sum("n_terms").alias("known_terms"))
+
+
 @query()
 def program_name_repair(spark, sf_dir):
     """Every different token read as a damaged program name, put right by the names that conversations mention."""
