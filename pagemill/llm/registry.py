@@ -103,7 +103,7 @@ def op7_exact_dedup(spark, sf_dir):
 
 @query()
 def op8_lm_score(spark, sf_dir):
-    """Every whole text scored by a bigram automaton learned from documents whose crc32 of the id is not 1 modulo 5."""
+    """Every whole text scored by a trigram automaton learned from documents whose crc32 of the id is not 1 modulo 5."""
     docs = table(spark, sf_dir, "documents")
     held_out = lambda: F.coalesce(crc_of_id("doc_id") % 5 == 1, F.lit(False))
     return lm_score(docs, ~held_out()).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
