@@ -145,27 +145,41 @@ def skeleton(t: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(to_latin(t)), "0135", "olss"), "[^a-z]", "")
 
 
-def target_script(t: Column, line: Column, document: Column, margin: float = 1.5, c: dict[str, Column] | None = None) -> Column:
-    """The script a token should have: its telling letters decide, then the weight of its line, then of its document.
+def may_turn(t: Column) -> Column:
+    """Holds a Cyrillic letter, or Latin ones that are all look-alikes: no other token has a script that is in doubt."""
+    return t.rlike(CYRILLIC) | (t.rlike(char_class(LATIN_LOOKS)) & ~t.rlike(rf"[{LATIN}&&[^{LATIN_LOOKS}]]"))
 
-    line, document: structs with latin and cyrillic weights. null: leave it.
-    """
+
+def own_script(t: Column, c: dict[str, Column] | None = None) -> Column:
+    """What a token itself says of the script it should have: the one of its telling letters, ``open`` where a doubtful token has none, null: leave it."""
     c = c or _counts(t)
     telling_latin, telling_cyrillic = c["latin"] - c["latin_alike"], c["cyrillic"] - c["cyrillic_alike"]
-    favours = lambda w, a, b: w[a] > w[b] * margin
     doubtful = ((c["latin"] > 0) & (c["cyrillic"] > 0)) | looks_cyrillic(t, c) | looks_latin(t, c)
     return (
         F.when(~doubtful, None)
         .when((telling_cyrillic > 0) & (telling_latin == 0), "cyrillic")
         .when((telling_latin > 0) & (telling_cyrillic == 0), "latin")
-        .when((telling_latin > 0) & (telling_cyrillic > 0), None)
-        .when(favours(line, "cyrillic", "latin"), "cyrillic")
+        .when((telling_latin == 0) & (telling_cyrillic == 0), "open")
+    )
+
+
+def context_script(line: Column, document: Column, margin: float = 1.5) -> Column:
+    """The script that prevails in a line, or else in its document, by ``margin``; line, document: structs with latin and cyrillic weights."""
+    favours = lambda w, a, b: w[a] > w[b] * margin
+    return (
+        F.when(favours(line, "cyrillic", "latin"), "cyrillic")
         .when(favours(line, "latin", "cyrillic"), "latin")
         .when(favours(document, "cyrillic", "latin"), "cyrillic")
         .when(favours(document, "latin", "cyrillic"), "latin")
     )
 
 
+def target_script(t: Column, line: Column, document: Column, margin: float = 1.5, c: dict[str, Column] | None = None) -> Column:
+    """The script a token should have: its telling letters decide, then the weight of its line, then of its document; null: leave it."""
+    own = own_script(t, c)
+    return F.when(own == "open", context_script(line, document, margin)).otherwise(own)
+
+
 def dominance(latin: Column, cyrillic: Column, ratio: float = 1.6) -> Column:
     """Of character counts: none, the one that prevails by ``ratio``, else mixed."""
     return (

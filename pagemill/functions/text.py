@@ -32,7 +32,8 @@ def is_blank(t: Column) -> Column:
 
 
 def count_of(t: Column, pattern: str) -> Column:
-    return F.regexp_count(t, F.lit(pattern))
+    """How many characters are of the class ``pattern``: what goes when runs of them are taken out."""
+    return F.length(t) - F.length(F.regexp_replace(t, f"(?:{pattern})+", ""))
 
 
 def letters(t: Column) -> Column:
