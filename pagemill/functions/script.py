@@ -174,12 +174,6 @@ def context_script(line: Column, document: Column, margin: float = 1.5) -> Colum
     )
 
 
-def target_script(t: Column, line: Column, document: Column, margin: float = 1.5, c: dict[str, Column] | None = None) -> Column:
-    """The script a token should have: its telling letters decide, then the weight of its line, then of its document; null: leave it."""
-    own = own_script(t, c)
-    return F.when(own == "open", context_script(line, document, margin)).otherwise(own)
-
-
 def dominance(latin: Column, cyrillic: Column, ratio: float = 1.6) -> Column:
     """Of character counts: none, the one that prevails by ``ratio``, else mixed."""
     return (
