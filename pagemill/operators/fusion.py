@@ -1,7 +1,7 @@
 """Fusing several recognisers' words of the same documents, and merging candidates by coverage.
 
 Grouping, line building and coverage depend on the order in which words come (a word joins one group, boxes grow), so
-they are ordered folds, in a grouped map over pieces of documents: a window finds where a document can be cut across its
+they are ordered folds, in a grouped map over documents, piece by piece: a window finds where a document can be cut across its
 height because nothing reaches over, and pieces fold by themselves. Inside one, numpy finds the pairs of words that show the
 same by grid cells, and the fold goes over these pairs alone.
 """
@@ -14,12 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import script as S
 from pagemill.functions import text as T
 from pagemill.functions.geometry import Box
+from pagemill.operators.layout import pairs_in
 from pagemill.operators.quality import WORD_CONFIDENCE
 
 #: Overlap that makes two words one; less suffices for the same token; or centres this near, in heights, for the same token.
@@ -58,7 +60,8 @@ def overlapping(left: DataFrame, right: DataFrame, cell: float = CELL) -> DataFr
         kept = words.select("doc_id", F.col("word_id").alias(f"{side}_id"), T.folded(F.col("norm_text")).alias(f"{side}_fold"), *Box.of().columns(side), span(wide.x, wide.right).alias("_xs"), span(wide.y, wide.bottom).alias("_ys"))
         return kept.withColumn("_cx", F.explode("_xs")).withColumn("_cy", F.explode("_ys")).drop("_xs", "_ys")
 
-    met = cells(left, "l").join(cells(right, "r"), ["doc_id", "_cx", "_cy"])
+    packed = lambda words, side: cells(words, side).select("doc_id", "_cx", "_cy", F.struct(f"{side}_id", f"{side}_fold", *(f"{side}{c}" for c in "xywh")).alias(side))
+    met = pairs_in(packed(left, "l"), packed(right, "r"), "doc_id", "_cx", "_cy").select("doc_id", "_cx", "_cy", "l.*", "r.*")
     a, b = Box.of("l"), Box.of("r")
     wide_a, wide_b = a.inflated(NEAR * a.h), b.inflated(NEAR * b.h)
     here = (F.floor(F.greatest(wide_a.x, wide_b.x) / cell) == F.col("_cx")) & (F.floor(F.greatest(wide_a.y, wide_b.y) / cell) == F.col("_cy"))
@@ -282,20 +285,51 @@ def _judged(branches: list[tuple[str, DataFrame]]) -> DataFrame:
 
 
 def _by_piece(words: DataFrame, fold: Callable[[pd.DataFrame], pd.DataFrame], least: int) -> DataFrame:
-    """Pieces of documents through ``fold``, one task a piece; words and lines are then numbered through the document, as pieces come from top to bottom."""
-    schema = FUSED.format(id=words.schema["doc_id"].dataType.simpleString()) + ", _piece long"
-    folded = in_pieces(words, least).groupBy("doc_id", "_piece").applyInPandas(fold, schema)
-    order = Window.partitionBy("doc_id").orderBy("_piece", "word_index")
-    lines = Window.partitionBy("doc_id").orderBy("_piece", "line_index")
-    numbered = folded.withColumns({"_word": (F.row_number().over(order) - 1).cast("long"), "_line": F.dense_rank().over(lines) - 1})
-    return numbered.withColumns({"word_index": F.col("_word"), "line_index": F.col("_line")}).drop("_word", "_line", "_piece")
+    """Pieces of documents through ``fold``, one piece in memory at a time; words and lines are numbered through the document, as pieces come from top to bottom.
+
+    The order of the windows that cut the pieces is the order in which a document's batches come; a piece that came too late
+    would be an error, not another result.
+    """
+    schema = FUSED.format(id=words.schema["doc_id"].dataType.simpleString())
+
+    def document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_words = n_lines = 0
+        for piece in _pieces(batches):
+            done = fold(piece.to_pandas())
+            done["word_index"] += n_words
+            done["line_index"] += n_lines
+            n_words, n_lines = n_words + len(done), n_lines + int(done["line_index"].max() + 1 - n_lines)
+            names = [n.split()[0] for n in schema.split(", ")]
+            types = [piece.schema.field("doc_id").type, pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), *[pa.float64()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.Array.from_pandas(done[n], type=t) for n, t in zip(names, types, strict=True)], names)
+
+    return in_pieces(words, least).groupBy("doc_id").applyInArrow(document, schema)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The pieces of a document whose rows come by _piece."""
+    waiting, at = [], None
+    for batch in batches:
+        ids = batch.column(batch.schema.get_field_index("_piece")).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if at is not None and b > a and ids[a] < at:
+                raise RuntimeError("pieces of a document came out of order")
+            if waiting and b > a and ids[a] != at:
+                yield pa.Table.from_batches(waiting)
+                waiting = []
+            if b > a:
+                at = ids[a]
+                waiting.append(batch.slice(a, b - a))
+    if waiting:
+        yield pa.Table.from_batches(waiting)
 
 
 def fused(branches: list[tuple[str, DataFrame]], least: int = PIECE) -> DataFrame:
     """One word of each group of readings of the same visible word, in lines built anew.
 
     The best reading by ``word_preference`` and ``group_preference`` is taken, ties by branch and order. Documents are cut
-    where nothing reaches over, so that a long one is many tasks; the cuts don't change the outcome.
+    where nothing reaches over, so that of a long one a piece is in memory; the cuts don't change the outcome.
     """
     return _by_piece(_judged(branches), _chosen, least)
 
@@ -311,7 +345,10 @@ def routed(branches: list[tuple[str, DataFrame]], routes: DataFrame) -> DataFram
     language their route names and bypass it. Lines are then numbered by top and left of their boxes, words from left to right.
     A line without a route, or with one that no branch has, is left out.
     """
-    words = _judged(branches).join(routes.select("doc_id", "line_index", "route"), ["doc_id", "line_index"])
+    # A window over words and routes by line gives each word its route, so that words dealt by document stay where they are.
+    known = routes.select("doc_id", "line_index", F.col("route").alias("_route")).where("doc_id IS NOT NULL AND line_index IS NOT NULL")
+    words = _judged(branches).withColumn("_word", F.lit(True)).unionByName(known, allowMissingColumns=True)
+    words = words.withColumn("route", F.max("_route").over(Window.partitionBy("doc_id", "line_index"))).where("_word AND route IS NOT NULL").drop("_word", "_route")
     columns = ["doc_id", "word_id", "text", "norm_text", "x", "y", "w", "h", "confidence"]
     taken = words.where(F.col("route") == F.col("language")).select(*columns, F.col("line_index").alias("_source"), F.lit(0).alias("_part"))
 

@@ -16,12 +16,12 @@ def nearest_word(words: DataFrame, points: DataFrame) -> DataFrame:
     """Of each point (doc_id, point_id, px, py, tolerance) the nearest word and whether it is within tolerance.
 
     Of the words that are no more than SAME further away than the nearest one the lowest word index is taken. Points
-    without a word in their document have no row. Words meet points by document; both minima combine on the map side.
+    without a word in their document have no row. Words meet points by document; the rest stays with the document.
     """
     b = Box.of()
     met = words.join(points, "doc_id").withColumn("distance", b.distance(F.col("px"), F.col("py")))
-    least = met.groupBy("doc_id", "point_id").agg(F.min("distance").alias("_least"))
-    near = met.join(least, ["doc_id", "point_id"]).where(F.col("distance") <= F.col("_least") + SAME)
+    least = F.min("distance").over(Window.partitionBy("doc_id", "point_id"))
+    near = met.withColumn("_least", least).where(F.col("distance") <= F.col("_least") + SAME)
     best = near.groupBy("doc_id", "point_id").agg(F.min(F.struct("word_index", "distance", "word_id", "tolerance", "norm_text")).alias("b"))
     return best.select("doc_id", "point_id", F.col("b.word_id").alias("word_id"), F.col("b.norm_text").alias("norm_text"), F.col("b.distance").alias("distance"), (F.col("b.distance") <= F.col("b.tolerance")).alias("is_hit"))
 

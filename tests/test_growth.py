@@ -18,3 +18,27 @@ def test_letters_keep_their_number_in_upper_case(spark):
     words = spark.createDataFrame([word(1, i, t) for i, t in enumerate(["daß", "daß", "dass", "dass"])], LAYOUT)
     assert [tuple(r) for r in quality.duplicate_penalty(words).collect()] == [(1, 0)]
     assert quality.document_scores(words).first()["penalty"] == 0
+
+
+def exchanges(df):
+    """What the plan deals anew, one line an exchange."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_words_dealt_by_document_stay_there(spark, tiny):
+    from pagemill.plans import registry
+
+    for name in ("coverage_merge", "fused_words", "line_boxes", "rect_merge", "fragment_merge", "reflow_text", "listed_words", "listed_or_all_words", "overlap_pairs", "token_skeletons"):
+        found = exchanges(registry.QUERIES[name](spark, tiny))
+        assert found and all("REPARTITION_BY_NUM" in line for line in found), (name, found)
+    assert len(exchanges(registry.QUERIES["nearest_word"](spark, tiny))) == 1
+
+
+def test_words_on_lines_that_list_them_again(spark):
+    from pagemill.operators import layout
+
+    words = spark.createDataFrame([word(1, 0, "a"), word(1, 1, "b"), word(2, 0, "c"), word(None, 0, "d")], LAYOUT)
+    lines = spark.createDataFrame([(1, 5, ["w-0-0", "w-0-0", "gone"]), (1, 6, ["w-0-0"]), (None, 7, ["w-0-0"])], "doc_id long, line_index int, word_ids array<string>")
+    kept = lambda df: sorted((r["doc_id"] or 0, r["text"], r["line_index"]) for r in df.collect())
+    assert kept(layout.line_words(lines, words)) == [(1, "a", 5), (1, "a", 5), (1, "a", 6)]
+    assert kept(layout.lines_or_words(lines, words)) == [(0, "d", 0), (1, "a", 5), (1, "a", 5), (1, "a", 6), (2, "c", 0)]
