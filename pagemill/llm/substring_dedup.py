@@ -23,7 +23,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import distinct, merged_runs, rekeyed, stored, text_column
@@ -196,17 +196,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = strings.groupBy("_context").agg(F.sum("_n").alias("_sum")).where("_sum > 1").select(F.base64("_context").alias("_string"))
     again = strings.join(again.hint("merge"), F.base64("_context") == F.col("_string"))
     found = found.unionByName(again.select("_key", "_c1", "_c2", F.col("_offset").alias("_from"), (F.col("_offset") + 1).alias("_to")))
-    found = stored(found, "repeats")
+    found = stored(_runs_of_contexts(found), "repeats")
 
     places = seen.select("_block", "_id", "_hash", "_at", "_key", *marks)
-    hits = places.join(found.hint("merge"), ["_key", "_c1", "_c2"]).select("_block", "_id", "_hash", (F.col("_at") + F.col("_from")).alias("_begin"), (F.col("_at") + F.col("_to") - 1 + length).alias("_end"))
+    hits = places.join(found.hint("merge"), ["_key", "_c1", "_c2"]).select("_block", "_id", "_hash", "_at", "_runs")
 
     def removed(table: pa.Table, spans: pa.Table) -> pa.Table:
         own: dict = defaultdict(list)
         columns = [spans.column(c).to_pylist() for c in ("_id", "_hash")]
-        for i, key in enumerate(zip(*columns, strict=True)):
-            own[key].append(i)
-        begin, end = spans.column("_begin").to_numpy(), spans.column("_end").to_numpy()
+        runs = spans.column("_runs").combine_chunks()
+        sizes, each = runs.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), runs.flatten()
+        last = np.cumsum(sizes).tolist()
+        for a, b, key in zip([0, *last], last, zip(*columns, strict=True), strict=False):
+            own[key].extend(range(a, b))
+        at_of = np.repeat(spans.column("_at").to_numpy(), sizes)
+        begin, end = at_of + each.field("_from").to_numpy(), at_of + each.field("_to").to_numpy() - 1 + length
         out = []
         for key in zip(*(table.column(c).to_pylist() for c in ("_id", "_hash")), texts_of(table), strict=True):
             data, at = key[2], own.get(key[:2], [])
@@ -223,6 +227,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.groupBy("_block").cogroup(hits.groupBy("_block")).applyInArrow(removed, f"_id {id_type}, {types}").withColumnRenamed("_id", id_col)
 
 
+def _runs_of_contexts(found: DataFrame) -> DataFrame:
+    """(_key, _c1, _c2, _runs): of each context the maximal runs of its repeated starts, of which there may be one a start.
+
+    So a place meets one row, and a context with many copies and many repeated starts doesn't meet them one by one.
+    """
+    context = ["_key", "_c1", "_c2"]
+    order = Window.partitionBy(*context).orderBy("_from", "_to")
+    reached = F.max("_to").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = found.withColumn("_fresh", F.coalesce((F.col("_from") > reached).cast("int"), F.lit(0)))
+    marked = marked.withColumn("_run", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = marked.groupBy(*context, "_run").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
+    return runs.groupBy(*context).agg(F.collect_list(F.struct("_from", "_to")).alias("_runs"))
+
+
 def _core_groups(contexts: DataFrame, length: int, part: int) -> DataFrame:
     """Contexts cut into parts of ``part`` starts, those that may hold repeated strings.
 

@@ -28,7 +28,7 @@ def exchanges(df):
 def test_words_dealt_by_document_stay_there(spark, tiny):
     from pagemill.plans import registry
 
-    for name in ("coverage_merge", "fused_words", "line_boxes", "rect_merge", "fragment_merge", "reflow_text", "listed_words", "listed_or_all_words", "overlap_pairs", "token_skeletons"):
+    for name in ("coverage_merge", "fused_words", "line_boxes", "rect_merge", "fragment_merge", "reflow_text", "listed_words", "listed_or_all_words", "overlap_pairs", "token_skeletons", "noise_reasons", "postprocessed_words", "postprocessed_analysis"):
         found = exchanges(registry.QUERIES[name](spark, tiny))
         assert found and all("REPARTITION_BY_NUM" in line for line in found), (name, found)
     assert len(exchanges(registry.QUERIES["nearest_word"](spark, tiny))) == 1
@@ -42,3 +42,11 @@ def test_words_on_lines_that_list_them_again(spark):
     kept = lambda df: sorted((r["doc_id"] or 0, r["text"], r["line_index"]) for r in df.collect())
     assert kept(layout.line_words(lines, words)) == [(1, "a", 5), (1, "a", 5), (1, "a", 6)]
     assert kept(layout.lines_or_words(lines, words)) == [(0, "d", 0), (1, "a", 5), (1, "a", 5), (1, "a", 6), (2, "c", 0)]
+
+
+def test_a_context_meets_its_places_once(spark):
+    from pagemill.llm.substring_dedup import _runs_of_contexts
+
+    starts = [(7, 1, 2, i, i + 1) for i in (*range(50), *range(60, 64))] + [(7, 1, 2, 10, 30), (7, 1, 3, 5, 9)]
+    found = _runs_of_contexts(spark.createDataFrame(starts, "_key long, _c1 long, _c2 long, _from long, _to long")).collect()
+    assert sorted((r["_c2"], sorted(tuple(x) for x in r["_runs"])) for r in found) == [(2, [(0, 50), (60, 64)]), (3, [(5, 9)])]
