@@ -50,3 +50,10 @@ def test_a_context_meets_its_places_once(spark):
     starts = [(7, 1, 2, i, i + 1) for i in (*range(50), *range(60, 64))] + [(7, 1, 2, 10, 30), (7, 1, 3, 5, 9)]
     found = _runs_of_contexts(spark.createDataFrame(starts, "_key long, _c1 long, _c2 long, _from long, _to long")).collect()
     assert sorted((r["_c2"], sorted(tuple(x) for x in r["_runs"])) for r in found) == [(2, [(0, 50), (60, 64)]), (3, [(5, 9)])]
+
+
+def test_a_reading_deals_its_documents_by_size(spark, tiny):
+    from pagemill.plans import registry
+
+    found = exchanges(registry.evaluated(registry.documents(spark, tiny).select("doc_id", "text"), "Fast", "English"))
+    assert len(found) == 1 and "REPARTITION_BY_NUM" in found[0]
