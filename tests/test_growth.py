@@ -57,3 +57,42 @@ def test_a_reading_deals_its_documents_by_size(spark, tiny):
 
     found = exchanges(registry.evaluated(registry.documents(spark, tiny).select("doc_id", "text"), "Fast", "English"))
     assert len(found) == 1 and "REPARTITION_BY_NUM" in found[0]
+
+
+def test_words_are_grouped_once_to_be_merged(spark):
+    import random
+
+    from pagemill.operators import layout
+
+    rng = random.Random(14)
+    rows = []
+    for line in range(40):
+        x = 0.0
+        for i in range(rng.choice([1, 2, 9, 30])):
+            w = rng.choice([10.0, 20.0, 55.0])
+            rows.append((line % 3, f"w-{line}-{i}", line * 100 + i, line, "", rng.choice(["ab", "cd", "жук", "жz", "12", "a", "x-y", "é9", None]), x, 24.0 * line, w, rng.choice([17.0, 18.0]), rng.choice([60.0, 85.0, None])))
+            x += w + rng.choice([0.0, 0.0, 1.0, -1.5, 2.5, 9.0])
+    words = spark.createDataFrame(rows, LAYOUT)
+    merged = layout.merged_fragments(words)
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and "Window" not in plan and plan.count("sort_array") == 1, plan
+
+    cyrillic = lambda t: any("Ѐ" <= c <= "ԯ" for c in t)
+    script = lambda t: "c" if cyrillic(t) else "l" if any(c.isalpha() for c in t) else None
+    wanted, group = [], None
+    for d, i, at, line, _, t, x, y, w, h, confidence in rows:
+        if group and group["line"] == line:
+            a, reach = group["t"], 0.12 * (group["h"] + h) / 2
+            plain = all(s and s.isalnum() and len(s) > 1 for s in (a, t))
+            if plain and script(a) in (script(t), None) or plain and script(t) is None:
+                if -reach <= x - (group["x"] + group["w"]) <= reach:
+                    top, right, bottom = min(group["y"], y), max(group["x"] + group["w"], x + w), max(group["y"] + group["h"], y + h)
+                    c = confidence if group["c"] is None else group["c"] if confidence is None else (group["c"] + confidence) / 2
+                    left = min(group["x"], x)
+                    group |= {"t": a + t, "x": left, "y": top, "w": right - left, "h": bottom - top, "c": c, "n": group["n"] + 1}
+                    continue
+        group = {"d": d, "id": i, "at": at, "line": line, "t": t, "x": x, "y": y, "w": w, "h": h, "c": confidence, "n": 1}
+        wanted.append(group)
+    found = merged.select("doc_id", "word_id", "word_index", "line_index", "text", "x", "y", "w", "h", "confidence", "parts").collect()
+    assert {tuple(r) for r in found} == {tuple(g.values()) for g in ({k: g[k] for k in ("d", "id", "at", "line", "t", "x", "y", "w", "h", "c", "n")} for g in wanted)}
+    assert len(found) == len(wanted) and max(g["n"] for g in wanted) > 3
