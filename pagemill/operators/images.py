@@ -128,26 +128,41 @@ class Segmentation:
             return []
         ink = y < foreground_threshold(y)
         rows = np.flatnonzero(ink.sum(1) >= self.row_ink)
-        cuts = np.flatnonzero(np.diff(rows) > self.gap + 1)
-        found: list[list[int]] = []
-        for top, bottom in zip(rows[np.r_[0, cuts + 1]].tolist(), rows[np.r_[cuts, len(rows) - 1]].tolist(), strict=True) if len(rows) else ():
-            end = height if height - 1 - bottom <= self.gap else bottom + 1
-            if end - top < self.shortest:
-                continue
-            columns = np.flatnonzero(ink[top:end].sum(0) >= max(1.0, self.column_share * (end - top)))
-            if not len(columns):
-                continue
-            box = [max(int(columns[0]) - self.pad, 0), max(top - self.pad, 0), min(int(columns[-1]) + 1 + self.pad, width), min(end + self.pad, height)]
-            if found and box[1] - found[-1][3] <= self.close * height:
-                last = found[-1]
-                found[-1] = [min(last[0], box[0]), last[1], max(last[2], box[2]), max(last[3], box[3])]
-            else:
-                found.append(box)
+        found = self._lines(ink, rows) if len(rows) else []
         if found:
-            return [(*box, "line") for box in found]
+            return found
         step = max(self.band - self.shared, 1)
         return [(0, top, width, min(top + self.band, height), "band") for top in range(0, max(height - self.shared, 1), step)]
 
+    def _lines(self, ink: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, int, int, str]]:
+        """Regions of the runs that ``rows``, those with enough ink, make; all runs of the image at once."""
+        height, width = ink.shape
+        cuts = np.flatnonzero(np.diff(rows) > self.gap + 1)
+        tops, bottoms = rows[np.r_[0, cuts + 1]], rows[np.r_[cuts, len(rows) - 1]]
+        ends = np.where(height - 1 - bottoms <= self.gap, height, bottoms + 1)
+        long = ends - tops >= self.shortest
+        tops, ends = tops[long], ends[long]
+        if not len(tops):
+            return []
+        # Runs lie apart, so their rows and those between them alternate; nothing may begin behind the last row.
+        bounds = np.stack([tops, ends], axis=1).ravel()
+        dark = np.add.reduceat(ink, bounds[bounds < height], axis=0, dtype=np.int32)[::2]
+        columns = dark >= np.maximum(1.0, self.column_share * (ends - tops))[:, None]
+        some = columns.any(1)
+        if not some.any():
+            return []
+        tops, ends, columns = tops[some], ends[some], columns[some]
+        lefts, rights = columns.argmax(1), width - columns[:, ::-1].argmax(1)
+        lefts, tops, rights, ends = np.maximum(lefts - self.pad, 0), np.maximum(tops - self.pad, 0), np.minimum(rights + self.pad, width), np.minimum(ends + self.pad, height)
+        # Bottoms come in order, so the lowest one so far is that of the run before.
+        begins = np.flatnonzero(np.r_[True, tops[1:] - ends[:-1] > self.close * height])
+        boxes = zip(np.minimum.reduceat(lefts, begins).tolist(), tops[begins].tolist(), np.maximum.reduceat(rights, begins).tolist(), np.maximum.reduceat(ends, begins).tolist(), strict=True)
+        return [(*box, "line") for box in boxes]
+
+
+#: Rows, and bytes of pixels, that a task gathers before it hands them on.
+ROWS, PIXELS = 10_000, 8 << 20
+
 
 def text_regions(images: DataFrame, how: Segmentation = Segmentation(), crops: bool = False) -> DataFrame:  # noqa: B008
     """(doc_id, region, x, y, w, h, kind) of the lines of text in each image, with ``crops`` their pixels (BGRA, stride) as well.
@@ -157,14 +172,20 @@ def text_regions(images: DataFrame, how: Segmentation = Segmentation(), crops: b
     """
 
     def segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # A frame for many images, as making one costs more than finding an image's regions.
+        rows, n_bytes = [], 0
         for pdf in batches:
             for r in pdf.itertuples():
                 bgra = pixels_of(r.width, r.height, r.stride, r.pixels)
-                rows = []
                 for k, (left, top, right, bottom, kind) in enumerate(how.regions(luminance(bgra))):
                     cut = (4 * (right - left), np.ascontiguousarray(cropped(bgra, left, top, right, bottom)).tobytes()) if crops else ()
                     rows.append((r.doc_id, k, left, top, right - left, bottom - top, kind, *cut))
-                yield pd.DataFrame(rows, columns=names)
+                    n_bytes += len(cut[1]) if crops else 0
+                if len(rows) >= ROWS or n_bytes >= PIXELS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, n_bytes = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     names = ["doc_id", "region", "x", "y", "w", "h", "kind", *(["stride", "pixels"] if crops else [])]
     schema = f"doc_id {images.schema['doc_id'].dataType.simpleString()}, region int, x int, y int, w int, h int, kind string" + (", stride int, pixels binary" if crops else "")

@@ -96,3 +96,55 @@ def test_words_are_grouped_once_to_be_merged(spark):
     found = merged.select("doc_id", "word_id", "word_index", "line_index", "text", "x", "y", "w", "h", "confidence", "parts").collect()
     assert {tuple(r) for r in found} == {tuple(g.values()) for g in ({k: g[k] for k in ("d", "id", "at", "line", "t", "x", "y", "w", "h", "c", "n")} for g in wanted)}
     assert len(found) == len(wanted) and max(g["n"] for g in wanted) > 3
+
+
+def plain_regions(y, how):
+    """``Segmentation.regions`` pixel by pixel, where it finds lines."""
+    height, width = y.shape
+    limit = y.mean() - 0.35 * (y.mean() - y.min())
+    ink = [[v < limit for v in row] for row in y.tolist()]
+    runs = []
+    for i in (i for i, row in enumerate(ink) if sum(row) >= how.row_ink):
+        if runs and i - runs[-1][1] <= how.gap + 1:
+            runs[-1][1] = i
+        else:
+            runs.append([i, i])
+    found = []
+    for top, bottom in runs:
+        end = height if height - 1 - bottom <= how.gap else bottom + 1
+        dark = [x for x in range(width) if sum(row[x] for row in ink[top:end]) >= max(1.0, how.column_share * (end - top))]
+        if end - top < how.shortest or not dark:
+            continue
+        box = [max(dark[0] - how.pad, 0), max(top - how.pad, 0), min(dark[-1] + 1 + how.pad, width), min(end + how.pad, height)]
+        if found and box[1] - found[-1][3] <= how.close * height:
+            box = [min(found[-1][0], box[0]), found[-1][1], max(found[-1][2], box[2]), max(found[-1][3], box[3])]
+            found.pop()
+        found.append(box)
+    return [(*box, "line") for box in found]
+
+
+def test_many_images_are_handed_on_together():
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.types import LongType
+
+    from pagemill.operators import images
+
+    rng, rows, wanted = np.random.default_rng(21), [], []
+    how = images.Segmentation(row_ink=2, gap=1, shortest=2, column_share=0.3, pad=1, close=0.02)
+    for k in range(300):
+        height, width = int(rng.integers(1, 50)), int(rng.integers(1, 20))
+        y = np.where(rng.random((height, width)) < 0.4, rng.integers(0, 90, (height, width)), 255).astype(np.uint8)
+        y[rng.random(height) < 0.5] = 255
+        rows.append((k, width, height, 4 * width, np.repeat(y[..., None], 4, axis=2).tobytes()))
+        wanted += [(k, *box) for box in plain_regions(images.luminance(images.pixels_of(*rows[-1][1:])), how)]
+    given = SimpleNamespace(schema={"doc_id": SimpleNamespace(dataType=LongType())}, mapInPandas=lambda f, schema: f)
+    given.select = lambda *names: given
+    frames = list(images.text_regions(given, how)(iter([pd.DataFrame(rows, columns=["doc_id", "width", "height", "stride", "pixels"])])))
+    assert len(frames) == 1
+    found = [(r.doc_id, r.x, r.y, r.x + r.w, r.y + r.h, r.kind) for r in frames[0].itertuples() if r.kind == "line"]
+    assert len(wanted) > 300 and found == wanted
+    crops = list(images.text_regions(given, how, crops=True)(iter([pd.DataFrame(rows, columns=["doc_id", "width", "height", "stride", "pixels"])])))
+    assert sum(map(len, crops)) == len(frames[0])
