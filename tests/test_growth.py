@@ -148,3 +148,12 @@ def test_many_images_are_handed_on_together():
     assert len(wanted) > 300 and found == wanted
     crops = list(images.text_regions(given, how, crops=True)(iter([pd.DataFrame(rows, columns=["doc_id", "width", "height", "stride", "pixels"])])))
     assert sum(map(len, crops)) == len(frames[0])
+
+
+def test_a_short_dictionary_meets_tokens_where_they_are(spark):
+    from pagemill.operators import repair
+
+    tokens = spark.createDataFrame([("(thexe,",), ("thexe",), ("there",), ("[QUEEU]",), ("()",), ("",), (None,), ("therİ",), ("nation!!",)], "norm_text string")
+    found = repair.repairs(tokens.union(tokens), [("there", 1), ("queue", 2)])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert sorted(map(tuple, found.collect())) == sorted([("(thexe,", "(there,"), ("thexe", "there"), ("there", "there"), ("[QUEEU]", "[queue]")])
