@@ -5,7 +5,10 @@ import random
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from pagemill.functions import script as S
+from pagemill.functions import text as T
 from pagemill.operators import fusion
 from test_pieces import COLUMNS, layout, slow_coverage, slow_lines
 
@@ -81,3 +84,17 @@ def test_rows_out_of_order_are_an_error():
         except RuntimeError:
             continue
         raise AssertionError(wrong)
+
+
+def test_fused_words_makes_each_text_once(spark, tiny):
+    from pagemill.plans import registry
+
+    found = plan(registry.QUERIES["fused_words"](spark, tiny))
+    assert "FlatMapGroups" not in found and found.count("MapInArrow") == 1 and found.count("Window [") == 1
+    tokens = ["жz", "жzжz", "abcd", "жабc", "ж.z", "ж☺z", "www.жz", "12ж", "a-b", "", None, "ABC1", "a☺", "é9", "x" * 30]
+    rows = spark.createDataFrame([(t, c) for t in tokens for c in (None, 71.0)], "norm_text string, confidence double")
+    t, c = F.col("norm_text"), S.script_counts(F.col("norm_text")) | {"protected": S.is_protected(F.col("norm_text"), codes=False)}
+    telling = F.least(T.letters(t) + T.digits(t), F.lit(20))
+    slow = 0.6 * F.coalesce("confidence", F.lit(fusion.WORD_CONFIDENCE)) + 2 * telling - T.symbols(t) - F.when(S.is_corrupted(t, c=c, stray=True), 18).otherwise(0)
+    got = rows.select(fusion.coverage_preference(t, F.col("confidence")).alias("a"), slow.alias("b"), S.is_corrupted_reading(t).alias("c"), S.is_corrupted(t, c=c).alias("d")).collect()
+    assert all(r["a"] == r["b"] and bool(r["c"]) == bool(r["d"]) for r in got) and sum(bool(r["c"]) for r in got) == 4
