@@ -508,8 +508,8 @@ def fused(branches: list[tuple[str, DataFrame]], least: int = PIECE) -> DataFram
     return _by_piece(_judged(branches), _chosen, least, "branch_index", "_score", "_cyrillic", "_protected")
 
 
-#: Lines of a document that are fused in one task.
-LINES = 256
+#: Words of lines that are fused at once, about.
+LINES = 1 << 14
 
 
 def routed(branches: list[tuple[str, DataFrame]], routes: DataFrame) -> DataFrame:
@@ -528,13 +528,17 @@ def routed(branches: list[tuple[str, DataFrame]], routes: DataFrame) -> DataFram
     taken = words.where("route = language").select(*columns, F.col("line_index").alias("_source"), F.lit(0).alias("_part"))
 
     def lines(pdf: pd.DataFrame) -> pd.DataFrame:
-        found, (sources, part) = Words(pa.Table.from_pandas(pdf, preserve_index=False)), np.unique(pdf["line_index"].to_numpy(), return_inverse=True)
+        found, part = Words(pa.Table.from_pandas(pdf, preserve_index=False)), pdf["_line"].rank(method="dense").to_numpy(np.int64) - 1
         kept = _chosen(found, part)
         rows, part, line = _relined(found, kept, part[kept])
-        return pdf[columns].take(rows).assign(_source=sources[part], _part=line)
+        return pdf[[*columns, "_source"]].take(rows).assign(_part=line)
 
+    # Many lines fold together, as they come: a line is known by its first row, and some LINES rows of a partition are a group.
+    # So lines without words to choose from cost no group of their own, and only words that are fused travel for it.
     schema = f"doc_id {words.schema['doc_id'].dataType.simpleString()}, word_id string, text string, norm_text string, x double, y double, w double, h double, confidence double, _source int, _part int"
-    fold = words.where("route = 'Fused'").withColumn("_lines", F.floor(F.col("line_index") / LINES)).groupBy("doc_id", "_lines").applyInPandas(lines, schema)
+    fold = words.where("route = 'Fused'").withColumn("_id", F.monotonically_increasing_id()).withColumn("_line", F.min("_id").over(Window.partitionBy("doc_id", "line_index")))
+    fold = fold.select(*columns, F.col("line_index").cast("int").alias("_source"), "_line", "word_index", "branch_index", "_score", "_cyrillic", "_protected", F.floor(F.col("_line") / LINES).alias("_lines"))
+    fold = fold.groupBy("_lines").applyInPandas(lines, schema)
     both = taken.select(*columns, F.col("_source").cast("int").alias("_source"), "_part").unionByName(fold)
     line = Window.partitionBy("doc_id", "_source", "_part")
     both = both.withColumns({"_top": F.min("y").over(line), "_left": F.min("x").over(line)})

@@ -98,3 +98,16 @@ def test_fused_words_makes_each_text_once(spark, tiny):
     slow = 0.6 * F.coalesce("confidence", F.lit(fusion.WORD_CONFIDENCE)) + 2 * telling - T.symbols(t) - F.when(S.is_corrupted(t, c=c, stray=True), 18).otherwise(0)
     got = rows.select(fusion.coverage_preference(t, F.col("confidence")).alias("a"), slow.alias("b"), S.is_corrupted_reading(t).alias("c"), S.is_corrupted(t, c=c).alias("d")).collect()
     assert all(r["a"] == r["b"] and bool(r["c"]) == bool(r["d"]) for r in got) and sum(bool(r["c"]) for r in got) == 4
+
+
+def test_routed_lines_fold_together(spark, monkeypatch):
+    rows = pd.concat([layout(s, n=120).assign(doc_id=s, line_index=lambda d: (d["y"] // 90).astype(int)) for s in range(4)], ignore_index=True)
+    words = spark.createDataFrame(rows)
+    branches = [(name, words.where(f"branch_index = {i}").select(*COLUMNS)) for i, name in enumerate(["English", "Russian"])]
+    routes = words.select("doc_id", "line_index").distinct().withColumn("route", F.expr("CASE WHEN line_index % 4 = 1 THEN 'Russian' WHEN line_index % 4 = 2 THEN 'English' ELSE 'Fused' END"))
+    taken = lambda: sorted(map(str, fusion.routed(branches, routes).collect()))
+    whole = taken()
+    monkeypatch.setattr(fusion, "LINES", 1)  # each line by itself
+    assert taken() == whole and len(whole) > 100
+    found = fusion.routed(branches, routes)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas [_lines" in found
