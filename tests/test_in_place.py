@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
 
+from pagemill.functions import script as S
+from pagemill.functions import text as T
 from pagemill.operators import repair
 from pagemill.plans import registry
 
@@ -50,3 +53,12 @@ def one_pass(spark, sf_dir, name):
 def test_postprocessed_words_reads_words_once(spark, tiny):
     one_pass(spark, tiny, "postprocessed_words")
     one_pass(spark, tiny, "corrected_words")
+
+
+def test_postprocessed_analysis_reads_words_once(spark, tiny):
+    one_pass(spark, tiny, "postprocessed_analysis")
+    tokens = [*ODD, "WWW.x", "http://a", "a\\b", "x.Com", "acom", "x.zıp", "me@x", "\\Q", "a.json."]
+    rows = spark.createDataFrame([(t,) for t in tokens], "t string")
+    slow = lambda t: any(x.upper() in t.upper() for x in S.PROTECTED)
+    got = rows.select("t", T.contains_any(F.col("t"), S.PROTECTED), T.contains_any(F.col("t"), [])).collect()
+    assert [tuple(r) for r in got] == [(t, None if t is None else slow(t), False) for t in tokens]
